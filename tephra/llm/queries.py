@@ -16,7 +16,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 ORACLES: dict[str, str] = {
     "op10_ngram_jaccard": r"""
