@@ -23,7 +23,22 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, is_held_out, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs.where(~is_held_out()))
+    return predict(docs, model, keep=["doc_id"]).withColumn("held_out", is_held_out())
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 ORACLES: dict[str, str] = {
     "op10_ngram_jaccard": r"""
