@@ -60,12 +60,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
-    """Row ranges [i, j) of at most ``most`` bytes each (one row at least), so that numpy's scratch arrays stay small."""
+def blocks(offs: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Row ranges [i, j) of at most ``most`` bytes and 4096 rows (one row at least), so that scratch arrays stay small."""
     out, i, n = [], 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
-        out.append((i, min(j, n)))
+        out.append((i, min(j, n, i + 4096)))
         i = out[-1][1]
     return out
 
@@ -91,7 +91,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         have = np.full(max(n + 1, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n < 8 << 20:
+        if n < 4 << 20:
             _powers[int(base)] = have
     return have[: n + 1]
 
@@ -137,7 +137,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shingles(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct ``size``-word shingles of each row, sorted by row, then hash.
+    """(52-bit hash, row) of the distinct ``size``-word shingles of each of up to 4096 rows, sorted by row, then hash.
 
     Rows with fewer words give their whole sequence as one shingle; rows without words give none.
     """
@@ -153,13 +153,12 @@ def shingles(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarr
         at = np.searchsorted(row, short)
         hashes = np.concatenate([hashes, span_hash(prefix, at, at + count[short])])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    if len(hashes):
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[new], owner[new]
-    return hashes, owner
+    # 52 bits of hash and 12 bits of row sort as one number.
+    order = (owner.astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12))
+    order.sort()
+    if len(order):
+        order = order[np.append(True, order[1:] != order[:-1])]
+    return order & np.uint64((1 << 52) - 1), (order >> np.uint64(52)).astype(np.int64)
 
 
 def ranges(lengths: np.ndarray) -> np.ndarray:

@@ -1,12 +1,14 @@
 """Exact set-similarity join of documents on word shingles: a grouped prefix join.
 
-Method. Tokens (64-bit shingle hashes) get one global order: those found to be frequent come last, by frequency; the rest
+Method. Tokens (52-bit shingle hashes) get one global order: those found to be frequent come last, by frequency; the rest
 stand in hash order. Any fixed order gives exact results; this one only keeps frequent shingles out of the prefixes. With
-similarity ``t`` two sets of n shingles can only link when they share one of their first ``n - ceil(t n) + 1`` tokens.
-Documents with the same prefix and size collapse into one group and are posted once. Posting lists, sorted by size, link
-neighbours of compatible size (``|a| >= t |b|``), which filters group pairs; the connected components of these candidate
-links are *families*: no link can cross two of them. Families are then expanded to their distinct sets, which are fetched
-once each and verified exactly with integer arithmetic inside a task. A family above ``block_tokens`` is dealt in blocks
+similarity ``t`` two sets can only link when they share one of their first ``n - ceil(t n) + 1`` tokens. Prefixes here are
+a third longer, which makes the guarantee a count: linked sets share at least ``needed(n)`` of their prefix tokens.
+Documents with the same prefix and size collapse into one group and are posted once. A group leaves when fewer than
+``needed(n)`` of its prefix tokens are posted by another group that is still there (two rounds). The posting lists of the
+rest, sorted by size, link neighbours of compatible size (``|a| >= t |b|``), which filters group pairs; the connected
+components of these candidate links are *families*: no link can cross two of them. Families are then expanded to their
+distinct sets, which are fetched once each and verified exactly with integer arithmetic inside a task. A family above ``block_tokens`` is dealt in blocks
 by size and each pair of size-compatible blocks is one task, so that no task holds more than two blocks.
 
 Equal sets are one class, so that exact copies cost nothing; the result has a row for every document.
@@ -14,7 +16,6 @@ Equal sets are one class, so that exact copies cost nothing; the result has a ro
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, list_array, mix, ranges, shared_dir, shingles, utf8, written
+from .common import blocks, list_array, mix, ranges, shingles, utf8, written
 from .components import components
 
 SHINGLE = 5
@@ -68,11 +69,25 @@ def frequent_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
-    return n - (n * t.numerator + t.denominator - 1) // t.denominator + 1
+    """floor(4/3 (1 - t) n) + 1, never below the classic n - ceil(t n) + 1."""
+    return n * 4 * (t.denominator - t.numerator) // (3 * t.denominator) + 1
+
+
+def needed(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """Prefix tokens that a set of n shingles shares at least with any set that it links with.
+
+    Of a set's prefix of q tokens at most n - overlap are alone, so that both prefixes hold the first
+    min(q_a - n_a, q_b - n_b) + overlap common tokens; overlap >= t / (1 + t) (n_a + n_b), and n_b lies in [t n_a, n_a / t].
+    """
+    share, part = float(t / (1 + t)), float(1 - t) * 4 / 3
+    own = prefix_length(n, t) - n + share * (n + np.ceil(n * float(t) - 1e-9))
+    most = np.floor(n / float(t) + 1e-9)
+    other = (part - 1) * most + share * (n + most)
+    return np.maximum(1, np.ceil(np.minimum(own, other) - 1e-6)).astype(np.int64)
 
 
 def _sets(size: int, t: Fraction, tokens, counts):
-    """(id, text) batches -> id, n, sig1, sig2 of the set, p1, p2 of the prefix, prefix, cold: how many of it aren't hot."""
+    """(id, text) batches -> id, n, needed, sig1, sig2 of the set, p1, p2 of the prefix, prefix, cold: how many of it aren't hot."""
 
     def run(batches):
         known, seen = tokens.value, counts.value
@@ -86,11 +101,8 @@ def _sets(size: int, t: Fraction, tokens, counts):
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     freq = np.where(known[at] == h, seen[at], 0)
-                late = np.flatnonzero(freq)
-                order = np.arange(len(h))
-                if len(late):  # rows that hold a frequent token are put in the global order; the others are in it
-                    mine = np.flatnonzero(np.isin(row, np.unique(row[late])))
-                    order[mine] = mine[np.lexsort((h[mine], freq[mine], row[mine]))]
+                # Within a row the tokens are in hash order, which a stable sort by frequency keeps.
+                order = np.argsort((row << 40) | freq, kind="stable")
                 ends = np.cumsum(n)
                 p = np.where(n > 0, prefix_length(n, t), 0)
                 take = order[np.repeat(ends - n, p) + ranges(p)]
@@ -102,17 +114,29 @@ def _sets(size: int, t: Fraction, tokens, counts):
                 pend = np.cumsum(p)
                 spans = [s[e] - s[e - c] for s, e, c in zip(sums, (ends, ends, pend, pend), (n, n, p, p))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, rows), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in spans), list_array(pa.array(token.view(np.int64)), p), pa.array(cold)],
-                    names=["id", "n", "sig1", "sig2", "p1", "p2", "prefix", "cold"],
+                    [batch.column(0).slice(i, rows), pa.array(n.astype(np.int64)), pa.array(needed(n, t)), *(pa.array(x.view(np.int64)) for x in spans), list_array(pa.array(token.view(np.int64)), p), pa.array(cold)],
+                    names=["id", "n", "needed", "sig1", "sig2", "p1", "p2", "prefix", "cold"],
                 )
 
     return run
 
 
-def _candidate_links(groups: DataFrame, t: Fraction) -> DataFrame:
+def _posted(groups: DataFrame, t: Fraction) -> DataFrame:
+    """(gid, n, token, salt) of prefix tokens that are posted by several groups which may still link with another."""
+    posted = groups.select("gid", "n", "needed", "cold", F.posexplode("prefix").alias("pos", "token"))
+    salt = F.when(F.col("pos") < F.col("cold"), 0).otherwise(1 + F.pmod(F.xxhash64("gid"), F.lit(SALTS))).cast("int")
+    posted = posted.select("gid", "n", "needed", "token", salt.alias("salt"))
+    for _ in range(2):
+        # Lists of hot tokens are dealt by salt; their tokens always count as shared.
+        shared = F.count("*").over(Window.partitionBy("token", "salt"))
+        posted = written(posted.withColumn("c", shared).where("c > 1 or salt > 0").drop("c"), "jaccard-posted")
+        alive = posted.groupBy("gid").agg(F.count("*").alias("c"), F.max("needed").alias("least")).where("c >= least").select("gid")
+        posted = posted.join(alive, "gid", "left_semi")
+    return posted.drop("needed")
+
+
+def _candidate_links(posted: DataFrame, t: Fraction) -> DataFrame:
     """(a, b) group ids that share a prefix token and whose sizes allow a link, neighbours in each list only."""
-    posted = groups.select("gid", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
-    posted = posted.select("gid", "n", "token", F.when(F.col("pos") < F.col("cold"), 0).otherwise(1 + F.pmod(F.xxhash64("gid"), F.lit(SALTS))).cast("int").alias("salt"))
     by = Window.partitionBy("token", "salt").orderBy("n", "gid")
     fits = F.expr(f"before.n * {t.denominator}L >= n * {t.numerator}L")
     chain = posted.select("gid", "n", "token", "salt", F.lag(F.struct("gid", "n")).over(by).alias("before"))
@@ -207,20 +231,20 @@ def ngram_jaccard(
     Returns (id long, n_shingles long, component_id long), one row for every input row; other columns aren't read.
     Null or empty texts and texts of white space only have n_shingles 0 and link with nothing (component_id is their own
     id). A null id gives a row with a null component_id and links with nothing. Repeated rows and equal texts link with
-    one another. An empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    one another. An empty table gives an empty one. Shingles are compared by 52-bit hashes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tokens, counts = frequent_tokens(texts.select("text"), size)
     shared = spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(counts)
-    sets = written(texts.mapInArrow(_sets(size, similarity, *shared), "id long, n long, sig1 long, sig2 long, p1 long, p2 long, prefix array<long>, cold int"), "jaccard-sets")
+    sets = written(texts.mapInArrow(_sets(size, similarity, *shared), "id long, n long, needed long, sig1 long, sig2 long, p1 long, p2 long, prefix array<long>, cold int"), "jaccard-sets")
     info = sets.select("id", "n", "sig1", "sig2", "p1", "p2")
     full = info.where("n > 0 and id is not null")
 
     # Groups of one prefix and size; classes of one set. Both are named by their smallest id.
     group_of = full.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"))
-    one = sets.where("n > 0 and id is not null").groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"))
-    links = _candidate_links(one, similarity)
+    one = sets.where("n > 0 and id is not null").groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"), F.max("needed").alias("needed"))
+    links = _candidate_links(_posted(one, similarity), similarity)
     families = written(components(links, "jaccard-families"), "jaccard-family")
     classes = full.groupBy("n", "p1", "p2", "sig1", "sig2").agg(F.min("id").alias("rep"))
     classes = classes.join(group_of, ["n", "p1", "p2"]).join(families.select(F.col("node").alias("gid"), F.col("component").alias("family")), "gid", "left")
