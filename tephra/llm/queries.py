@@ -10,6 +10,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import TokenStore, keys_of
+
+    docs = _read(spark, sf_dir, "documents")
+    store = TokenStore.write(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = store.read(keys_of(docs))
+    return found.select(F.when(F.col("occurrence") >= 0, F.col("id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import ngram_jaccard
 
@@ -72,7 +83,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_length_buckets": op3_length_buckets, "op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate, "op5_histogram_sort": op5_histogram_sort, "op6_html_extraction": op6_html_extraction, "op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_length_buckets": op3_length_buckets, "op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate, "op5_histogram_sort": op5_histogram_sort, "op6_html_extraction": op6_html_extraction, "op7_suffix_dedup": op7_suffix_dedup, "op9_token_store": op9_token_store, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": r"""
