@@ -229,6 +229,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _keyed(docs, id_col, text_col).select(F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text"))
     runs = texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length, span), "id long, crc long, start long, count int, anchor long, content long")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
+    shared = written(shared, "suffix-shared")
     runs = written(runs.join(shared, "anchor", "left_semi"), "suffix-runs")
 
     classes = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "start", "count")).alias("one"))
@@ -252,8 +254,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return whole.unionAll(scanned).unionAll(hot)
 
 
-def _cut(length: int, columns: list[str]):
-    """(..., text, ranges) -> n_bytes, n_removed, spans, kept bytes beside the columns that pass."""
+def _cut(length: int, columns: list[str], as_text: bool):
+    """(..., text, ranges) -> n_bytes, n_removed, spans, kept bytes or text beside the columns that pass."""
 
     def run(batches):
         for batch in batches:
@@ -274,19 +276,19 @@ def _cut(length: int, columns: list[str]):
                 kept.append(b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])))
             removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
                 names=[*columns, "n_bytes", "n_removed", "spans", "kept"],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **parameters) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, **parameters) -> DataFrame:
     """The columns ``keep`` (the id by default) and n_bytes long, n_removed long, spans array<struct<start, end>>, kept binary.
 
     Texts count as UTF-8 bytes; a null or empty text has 0 bytes and no spans; texts below ``length`` bytes keep all. A null
     id is allowed. Repeated rows repeat one another's bytes, so both lose them. An empty table gives an empty one. Spans may
-    cut inside a UTF-8 sequence, therefore ``kept`` is binary. One row for every input row.
+    cut inside a UTF-8 sequence, therefore ``kept`` is binary; with ``as_text`` it is text without such broken characters. One row for every input row.
     """
     length = parameters.get("length", LENGTH)
     keep = [id_col] if keep is None else keep
@@ -295,6 +297,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     renamed = [f"__{i}" for i in range(len(keep))]
     keyed = _keyed(docs, id_col, text_col).select("__key", "__crc", F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(r) for c, r in zip(keep, renamed)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)) + ", n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    out = keyed.join(ranges.hint("shuffle_hash"), ["__key", "__crc"], "left").select(*renamed, "__text", "__ranges").mapInArrow(_cut(length, renamed), schema)
+    schema = ", ".join(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)) + ", n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")
+    out = keyed.join(ranges.hint("shuffle_hash"), ["__key", "__crc"], "left").select(*renamed, "__text", "__ranges").mapInArrow(_cut(length, renamed, as_text), schema)
     return out.withColumnsRenamed(dict(zip(renamed, keep)))
