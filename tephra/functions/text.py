@@ -126,7 +126,8 @@ def horizon_of(question: Column | str) -> Column:
     days = F.when(q.rlike(r"(?U)next\s+\d+\s+days?"), F.coalesce(group(r"next\s+(\d+)\s+days?").try_cast("decimal(38,0)"), F.lit(MAX_HORIZON)))
     weeks, bare = F.try_element_at(value, group(r"next\s+(\w+)\s+weeks?")), F.try_element_at(value, group(r"(\w+)\s+days?"))
     fixed = F.when(q.rlike(r"\bnext week\b|\bthis week\b"), 7).when(q.rlike(r"\bfortnight\b|\btwo weeks\b"), 14).when(q.rlike(r"\btomorrow\b"), 2).otherwise(DEFAULT_HORIZON)
-    return F.coalesce(*(F.least(x, F.lit(MAX_HORIZON)).cast("int") for x in (days, weeks * 7, bare)), fixed)
+    # least() passes over nulls, therefore each rule that doesn't apply is told apart first.
+    return F.coalesce(*(F.when(x.isNotNull(), F.least(x, F.lit(MAX_HORIZON)).cast("int")) for x in (days, weeks * 7, bare)), fixed)
 
 
 def place_of(question: Column | str) -> Column:

@@ -126,7 +126,7 @@ def content_hash(questions: DataFrame) -> DataFrame:
             rows.append(r)
         return pd.DataFrame({"content_hash": [hashlib.sha256(json.dumps(rows, sort_keys=True, ensure_ascii=False).encode()).hexdigest()]})
 
-    return gold_violations(questions).select(*names).groupBy(F.lit(1)).applyInPandas(one, "content_hash string")
+    return gold_violations(questions).select(*names, F.lit(1).alias("all")).groupBy("all").applyInPandas(one, "content_hash string")
 
 
 def outcome_key(abstain: Column, citations: Column, answer: Column) -> Column:

@@ -50,12 +50,12 @@ def report(events: DataFrame, prices: DataFrame) -> DataFrame:
     return summarize(daily, prices, ["day", "op"]).unionByName(total)
 
 
-def spans(events: DataFrame, prices: DataFrame) -> DataFrame:
+def spans(events: DataFrame, prices: DataFrame, digits: int = 6) -> DataFrame:
     """One row for each span: calls and tokens over live calls, retries and failures over all."""
     live = ~F.col("cached")
     return priced(events, prices).groupBy("span").agg(
         F.count_if(live).alias("calls"), F.count_if("cached").alias("cache_hits"), F.sum("retries").alias("retries"), F.count_if(~F.col("ok")).alias("failures"),
-        F.coalesce(F.sum(F.when(live, F.col("tokens_in"))), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(F.when(live, F.col("tokens_out"))), F.lit(0)).alias("tokens_out"), F.round(F.sum("cost"), 6).alias("est_cost_usd"),
+        F.coalesce(F.sum(F.when(live, F.col("tokens_in"))), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(F.when(live, F.col("tokens_out"))), F.lit(0)).alias("tokens_out"), F.round(F.sum("cost"), digits).alias("est_cost_usd"),
     )
 
 

@@ -1 +1,128 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over daily series: block maxima, return levels, fits, bands, verdicts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tephra.functions import gev
+from tephra.operators import extremes, verdict
+from tephra.sources import tables
+
+
+def _daily(spark, sf_dir, variable="precipitation_sum"):
+    return tables.daily(spark, sf_dir).where(F.col("variable") == variable)
+
+
+def _monthly(spark, sf_dir):
+    return extremes.block_maxima(_daily(spark, sf_dir), F.year("day") * 12 + F.month("day"))
+
+
+def block_maxima(spark, sf_dir):
+    maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
+    return maxima.join(extremes.record_summary(maxima), "location").select("location", "block", F.round("value", 6).alias("value"), "n_blocks", "first_block", "last_block", F.round("record_max", 6).alias("record_max"))
+
+
+def return_level_curve(spark, sf_dir):
+    fits = extremes.gumbel_moments(extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max")))
+    return extremes.return_levels(fits).select("location", "return_period", F.round("level", 4).alias("level"))
+
+
+def return_period_of_peak(spark, sf_dir):
+    maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
+    both = extremes.gumbel_moments(maxima).join(extremes.record_summary(maxima), "location")
+    return both.select("location", F.round(gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("record_max")), 4).alias("return_period"))
+
+
+def bootstrap_band(spark, sf_dir):
+    """The band step alone, over given draws: every month's maximum as a draw of the yearly level."""
+    draws = _monthly(spark, sf_dir).groupBy("location").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"), F.avg("value").alias("level"))
+    return draws.select("location", *(F.round(c, 6).alias(n) for n, c in (("ci_low", F.least("low", "level")), ("ci_high", F.greatest("high", "level")))))
+
+
+def _peaks(spark, sf_dir):
+    """Peaks of the last seven days of each location's series, as its forecast."""
+    d = tables.daily(spark, sf_dir)
+    last = d.groupBy("location").agg(F.max("day").alias("last"))
+    window = d.join(last, "location").where("datediff(last, day) < 7").withColumn("day_no", 7 - F.datediff("last", "day"))
+    return verdict.forecast_peak(window)
+
+
+def forecast_peak(spark, sf_dir):
+    return _peaks(spark, sf_dir).select("location", "variable", F.round("peak", 6).alias("peak"))
+
+
+def risk_verdict(spark, sf_dir):
+    maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
+    levels = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(F.map_from_entries(F.collect_list(F.struct("return_period", F.round("level", 6)))).alias("levels"))
+    peaks = _peaks(spark, sf_dir).where("variable = 'temperature_2m_max'").unionByName(extremes.record_summary(maxima).select("location", F.lit("record").alias("variable"), F.col("record_max").alias("peak")))
+    return peaks.join(levels, "location").select("location", "variable", verdict.level_by_return_period(F.col("peak"), F.col("levels")).alias("risk_level"))
+
+
+def absolute_level(spark, sf_dir):
+    hazard = F.when(F.col("variable") == "precipitation_sum", "extreme_precip").otherwise("heatwave")
+    metric = F.when(F.col("variable") == "precipitation_sum", F.col("value")).otherwise(F.round(F.col("value") / 2000, 3))
+    return tables.daily(spark, sf_dir).select(hazard.alias("hazard"), verdict.absolute_level(hazard, metric).alias("level")).groupBy("hazard", "level").agg(F.count("*").alias("n"))
+
+
+def confidence(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    names = F.array(*(F.lit(x) for x in ("station_calibrated", "point_interpolated_reanalysis", "regional_grid_signal", "not_representative")))
+    grade = F.get(names, (F.col("event_id") % 5).cast("int"))
+    return e.select("event_id", verdict.confidence(grade, F.col("event_id") % 2 == 0).alias("confidence"))
+
+
+def wind_speeds(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    return e.select("event_id", F.round(verdict.metres_per_second(F.col("value")), 6).alias("ms"), verdict.absolute_level(F.lit("wind"), F.col("value")).alias("level"))
+
+
+def gev_fit(spark, sf_dir):
+    return extremes.fit(_monthly(spark, sf_dir))
+
+
+def gev_trend_fit(spark, sf_dir):
+    return extremes.fit_trend(_monthly(spark, sf_dir))
+
+
+def return_levels_ci(spark, sf_dir):
+    return extremes.return_levels_with_band(_monthly(spark, sf_dir), boot=100)
+
+
+def trend_levels_ci(spark, sf_dir):
+    monthly = _monthly(spark, sf_dir)
+    return extremes.trend_return_levels(monthly, extremes.fit_trend(monthly), boot=50)
+
+
+def hazard_stat(spark, sf_dir):
+    return extremes.hazard_statistics(_monthly(spark, sf_dir), boot=50, boot_trend=50)
+
+
+QUERIES = {f.__name__: f for f in (block_maxima, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak, risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, return_levels_ci, trend_levels_ci, hazard_stat)}
+
+_DAILY = """
+daily as (select s_nationkey as location, l_shipdate::date as day, sum(l_quantity) as precip, max(l_extendedprice) as temp from lineitem join supplier on l_suppkey = s_suppkey group by all),
+maxima as (select location, year(day) as block, max(temp) as value from daily group by all),
+summary as (select location, count(*) as n_blocks, min(block) as first_block, max(block) as last_block, max(value) as record_max from maxima group by location),
+gum as (select location, avg(value) - 0.5772156649015329 * (stddev_samp(value) * sqrt(6.0) / pi()) as loc, stddev_samp(value) * sqrt(6.0) / pi() as scale from maxima group by location having stddev_samp(value) > 0),
+levels as (select location, t as return_period, loc - scale * ln(-ln(1 - 1.0::double / t)) as level from gum, (select unnest([10, 50, 100]) as t))"""
+_PEAKS = """
+long as (select location, day, 'precipitation_sum' as variable, precip as value from daily union all select location, day, 'temperature_2m_max', temp from daily),
+peaks as (select location, variable, max(value) as peak from long join (select location, max(day) as last from daily group by 1) using (location) where date_diff('day', day, last) < 7 group by all)"""
+
+ORACLES = {
+    "block_maxima": f"with {_DAILY} select location, block, round(value, 6) as value, n_blocks, first_block, last_block, round(record_max, 6) as record_max from maxima join summary using (location)",
+    "return_level_curve": f"with {_DAILY} select location, return_period, round(level, 4) as level from levels",
+    "return_period_of_peak": f"with {_DAILY} select location, round(1 / (1 - exp(-exp(-(record_max - loc) / scale))), 4) as return_period from gum join summary using (location)",
+    "bootstrap_band": f"with {_DAILY}, m as (select location, year(day) * 12 + month(day) as block, max(precip) as value from daily group by all) select location, round(least(quantile_cont(value, 0.05), avg(value)), 6) as ci_low, round(greatest(quantile_cont(value, 0.95), avg(value)), 6) as ci_high from m group by location",
+    "forecast_peak": f"with {_DAILY}, {_PEAKS} select location, variable, round(peak, 6) as peak from peaks",
+    "risk_verdict": f"""with {_DAILY}, {_PEAKS},
+l as (select location, round(max(level) filter (where return_period = 10), 6) as l10, round(max(level) filter (where return_period = 50), 6) as l50, round(max(level) filter (where return_period = 100), 6) as l100 from levels group by location),
+p as (select * from peaks where variable = 'temperature_2m_max' union all select location, 'record', record_max from summary)
+select location, variable, case when peak >= l100 then 'SEVERE' when peak >= l50 then 'HIGH' when peak >= l10 then 'MODERATE' else 'LOW' end as risk_level from p join l using (location)""",
+    "absolute_level": f"""with {_DAILY}, {_PEAKS}
+select hazard, level, count(*) as n from (
+  select 'extreme_precip' as hazard, case when precip < 20 then 'LOW' when precip < 50 then 'MODERATE' when precip < 100 then 'HIGH' else 'SEVERE' end as level from daily
+  union all select 'heatwave', case when t < 35 then 'LOW' when t < 40 then 'MODERATE' when t < 45 then 'HIGH' else 'SEVERE' end from (select round(temp / 2000, 3) as t from daily)) group by all""",
+    "confidence": "select event_id, round(least(0.3 + case event_id % 5 when 0 then 0.35 when 1 then 0.25 when 2 then 0.15 else 0 end + case when event_id % 2 = 0 then 0.1 else 0 end, 0.75)::double, 2) as confidence from events",
+    "wind_speeds": "select event_id, round(value / 3.6, 6) as ms, case when value < 40 then 'LOW' when value < 62 then 'MODERATE' when value < 88 then 'HIGH' else 'SEVERE' end as level from events",
+}
