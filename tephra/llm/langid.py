@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import byte_codes, blocks, prefix_hash, span_hash, utf8, words
 
 #: Labelled rows used for training at most, and the size in bytes up to which a row is taken: the bound on the driver.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8000
 BUCKETS, DIMENSIONS = 1 << 15, 16
 LENGTHS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 64, 2.0
@@ -39,6 +39,10 @@ class LanguageModel:
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Class probabilities for each row."""
+        return softmax(self.logits(raw, offs) / self.temperature)
+
+    def logits(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Class scores for each row."""
         bucket, row = features(raw, offs, len(self.table), self.lengths)
         n = np.bincount(row, minlength=len(offs) - 1)
         ends = np.cumsum(n)
@@ -47,7 +51,7 @@ class LanguageModel:
             total = np.zeros(len(bucket) + 1)
             np.cumsum(self.table[:, k][bucket], out=total[1:], dtype=np.float64)
             out[:, k] = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-        return softmax((out + self.bias) / self.temperature)
+        return out + self.bias
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -77,16 +81,27 @@ def features(raw: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, lengths:
     return bucket[order], row[order]
 
 
+def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, their shares) of each text; a bounded slice of texts is hashed at a time."""
+    raw, offs = utf8(pa.array(texts, pa.large_string()))
+    out = []
+    for i, j in blocks(offs, 1 << 18):
+        bucket, row = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], buckets)
+        pair, times = np.unique(row * buckets + bucket, return_counts=True)
+        cuts = np.searchsorted(pair, np.arange(j - i + 1) * buckets)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out.append(((pair[a:b] % buckets).astype(np.int32), (times[a:b] / max(times[a:b].sum(), 1)).astype(np.float32)))
+    return out
+
+
 def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 17) -> LanguageModel:
     """Fit on texts and their languages; every fifth row is kept for calibration. One language, or none, is allowed."""
     labels = sorted(set(langs))
     if not labels:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     target = np.array([labels.index(x) for x in langs])
-    raw, offs = utf8(pa.array(texts, pa.large_string()))
-    bucket, row = features(raw, offs, buckets)
-    n = np.bincount(row, minlength=len(texts))
-    ends = np.cumsum(n)
+    bags = _bags(texts, buckets)
+    n = np.array([len(ids) for ids, _ in bags])
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 5 == 4
     chosen = np.flatnonzero(~held & (n > 0))
@@ -100,11 +115,8 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
             rows = chosen[i : i + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
-            where = np.concatenate([np.arange(ends[r] - n[r], ends[r]) for r in rows])
-            owner = np.repeat(np.arange(len(rows)), n[rows])
-            one, back, times = np.unique(bucket[where].astype(np.int64) * len(rows) + owner, return_inverse=True, return_counts=True)
-            ids, who = one // len(rows), one % len(rows)
-            weight = (times / n[rows][who]).astype(np.float32)
+            ids, weight = (np.concatenate([bags[r][k] for r in rows]) for k in (0, 1))
+            who = np.repeat(np.arange(len(rows)), n[rows])
             hidden = np.zeros((len(rows), dimensions), np.float32)
             np.add.at(hidden, who, embed[ids] * weight[:, None])
             wrong = softmax(hidden @ layer + bias).astype(np.float32)
@@ -117,23 +129,21 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
     model = LanguageModel(labels, (embed @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     test = np.flatnonzero(held & (n > 0))
     if len(test):
-        known = [texts[i] for i in test]
-        raw, offs = utf8(pa.array(known, pa.large_string()))
-        calibrate(model, raw, offs, target[test])
+        raw, offs = utf8(pa.array([texts[i] for i in test], pa.large_string()))
+        calibrate(model, np.vstack([model.logits(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in blocks(offs, 1 << 18)]), target[test])
     return model
 
 
-def calibrate(model: LanguageModel, raw: np.ndarray, offs: np.ndarray, target: np.ndarray) -> None:
+def calibrate(model: LanguageModel, logits: np.ndarray, target: np.ndarray) -> None:
     """Temperature of least log loss on rows kept from training; the threshold then accepts ``ACCEPT`` of right answers."""
     best = None
     for temperature in np.geomspace(0.05, 20, 61):
-        model.temperature = float(temperature)
-        p = model.scores(raw, offs)
+        p = softmax(logits / temperature)
         loss = -np.log(np.maximum(p[np.arange(len(target)), target], 1e-12)).mean()
         if best is None or loss < best[0] - 1e-9:
             best = loss, float(temperature)
     model.temperature = best[1]
-    p = model.scores(raw, offs)
+    p = softmax(logits / model.temperature)
     right = p.argmax(axis=1) == target
     model.threshold = float(min(0.5, np.quantile(p.max(axis=1)[right], 1 - ACCEPT))) if right.any() else 0.0
 
