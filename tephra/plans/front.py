@@ -101,7 +101,16 @@ def report_checks(spark, sf_dir):
     return verdict.roll_up_checks(r, checks).select("qid", F.array_join("failed", ",").alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation, evidence_questions, assess_nl, report_invariants, report_checks)}
+def request_status(spark, sf_dir):
+    from tephra.plans import api
+
+    c = tables.read(spark, sf_dir, "customer")
+    hazard = F.when(F.col("c_custkey") % 11 == 0, "hail").otherwise("wind")
+    r = c.select("c_custkey", (F.col("c_acctbal") / 50).alias("latitude"), (F.col("c_acctbal") / 25).alias("longitude"), (F.col("c_custkey") % 20).alias("horizon_days"), hazard.alias("hazard"), F.when(F.col("c_custkey") % 7 != 0, "key").alias("api_key"))
+    return api.request_status(r, "key").groupBy("status").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation, evidence_questions, assess_nl, report_invariants, report_checks, request_status)}
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _QUESTIONS = f"""
@@ -145,6 +154,7 @@ rep as (select qid, location, hazard, horizon_days, refusal,
   case when refusal is null then case when answered then 'grounded' else 'ungrounded' end end as grounding_status from runs)"""
 
 ORACLES = {
+    "request_status": "select case when c_custkey % 7 = 0 then 401 when c_custkey % 11 = 0 or c_acctbal / 50 not between -90 and 90 or c_acctbal / 25 not between -180 and 180 or c_custkey % 20 not between 1 and 16 then 422 else 200 end as status, count(*) as n from customer group by 1",
     "scope_guard": f"with {_QUESTIONS} select qid, {_SCOPE} as out_of_scope from q",
     "hazard_classify": f"with {_PARSED} select qid, hazard0 as hazard, oos as out_of_scope from parsed",
     "horizon_extract": f"with {_PARSED} select qid, horizon_days from parsed",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tephra.functions import gev
 from tephra.operators import answers, extremes, places, telemetry, verdict
-from tephra.plans import pipeline
+from tephra.plans import api, pipeline
 
 MAXIMA = [42.0, 55.1, 61.3, 48.7, 70.2, 66.5, 52.9, 88.4, 47.3, 59.9, 63.1, 51.2, 75.8, 68.0, 45.6, 57.7, 80.3, 62.2, 49.5, 71.9, 54.4, 65.0, 58.8, 92.7, 46.1, 60.6, 53.3, 77.1, 69.4, 50.8]
 
@@ -98,13 +98,40 @@ def test_answers(spark):
     assert [r.status for r in answers.checked_answers(raw).orderBy("qid").collect()] == ["ok", "invalid_citation", "uncited", "ok", "malformed", "malformed", "malformed", "malformed"]
 
 
-def test_model_seam_retries(spark):
+def test_model_seam_retries_rate_limits_only(spark):
+    def limited(prompts):
+        raise RuntimeError("RESOURCE_EXHAUSTED")
+
     def broken(prompts):
         raise RuntimeError("no")
 
     p = spark.createDataFrame([(1, "p")], "qid int, prompt string")
-    (r,) = answers.call_model(p, broken, tries=3).collect()
+    (r,) = answers.call_model(p, limited, tries=3, pause=lambda n: None).collect()
     assert (r.ok, r.retries, r.raw) == (False, 2, None)
+    (r,) = answers.call_model(p, broken, tries=3, pause=lambda n: None).collect()
+    assert (r.ok, r.retries) == (False, 0)
+
+
+def test_api(spark):
+    rows = [(1, 10.0, 20.0, 7, "wind", "k"), (2, 91.0, 20.0, 7, "wind", "k"), (3, 0.0, 181.0, 7, "wind", "k"), (4, 0.0, 0.0, 17, "wind", "k"), (5, 0.0, 0.0, 7, "hail", "k"), (6, 0.0, 0.0, 7, "wind", None)]
+    r = spark.createDataFrame(rows, "id int, latitude double, longitude double, horizon_days int, hazard string, api_key string")
+    assert [x.status for x in api.request_status(r, "k").orderBy("id").collect()] == [200, 422, 422, 422, 422, 401]
+    assert [x.status for x in api.request_status(r).orderBy("id").collect()] == [200, 422, 422, 422, 422, 200]
+    chunks = spark.createDataFrame([(k, f"s#p{k}#0", "s", k, "heat wave") for k in range(1, 21)], "ord long, chunk_id string, source string, page int, text string")
+    q = spark.createDataFrame([(1, "heat", 99), (2, "heat", -3), (3, "heat", None)], "qid long, text string, top_k int")
+    found = api.search_evidence(q, chunks).groupBy("qid").count().collect()
+    assert {x.qid: x["count"] for x in found} == {1: 10, 2: 1, 3: 5}
+
+
+def test_answers_use_the_guard_and_the_cache(spark):
+    chunks = spark.createDataFrame([(1, "s#p1#0", "s", 1, "rain will rise")], "ord long, chunk_id string, source string, page int, text string")
+    q = spark.createDataFrame([(1, "rain?"), (2, "droughts?")], "qid long, text string")
+    got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model).collect()}
+    assert got[1].citations == ["s#p1#0"] and got[2].abstain and "drought" in got[2].abstain_reason
+    packed = spark.sql("select 'rain?' q, array(named_struct('chunk_id', 's#p1#0', 'text', 'rain will rise')) c")
+    cache = packed.select(answers.answer_key("model", F.col("q"), F.col("c")).alias("key"), F.lit('{"answer": "cached", "citations": ["s#p1#0"], "abstain": false}').alias("raw"))
+    got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model, cache).collect()}
+    assert got[1].answer == "cached"
 
 
 def test_assess_end_to_end(spark):
