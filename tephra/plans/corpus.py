@@ -60,7 +60,7 @@ def _rankings(spark, sf_dir):
         part = r.select(F.lit(name).alias("retriever"), "qid", "ord", "rank")
         out = part if out is None else out.unionByName(part)
     pages = tables.corpus_pages(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "page")
-    return retrieval.page_ranking(pages.join(retrieval.small(out), "ord"), ["retriever", "qid"])
+    return retrieval.page_ranking(pages.join(out, "ord"), ["retriever", "qid"])
 
 
 def page_dedupe(spark, sf_dir):
