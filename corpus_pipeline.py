@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tephra.llm.common import written
 from tephra.llm.decontaminate import contaminated
@@ -24,10 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each component of near duplicates; of rows that repeat it, one."""
     found = ngram_jaccard(docs)
-    stay = found.where("component_id = id or n_shingles = 0 or id is null").select("id", (F.col("n_shingles") > 0).alias("full")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("same", F.when(F.col("full") & F.col("id").isNotNull(), F.xxhash64("text")))
-    one = kept.where("same is not null").dropDuplicates(["doc_id", "same"])
-    return one.unionAll(kept.where("same is null")).select(*COLUMNS)
+    stay = found.where("id is not null and (component_id = id or n_shingles = 0)").select(F.col("id").alias("doc_id"), (F.col("n_shingles") > 0).alias("full")).distinct()
+    kept = docs.join(stay.hint("shuffle_hash"), "doc_id", "left").where("full is not null or doc_id is null")
+    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars"))
+    return kept.withColumn("place", place).where("place = 1 or not full or doc_id is null").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,16 +123,18 @@ def _sets(size: int, t: Fraction, tokens, counts):
 
 def _posted(groups: DataFrame, t: Fraction) -> DataFrame:
     """(gid, n, token, salt) of prefix tokens that are posted by several groups which may still link with another."""
-    posted = groups.select("gid", "n", "needed", "cold", F.posexplode("prefix").alias("pos", "token"))
+    posted = groups.select("gid", "cold", F.posexplode("prefix").alias("pos", "token"))
     salt = F.when(F.col("pos") < F.col("cold"), 0).otherwise(1 + F.pmod(F.xxhash64("gid"), F.lit(SALTS))).cast("int")
-    posted = posted.select("gid", "n", "needed", "token", salt.alias("salt"))
+    posted = posted.select("gid", "token", salt.alias("salt"))
+    sizes = groups.select("gid", "n", "needed")
     for _ in range(2):
         # Lists of hot tokens are dealt by salt; their tokens always count as shared.
         shared = F.count("*").over(Window.partitionBy("token", "salt"))
         posted = written(posted.withColumn("c", shared).where("c > 1 or salt > 0").drop("c"), "jaccard-posted")
-        alive = posted.groupBy("gid").agg(F.count("*").alias("c"), F.max("needed").alias("least")).where("c >= least").select("gid")
-        posted = posted.join(alive, "gid", "left_semi")
-    return posted.drop("needed")
+        counted = posted.groupBy("gid").agg(F.count("*").alias("c"))
+        alive = written(counted.join(sizes, "gid").where("c >= needed").select("gid", "n"), "jaccard-alive")
+        posted = posted.join(alive.select("gid"), "gid", "left_semi")
+    return posted.join(alive, "gid")
 
 
 def _candidate_links(posted: DataFrame, t: Fraction) -> DataFrame:
@@ -252,7 +254,8 @@ def ngram_jaccard(
 
     # Units of work: a family whole, or pairs of its blocks.
     sizes = classes.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
-    sizes = sizes.select("family", "tokens")
+    # Written, so that the join meets a plain exchange, which Spark can split where a family is hot.
+    sizes = written(sizes.select("family", "tokens"), "jaccard-sizes")
     placed = classes.join(sizes, "family")
     whole = placed.where(F.col("tokens") <= block_tokens).select("rep", "sig1", F.array(F.struct(F.col("family").cast("string").alias("unit"), F.lit(0).alias("side"))).alias("units"))
     large = _block_units(placed.where(F.col("tokens") > block_tokens), similarity, block_tokens)
