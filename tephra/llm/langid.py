@@ -23,8 +23,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8000
 BUCKETS, DIMENSIONS = 1 << 15, 16
 LENGTHS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 64, 2.0
-#: Share of kept-out correct answers that calibrated rejection must accept.
-ACCEPT = 0.999
+#: Calibrated rejection must accept this share of kept-out correct answers, and every score this many times above chance.
+ACCEPT, CHANCE = 0.999, 1.25
 UNKNOWN = "und"
 
 
@@ -137,7 +137,7 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
 def calibrate(model: LanguageModel, logits: np.ndarray, target: np.ndarray) -> None:
     """Temperature of least log loss on rows kept from training; the threshold then accepts ``ACCEPT`` of right answers."""
     best = None
-    for temperature in np.geomspace(0.05, 20, 61):
+    for temperature in np.geomspace(0.02, 20, 61):
         p = softmax(logits / temperature)
         loss = -np.log(np.maximum(p[np.arange(len(target)), target], 1e-12)).mean()
         if best is None or loss < best[0] - 1e-9:
@@ -145,15 +145,19 @@ def calibrate(model: LanguageModel, logits: np.ndarray, target: np.ndarray) -> N
     model.temperature = best[1]
     p = softmax(logits / model.temperature)
     right = p.argmax(axis=1) == target
-    model.threshold = float(min(0.5, np.quantile(p.max(axis=1)[right], 1 - ACCEPT))) if right.any() else 0.0
+    model.threshold = float(min(CHANCE / len(model.labels), np.quantile(p.max(axis=1)[right], 1 - ACCEPT))) if right.any() else 0.0
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """Train on at most ``rows`` labelled rows of at most ``most_bytes`` bytes, chosen by hash alike at every size."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= most_bytes))
     sample = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
-    found = sample.orderBy("h", "lang", "text").limit(rows).toPandas()
-    return train(found["text"].tolist(), found["lang"].tolist())
+    # The hash of the last row taken is found first, so that only texts of the sample reach the driver.
+    last = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([], [])
+    found = sample.where(F.col("h") <= last).orderBy("h", "lang", F.xxhash64("text")).limit(rows).collect()
+    return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def _predict(shared, columns: list[str]):
