@@ -7,7 +7,7 @@ are dealt into buckets by hash, and each bucket is a minimal perfect hash of cas
 number of set bits before its bit. A slot stores a 32-bit fingerprint of its key, which tells absent keys, and no key.
 
 Tokenizing. The tokenizer's pattern never crosses white space, so a text's ids are those of its words one after the other;
-each batch encodes its distinct words only, with an end token between them.
+each batch encodes only words that its worker hasn't met yet, with an end token between them.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, parts_for, ranges, written
+from .common import blocks, byte_codes, mix, parts_for, prefix_hash, ranges, span_hash, utf8, written
 
 END_ID = 2
 #: Ids in a shard, unless one document has more; and keys in a bucket of the index on average.
 SHARD_IDS, BUCKET_KEYS = 2_000_000, 2000
 _GAMMA, _LEVELS = 2.0, 64
 _JOINED = 2000
+_BLOCK = 8 << 20
 _encoders: dict = {}
 
 
@@ -41,40 +42,79 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, offsets). Words are encoded in long lines, told apart by a special token that none contains."""
+def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, where each word's begin, how many). Words are encoded in long lines, told apart by a special token that none contains."""
     tokenizer = _encoder(path)
     mark = "<|endoftext|>"
     special = tokenizer.token_to_id(mark)
-    plain = [k for k, w in enumerate(words) if "<|" not in w.lower()]
-    if special is None:
-        plain = []
-    lines = [f" {mark} ".join(words[k] for k in plain[i : i + _JOINED]) for i in range(0, len(plain), _JOINED)]
-    encoded = tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-    found: list = [None] * len(words)
-    for i, e in zip(range(0, len(plain), _JOINED), encoded):
-        ids = np.array(e.ids, np.uint32)
-        cuts = np.flatnonzero(ids == special)
-        mine = plain[i : i + _JOINED]
-        if len(cuts) != len(mine) - 1:
+    odd = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False) if special is not None else np.ones(len(words), bool)
+    plain = words.filter(pa.array(~odd)).to_pylist()
+    ids, sizes = [], []
+    for i in range(0, len(plain), 32 * _JOINED):
+        lines = [f" {mark} ".join(plain[k : k + _JOINED]) + f" {mark}" for k in range(i, min(len(plain), i + 32 * _JOINED), _JOINED)]
+        for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            found = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(found == special)
+            sizes.append(np.diff(cuts, prepend=-1) - 1)
+            ids.append(np.delete(found, cuts))
+    lengths = np.zeros(len(words), np.int64)
+    if plain:
+        sizes = np.concatenate(sizes)
+        if len(sizes) != len(plain):
             raise ValueError("a word's ids hold the mark between words")
-        for k, part in zip(mine, np.split(ids, cuts)):
-            found[k] = part[1:] if k != mine[0] else part
-    rest = [k for k in range(len(words)) if found[k] is None]
-    for k, e in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-        found[k] = np.array(e.ids, np.uint32)
-    lengths = np.array([len(x) for x in found], np.int64)
-    return np.concatenate(found) if found else np.zeros(0, np.uint32), np.append(0, np.cumsum(lengths)).astype(np.int64)
+        lengths[~odd] = sizes
+    at = np.zeros(len(words), np.int64)
+    at[~odd] = np.cumsum(lengths[~odd]) - lengths[~odd]
+    end = int(lengths.sum())
+    for k in np.flatnonzero(odd).tolist():
+        ids.append(np.array(tokenizer.encode(words[k].as_py(), add_special_tokens=False).ids, np.uint32))
+        at[k], lengths[k] = end, len(ids[-1])
+        end += len(ids[-1])
+    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), at, lengths
+
+
+class Vocabulary:
+    """Ids of words met before, by 64-bit hash, kept in the worker from task to task; at most ``MOST_WORDS``."""
+
+    MOST_WORDS = 1_500_000
+
+    def __init__(self, path: str):
+        self.path = path
+        self.hashes, self.at, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :func:`encode_words`, for distinct words; only those not met before reach the tokenizer."""
+        raw, offs = utf8(words)
+        h = span_hash(prefix_hash(byte_codes(raw)), offs[:-1], offs[1:])
+        where = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        known = self.hashes[where] == h if len(self.hashes) else np.zeros(len(h), bool)
+        fresh = np.flatnonzero(~known)
+        ids, at, lengths = encode_words(words.take(pa.array(fresh)), self.path)
+        out_at, out_n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        out_at[known], out_n[known] = self.at[where[known]], self.lengths[where[known]]
+        out_at[fresh], out_n[fresh] = at + len(self.ids), lengths
+        every = np.concatenate([self.ids, ids])
+        if len(self.hashes) + len(fresh) <= self.MOST_WORDS:
+            order = np.argsort(h[fresh])
+            put = np.searchsorted(self.hashes, h[fresh][order])
+            self.hashes, self.at, self.lengths = (np.insert(old, put, new[order]) for old, new in ((self.hashes, h[fresh]), (self.at, out_at[fresh]), (self.lengths, lengths)))
+            self.ids = every
+        return every, out_at, out_n
+
+
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets); null counts as empty; ``end_id`` closes each text."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    # A letter or digit always ends before punctuation, so a space between them changes no id and fewer words differ.
+    spread = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([\pL\pN])([.,!?;:]+)", r"\1 \2")
+    split = pc.ascii_split_whitespace(spread)
     per_text = np.diff(split.offsets.to_numpy().astype(np.int64))
     coded = split.flatten().dictionary_encode()
-    ids, at = encode_words(coded.dictionary.to_pylist(), path)
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = (at[1:] - at[:-1])[word]
+    ids, at, lengths = _vocabularies.setdefault(path, Vocabulary(path)).encode(coded.dictionary)
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    n = lengths[word]
     total = np.append(0, np.cumsum(n))
     ends = np.cumsum(per_text)
     size = total[ends] - total[ends - per_text] + (end_id is not None)
@@ -102,9 +142,9 @@ def _shards(path: str, end_id: int, wide: bool, most: int):
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(payload)], pa.binary()), pa.array([entries], pa.list_(kind))], names=["shard", "n_ids", "payload", "entries"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                keys = batch.column(0).slice(lo, 4096).to_pylist()
-                ids, offs = encode_texts(batch.column(1).slice(lo, 4096), path, end_id)
+            for lo, hi in blocks(utf8(batch.column(1))[1], _BLOCK):
+                keys = batch.column(0).slice(lo, hi - lo).to_pylist()
+                ids, offs = encode_texts(batch.column(1).slice(lo, hi - lo), path, end_id)
                 raw = ids.astype("<u4" if wide else "<u2")
                 for k, key in enumerate(keys):
                     length = int(offs[k + 1] - offs[k])
