@@ -25,7 +25,7 @@ WINDOW = 64
 LEVELS = 1024
 POPULAR = 16
 BITS, PROBES, FULL = 2048, 5, 160
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _ONE = 1 << 20
 _C = np.arange(WINDOW + 1)
 #: count * log2(count), in units of 2**-20.
@@ -109,8 +109,6 @@ def features(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
         chosen = np.flatnonzero(points >= min(POPULAR, runs))
         chosen = chosen[(chosen + lo >= i) & (chosen + lo < i + _PIECE)]
         out.append(span_hash(prefix_hash(byte_codes(part)), chosen, chosen + WINDOW))
-        if hi == len(raw):
-            break
     return np.concatenate(out)
 
 
@@ -189,14 +187,14 @@ def _chained(shared):
             return pa.RecordBatch.from_arrays(cols + extra, names=[f for f, _ in _FIELDS] + ["part", "end", "end_id", "end_text"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in (x for i in range(0, batch.num_rows, 128) for x in zip(*(batch.column(k).slice(i, 128).to_pylist() for k in (0, 1)))):
                 text = text or ""
                 mine = digest(features(np.frombuffer(text.encode(), np.uint8), rank))
                 if last is None:
                     yield out([], [(part, "first", doc_id, text)])
                 else:
                     rows.append(_row(*last, text, mine, rank))
-                    if len(rows) >= 256:
+                    if len(rows) >= 128:
                         yield out(rows)
                         rows = []
                 last = doc_id, text, mine
@@ -227,15 +225,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns (doc_id long, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next
     double), one row for every input row. Null texts count as empty; a null id comes last in the order; rows of equal ids
-    order by text. The only row of a table is its own next. Equal texts have equal digests. An empty table gives an empty one.
+    order by a hash of the text. The only row of a table is its own next. Equal texts have equal digests. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, = given.agg(F.sum(F.octet_length("text"))).first()
     rank = spark.sparkContext.broadcast(ranks(entropy_histogram(given.select("text"))))
     parts = parts_for(size or 0, part_bytes)
-    order = [F.desc_nulls_last("id"), F.asc_nulls_first("text")]
-    ranged = given.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ranges are found from a sample that goes to the driver: of ids and hashes, not of texts.
+    order = [F.desc_nulls_last("id"), F.asc("h")]
+    ranged = given.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
     done = written(ranged.mapInArrow(_chained(rank), _SCHEMA + ", part long, end string, end_id long, end_text string"), "fingerprints")
     # Two short rows for each range at most; empty ranges have none. Only their numbers come here.
     firsts = sorted(r["part"] for r in done.where("end = 'first'").select("part").collect())
