@@ -1,8 +1,9 @@
 """Token ids as binary shards with a minimal perfect hash index.
 
 Documents are dealt out by ranges of ids, sorted, tokenized with a public tokenizer file and packed: a *shard* is one raw
-payload of little-endian ids of consecutive documents, of bounded size. Payloads are rows of a Parquet table that is
-bucketed by shard, so that keyed reads don't move them. The index maps a document's key to (shard, offset, length): keys
+payload of little-endian ids of consecutive documents, of bounded size (two bytes an id where the vocabulary allows it).
+Payloads are rows of a Parquet table, which gives Spark's commit protocol and any file system that Spark knows. The index
+maps a document's key to (shard, offset, length): keys
 are dealt into buckets by hash, and each bucket is a minimal perfect hash of cascaded bit arrays; a key's slot is the
 number of set bits before its bit. A slot stores a 32-bit fingerprint of its key, which tells absent keys, and no key.
 
