@@ -133,8 +133,9 @@ def repeats_corpus():
     return rows
 
 
-@pytest.mark.parametrize("most_classes, batch", [(4096, 8192), (1, 64), (3, 64)])
-def test_repeats_are_exact(spark, most_classes, batch):
+@pytest.mark.parametrize("most_classes, batch, hot", [(4096, 8192, 1000), (1, 64, 1), (3, 64, 2)])
+def test_repeats_are_exact(spark, monkeypatch, most_classes, batch, hot):
+    monkeypatch.setattr(suffix, "HOT_RUNS", hot)
     rows = repeats_corpus()
     got = suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), most_classes=most_classes, batch_suffixes=batch).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_repeats(rows, 400)

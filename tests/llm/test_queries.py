@@ -26,16 +26,48 @@ def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
 
-def test_pipeline(spark):
+def test_pipeline_by_brute_force(spark):
+    """Each stage, on what the one before kept, against the plain statement of what it does."""
+    import re
+
+    import numpy as np
+
     import corpus_pipeline as p
+    from test_pairs_and_repeats import brute_jaccard
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
+    stages = dict(p.STAGES)
+    ran = {}
     for name, stage in p.STAGES[:-1]:
+        before = docs.collect()
         docs = p.written(stage(spark, docs, SF), f"test-{name}")
-        assert docs.columns == p.COLUMNS and 0.5 * n < docs.count() <= n
-    texts = [r.text for r in docs.select("text").collect()]
+        assert docs.columns == p.COLUMNS
+        ran[name] = before, {r.doc_id: r for r in docs.collect()}
+
+    before, after = ran["language_id"]
+    assert set(after) == {r.doc_id for r in before if r.text and re.search(r"[^\W\d_]", r.text)}
+
+    before, after = ran["near_duplicates"]
+    component = {i: c for _, i, _, c in brute_jaccard([(r.doc_id, r.text) for r in before])}
+    assert set(after) == {i for i, c in component.items() if i == c}
+
+    before, after = ran["repeated_passages"]
+    data = {r.doc_id: r.text.encode() for r in before}
+    seen: dict[bytes, int] = {}
+    for b in data.values():
+        for i in range(len(b) - 399):
+            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+    for k, b in data.items():
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert after[k].text == bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") and after[k].n_chars == len(after[k].text)
+
+    before, after = ran["decontamination"]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert not any(i in t for i in items for t in texts)
-    packed = p.STAGES[-1][1](spark, docs, SF)
-    assert packed.count() == len(texts) == p.run(spark, SF).count()
+    assert set(after) == {r.doc_id for r in before if not any(i in r.text for i in items)}
+
+    packed = {r.doc_id: r.n_tokens for r in stages["packing"](spark, docs, SF).collect()}
+    assert packed == {k: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) + 1 for k, r in after.items()}
+    assert {r.doc_id for r in p.run(spark, SF).collect()} == set(packed)
