@@ -27,6 +27,8 @@ from .common import blocks, byte_codes, mix, prefix_hash, span_hash, utf8, writt
 LENGTH = 400
 SPAN = 200
 MOST_CLASSES = 4096
+#: Runs that make a class hot, and hot classes that may be broadcast (16 bytes each).
+HOT_RUNS, HOT_CLASSES = 1000, 200_000
 #: Suffixes in a bucket on average, and in a batch of the index family.
 BUCKET_SUFFIXES, BATCH_SUFFIXES = 100_000, 8192
 _POSITION_BITS = 22
@@ -224,6 +226,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)), "__crc": F.crc32(text.cast("binary"))})
 
 
+def _members(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Runs of classes of two or more. Those of hot classes are told in the map stage, so that no task gathers one."""
+    hot = classes.where(F.col("n") > HOT_RUNS).select("anchor", "content")
+    if hot.limit(HOT_CLASSES + 1).count() > HOT_CLASSES:
+        hot = hot.limit(0)  # too many to broadcast; then none of them is a large part, and the exchange below takes all
+    hot = F.broadcast(hot)
+    cold = runs.join(hot, ["anchor", "content"], "left_anti")
+    many = classes.where("n > 1").select("anchor", "content")
+    return runs.join(hot, ["anchor", "content"], "left_semi").unionAll(cold.join(many, ["anchor", "content"], "left_semi"))
+
+
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, most_classes: int = MOST_CLASSES, batch_suffixes: int = BATCH_SUFFIXES) -> DataFrame:
     """(id, crc, from, to): ranges of starts whose ``length``-byte string also starts elsewhere; see :func:`_keyed`."""
     texts = _keyed(docs, id_col, text_col).select(F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text"))
@@ -235,8 +248,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "start", "count")).alias("one"))
     classes = written(classes, "suffix-classes")
-    many = classes.where("n > 1").select("anchor", "content")
-    whole = runs.join(many, ["anchor", "content"], "left_semi").select("id", "crc", F.col("start").alias("from"), F.expr("start + count").alias("to"))
+    whole = _members(runs, classes).select("id", "crc", F.col("start").alias("from"), F.expr("start + count").alias("to"))
 
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.sum("one.count").alias("suffixes")).where("k > 1 and least = 1")
     total = mixed.agg(F.sum("suffixes")).first()[0] or 0

@@ -85,6 +85,16 @@ def test_features_don_t_depend_on_pieces(monkeypatch):
     assert (fingerprint.features(raw, rank) == whole).all()
 
 
+def test_texts_that_share_a_buffer(monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 90)).encode()[: rng.randrange(400)] for _ in range(200)] + [b"", b"a" * 64, b"ab" * 63, b"abc" * 43, b"x" * 63]
+    rank = fingerprint.ranks(np.arange(fingerprint.LEVELS) % 13)
+    want = [fingerprint.features(np.frombuffer(t, np.uint8), rank).tolist() for t in texts]
+    for piece in (300, 5000, 1 << 18):
+        monkeypatch.setattr(fingerprint, "_PIECE", piece)
+        assert [f.tolist() for f in fingerprint.features_of(texts, rank)] == want
+
+
 # op3 ---------------------------------------------------------------------------------------------------------------
 
 
