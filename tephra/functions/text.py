@@ -59,9 +59,12 @@ def _nfkc(text: Column) -> Column:
 
 
 def folded(text: Column | str) -> Column:
-    """NFKC, by Arrow only where a text has other characters than ASCII and accented Latin-1 letters, which stay as they are."""
+    """NFKC, by Arrow only where a text has other characters than ASCII and accented Latin-1 letters, which stay as they are.
+
+    A Python function sees every row whatever stands around it, so the others go to it as nulls.
+    """
     text = _as_column(text)
-    return F.when(text.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"), _nfkc(text)).otherwise(text)
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"), text)), text)
 
 
 def tokens(text: Column | str, fold: bool = True) -> Column:

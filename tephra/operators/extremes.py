@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tephra.functions import gev
 from tephra.schemas import MIN_BLOCKS_FOR_TREND, RETURN_PERIODS, SIGNIFICANCE
+from tephra.sources.scratch import materialized
 
 #: Bootstrap replicates, stationary and drifting, and replicates in one task.
 BOOT, BOOT_TREND, BOOT_TASK = 300, 200, 25
@@ -27,6 +29,12 @@ def record_summary(maxima: DataFrame) -> DataFrame:
     return maxima.groupBy("location").agg(F.count("*").alias("n_blocks"), F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.max("value").alias("record_max"))
 
 
+def with_record_summary(maxima: DataFrame) -> DataFrame:
+    """Maxima with the summary of their location beside each; one pass, a location has a row for each block."""
+    at = Window.partitionBy("location")
+    return maxima.select("*", F.count("*").over(at).alias("n_blocks"), F.min("block").over(at).alias("first_block"), F.max("block").over(at).alias("last_block"), F.max("value").over(at).alias("record_max"))
+
+
 def gumbel_moments(maxima: DataFrame) -> DataFrame:
     """(location, c, loc, scale): Gumbel parameters by moments, in columns only; needs two blocks that differ."""
     scale = F.stddev_samp("value") * F.sqrt(F.lit(6.0)) / F.lit(np.pi)
@@ -86,7 +94,7 @@ def return_levels_with_band(maxima: DataFrame, fits: DataFrame | None = None, pe
     Replicates are dealt over tasks in blocks, each with a random stream of its own that only the seed, the location and
     the replicate's number decide.
     """
-    fits = fit(maxima) if fits is None else fits
+    fits = materialized(fit(maxima), "fits") if fits is None else fits
     blocks = -(-boot // BOOT_TASK)
     work = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -139,10 +147,11 @@ def hazard_statistics(maxima: DataFrame, boot: int = BOOT, boot_trend: int = BOO
 
     Levels are those of the drifting fit at the last block where its trend is significant, else of the stationary fit.
     """
+    maxima = materialized(maxima, "block-maxima")
     summary = record_summary(maxima)
-    fits = fit(maxima)
+    fits = materialized(fit(maxima), "fits")
     long = maxima.join(summary.where(F.col("n_blocks") >= least).select("location"), "location", "left_semi")
-    trends = fit_trend(long)
+    trends = materialized(fit_trend(long), "trends")
     strong = trends.where("significant")
     stationary = return_levels_with_band(maxima, fits.join(strong.select("location"), "location", "left_anti"), boot=boot)
     effective = trend_return_levels(long.join(strong.select("location"), "location", "left_semi"), strong, boot=boot_trend)

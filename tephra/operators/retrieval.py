@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tephra.functions.text import tokens
 from tephra.schemas import BM25_B, BM25_K1, CANDIDATES, RRF_K
+from tephra.sources.scratch import materialized
 
 #: Rows of a side that may be broadcast, proven by a count first.
 BROADCAST_ROWS = 200_000
@@ -26,14 +27,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(docs: DataFrame, fold: bool = True) -> DataFrame:
-    """(ord, dl, words): tokens of each text, with their number."""
-    return docs.select("ord", tokens("text", fold).alias("words")).withColumn("dl", F.size("words"))
-
-
 def term_statistics(docs: DataFrame, fold: bool = True) -> DataFrame:
     """(term, df, cf): documents that hold a term, and its occurrences."""
-    counted = postings(docs, fold).select("ord", F.explode("words").alias("term")).groupBy("ord", "term").count()
+    counted = docs.select("ord", F.explode(tokens("text", fold)).alias("term")).groupBy("ord", "term").count()
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
@@ -46,15 +42,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
     """(qid, ord, score, rank): the best ``k`` documents of every query.
 
     ``docs`` has ord and text, ``queries`` qid and text. A term that a query repeats counts as often. Documents that share
-    no term with a query aren't ranked. Query terms meet the tokens before any exchange, so that only postings of query
-    terms are shuffled; document frequencies are those of these postings.
+    no term with a query aren't ranked. Query terms meet the tokens before any exchange, so that only their postings are
+    shuffled, in one pass over the documents: an empty term stands in every document for its length. Frequencies, totals
+    and scores all come from these postings, which are written once.
     """
     asked = queries.select("qid", F.explode(tokens("text", fold)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    lengths = postings(docs, fold)
-    held = lengths.select("ord", "dl", F.explode("words").alias("term")).join(small(terms), "term").groupBy("term", "ord", "dl").agg(F.count("*").alias("tf"))
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    terms = asked.select("term").unionAll(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = docs.select("ord", tokens("text", fold).alias("words")).select("ord", F.inline(F.transform(F.concat("words", F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), (F.size("words")).alias("dl")))))
+    held = materialized(words.join(small(terms), "term").groupBy("term", "ord", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+    totals = held.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
+    df = held.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
     # One row of totals joins every term: its size is proven.

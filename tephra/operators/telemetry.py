@@ -45,9 +45,9 @@ def summarize(events: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
 
 def report(events: DataFrame, prices: DataFrame) -> DataFrame:
     """The roll-up by day and operation, and over all days (day null); percentiles are taken anew for the totals."""
-    daily = events.withColumn("day", F.to_date("ts"))
-    total = summarize(events, prices, ["op"]).withColumn("day", F.lit(None).cast("date"))
-    return summarize(daily, prices, ["day", "op"]).unionByName(total)
+    both = events.withColumn("day", F.explode(F.array(F.date_format("ts", "yyyy-MM-dd"), F.lit(""))))
+    rolled = summarize(both, prices, ["day", "op"])
+    return rolled.withColumn("day", F.to_date(F.nullif("day", F.lit(""))))
 
 
 def spans(events: DataFrame, prices: DataFrame, digits: int = 6) -> DataFrame:

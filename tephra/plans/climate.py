@@ -19,7 +19,7 @@ def _monthly(spark, sf_dir):
 
 def block_maxima(spark, sf_dir):
     maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
-    return maxima.join(extremes.record_summary(maxima), "location").select("location", "block", F.round("value", 6).alias("value"), "n_blocks", "first_block", "last_block", F.round("record_max", 6).alias("record_max"))
+    return extremes.with_record_summary(maxima).select("location", "block", F.round("value", 6).alias("value"), "n_blocks", "first_block", "last_block", F.round("record_max", 6).alias("record_max"))
 
 
 def return_level_curve(spark, sf_dir):
