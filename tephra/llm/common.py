@@ -60,7 +60,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+def blocks(offs: np.ndarray, most: int = 1 << 19) -> list[tuple[int, int]]:
     """Row ranges [i, j) of at most ``most`` bytes and 4096 rows (one row at least), so that scratch arrays stay small."""
     out, i, n = [], 0, len(offs) - 1
     while i < n:

@@ -30,9 +30,9 @@ MOST_CLASSES = 4096
 #: Runs that make a class hot, and hot classes that may be broadcast (16 bytes each).
 HOT_RUNS, HOT_CLASSES = 1000, 200_000
 #: Suffixes in a bucket on average, and in a batch of the index family.
-BUCKET_SUFFIXES, BATCH_SUFFIXES = 100_000, 8192
+BUCKET_SUFFIXES, BATCH_SUFFIXES = 50_000, 8192
 _POSITION_BITS = 22
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -271,26 +271,29 @@ def _cut(length: int, columns: list[str], as_text: bool):
 
     def run(batches):
         for batch in batches:
-            raw, offs = utf8(batch.column(batch.schema.get_field_index("__text")))
-            data = raw.tobytes()
-            ranges = batch.column(batch.schema.get_field_index("__ranges")).to_pylist()
-            sizes, spans, kept = np.diff(offs), [], []
-            for k, found in enumerate(ranges):
-                merged: list[list[int]] = []
-                for x in sorted((r["from"], r["to"] + length - 1) for r in found or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                edges = [0, *(e for m in merged for e in m), int(sizes[k])]
-                base = int(offs[k])
-                kept.append(b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])))
-            removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
-                names=[*columns, "n_bytes", "n_removed", "spans", "kept"],
-            )
+            for i, j in blocks(utf8(batch.column(batch.schema.get_field_index("__text")))[1]):
+                yield cut(batch.slice(i, j - i))
+
+    def cut(batch):
+        raw, offs = utf8(batch.column(batch.schema.get_field_index("__text")))
+        data = raw.tobytes()
+        sizes, all_spans, kept = np.diff(offs), [], []
+        for k, found in enumerate(batch.column(batch.schema.get_field_index("__ranges"))):
+            merged: list[list[int]] = []
+            for a, b in sorted((r["from"], r["to"] + length - 1) for r in found.as_py() or ()):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            all_spans.append([{"start": a, "end": b} for a, b in merged])
+            edges = [0, *(e for m in merged for e in m), int(sizes[k])]
+            base = int(offs[k])
+            kept.append(b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])))
+        removed = [sum(s["end"] - s["start"] for s in x) for x in all_spans]
+        text = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        passed = (batch.column(batch.schema.get_field_index(c)) for c in columns)
+        return pa.RecordBatch.from_arrays([*passed, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(all_spans, kind), text], names=[*columns, "n_bytes", "n_removed", "spans", "kept"])
 
     return run
 
