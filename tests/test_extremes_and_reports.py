@@ -134,6 +134,24 @@ def test_answers_use_the_guard_and_the_cache(spark):
     assert got[1].answer == "cached"
 
 
+def test_embeddings_go_through_the_cache(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
+    cache = spark.createDataFrame([("bb", [9.0])], "text string, embedding array<float>").select(answers.vector_key(F.col("text"), "T").alias("key"), "embedding")
+    rows, new = answers.embedded(texts, lambda xs: [[float(len(x))] for x in xs], "T", cache)
+    assert {(r.id, r.embedding[0]) for r in rows.collect()} == {(1, 1.0), (2, 9.0), (3, 1.0)} and new.count() == 1
+
+
+def test_judge(spark):
+    cited = spark.createDataFrame([(1, "ans", 1, "second"), (1, "ans", 0, "first")], "qid int, answer string, pos int, text string")
+    prompt = answers.judge_prompts(cited).first().prompt
+    assert prompt.endswith("EXCERPTS:\n<excerpt>\nfirst\n</excerpt>\n<excerpt>\nsecond\n</excerpt>\n\nANSWER:\nans")
+    raw = spark.createDataFrame([(1, '{"claims": [{"claim": "x", "supported": true}, {"claim": "y", "supported": false}]}'), (2, '{"claims": []}'), (3, "no")], "qid int, raw string")
+    from tephra.operators import evaluation
+
+    got = {r.qid: r for r in evaluation.claim_support(answers.judged_claims(raw).where("claims is not null")).collect()}
+    assert (got[1].n_claims, got[1].n_supported, got[1].all_supported) == (2, 1, False) and got[2].all_supported and 3 not in got
+
+
 def test_assess_end_to_end(spark):
     q = spark.createDataFrame([(1, "Rain in Osaka next 3 days?"), (2, "Heat waves at Nowhere"), (3, "Droughts in Osaka"), (4, "winds in Osaka")], "qid long, text string")
     gaz = spark.createDataFrame([("Osaka", 0, "Osaka", 34.0, 135.0, "Japan")], "place string, ord int, name string, latitude double, longitude double, country string")
