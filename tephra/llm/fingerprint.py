@@ -112,6 +112,59 @@ def features(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def features_of(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+    """:func:`features` of many texts; short ones share the passes over one buffer."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        if len(text) > _PIECE:
+            out[k] = features(np.frombuffer(text, np.uint8), rank)
+            continue
+        if size + len(text) > _PIECE:
+            _features_of_group(texts, group, rank, out)
+            group, size = [], 0
+        group.append(k)
+        size += len(text)
+    _features_of_group(texts, group, rank, out)
+    return out
+
+
+def _features_of_group(texts: list[bytes], group: list[int], rank: np.ndarray, out: list[np.ndarray]) -> None:
+    raw = np.frombuffer(b"".join(texts[k] for k in group), np.uint8)
+    size = np.array([len(texts[k]) for k in group], np.int64)
+    start = np.cumsum(size) - size
+    prefix = prefix_hash(byte_codes(raw))
+    tiny = np.flatnonzero((size > 0) & (size < WINDOW))
+    for k, h in zip(tiny.tolist(), span_hash(prefix, start[tiny], start[tiny] + size[tiny])):
+        out[group[k]] = np.array([h], np.uint64)
+    level = entropy_levels(raw)
+    if not len(level):
+        return
+    windows = np.maximum(size - WINDOW + 1, 0)
+    key = (rank[level] << 32) | np.arange(len(level))
+    won = []
+    # Texts of fewer windows than a run has are one run; the runs of others are all of 64 windows inside the text.
+    for k in np.flatnonzero((windows > 0) & (windows <= WINDOW)).tolist():
+        won.append(np.array([key[start[k] : start[k] + windows[k]].min() & 0xFFFFFFFF]))
+    if len(key) > WINDOW:
+        pad = np.concatenate([key, np.full(-len(key) % WINDOW, 1 << 62)]).reshape(-1, WINDOW)
+        ahead, behind = np.minimum.accumulate(pad, axis=1).ravel(), np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
+        runs = np.where(windows > WINDOW, windows - WINDOW + 1, 0)
+        at = np.repeat(start, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        won.append(np.minimum(behind[at], ahead[at + WINDOW - 1]) & 0xFFFFFFFF)
+    if not won:
+        return
+    points = np.bincount(np.concatenate(won), minlength=len(key))
+    chosen = np.flatnonzero(points)
+    owner = np.searchsorted(start, chosen, side="right") - 1
+    enough = points[chosen] >= np.minimum(POPULAR, np.maximum(windows[owner] - WINDOW + 1, 1))
+    chosen, owner = chosen[enough], owner[enough]
+    hashes = span_hash(prefix, chosen, chosen + WINDOW)
+    cuts = np.searchsorted(owner, np.arange(len(group) + 1))
+    for k in np.flatnonzero(windows).tolist():
+        out[group[k]] = hashes[cuts[k] : cuts[k + 1]]
+
+
 def digest(feature: np.ndarray) -> np.ndarray:
     """Chained Bloom filters, (filters, BITS / 8) bytes. A feature that the open filter holds already isn't counted again."""
     filters = []
@@ -160,11 +213,14 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - half] + following[:half]
 
 
-def _row(doc_id, own: str, mine: np.ndarray, following: str, other: np.ndarray, rank: np.ndarray) -> tuple:
-    changed = edited(own, following)
-    data = changed.encode()
-    new = digest(features(np.frombuffer(data, np.uint8), rank))
-    return doc_id, len(own), hashlib.sha256(data).hexdigest(), encoded(mine), encoded(new), likeness(mine, new), likeness(mine, other)
+def _rows(pairs: list[tuple], rank: np.ndarray) -> list[tuple]:
+    """Result rows of (id, text, digest, next text, next digest)."""
+    changed = [edited(own, following).encode() for _, own, _, following, _ in pairs]
+    out = []
+    for (doc_id, own, mine, _, other), data, found in zip(pairs, changed, features_of(changed, rank)):
+        new = digest(found)
+        out.append((doc_id, len(own), hashlib.sha256(data).hexdigest(), encoded(mine), encoded(new), likeness(mine, new), likeness(mine, other)))
+    return out
 
 
 _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -176,7 +232,7 @@ def _chained(shared):
 
     def run(batches):
         rank, part = shared.value, TaskContext.get().partitionId()
-        last, rows = None, []
+        last = None
 
         def out(rows, ends=()):
             cols = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)] if rows else [pa.array([], kind) for _, kind in _FIELDS]
@@ -187,19 +243,16 @@ def _chained(shared):
             return pa.RecordBatch.from_arrays(cols + extra, names=[f for f, _ in _FIELDS] + ["part", "end", "end_id", "end_text"])
 
         for batch in batches:
-            for doc_id, text in (x for i in range(0, batch.num_rows, 128) for x in zip(*(batch.column(k).slice(i, 128).to_pylist() for k in (0, 1)))):
-                text = text or ""
-                mine = digest(features(np.frombuffer(text.encode(), np.uint8), rank))
+            for i in range(0, batch.num_rows, 128):
+                ids, texts = batch.column(0).slice(i, 128).to_pylist(), [x or "" for x in batch.column(1).slice(i, 128).to_pylist()]
+                digests = [digest(f) for f in features_of([x.encode() for x in texts], rank)]
                 if last is None:
-                    yield out([], [(part, "first", doc_id, text)])
-                else:
-                    rows.append(_row(*last, text, mine, rank))
-                    if len(rows) >= 128:
-                        yield out(rows)
-                        rows = []
-                last = doc_id, text, mine
-        if rows or last is not None:
-            yield out(rows, [(part, "last", last[0], last[1])] if last is not None else [])
+                    yield out([], [(part, "first", ids[0], texts[0])])
+                chain = [last] * (last is not None) + list(zip(ids, texts, digests))
+                last = chain[-1]
+                yield out(_rows([(*a, b[1], b[2]) for a, b in zip(chain, chain[1:])], rank))
+        if last is not None:
+            yield out([], [(part, "last", last[0], last[1])])
 
     return run
 
@@ -212,8 +265,8 @@ def _joined(shared):
         for batch in batches:
             rows = []
             for doc_id, own, following in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                a, b = (digest(features(np.frombuffer(x.encode(), np.uint8), rank)) for x in (own, following))
-                rows.append(_row(doc_id, own, a, following, b, rank))
+                a, b = (digest(f) for f in features_of([own.encode(), following.encode()], rank))
+                rows += _rows([(doc_id, own, a, following, b)], rank)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)], names=[f for f, _ in _FIELDS])
 
