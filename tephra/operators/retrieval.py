@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,17 +39,18 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool = True) -> DataFrame:
-    """(qid, ord, score, rank): the best ``k`` documents of every query.
+def _bm25_joined(docs: DataFrame, queries: DataFrame, k: int, fold: bool) -> DataFrame:
+    """:func:`bm25` for query sets of any size, by joins.
 
-    ``docs`` has ord and text, ``queries`` qid and text. A term that a query repeats counts as often. Documents that share
-    no term with a query aren't ranked. Query terms meet the tokens before any exchange, so that only their postings are
-    shuffled, in one pass over the documents: an empty term stands in every document for its length. Frequencies, totals
-    and scores all come from these postings, which are written once.
+    Query terms meet the tokens before any exchange, so that only their postings are shuffled, in one pass over the
+    documents: an empty term stands in every document for its length. Frequencies, totals and scores all come from these
+    postings, which are written once.
     """
     asked = queries.select("qid", F.explode(tokens("text", fold)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").unionAll(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    words = docs.select("ord", tokens("text", fold).alias("words")).select("ord", F.inline(F.transform(F.concat("words", F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), (F.size("words")).alias("dl")))))
+    # The outer lambda binds the tokens of a text, so that they are found once and not anew for each of them.
+    rows = F.transform(F.array(tokens("text", fold)), lambda ws: F.transform(F.concat(ws, F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), F.size(ws).alias("dl"))))
+    words = docs.select("ord", F.inline(F.flatten(rows)))
     held = materialized(words.join(small(terms), "term").groupBy("term", "ord", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
     totals = held.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
     df = held.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
@@ -60,6 +62,75 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
     return _top(matched.groupBy("qid", "ord").agg(F.round(F.sum(weight), 9).alias("score")), k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool = True) -> DataFrame:
+    """(qid, ord, score, rank): the best ``k`` documents of every query.
+
+    ``docs`` has ord and text, ``queries`` qid and text. A term that a query repeats counts as often. Documents that share
+    no term with a query aren't ranked. A query set of at most ``QUERY_BLOCK`` rows is scored in place: one pass counts
+    document frequencies and lengths, a second scores Arrow batches and puts out each one's own best ``k``, so that no
+    posting is shuffled. Larger sets go through joins.
+    """
+    found = queries.select("qid", tokens("text", fold).alias("words")).limit(QUERY_BLOCK + 1).collect()
+    if len(found) > QUERY_BLOCK or len({r["qid"] for r in found}) < len(found):
+        return _bm25_joined(docs, queries, k, fold)
+    terms = sorted({w for r in found for w in r["words"] or ()})
+    if not terms:
+        return queries.select("qid", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    place = {w: t for t, w in enumerate(terms)}
+    ids = np.array([r["qid"] for r in found], np.int64)
+    pairs: dict[tuple[int, int], int] = {}
+    for q, r in enumerate(found):
+        for w in r["words"] or ():
+            pairs[place[w], q] = pairs.get((place[w], q), 0) + 1
+    asked = np.array([(t, q, n) for (t, q), n in sorted(pairs.items())], np.int64)
+    at = np.searchsorted(asked[:, 0], np.arange(len(terms) + 1))
+    known = pa.array(terms)
+    words = docs.select(F.col("ord").cast("long").alias("ord"), tokens("text", fold).alias("words"))
+
+    def postings(batch):
+        """(row, term, tf) of query terms, and the lengths of the rows."""
+        lists = batch.column(1)
+        length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        term = pc.index_in(lists.flatten(), value_set=known)
+        row = np.repeat(np.arange(len(length)), length)
+        hit = term.is_valid().to_numpy(zero_copy_only=False)
+        key, tf = np.unique(row[hit] * len(terms) + term.drop_null().to_numpy(), return_counts=True)
+        return key // len(terms), key % len(terms), tf, length
+
+    def count(batches):
+        df, rows, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, length = postings(batch)
+            df += np.bincount(term, minlength=len(terms))
+            rows, total = rows + len(length), total + int(length.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -1, -2]), pa.array([*df.tolist(), rows, total])], names=["term", "n"])
+
+    sums = dict(words.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    df, n = np.array([sums.get(t, 0) for t in range(len(terms))], float), sums.get(-1, 0)
+    mean = sums.get(-2, 0) / n if n else 0.0
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+
+    def score(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                row, term, tf, length = postings(batch)
+                weight = idf[term] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length[row] / max(mean, 1e-12)))
+                many = at[term + 1] - at[term]
+                who = np.repeat(np.arange(len(term)), many)
+                pair = np.repeat(at[term] - (np.cumsum(many) - many), many) + np.arange(len(who))
+                sums = np.bincount(row[who] * len(ids) + asked[pair, 1], weights=weight[who] * asked[pair, 2], minlength=len(length) * len(ids)).reshape(len(length), len(ids))
+                sums = np.round(sums, 9)
+                ords = batch.column(0).to_numpy()
+                best = np.lexsort((np.broadcast_to(ords[:, None], sums.shape), -sums), axis=0)[:k]
+                value = np.take_along_axis(sums, best, axis=0).ravel()
+                keep = value > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(best))[keep]), pa.array(ords[best].ravel()[keep]), pa.array(value[keep])], names=["qid", "ord", "score"])
+
+    # Written: a ranking is small, is read several times, and keeps Python out of the plans that build on it.
+    return materialized(_top(words.mapInArrow(score, "qid long, ord long, score double"), k), "bm25-ranking")
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(qid, ord, score, rank): exact cosine search of a stated query set against all rows, in blocks.
 
@@ -92,7 +163,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataF
 
         part = vectors.where("embedding is not null").select(F.col("ord").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "qid long, ord long, score double")
         out = part if out is None else out.unionAll(part)
-    return _top(out, k)
+    return materialized(_top(out, k), "cosine-ranking")
 
 
 def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:

@@ -13,7 +13,7 @@ def ranked(df):
     return [(r.qid, r.ord) for r in df.orderBy("qid", "rank").collect()]
 
 
-def test_bm25(spark):
+def test_bm25(spark, monkeypatch):
     docs = spark.createDataFrame(DOCS, "ord long, text string")
     queries = spark.createDataFrame([(1, "heat wave"), (2, "rain rain"), (3, "absent"), (4, "rain")], "qid long, text string")
     got = retrieval.bm25(docs, queries, 10)
@@ -22,6 +22,10 @@ def test_bm25(spark):
     mean, idf = 13 / 5, math.log((5 - 2 + 0.5) / 2.5 + 1)
     assert score[4, 1] == pytest.approx(idf * 3 * 2.5 / (3 + 1.5 * (0.25 + 0.75 * 4 / mean)), abs=1e-8)
     assert score[2, 1] == pytest.approx(2 * score[4, 1], abs=1e-8)  # a repeated query term counts twice
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)  # a larger query set goes through joins
+    joined = retrieval.bm25(docs, queries, 10)
+    assert ranked(joined) == ranked(got) and {(r.qid, r.ord): r.score for r in joined.collect()} == pytest.approx(score, abs=1e-8)
+    assert retrieval.bm25(docs, queries.limit(0), 10).count() == 0
 
 
 def test_cosine(spark, monkeypatch):
