@@ -5,7 +5,8 @@ length and the punctuation are aggregated over its nodes; their ratios per node
 multiplication, and paths that reach the threshold select content nodes. Parts that are no article whatever their ratio
 (menus, page headers, footers, sidebars, notices, adverts, forms, comments, told by tag, role, class or id) are out before
 the ratios are taken. The content is everything else below the closest element that holds all selected nodes, so that
-titles and short paragraphs between long ones stay.
+titles and short paragraphs between long ones stay, with the headings of an article or main part around that element and
+without articles in which no node was selected. The selection alone decides where the content is.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _WEIGHTS = np.array([1.0, 2.0, 3.0, 2.0, 1.0]) / 9
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Part of the standard deviation of the fused ratios that a path must reach.
 THRESHOLD = 0.5
 
@@ -147,8 +149,22 @@ def _within_out_tag(node: _Node | None) -> bool:
     return False
 
 
+def _piece(node: _Node) -> _Node | None:
+    """The closest article or main element around a node."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    return np.convolve(np.pad(x, 2, mode="edge"), _WEIGHTS, mode="valid")
+
+
 def selected(blocks: list[tuple[_Node, str, str]]) -> list[int]:
-    """Positions of the blocks whose path reaches the threshold of smoothed and fused ratios."""
+    """Positions of the blocks whose path reaches the threshold of smoothed and fused ratios.
+
+    Smoothing ends where an article or main element begins or ends, so that a card gains nothing from its neighbours.
+    """
     if not blocks:
         return []
     paths: dict[str, list[float]] = {}
@@ -159,8 +175,9 @@ def selected(blocks: list[tuple[_Node, str, str]]) -> list[int]:
         found[2] += 1
     length = np.array([paths[p][0] / paths[p][2] for _, p, _ in blocks])
     punctuation = np.array([paths[p][1] / paths[p][2] for _, p, _ in blocks])
-    smooth = [np.convolve(np.pad(x, 2, mode="edge"), _WEIGHTS, mode="valid") for x in (length, punctuation + 0.1)]
-    fused = smooth[0] * smooth[1]
+    pieces = [_piece(b) for b, _, _ in blocks]
+    cuts = [0, *(k for k in range(1, len(blocks)) if pieces[k] is not pieces[k - 1]), len(blocks)]
+    fused = np.concatenate([_smooth(length[i:j]) * _smooth(punctuation[i:j] + 0.1) for i, j in zip(cuts[:-1], cuts[1:])])
     best: dict[str, float] = {}
     for (_, path, _), x in zip(blocks, fused):
         best[path] = max(best.get(path, 0.0), x)
@@ -168,12 +185,19 @@ def selected(blocks: list[tuple[_Node, str, str]]) -> list[int]:
     return [k for k, (_, path, _) in enumerate(blocks) if best[path] >= least]
 
 
+def _ancestors(node: _Node | None) -> list[_Node]:
+    """The node and all around it, innermost first."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by two line ends; empty where there is none."""
     blocks = blocks_of(page or "")
-    inside = [b for b in blocks if b[0].article]
-    chosen = selected(inside or blocks)
-    blocks = inside or blocks
+    chosen = selected(blocks)
     if not chosen:
         return ""
     top = blocks[chosen[0]][0]
@@ -185,20 +209,19 @@ def main_text(page: str | None) -> str:
             other = other.parent
         while top is not other:
             top, other = top.parent, other.parent
-    # Of an article or a main part all belongs to it.
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main"):
-            top = up
-        up = up.parent
-    if any(b[0].article for b in blocks):
-        return "\n\n".join(text for _, _, text in blocks)
+    # A lone block of an article stands for the element around it.
+    if top.article and top.tag not in ("article", "main") and all(blocks[k][0] is top for k in chosen):
+        top = top.parent
+    holding = {id(up) for k in chosen for up in _ancestors(blocks[k][0])}
+    around = {id(up) for up in _ancestors(top) if up.tag in ("article", "main")}
     out = []
     for block, _, text in blocks:
-        up = block
-        while up.depth > top.depth:
-            up = up.parent
-        if up is top:
+        ups = _ancestors(block)
+        # An article in which nothing was selected is another piece.
+        if any(up.tag == "article" and id(up) not in holding for up in ups):
+            continue
+        # Headings of the article or main part around the content belong to it.
+        if top in ups or around and any(up.tag in _HEADINGS for up in ups) and any(id(up) in around for up in ups):
             out.append(text)
     return "\n\n".join(out)
 

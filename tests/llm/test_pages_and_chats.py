@@ -73,3 +73,21 @@ def test_nothing_of_a_long_article_is_lost():
     blocks = [" ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
     page = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
     assert html.main_text(page) == "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("paragraphs", [3, 8, 60, 1500])
+@pytest.mark.parametrize("where", ["before", "after", "within", "in main"])
+def test_the_selection_decides_beside_an_article(paragraphs, where):
+    """A teaser in an article element does not stand for the page; the body in a plain element does."""
+    rng = random.Random(paragraphs)
+    body = [" ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(40, 80))) for _ in range(paragraphs)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    card = "<article><h3>Other story</h3><p>Read it</p></article>"
+    page = {"before": f"{card}<div>{text}</div>", "after": f"<div>{text}</div>{card}", "within": f"<div>{card}{text}</div>", "in main": f"<main><h1>Head</h1>{card}<div>{text}</div></main>"}[where]
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join([*(["Head"] if where == "in main" else []), *body])
+
+
+def test_an_article_keeps_its_headings_and_short_parts():
+    long = "A long paragraph, with commas, and stops. And more of it, too. " * 5
+    page = f"<article><header><h1>T</h1></header><section><p>{long}</p><h2>s</h2><p>{long}</p><ul><li>x</ul></section></article><div><article><h3>Card</h3></article></div>"
+    assert html.main_text(page) == "\n\n".join(["T", long.strip(), "s", long.strip(), "x"])
