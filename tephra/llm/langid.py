@@ -4,7 +4,9 @@ A text's features are the 1- to 4-character substrings of its words (A-Z lower-c
 counted in bytes of UTF-8 and hashed into ``BUCKETS`` rows of an embedding table; their mean goes through a linear layer
 and a softmax. Training is mini-batch stochastic gradient descent on a bounded sample of labelled rows. As the layers are
 linear, the trained model is folded into one table of class scores per bucket, so that a prediction is a table look-up and
-a mean over the whole text. A temperature and a rejection threshold are fitted on a part of the sample kept from training.
+a mean over the whole text. A temperature and two rejection thresholds are fitted on a part of the sample kept from
+training: one for the score of the likeliest language, one for the text's familiarity, the mean log2 of how much more often
+than by chance the training texts have its subwords. A softmax is sure of texts unlike all it has learned; familiarity isn't.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8000
 BUCKETS, DIMENSIONS = 1 << 15, 16
 LENGTHS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 64, 2.0
-#: Calibrated rejection must accept this share of kept-out correct answers, and every score this many times above chance.
-ACCEPT, CHANCE = 0.999, 1.25
+#: Steps that a small sample is trained for at least: with fewer, scores stay near the languages' shares and can't reject.
+LEAST_STEPS = 120
+#: Share of kept-out correct answers that calibrated rejection must accept, and its place in standard deviations.
+ACCEPT, DEVIATIONS = 0.999, 3.09
+#: Weight of an even draw in the frequencies of subwords, and kept-out rows that calibrated familiarity needs.
+EVEN, LEAST_ROWS = 0.02, 10
 UNKNOWN = "und"
 
 
@@ -35,23 +41,35 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: np.ndarray  # log2 of frequency in training over chance of each bucket, float32
+    least: float = 0.0
     lengths: tuple[int, ...] = LENGTHS
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Class probabilities for each row."""
-        return softmax(self.logits(raw, offs) / self.temperature)
+        return softmax(self.measures(raw, offs)[0] / self.temperature)
 
-    def logits(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Class scores for each row."""
+    def judge(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities of each row, and whether both its best score and its familiarity reach their thresholds."""
+        logits, familiarity = self.measures(raw, offs)
+        p = softmax(logits / self.temperature)
+        return p, (p.max(axis=1) >= self.threshold) & (familiarity >= self.least)
+
+    def measures(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class scores, familiarity) for each row."""
         bucket, row = features(raw, offs, len(self.table), self.lengths)
         n = np.bincount(row, minlength=len(offs) - 1)
         ends = np.cumsum(n)
+
+        def means(values: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(bucket) + 1)
+            np.cumsum(values[bucket], out=total[1:], dtype=np.float64)
+            return (total[ends] - total[ends - n]) / np.maximum(n, 1)
+
         out = np.zeros((len(offs) - 1, len(self.labels)))
         for k in range(len(self.labels)):
-            total = np.zeros(len(bucket) + 1)
-            np.cumsum(self.table[:, k][bucket], out=total[1:], dtype=np.float64)
-            out[:, k] = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-        return out + self.bias
+            out[:, k] = means(self.table[:, k])
+        return out + self.bias, means(self.familiar)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -98,7 +116,7 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
     """Fit on texts and their languages; every fifth row is kept for calibration. One language, or none, is allowed."""
     labels = sorted(set(langs))
     if not labels:
-        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(buckets, np.float32))
     target = np.array([labels.index(x) for x in langs])
     bags = _bags(texts, buckets)
     n = np.array([len(ids) for ids, _ in bags])
@@ -108,7 +126,9 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
     embed = rng.normal(0, 0.1, (buckets, dimensions)).astype(np.float32)
     layer = np.zeros((dimensions, len(labels)), np.float32)
     bias = np.zeros(len(labels), np.float32)
-    steps, step = max(1, epochs * -(-len(chosen) // BATCH)), 0
+    each = max(1, -(-len(chosen) // BATCH))
+    epochs = max(epochs, -(-LEAST_STEPS // each))
+    steps, step = epochs * each, 0
     for _ in range(epochs):
         rng.shuffle(chosen)
         for i in range(0, len(chosen), BATCH):
@@ -126,16 +146,34 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
             layer -= rate * hidden.T @ wrong
             bias -= rate * wrong.sum(axis=0)
             np.add.at(embed, ids, -rate * len(rows) * weight[:, None] * back_to[who])
-    model = LanguageModel(labels, (embed @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
+    often = np.zeros(buckets)
+    for r in np.sort(chosen):
+        often[bags[r][0]] += bags[r][1]
+    familiar = np.log2((1 - EVEN) * often * buckets / max(often.sum(), 1) + EVEN).astype(np.float32)
+    model = LanguageModel(labels, (embed @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0, familiar)
     test = np.flatnonzero(held & (n > 0))
     if len(test):
         raw, offs = utf8(pa.array([texts[i] for i in test], pa.large_string()))
-        calibrate(model, np.vstack([model.logits(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in blocks(offs, 1 << 18)]), target[test])
+        found = [model.measures(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in blocks(offs, 1 << 18)]
+        calibrate(model, np.vstack([x for x, _ in found]), np.concatenate([x for _, x in found]), target[test])
     return model
 
 
-def calibrate(model: LanguageModel, logits: np.ndarray, target: np.ndarray) -> None:
-    """Temperature of least log loss on rows kept from training; the threshold then accepts ``ACCEPT`` of right answers."""
+def tail(x: np.ndarray) -> float:
+    """The value that a share ``ACCEPT`` of rows like the given ones reaches.
+
+    A sample smaller than 1 / (1 - ACCEPT) has no row there: then the tail below its lowest decile is carried on, as an
+    exponential one, where that lies lower than the lowest row.
+    """
+    low = float(np.quantile(x, 1 - ACCEPT))
+    if len(x) * (1 - ACCEPT) >= 1:
+        return low
+    decile = float(np.quantile(x, 0.1))
+    return min(low, decile - float(np.mean(decile - x[x <= decile])) * float(np.log(0.1 / (1 - ACCEPT))))
+
+
+def calibrate(model: LanguageModel, logits: np.ndarray, familiarity: np.ndarray, target: np.ndarray) -> None:
+    """Temperature of least log loss on rows kept from training; the thresholds then accept ``ACCEPT`` of right answers."""
     best = None
     for temperature in np.geomspace(0.02, 20, 61):
         p = softmax(logits / temperature)
@@ -145,7 +183,14 @@ def calibrate(model: LanguageModel, logits: np.ndarray, target: np.ndarray) -> N
     model.temperature = best[1]
     p = softmax(logits / model.temperature)
     right = p.argmax(axis=1) == target
-    model.threshold = float(min(CHANCE / len(model.labels), np.quantile(p.max(axis=1)[right], 1 - ACCEPT))) if right.any() else 0.0
+    if right.any():
+        # Log odds straight from the class scores: of probabilities that round to 1 they still tell how sure they are.
+        z = np.sort(logits[right] / model.temperature, axis=1)
+        others = z[:, :-1] - z[:, -1:]
+        odds = -np.log(np.maximum(np.exp(others).sum(axis=1), 1e-300))
+        model.threshold = float(1 / (1 + np.exp(-tail(odds)))) - 1e-12
+    if len(target) >= LEAST_ROWS:
+        model.least = min(float(np.quantile(familiarity, 1 - ACCEPT)), float(familiarity.mean() - DEVIATIONS * familiarity.std(ddof=1)))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> LanguageModel:
@@ -167,12 +212,12 @@ def _predict(shared, columns: list[str]):
         for batch in batches:
             raw, offs = utf8(batch.column(batch.schema.get_field_index("__text")))
             letters = batch.column(batch.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
-            lang, score = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
+            lang, score, taken = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters), bool)
             for i, j in blocks(offs) if model.labels else ():
-                p = model.scores(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                p, taken[i:j] = model.judge(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 lang[i:j], score[i:j] = labels[p.argmax(axis=1)], p.max(axis=1)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
-            taken = letters & (score >= model.threshold) & bool(model.labels)
+            taken &= letters
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(taken)], names=[*columns, "lang_pred", "score", "accepted"])
 
     return run
@@ -181,8 +226,8 @@ def _predict(shared, columns: list[str]):
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default, under their names) and lang_pred string, score double, accepted boolean.
 
-    A null text and one without a letter get ``und``, score 0 and are not accepted; nor are texts whose calibrated score is
-    below the model's threshold, although these keep their likeliest language. A model without languages gives ``und``. One
+    A null text and one without a letter get ``und``, score 0 and are not accepted; nor are texts whose calibrated score or
+    familiarity is below the model's threshold, although these keep their likeliest language. A model without languages gives ``und``. One
     row for every input row, ties and repeated rows included; clashing columns of the input must be left out by ``keep``.
     """
     keep = list(docs.columns) if keep is None else keep

@@ -151,6 +151,30 @@ def test_language_id_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
 
 
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    """Letters alone don't pass: unlearned languages, gibberish and markup go, clean documents stay."""
+    odd = [
+        "Это предложение написано на русском языке и не было выучено", "日本語の文章です。これは学習されていません。", "Αυτό είναι ένα ελληνικό κείμενο", "привет",
+        "Ten tekst jest napisany po polsku i nie był używany w nauce modelu", "xkqj zzvq wpfk qqxz jjkw vbnm qwrtp zxcvb", "<div class='a'><span id=x></span></div> {color:#fff;}",
+    ]
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        model = langid.fit(docs.where(~langid.is_held_out()))
+        strange = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+        assert not [r for r in langid.predict(strange, model).collect() if r.accepted]
+        clean = langid.predict(docs.where(F.col("text").rlike(r"\p{L}")), model, keep=["doc_id"])
+        kept, n = clean.agg(F.avg(F.col("accepted").cast("int")), F.count("*")).first()
+        assert n > 100 and kept >= 0.99
+
+
+def test_the_calibrated_score_is_not_voided():
+    """Rows kept out at 0.9 and above put the threshold far above chance, so that an even score is rejected."""
+    model = langid.LanguageModel(["a", "b"], np.zeros((4, 2), np.float32), np.zeros(2), 1.0, 0.0, np.zeros(4, np.float32))
+    right = np.linspace(2.2, 4, 400)
+    langid.calibrate(model, np.column_stack([right, np.zeros(400)]), np.ones(400), np.zeros(400, int))
+    assert model.threshold > 0.8
+
+
 def test_language_id_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty)
