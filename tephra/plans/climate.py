@@ -85,16 +85,16 @@ def gev_trend_fit(spark, sf_dir):
 
 
 def return_levels_ci(spark, sf_dir):
-    return extremes.return_levels_with_band(_monthly(spark, sf_dir), boot=100)
+    return extremes.return_levels_with_band(_monthly(spark, sf_dir))
 
 
 def trend_levels_ci(spark, sf_dir):
     monthly = _monthly(spark, sf_dir)
-    return extremes.trend_return_levels(monthly, extremes.fit_trend(monthly), boot=50)
+    return extremes.trend_return_levels(monthly, extremes.fit_trend(monthly), boot=extremes.BOOT_TREND)
 
 
 def hazard_stat(spark, sf_dir):
-    return extremes.hazard_statistics(_monthly(spark, sf_dir), boot=50, boot_trend=50)
+    return extremes.hazard_statistics(_monthly(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (block_maxima, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak, risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, return_levels_ci, trend_levels_ci, hazard_stat)}

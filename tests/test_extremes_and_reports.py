@@ -164,3 +164,26 @@ def test_assess_end_to_end(spark):
     assert [tuple(c) for c in got[1].citations] == [("s", "p1")] and "IPCC AR6" in got[1].summary
     assert got[2].refusal.startswith("could not resolve") and got[3].refusal.startswith("drought is not") and got[3].confidence == 0
     assert got[4].risk_level == "SEVERE" and len(got[4].drivers) == 1
+
+
+def test_registered_bands_take_the_full_bootstrap(spark, monkeypatch):
+    import inspect
+
+    from tephra.plans import climate
+
+    assert (extremes.BOOT, extremes.BOOT_TREND) == (300, 200)
+    seen = {}
+    monkeypatch.setattr(climate, "_monthly", lambda spark, sf_dir: None)
+    monkeypatch.setattr(extremes, "fit_trend", lambda maxima: None)
+    for name in ("return_levels_with_band", "trend_return_levels", "hazard_statistics"):
+        at = inspect.signature(getattr(extremes, name))
+
+        def noted(*args, _name=name, _at=at, **kwargs):
+            bound = _at.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[_name] = {k: v for k, v in bound.arguments.items() if k.startswith("boot")}
+
+        monkeypatch.setattr(extremes, name, noted)
+    for query in (climate.return_levels_ci, climate.trend_levels_ci, climate.hazard_stat):
+        query(None, "")
+    assert seen == {"return_levels_with_band": {"boot": 300}, "trend_return_levels": {"boot": 200}, "hazard_statistics": {"boot": 300, "boot_trend": 200}}
