@@ -40,10 +40,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix import remove_repeats
+    from .suffix import BYTES, PASSAGES, remove_repeats
 
-    out = remove_repeats(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # The digest is that of strings of 400 bytes; ``text`` is what is left without passages of over 50 words as well.
+    out = remove_repeats(_read(spark, sf_dir, "documents"), rules=(BYTES, PASSAGES))
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return out.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"), F.col("clean").alias("text"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,92 @@
-"""Exact removal of long repeated byte strings with a logarithmic family of suffix arrays.
+"""Exact removal of long repeated strings with a logarithmic family of suffix arrays.
 
-A byte goes when it lies in a string of ``length`` bytes (400) that starts anywhere else too. Whether the string that
-starts at one position repeats is a question to a suffix array: does a neighbour in suffix order share ``length`` bytes?
+A rule names a unit (bytes or words) and a length. A symbol goes when it lies in a string of that many symbols that starts
+anywhere else too. Whether the string that starts at one position repeats is a question to a suffix array: does a neighbour
+in suffix order share the whole length?
 
-Dealing out. Every string of ``length`` bytes has one *anchor*: of all spans of ``SPAN`` bytes in it, the first with the
+Dealing out. Every string of ``length`` symbols has one *anchor*: of all spans of ``span`` symbols in it, the first with the
 smallest hash. Equal strings have equal anchors at equal places, so strings with different anchor hashes never need to
-meet. One scan turns each text into runs of starts that share an anchor (about one run per 100 bytes); counting anchor
-hashes (pre-aggregated) drops all runs whose anchor occurs once. Runs over equal bytes form a class: a class of two or
-more repeats everywhere. What remains are single runs beside other classes of the same anchor: their bytes are fetched,
-one run per class, dealt into buckets of bounded size by anchor, and each bucket keeps an index family: a new batch of
-runs gets a sorted suffix array (suffixes cut at ``length`` bytes), is merge-scanned against the existing levels for
-matches of full length, and levels of equal rank merge geometrically. An anchor with more classes than ``MOST_CLASSES``
-is dealt by the hash of the whole string instead, which splits any hot anchor and is as exact.
+meet. One scan turns each text into runs of starts that share an anchor (about one run per half span); counting anchor
+hashes (pre-aggregated) drops all runs whose anchor occurs once. Runs over equal symbols form a class, which is collapsed
+into one run that counts as often: a copy adds nothing to a suffix array. The symbols of one run of each class are fetched
+and dealt into buckets of bounded size by anchor, and each bucket keeps an index family: a new batch gets a suffix array
+(offsets into one shared buffer, compared up to ``length``), is merge-scanned against the existing levels for matches of
+full length, and levels of equal rank merge geometrically. What the family finds in a class holds for all its runs. An
+anchor with more classes than ``MOST_CLASSES`` is dealt by the hash of the whole string, which splits any hot anchor.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, mix, prefix_hash, span_hash, utf8, written
+from .common import blocks, byte_codes, mix, prefix_hash, ranges, span_hash, utf8, words, written
 
-LENGTH = 400
-SPAN = 200
 MOST_CLASSES = 4096
-#: Runs that make a class hot, and hot classes that may be broadcast (16 bytes each).
+#: Runs that make a class hot, and ranges of hot classes that may be broadcast (32 bytes each).
 HOT_RUNS, HOT_CLASSES = 1000, 200_000
 #: Suffixes in a bucket on average, and in a batch of the index family.
 BUCKET_SUFFIXES, BATCH_SUFFIXES = 50_000, 8192
 _POSITION_BITS = 22
 _PIECE = 1 << 18
+#: First bytes of code points that are symbols of their own among words: from U+3000, scripts without spaces.
+_WIDE = 0xE3
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What counts as one string: ``length`` symbols of a unit, dealt out by spans of ``span`` symbols."""
+
+    unit: str
+    length: int
+    span: int
+
+    def __post_init__(self):
+        if self.unit not in ("bytes", "words") or not 0 < self.span <= self.length or self.length * self.width < 8:
+            raise ValueError(f"not a rule: {self}")
+
+    @property
+    def width(self) -> int:
+        """Bytes of a symbol where runs are fetched: words go as their 64-bit hashes."""
+        return 8 if self.unit == "words" else 1
+
+
+#: Strings of 400 bytes, and passages of over 50 words.
+BYTES, PASSAGES = Rule("bytes", 400, 200), Rule("words", 51, 26)
+
+
+def symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, code, offsets per row) of words; a code point from U+3000 on is a word of its own."""
+    found, n = [], len(raw)
+    p = 0
+    while p < n:  # at most about _PIECE bytes at a time, cut before white space
+        q = min(n, p + _PIECE)
+        while q < n:
+            space = np.flatnonzero(raw[p + 1 : q] <= 32)
+            if len(space):
+                q = p + 1 + int(space[-1])
+                break
+            q = min(n, q + _PIECE)
+        part = raw[p:q]
+        inner = np.append(0, np.append(offs[(offs > p) & (offs < q)] - p, q - p))
+        start, end, _ = words(part, inner)
+        wide = np.flatnonzero(part >= _WIDE)
+        if len(wide):
+            cuts = np.union1d(wide, wide + np.where(part[wide] >= 0xF0, 4, 3))
+            k = np.searchsorted(start, cuts, side="right") - 1
+            cuts = cuts[(k >= 0) & (cuts > start[k]) & (cuts < end[k])]
+            start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
+        found.append((start + p, end + p, span_hash(prefix_hash(byte_codes(part)), start, end)))
+        p = q
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), np.zeros(len(offs), np.int64)
+    start, end, code = (np.concatenate(x) for x in zip(*found))
+    return start, end, code, np.searchsorted(start, offs)
 
 
 def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -44,13 +98,13 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchor_runs(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, span: int = SPAN):
-    """(row, first start in the row, number of starts, anchor hash, hash of the run's bytes) of each run of starts."""
-    n = len(raw)
+def anchor_runs(codes: np.ndarray, offs: np.ndarray, rule: Rule = BYTES):
+    """(row, first start in the row, number of starts, anchor hash, hash of the run's symbols) of each run of starts."""
+    n, length, span = len(codes), rule.length, rule.span
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    prefix = prefix_hash(byte_codes(raw))
+    prefix = prefix_hash(codes)
     at = np.arange(n - span + 1)
     h = span_hash(prefix, at, at + span)
     low = np.uint64((1 << _POSITION_BITS) - 1)
@@ -69,62 +123,112 @@ def anchor_runs(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, span: i
     return row[s], s - offs[row[s]], count, h[a], span_hash(prefix, s, s + count + length - 1)
 
 
-def _pieces(raw: np.ndarray, offs: np.ndarray, length: int):
-    """(first row, first byte in the row, bytes, offsets): blocks of rows; a longer text in pieces that overlap."""
+def _pieces(raw: np.ndarray, offs: np.ndarray, rule: Rule):
+    """(first row, first symbol in the row, codes, offsets): blocks of rows; a longer text in pieces that overlap."""
     for i, j in blocks(offs, _PIECE):
-        size = int(offs[j] - offs[i])
+        part, o, code = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], byte_codes
+        if rule.unit == "words":
+            _, _, part, o = symbols(part, o)
+            code = np.asarray
+        size = int(o[-1])
         if j == i + 1 and size > 2 * _PIECE:
-            for p in range(0, size - length + 1, _PIECE):
-                q = min(size, p + _PIECE + length - 1)
-                yield i, p, raw[offs[i] + p : offs[i] + q], np.array([0, q - p])
+            for p in range(0, size - rule.length + 1, _PIECE):
+                q = min(size, p + _PIECE + rule.length - 1)
+                yield i, p, code(part[p:q]), np.array([0, q - p])
         else:
-            yield i, 0, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            yield i, 0, code(part), o
 
 
-def _runs(length: int, span: int):
-    """(id, crc, text) -> a row for each run of starts."""
+def _runs(rules: tuple[Rule, ...]):
+    """(id, crc, text) -> a row for each run of starts of each rule."""
+    names = ["id", "crc", "rule", "start", "count", "anchor", "content"]
 
     def run(batches):
         for batch in batches:
             raw, offs = utf8(batch.column(2))
-            for i, p, part, o in _pieces(raw, offs, length):
-                row, start, count, anchor, content = anchor_runs(part, o, length, span)
-                if len(row):
-                    at = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array((start + p).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                        names=["id", "crc", "start", "count", "anchor", "content"],
-                    )
+            for k, rule in enumerate(rules):
+                for i, p, codes, o in _pieces(raw, offs, rule):
+                    row, start, count, anchor, content = anchor_runs(codes, o, rule)
+                    if len(row):
+                        at = pa.array(row + i)
+                        anchor = anchor ^ mix(np.full(1, k + 1, np.uint64))  # rules never meet
+                        columns = [np.full(len(row), k, np.int8), (start + p).astype(np.int64), count.astype(np.int32)]
+                        columns += [anchor.view(np.int64), content.view(np.int64)]
+                        columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, columns)]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 class SuffixLevels:
-    """Sorted suffix arrays at levels of doubling size; ``repeated`` holds the ids of suffixes that were met twice.
+    """Suffix arrays, at levels of doubling size, of offsets into one buffer; ``repeated`` marks offsets met twice.
 
-    Suffixes are ``bytes`` of one length. A level keeps one of several equal suffixes, once all of them are marked.
+    ``keys[o + s]`` for s in ``shifts`` are the numbers that spell the string at offset o; they order the suffixes. A level
+    keeps one of several equal suffixes, once all of them are marked.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[list[bytes], list[int]] | None] = []
-        self.repeated: set[int] = set()
-
-    def _merged(self, a: tuple[list[bytes], list[int]], b: tuple[list[bytes], list[int]], keep: bool = True):
-        """Merge-scan of two sorted arrays (Python's sort merges two runs in linear time); marks equal neighbours."""
-        keys, ids = a[0] + b[0], a[1] + b[1]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        keys, ids = [keys[i] for i in order], [ids[i] for i in order]
-        equal = [i for i, same in enumerate(map(bytes.__eq__, keys, keys[1:])) if same]
-        for i in equal:
-            self.repeated.add(ids[i])
-            self.repeated.add(ids[i + 1])
-        if equal and keep:
-            gone = {i + 1 for i in equal}
-            keys, ids = [k for i, k in enumerate(keys) if i not in gone], [k for i, k in enumerate(ids) if i not in gone]
-        return keys, ids
-
-    def add(self, keys: list[bytes], ids: list[int]) -> None:
-        batch = carried = self._merged((keys, ids), ([], []))
+    def __init__(self, keys: np.ndarray, shifts: np.ndarray) -> None:
+        self.keys, self.shifts = keys, shifts
+        self.levels: list[np.ndarray | None] = []
+        self.repeated = np.zeros(len(keys), bool)
+
+    def _sorted(self, offsets: np.ndarray) -> np.ndarray:
+        """The suffix array of a batch: refined key by key, and only where a key still tells tied suffixes apart."""
+        first = self.keys[offsets + self.shifts[0]]
+        order = np.argsort(first, kind="stable")
+        out, first = offsets[order], first[order]
+        tied = np.append(False, first[1:] == first[:-1])  # with the entry before
+        for shift in self.shifts[1:]:
+            again = np.flatnonzero(tied)
+            if not len(again):
+                break
+            differ = again[self.keys[out[again] + shift] != self.keys[out[again - 1] + shift]]
+            if not len(differ):
+                continue
+            group = np.cumsum(~tied)
+            mine = np.flatnonzero(np.isin(group, group[differ]))
+            key = self.keys[out[mine] + shift]
+            order = np.lexsort((key, group[mine]))
+            out[mine], key = out[mine][order], key[order]
+            tied[mine[1:]] &= key[1:] == key[:-1]
+        again = np.flatnonzero(tied)
+        self.repeated[out[again]] = True
+        self.repeated[out[again - 1]] = True
+        return out[~tied]
+
+    def _merged(self, level: np.ndarray, batch: np.ndarray) -> np.ndarray:
+        """Merge-scan: each suffix of the batch narrows its range in the level key by key; a range left over is a match."""
+        key = self.keys[level + self.shifts[0]]
+        mine = self.keys[batch + self.shifts[0]]
+        low, high = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
+        open_ = np.flatnonzero(low < high)
+        for shift in self.shifts[1:]:
+            if not len(open_):
+                break
+            mine = self.keys[batch[open_] + shift]
+            bounds = []
+            for right in (False, True):
+                a, b = low[open_].copy(), high[open_].copy()
+                while True:
+                    wide = np.flatnonzero(a < b)
+                    if not len(wide):
+                        break
+                    middle = (a[wide] + b[wide]) // 2
+                    found = self.keys[level[middle] + shift]
+                    up = (found <= mine[wide]) if right else (found < mine[wide])
+                    a[wide] = np.where(up, middle + 1, a[wide])
+                    b[wide] = np.where(up, b[wide], middle)
+                bounds.append(a)
+            low[open_], high[open_] = bounds
+            open_ = open_[bounds[0] < bounds[1]]
+        self.repeated[batch[open_]] = True
+        self.repeated[level[low[open_]]] = True
+        fresh = np.ones(len(batch), bool)
+        fresh[open_] = False
+        return np.insert(level, low[fresh], batch[fresh])
+
+    def add(self, offsets: np.ndarray) -> None:
+        batch = carried = self._sorted(offsets)
         rising = True
         for k, level in enumerate(self.levels):
             if level is None:
@@ -133,89 +237,125 @@ class SuffixLevels:
             elif rising:
                 carried, self.levels[k] = self._merged(level, carried), None
             else:
-                self._merged(level, batch, keep=False)
+                self._merged(level, batch)
         if rising:
             self.levels.append(carried)
 
 
-def _scan_bucket(length: int, batch_suffixes: int):
-    """One bucket of runs -> runs of starts that repeat, for the classes of one run."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        family = SuffixLevels()
-        counts = pdf["count"].to_numpy()
-        bases = np.concatenate([[0], np.cumsum(counts)])
-        keys, ids = [], []
-        for k, text in enumerate(pdf["bytes"]):
-            keys.extend(text[o : o + length] for o in range(counts[k]))
-            ids.extend(range(bases[k], bases[k + 1]))
-            if len(keys) >= batch_suffixes:
-                family.add(keys, ids)
-                keys, ids = [], []
-        if keys:
-            family.add(keys, ids)
-        found = np.array(sorted(family.repeated), np.int64)
-        which = np.searchsorted(bases, found, side="right") - 1
-        single = pdf["single"].to_numpy()[which]
-        return _ranges_of(pdf, found[single], which[single], bases)
+def _spelled(raw: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, shifts) for :class:`SuffixLevels`: hashes of words, or of each byte the number that 8 bytes from it spell."""
+    if rule.unit == "words":
+        return np.frombuffer(raw.tobytes(), np.uint64), np.arange(rule.length)
+    padded = np.append(raw, np.zeros(7, np.uint8)).astype(np.uint64)
+    keys = padded[: len(raw)].copy()
+    for k in range(1, 8):
+        keys = (keys << np.uint64(8)) | padded[k : k + len(raw)]
+    return keys, np.append(np.arange(0, rule.length - 8, 8), rule.length - 8)
+
+
+_FOUND = "anchor long, content long, `from` long, `to` long"
+
+
+def _scan_bucket(rules: tuple[Rule, ...], batch_suffixes: int):
+    """One bucket of runs, one for each class -> the ranges of starts in them that repeat."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        which = table.column("rule").to_numpy()
+        for k in np.unique(which).tolist():
+            mine, rule = table.filter(pa.array(which == k)), rules[k]
+            raw, offs = utf8(mine.column("bytes"))
+            counts, copies = mine.column("count").to_numpy().astype(np.int64), mine.column("n").to_numpy()
+            at = np.repeat(offs[:-1] // rule.width, counts) + ranges(counts)
+            family = SuffixLevels(*_spelled(raw, rule))
+            for i in range(0, len(at), batch_suffixes):
+                family.add(at[i : i + batch_suffixes])
+            owner = np.repeat(np.arange(len(counts)), counts)
+            found = np.flatnonzero(family.repeated[at] | (copies > 1)[owner])
+            if not len(found):
+                continue
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
+            first = np.flatnonzero(new)
+            last = found[np.append(first[1:], len(found)) - 1]
+            first = found[first]
+            rows = owner[first]
+            base = (np.cumsum(counts) - counts)[rows]
+            take = pa.array(rows)
+            columns = [mine.column("anchor").combine_chunks().take(take), mine.column("content").combine_chunks().take(take)]
+            out.append(pa.Table.from_arrays([*columns, pa.array(first - base), pa.array(last - base + 1)], names=["anchor", "content", "from", "to"]))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({c: pa.array([], pa.int64()) for c in ("anchor", "content", "from", "to")})
 
     return run
 
 
-def _ranges_of(pdf, found, which, bases):
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1] + 1) | (which[1:] != which[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(found))[: len(first)] - 1
-    k = which[first]
-    start = pdf["start"].to_numpy()[k]
-    return pd.DataFrame({"id": pdf["id"].to_numpy()[k], "crc": pdf["crc"].to_numpy()[k], "from": start + found[first] - bases[k], "to": start + found[last] - bases[k] + 1})
+_FETCHED = "rule tinyint, count int, anchor long, content long, hot boolean, n long, bytes binary"
 
 
-def _fetch(length: int):
-    """(id, crc, text, runs) -> a row for each run, with its bytes."""
-    names = ["id", "crc", "start", "count", "anchor", "hot", "single", "bytes"]
+def _fetch(rules: tuple[Rule, ...]):
+    """(id, crc, text, runs) -> a row for each run, with its symbols."""
+    names = ["rule", "count", "anchor", "content", "hot", "n"]
 
     def run(batches):
-        for batch in batches:
-            raw, offs = utf8(batch.column(batch.schema.get_field_index("text")))
-            runs = batch.column(batch.schema.get_field_index("runs"))
-            per_row = np.diff(runs.offsets.to_numpy())
-            row = np.repeat(np.arange(len(per_row)), per_row)
-            flat = runs.flatten()
-            start, count = flat.field("start").to_numpy(), flat.field("count").to_numpy()
-            begin = offs[row] + start
-            data = raw.tobytes()
-            for i in range(0, len(row), 4096):
-                part = slice(i, i + 4096)
-                text = [data[b : b + c + length - 1] for b, c in zip(begin[part].tolist(), count[part].tolist())]
-                at = pa.array(row[part])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("id")).take(at), batch.column(batch.schema.get_field_index("crc")).take(at), *(flat.field(x).slice(i, len(text)) for x in names[2:7]), pa.array(text, pa.binary())], names=names
-                )
+        for whole in batches:
+            sizes = utf8(whole.column(whole.schema.get_field_index("text")))[1]
+            for i, j in blocks(sizes):
+                yield from fetch(whole.slice(i, j - i))
+
+    def fetch(batch):
+        raw, offs = utf8(batch.column(batch.schema.get_field_index("text")))
+        runs = batch.column(batch.schema.get_field_index("runs"))
+        per_row = np.diff(runs.offsets.to_numpy())
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        flat = runs.flatten()
+        kind, start, count = (flat.field(c).to_numpy() for c in ("rule", "start", "count"))
+        for k, rule in enumerate(rules):
+            mine = np.flatnonzero(kind == k)
+            if not len(mine):
+                continue
+            data, base = raw, offs
+            if rule.unit == "words":
+                _, _, codes, base = symbols(raw, offs)
+                data = codes.view(np.uint8)
+            begin = (base[row[mine]] + start[mine]) * rule.width
+            size = (count[mine].astype(np.int64) + rule.length - 1) * rule.width
+            # A slice of runs at a time, so that no batch outgrows 32-bit offsets.
+            for a, b in blocks(np.append(0, np.cumsum(size)), 1 << 23):
+                at = np.repeat(begin[a:b], size[a:b]) + ranges(size[a:b])
+                ends = np.append(0, np.cumsum(size[a:b])).astype(np.int32)
+                bytes_ = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(data[at])])
+                take = pa.array(mine[a:b])
+                yield pa.RecordBatch.from_arrays([*(flat.field(c).take(take) for c in names), bytes_], names=[*names, "bytes"])
 
     return run
 
 
-def _strings(length: int):
+def _strings(rules: tuple[Rule, ...]):
     """Runs of hot anchors -> a row for each start, with 128 bits of hash of its string."""
 
     def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("bytes"))
-            count = batch.column(batch.schema.get_field_index("count")).to_numpy()
-            raw, offs = utf8(text)
-            for i in range(0, len(count), 2048):
-                j = min(len(count), i + 2048)
-                part = raw[offs[i] : offs[j]]
-                base = np.repeat(offs[i:j] - offs[i], count[i:j])
-                within = np.concatenate([np.arange(c) for c in count[i:j]]) if j > i else np.zeros(0, np.int64)
-                at = base + within
-                codes = byte_codes(part)
-                a, b = (span_hash(prefix_hash(x), at, at + length) for x in (codes, mix(codes ^ np.uint64(0xA0761D6478BD642F))))
-                owner = pa.array(np.repeat(np.arange(i, j), count[i:j]))
-                start = np.repeat(batch.column(batch.schema.get_field_index("start")).to_numpy()[i:j], count[i:j]) + within
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")).take(owner), batch.column(batch.schema.get_field_index("crc")).take(owner), pa.array(start), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(batch.schema.get_field_index("single")).take(owner)], names=["id", "crc", "start", "h1", "h2", "single"])
+        for whole in batches:
+            for i, j in blocks(utf8(whole.column(whole.schema.get_field_index("bytes")))[1], 1 << 20):
+                yield from strings(whole.slice(i, j - i))
+
+    def strings(batch):
+        kind = batch.column(batch.schema.get_field_index("rule")).to_numpy()
+        for k, rule in enumerate(rules):
+            part = batch.filter(pa.array(kind == k))
+            if not len(part):
+                continue
+            raw, offs = utf8(part.column(part.schema.get_field_index("bytes")))
+            count = part.column(part.schema.get_field_index("count")).to_numpy().astype(np.int64)
+            within = ranges(count)
+            at = np.repeat(offs[:-1] // rule.width, count) + within
+            codes = np.frombuffer(raw.tobytes(), np.uint64) if rule.unit == "words" else byte_codes(raw)
+            pair = (span_hash(prefix_hash(x), at, at + rule.length) for x in (codes, mix(codes ^ np.uint64(0xA0761D6478BD642F))))
+            owner = pa.array(np.repeat(np.arange(len(count)), count))
+            kept = [part.column(part.schema.get_field_index(c)).take(owner) for c in ("anchor", "content", "n")]
+            columns = [*kept, pa.array(within), *(pa.array(h.view(np.int64)) for h in pair)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "n", "from", "h1", "h2"])
 
     return run
 
@@ -223,95 +363,144 @@ def _strings(length: int):
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a key of (id, crc) that tells texts apart also where ids are null or repeat."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)), "__crc": F.crc32(text.cast("binary"))})
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
+    return docs.withColumns({"__key": key, "__crc": F.crc32(text.cast("binary"))})
 
 
-def _members(runs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Runs of classes of two or more. Those of hot classes are told in the map stage, so that no task gathers one."""
-    hot = classes.where(F.col("n") > HOT_RUNS).select("anchor", "content")
+def _members(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """All runs with what was found in their class. Hot classes are told in the map stage, so that no task gathers one."""
+    by = ["anchor", "content"]
+    hot = found.where(F.col("n") > HOT_RUNS)
     if hot.limit(HOT_CLASSES + 1).count() > HOT_CLASSES:
         hot = hot.limit(0)  # too many to broadcast; then none of them is a large part, and the exchange below takes all
-    hot = F.broadcast(hot)
-    cold = runs.join(hot, ["anchor", "content"], "left_anti")
-    many = classes.where("n > 1").select("anchor", "content")
-    return runs.join(hot, ["anchor", "content"], "left_semi").unionAll(cold.join(many, ["anchor", "content"], "left_semi"))
+    hot = F.broadcast(hot.drop("n"))
+    cold = runs.join(hot.select(*by).distinct(), by, "left_anti")
+    joined = runs.join(hot, by).unionByName(cold.join(found.drop("n"), by))
+    return joined.select("id", "crc", "rule", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, most_classes: int = MOST_CLASSES, batch_suffixes: int = BATCH_SUFFIXES) -> DataFrame:
-    """(id, crc, from, to): ranges of starts whose ``length``-byte string also starts elsewhere; see :func:`_keyed`."""
+def repeated_ranges(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = (BYTES,),
+    most_classes: int = MOST_CLASSES, batch_suffixes: int = BATCH_SUFFIXES, bucket_suffixes: int = BUCKET_SUFFIXES,
+) -> DataFrame:
+    """(id, crc, rule, from, to): ranges of starts whose string also starts elsewhere; see :func:`_keyed`."""
     texts = _keyed(docs, id_col, text_col).select(F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text"))
-    runs = texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length, span), "id long, crc long, start long, count int, anchor long, content long")
+    least = min(r.length * (1 if r.unit == "bytes" else 2) - (r.unit == "words") for r in rules)
+    schema = "id long, crc long, rule tinyint, start long, count int, anchor long, content long"
+    # A passage of wide code points has three bytes a symbol; of other words a letter and a space.
+    runs = texts.where(F.octet_length("text") >= least).mapInArrow(_runs(rules), schema)
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
     shared = written(shared, "suffix-shared")
     runs = written(runs.join(shared, "anchor", "left_semi"), "suffix-runs")
 
-    classes = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "start", "count")).alias("one"))
-    classes = written(classes, "suffix-classes")
-    whole = _members(runs, classes).select("id", "crc", F.col("start").alias("from"), F.expr("start + count").alias("to"))
-
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.sum("one.count").alias("suffixes")).where("k > 1 and least = 1")
-    total = mixed.agg(F.sum("suffixes")).first()[0] or 0
-    chosen = classes.join(mixed.select("anchor", (F.col("k") > most_classes).alias("hot")), "anchor").select("one.*", "anchor", "hot", (F.col("n") == 1).alias("single"))
-    chosen = chosen.groupBy("id", "crc").agg(F.collect_list(F.struct("start", "count", "anchor", "hot", "single")).alias("runs"))
-    # Equal rows of one key hold the same bytes: one of them is enough here.
-    fetched = texts.join(chosen.hint("shuffle_hash"), ["id", "crc"]).mapInArrow(_fetch(length), "id long, crc long, start long, count int, anchor long, hot boolean, single boolean, bytes binary")
-    fetched = written(fetched, "suffix-fetched").dropDuplicates(["id", "crc", "start"])
-    buckets = total // BUCKET_SUFFIXES + 1
-    scanned = fetched.where("not hot").groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(_scan_bucket(length, batch_suffixes), "id long, crc long, `from` long, `to` long")
-    strings = fetched.where("hot").mapInArrow(_strings(length), "id long, crc long, start long, h1 long, h2 long, single boolean")
-    # A string of a hot anchor repeats when it occurs twice; ties are told by an aggregate that combines in the map stage.
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    hot = strings.where("single").join(twice, ["h1", "h2"], "left_semi").select("id", "crc", F.col("start").alias("from"), F.expr("start + 1").alias("to"))
-    return whole.unionAll(scanned).unionAll(hot)
-
-
-def _cut(length: int, columns: list[str], as_text: bool):
-    """(..., text, ranges) -> n_bytes, n_removed, spans, kept bytes or text beside the columns that pass."""
+    one = F.min(F.struct("id", "crc", "start", "rule", "count")).alias("one")
+    classes = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), one), "suffix-classes")
+    anchors = classes.groupBy("anchor").agg(F.count("*").alias("k"))
+    total = classes.agg(F.sum("one.count")).first()[0] or 0
+    hot = written(anchors.where(F.col("k") > most_classes).select("anchor"), "suffix-hot")
+    chosen = classes.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+    chosen = chosen.select("one.*", "anchor", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "n")
+    run = F.struct("rule", "start", "count", "anchor", "content", "hot", "n")
+    chosen = chosen.groupBy("id", "crc").agg(F.collect_list(run).alias("runs"))
+    # Equal rows of one key hold the same symbols: one of them is enough here.
+    fetched = texts.join(chosen.hint("shuffle_hash"), ["id", "crc"]).mapInArrow(_fetch(rules), _FETCHED)
+    fetched = written(fetched, "suffix-fetched").dropDuplicates(["anchor", "content"])
+    buckets = total // bucket_suffixes + 1
+    by = F.pmod("anchor", F.lit(buckets)).alias("bucket")
+    scanned = fetched.where("not hot").groupBy(by).applyInArrow(_scan_bucket(rules, batch_suffixes), _FOUND)
+    strings = fetched.where("hot").mapInArrow(_strings(rules), "anchor long, content long, n long, `from` long, h1 long, h2 long")
+    # A string of a hot anchor repeats when it occurs twice; told by an aggregate that combines in the map stage.
+    twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").select("h1", "h2")
+    split = strings.join(twice, ["h1", "h2"], "left_semi").select("anchor", "content", "from", F.expr("`from` + 1").alias("to"))
+    found = written(scanned.unionByName(split), "suffix-found")
+    found = found.join(classes.select("anchor", "content", "n"), ["anchor", "content"])
+    return _members(runs, found)
+
+
+def _merged(parts) -> list[list[int]]:
+    """Spans sorted, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
+    """(..., text, ranges) -> n_bytes, n_removed, spans, kept (first rule) and clean (all rules) beside what passes."""
 
     def run(batches):
         for batch in batches:
             for i, j in blocks(utf8(batch.column(batch.schema.get_field_index("__text")))[1]):
                 yield cut(batch.slice(i, j - i))
 
+    def in_bytes(part: np.ndarray, found: list[dict]) -> list[list[tuple[int, int]]]:
+        """Byte spans of one text, by rule."""
+        out = []
+        for k, rule in enumerate(rules):
+            mine = [(r["from"], r["to"] + rule.length - 1) for r in found if r["rule"] == k]
+            if mine and rule.unit == "words":
+                start, end, _, _ = symbols(part, np.array([0, len(part)]))
+                mine = [(int(start[a]), int(end[b - 1])) for a, b in mine]
+            out.append(mine)
+        return out
+
     def cut(batch):
         raw, offs = utf8(batch.column(batch.schema.get_field_index("__text")))
         data = raw.tobytes()
-        sizes, all_spans, kept = np.diff(offs), [], []
+        sizes, spans, kept, clean = np.diff(offs), [], [], []
+
+        def rest(begin: int, size: int, gone: list[list[int]]) -> bytes:
+            edges = [0, *(e for m in gone for e in m), size]
+            return b"".join(data[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2]))
+
         for k, found in enumerate(batch.column(batch.schema.get_field_index("__ranges"))):
-            merged: list[list[int]] = []
-            for a, b in sorted((r["from"], r["to"] + length - 1) for r in found.as_py() or ()):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            all_spans.append([{"start": a, "end": b} for a, b in merged])
-            edges = [0, *(e for m in merged for e in m), int(sizes[k])]
-            base = int(offs[k])
-            kept.append(b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])))
-        removed = [sum(s["end"] - s["start"] for s in x) for x in all_spans]
-        text = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            begin, size = int(offs[k]), int(sizes[k])
+            by_rule = in_bytes(raw[begin : begin + size], found.as_py() or [])
+            first = _merged(by_rule[0])
+            spans.append([{"start": a, "end": b} for a, b in first])
+            kept.append(rest(begin, size, first))
+            if len(rules) > 1:
+                clean.append(rest(begin, size, _merged(x for part in by_rule for x in part)))
+        removed = pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        passed = (batch.column(batch.schema.get_field_index(c)) for c in columns)
-        return pa.RecordBatch.from_arrays([*passed, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(all_spans, kind), text], names=[*columns, "n_bytes", "n_removed", "spans", "kept"])
+        as_strings = lambda texts: pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
+        values = [pa.array(sizes), removed, pa.array(spans, kind), as_strings(kept) if as_text else pa.array(kept, pa.binary())]
+        if len(rules) > 1:
+            values.append(as_strings(clean))
+        passed = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        names = ["n_bytes", "n_removed", "spans", "kept", "clean"][: len(values)]
+        return pa.RecordBatch.from_arrays([*passed, *values], names=[*columns, *names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, **parameters) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+    rules: tuple[Rule, ...] = (BYTES,), as_text: bool = False, **sizes: int,
+) -> DataFrame:
     """The columns ``keep`` (the id by default) and n_bytes long, n_removed long, spans array<struct<start, end>>, kept binary.
 
-    Texts count as UTF-8 bytes; a null or empty text has 0 bytes and no spans; texts below ``length`` bytes keep all. A null
-    id is allowed. Repeated rows repeat one another's bytes, so both lose them. An empty table gives an empty one. Spans may
-    cut inside a UTF-8 sequence, therefore ``kept`` is binary; with ``as_text`` it is text without such broken characters. One row for every input row.
+    Spans and ``kept`` are in bytes of UTF-8 and by the first rule. With more rules there is ``clean`` too, a string: what
+    no rule removes. A null or empty text has 0 bytes and no spans; texts shorter than a rule's length keep all. A null id
+    is allowed. Repeated rows repeat one another, so both lose their texts. An empty table gives an empty one. Spans of a
+    rule on bytes may cut inside a UTF-8 sequence, therefore ``kept`` is binary; with ``as_text`` it is text without such
+    broken characters, as is ``clean``. A rule on words removes from the first byte of the first to the last byte of the last
+    word, and takes words for equal whatever white space stands between. One row for every input row.
     """
-    length = parameters.get("length", LENGTH)
     keep = [id_col] if keep is None else keep
-    found = repeated_ranges(docs, id_col, text_col, **parameters)
-    ranges = found.groupBy("id", "crc").agg(F.collect_list(F.struct("from", "to")).alias("__ranges")).withColumnsRenamed({"id": "__key", "crc": "__crc"})
+    found = repeated_ranges(docs, id_col, text_col, rules, **sizes)
+    one = F.collect_list(F.struct("rule", "from", "to")).alias("__ranges")
+    ranges_ = found.groupBy("id", "crc").agg(one).withColumnsRenamed({"id": "__key", "crc": "__crc"})
     renamed = [f"__{i}" for i in range(len(keep))]
-    keyed = _keyed(docs, id_col, text_col).select("__key", "__crc", F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(r) for c, r in zip(keep, renamed)))
+    text = F.col(text_col).cast("string").alias("__text")
+    keyed = _keyed(docs, id_col, text_col).select("__key", "__crc", text, *(F.col(c).alias(r) for c, r in zip(keep, renamed)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)) + ", n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")
-    out = keyed.join(ranges.hint("shuffle_hash"), ["__key", "__crc"], "left").select(*renamed, "__text", "__ranges").mapInArrow(_cut(length, renamed, as_text), schema)
-    return out.withColumnsRenamed(dict(zip(renamed, keep)))
+    schema = [*(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)), "n_bytes long", "n_removed long"]
+    schema += ["spans array<struct<start: long, end: long>>", "kept " + ("string" if as_text else "binary")]
+    schema += ["clean string"] if len(rules) > 1 else []
+    given = keyed.join(ranges_.hint("shuffle_hash"), ["__key", "__crc"], "left").select(*renamed, "__text", "__ranges")
+    return given.mapInArrow(_cut(rules, renamed, as_text), ", ".join(schema)).withColumnsRenamed(dict(zip(renamed, keep)))

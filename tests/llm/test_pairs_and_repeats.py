@@ -137,18 +137,104 @@ def repeats_corpus():
 def test_repeats_are_exact(spark, monkeypatch, most_classes, batch, hot):
     monkeypatch.setattr(suffix, "HOT_RUNS", hot)
     rows = repeats_corpus()
-    got = suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), most_classes=most_classes, batch_suffixes=batch).collect()
+    got = suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), most_classes=most_classes, batch_suffixes=batch, bucket_suffixes=3000).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_repeats(rows, 400)
 
 
-def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
-    raw = np.frombuffer(("".join(random.Random(2).choice("abc") for _ in range(5000))).encode(), np.uint8)
-    whole = [x for _, _, part, o in suffix._pieces(raw, np.array([0, len(raw)]), 400) for x in [suffix.anchor_runs(part, o)]]
+WORD = re.compile(rb"(?:[\xe3-\xef]..|[\xf0-\xf4]...)|(?:(?![\xe3-\xf4])[^\x20\x09-\x0D])+", re.S)
+
+
+def brute_passages(texts, length, gone=None):
+    """Bytes of each text that stand in a passage of so many words that occurs twice."""
+    found = [list(WORD.finditer(t)) for t in texts]
+    counts = Counter(tuple(m[0] for m in f[i : i + length]) for f in found for i in range(len(f) - length + 1))
+    out = gone or [np.zeros(len(t), bool) for t in texts]
+    for f, g in zip(found, out):
+        for i in range(len(f) - length + 1):
+            if counts[tuple(m[0] for m in f[i : i + length])] > 1:
+                g[f[i].start() : f[i + length - 1].end()] = True
+    return out
+
+
+def passages_corpus():
+    rng = random.Random(11)
+    rows = corpus(5)
+    passage = words(rng, 51, 10**6)
+    for k in range(12):
+        own = words(rng, 60, 10**6)
+        joined = rng.choice([" ", "\n", "  "]).join(passage[k % 3 == 2 :])  # a word less: too short
+        rows.append((2000 + k, " ".join(own[:30]) + " " + joined + "\t" + " ".join(own[30:]), "c", 1, 1, 1, "c"))
+    wide = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(80))
+    return [*rows, (3000, "x" + wide + " y", "c", 1, 1, 1, "c"), (3001, wide[5:] + "\U0001f600", "c", 1, 1, 1, "c")]
+
+
+@pytest.mark.parametrize("most_classes", [4096, 1])
+def test_passages_are_exact_beside_strings_of_bytes(spark, most_classes):
+    rows = passages_corpus()
+    texts = [(r[1] or "").encode() for r in rows]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    alone = suffix.remove_repeats(frame, keep=["doc_id", "kept"], rules=(suffix.PASSAGES,), most_classes=most_classes) if most_classes > 1 else None
+    gone = brute_passages(texts, 51)
+    left = [bytes(np.frombuffer(t, np.uint8)[~g]).decode() for t, g in zip(texts, gone)]
+    assert sum(g.any() for g in gone) > 20
+    if alone is not None:
+        assert alone.columns.count("kept") == 2  # a clash is the caller's to solve: both columns are there
+        place = alone.columns.index("n_removed")
+        assert sorted((str(r[0]), r[place]) for r in alone.collect()) == sorted((str(r[0]), int(g.sum())) for r, g in zip(rows, gone))
+    got = suffix.remove_repeats(frame, rules=(suffix.PASSAGES, suffix.BYTES), as_text=True, most_classes=most_classes).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in got) == sorted((str(r[0]), x) for r, x in zip(rows, left))
+    data = [(str(r[0]), len(t)) for r, t in zip(rows, texts)]
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted(data)
+    for t, g in zip(texts, gone):
+        c = brute_cover(texts, 400, t)
+        g |= c
+    both = [bytes(np.frombuffer(t, np.uint8)[~g]).decode("utf-8", "ignore") for t, g in zip(texts, gone)]
+    assert sorted((str(r.doc_id), r.clean) for r in got) == sorted((str(r[0]), x) for r, x in zip(rows, both))
+
+
+def brute_cover(texts, length, text, known={}):
+    key = id(texts), length
+    if key not in known:
+        known[key] = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = np.zeros(len(text), bool)
+    for i in range(len(text) - length + 1):
+        if known[key][text[i : i + length]] > 1:
+            out[i : i + length] = True
+    return out
+
+
+@pytest.mark.parametrize("rule", [suffix.BYTES, suffix.PASSAGES])
+def test_repeats_of_long_texts_in_pieces(monkeypatch, rule):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abc ") for _ in range(20_000)).encode()
+    raw = np.frombuffer(text, np.uint8)
+
+    def found():
+        runs = [(p, suffix.anchor_runs(codes, o, rule)) for _, p, codes, o in suffix._pieces(raw, np.array([0, len(raw)]), rule)]
+        return {int(s) + p + d: int(h) for p, (_, s, n, h, _) in runs for s, n, h in zip(s, n, h) for d in range(n)}
+
+    whole = found()
     monkeypatch.setattr(suffix, "_PIECE", 700)
-    parts = [(p, suffix.anchor_runs(part, o)) for _, p, part, o in suffix._pieces(raw, np.array([0, len(raw)]), 400)]
-    one = {int(s) + d: int(h) for _, s, n, h, _ in whole for s, n, h in zip(s, n, h) for d in range(n)}
-    many = {int(s) + p + d: int(h) for p, (_, s, n, h, _) in parts for s, n, h in zip(s, n, h) for d in range(n)}
-    assert one == many and len(one) == len(raw) - 399
+    assert found() == whole
+    size = len(text) if rule.unit == "bytes" else len(text.split())
+    assert len(whole) == size - rule.length + 1
+
+
+def test_symbols_by_brute_force(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é日本😀—\t\n x") for _ in range(rng.randrange(0, 80))) for _ in range(60)]
+    raw, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    for piece in (1 << 18, 16):
+        monkeypatch.setattr(suffix, "_PIECE", piece)
+        start, end, code, at = suffix.symbols(raw, offs)
+        data = raw.tobytes()
+        for k, t in enumerate(texts):
+            mine = [data[a:b] for a, b in zip(start[at[k] : at[k + 1]], end[at[k] : at[k + 1]])]
+            assert mine == [m[0] for m in WORD.finditer(t.encode())]
+        same = {}
+        for a, b, c in zip(start, end, code):
+            assert same.setdefault(data[a:b], c) == c
+        assert len(set(same.values())) == len(same)
 
 
 def test_repeats_of_an_empty_table_and_as_text(spark):
@@ -159,12 +245,23 @@ def test_repeats_of_an_empty_table_and_as_text(spark):
 
 
 def test_suffix_levels_double():
-    family = suffix.SuffixLevels()
     rng = random.Random(1)
-    keys = [bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(200)]
-    for i in range(0, 200, 8):
-        family.add(keys[i : i + 8], list(range(i, min(i + 8, 200))))
-    seen = Counter(keys)
-    assert family.repeated == {i for i, k in enumerate(keys) if seen[k] > 1}
-    assert all(level is None or level[0] == sorted(level[0]) for level in family.levels)
-    assert len(family.levels) <= 6
+    for length in (8, 9, 13, 16):
+        rule = suffix.Rule("bytes", length, 4)
+        text = bytes(rng.choice(b"ab") for _ in range(600))
+        family = suffix.SuffixLevels(*suffix._spelled(np.frombuffer(text, np.uint8), rule))
+        at = np.arange(len(text) - length + 1)
+        for i in range(0, len(at), 8):
+            family.add(at[i : i + 8])
+        seen = Counter(text[i : i + length] for i in at)
+        assert family.repeated[: len(at)].tolist() == [seen[text[i : i + length]] > 1 for i in at]
+        for level in family.levels:
+            keys = [text[o : o + length] for o in level] if level is not None else []
+            assert keys == sorted(set(keys))
+        assert len(family.levels) <= 8
+
+
+def test_rules_are_checked():
+    for bad in (("lines", 4, 2), ("bytes", 4, 2), ("words", 3, 4)):
+        with pytest.raises(ValueError):
+            suffix.Rule(*bad)
