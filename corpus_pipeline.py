@@ -11,7 +11,7 @@ from tephra.llm.decontaminate import contaminated
 from tephra.llm.jaccard import ngram_jaccard
 from tephra.llm.langid import fit, is_held_out, predict
 from tephra.llm.packing import pack, words_and_end
-from tephra.llm.suffix import remove_repeats
+from tephra.llm.suffix import PASSAGES, remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that start more than once."""
-    out = remove_repeats(docs, keep=["doc_id", "lang", "source"], as_text=True)
+    """All documents, without the passages of over 50 words that occur more than once, in one document or in several.
+
+    Words are equal whatever white space parts them; see ``remove_repeats`` for null, empty and long texts. Rows of one
+    text repeat one another and lose it; ``near_duplicates`` has left one of them. Texts that lose all stay as empty ones.
+    """
+    out = remove_repeats(docs, keep=["doc_id", "lang", "source"], rules=(PASSAGES,), as_text=True)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
