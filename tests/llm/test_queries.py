@@ -33,7 +33,7 @@ def test_pipeline_by_brute_force(spark):
     import numpy as np
 
     import corpus_pipeline as p
-    from test_pairs_and_repeats import brute_jaccard
+    from test_pairs_and_repeats import brute_jaccard, brute_passages
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(p.STAGES)
@@ -52,17 +52,10 @@ def test_pipeline_by_brute_force(spark):
     assert set(after) == {i for i, c in component.items() if i == c}
 
     before, after = ran["repeated_passages"]
-    data = {r.doc_id: r.text.encode() for r in before}
-    seen: dict[bytes, int] = {}
-    for b in data.values():
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
-    for k, b in data.items():
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        assert after[k].text == bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") and after[k].n_chars == len(after[k].text)
+    texts = [r.text.encode() for r in before]
+    for r, t, gone in zip(before, texts, brute_passages(texts, 51)):
+        left = bytes(np.frombuffer(t, np.uint8)[~gone]).decode()
+        assert after[r.doc_id].text == left and after[r.doc_id].n_chars == len(left)
 
     before, after = ran["decontamination"]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
