@@ -91,3 +91,63 @@ def test_an_article_keeps_its_headings_and_short_parts():
     long = "A long paragraph, with commas, and stops. And more of it, too. " * 5
     page = f"<article><header><h1>T</h1></header><section><p>{long}</p><h2>s</h2><p>{long}</p><ul><li>x</ul></section></article><div><article><h3>Card</h3></article></div>"
     assert html.main_text(page) == "\n\n".join(["T", long.strip(), "s", long.strip(), "x"])
+
+
+def test_the_selection_by_brute_force():
+    """Ratios, smoothing, fusion and threshold from their plain statement, on pages of random shape."""
+    rng = random.Random(9)
+    for _ in range(60):
+        page = ""
+        for _ in range(rng.randrange(1, 12)):
+            tag = rng.choice(["div", "section", "article", "p", "ul", "h2"])
+            inner = rng.choice(["p", "li", "span", "div"])
+            text = " ".join(rng.choice(["word", "and", "so.", "then,", "x!"]) for _ in range(rng.randrange(1, 30)))
+            page += f"<{tag}><{inner}>{text}</{inner}></{tag}>"
+        blocks = html.blocks_of(page)
+        per_path = {}
+        for _, path, text in blocks:
+            per_path.setdefault(path, []).append(text)
+        ratio = {p: (sum(map(len, x)) / len(x), sum(c in ".,;:!?…、。，！？" for t in x for c in t) / len(x) + 0.1) for p, x in per_path.items()}
+        groups, fused = [], []
+        for b in blocks:
+            if not groups or groups[-1][-1][0].piece is not b[0].piece:
+                groups.append([])
+            groups[-1].append(b)
+        for g in groups:
+            for k in range(len(g)):
+                near = [g[min(max(k + d, 0), len(g) - 1)][1] for d in (-2, -1, 0, 1, 2)]
+                smooth = [sum(w * ratio[p][i] for w, p in zip((1, 2, 3, 2, 1), near)) / 9 for i in (0, 1)]
+                fused.append((smooth[0] * smooth[1] * ratio[g[k][1]][0] * ratio[g[k][1]][1]) ** 0.5)
+        least = html.THRESHOLD * sum(f * len(b[2]) for f, b in zip(fused, blocks)) / sum(len(b[2]) for b in blocks)
+        best = {p: max(f for f, b in zip(fused, blocks) if b[1] == p) for p in per_path}
+        close = any(abs(x - least) < 1e-9 for x in best.values())
+        assert close or html.selected(blocks) == [k for k, b in enumerate(blocks) if best[b[1]] >= least]
+
+
+def test_pages_without_names_go_by_their_ratios():
+    """No article, role, class or id anywhere: menus, an advert and a footer go, the paragraphs stay."""
+    rng = random.Random(8)
+    right = wrong = lost = 0
+    for _ in range(40):
+        body = [" ".join(rng.choice(["word", "and", "so.", "then,", "longer"]) for _ in range(rng.randrange(30, 90))) for _ in range(rng.randrange(3, 20))]
+        menu = "<div><ul>" + "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(6)) + "</ul></div>"
+        page = f"<body>{menu}<div>Buy it now.</div><div>{''.join(f'<p>{b}</p>' for b in body)}</div><div>(c) someone</div></body>"
+        got = html.main_text(page).split("\n\n")
+        right += sum(g in body for g in got)
+        wrong += sum(g not in body for g in got)
+        lost += sum(b not in got for b in body)
+    assert right / (right + wrong) > 0.95 and right / (right + lost) > 0.95
+
+
+@pytest.mark.parametrize("piece, times", [('<p "x ', 170_000), ("<p '> ' x", 110_000), ("<div>a ", 140_000), ("<div></x>", 110_000), ("<b>x<p>", 140_000), ('<a b="x\' > ', 90_000), ("< ", 500_000), ("<li>a<div>", 100_000), ('<script "', 110_000), ("<article>a", 100_000)])
+def test_long_broken_pages_take_linear_time(piece, times):
+    import time
+
+    began = time.process_time()
+    html.main_text(piece * times)
+    assert time.process_time() - began < 15  # about a second; quadratic code takes minutes
+
+
+def test_broken_quotes_end_tags_nevertheless():
+    page = "<p a='x>" * 41 + "text</p>"
+    assert html.main_text(page).endswith("text")
