@@ -88,6 +88,37 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_length_buckets": op3_length_buckets, "op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate, "op5_histogram_sort": op5_histogram_sort, "op6_html_extraction": op6_html_extraction, "op7_suffix_dedup": op7_suffix_dedup, "op9_token_store": op9_token_store, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 ORACLES: dict[str, str] = {
+    "op3_length_buckets": r"""
+with recursive t as (
+  select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 as n from documents),
+h as (select n, count(*) as c from t group by n),
+s as (select n, row_number() over (order by n) as j, sum(c) over (order by n)::bigint as r, sum(c * n) over (order by n)::bigint as m from h),
+p as (select 0 as n, 0::bigint as j, 0::bigint as r, 0::bigint as m union all select n, j, r, m from s),
+w as (select a.j as i, b.j as j, b.n * (b.r - a.r) - (b.m - a.m) as cost from p a join p b on a.j < b.j),
+dp as (
+  select 0 as k, j, case when j = 0 then 0 else 1000000000000000000 end::bigint as best from p
+  union all
+  select k + 1, j, min(best)::bigint from (
+    select k, j, best from dp where k < 16
+    union all select dp.k, w.j, dp.best + w.cost from dp join w on w.i = dp.j where dp.k < 16) group by k, j),
+step as (
+  select b.k, b.j, min(case when a.best + w.cost = b.best then w.i end) as i, any_value(b.best) as best
+  from dp b join w on w.j = b.j join dp a on a.k = b.k - 1 and a.j = w.i group by b.k, b.j),
+cut as (
+  select step.k, step.j, case when step.best < coalesce(less.best, 1000000000000000000) then i else step.j end as i
+  from step left join dp less on less.k = step.k - 1 and less.j = step.j),
+back as (
+  select 16 as k, max(j) as j from p
+  union all
+  select back.k - 1, cut.i from back join cut on cut.k = back.k and cut.j = back.j where back.k > 0 and back.j > 0),
+ends as (select n as e, row_number() over (order by n) - 1 as bucket from (select distinct s.n from back join s using (j))),
+b as (select doc_id, n, (select min(e) from ends where e >= n) as e from t),
+o as (select doc_id, n, e, row_number() over (partition by e order by n, doc_id) - 1 as pos, greatest(1, 65536 // e) as slots from b),
+f as (select e, bucket, coalesce(sum(batches) over (order by e rows between unbounded preceding and 1 preceding), 0) as first
+  from (select e, any_value(bucket) as bucket, ceil(count(*) / any_value(slots)) as batches from o join ends using (e) group by e))
+select doc_id, n::bigint as n_tokens, bucket, e::bigint as bucket_len, (first + pos // slots)::bigint as batch_id, pos % slots as slot, (e - n)::bigint as padding
+from o join f using (e)
+""",
     "op2_chat_format": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r, text as x from conversations

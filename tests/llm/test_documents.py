@@ -110,29 +110,57 @@ def test_boundaries_are_optimal(seed):
         assert got == sorted(set(got)) and got[-1] == lengths[-1] and len(got) <= k and cost(got) == best
 
 
-def test_packing(spark):
-    data = rows()
-    got = packing.pack(spark.createDataFrame(data, SCHEMA), packing.words_and_end(), buckets=4, budget=500, shard_rows=7).collect()
-    assert len(got) == len(data)
-    want = sorted(len((t or "").split()) + 1 for _, t, *_ in data)
-    assert sorted(r.n_tokens for r in got) == want
-    batches = {}
-    for r in got:
-        assert r.n_tokens + r.padding == r.bucket_len >= r.n_tokens
-        batches.setdefault(r.batch_id, []).append(r)
-    assert sorted(batches) == list(range(len(batches)))
-    for b in batches.values():
-        assert len({r.bucket for r in b}) == 1 and sorted(r.slot for r in b) == list(range(len(b)))
-        assert len(b) * b[0].bucket_len <= 500 or len(b) == 1
-    for bucket in {r.bucket for r in got}:
-        sizes = [len(batches[k]) for k in sorted({r.batch_id for r in got if r.bucket == bucket})]
-        assert all(s == sizes[0] for s in sizes[:-1])
+@pytest.mark.parametrize("seed", range(3))
+def test_boundaries_by_the_plain_programme(seed):
+    """Against the programme that looks at every cut, on long lengths."""
+    rng = np.random.default_rng(seed)
+    lengths, counts = np.sort(rng.choice(20_000, 300, replace=False)) + 1, rng.integers(1, 50, 300)
+    rows, mass = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    best = [0] + [10**18] * 300
+    for k in range(1, 17):
+        best = [min([best[j], *(best[i] + int(lengths[j - 1] * (rows[j] - rows[i]) - (mass[j] - mass[i])) for i in range(j))]) for j in range(301)]
+        if k in (1, 5, 16):
+            ends = packing.boundaries(lengths, counts, k)
+            assert sum(int(c) * (min(e for e in ends if e >= n) - int(n)) for n, c in zip(lengths, counts)) == best[-1]
+            assert len(ends) <= k and set(ends) <= set(lengths.tolist()) and ends[-1] == lengths[-1]
+
+
+def brute_pack(lengths, buckets, budget):
+    """(n, bucket, bucket_len, batch, slot) of rows in the order of length."""
+    values, counts = np.unique(lengths, return_counts=True)
+    ends = packing.boundaries(values, counts, buckets)
+    out, batch = [], -1
+    for k, end in enumerate(ends):
+        mine = sorted(n for n in lengths if n <= end and (k == 0 or n > ends[k - 1]))
+        for place, n in enumerate(mine):
+            slot = place % max(1, budget // end)
+            batch += slot == 0
+            out.append((n, k, end, batch, slot, end - n))
+    return out
+
+
+@pytest.mark.parametrize("range_rows, copies", [(1_000_000, 10_000), (7, 3)])
+def test_packing(spark, range_rows, copies):
+    data = rows() + [(2000, "the same row", 1, 2, 3, 4, 0.5)] * 40
+    want = brute_pack([len((t or "").split()) + 1 for _, t, *_ in data], 4, 500)
+    found = []
+    for parts in (1, 5):
+        frame = spark.createDataFrame(data, SCHEMA).repartition(parts)
+        got = packing.pack(frame, packing.words_and_end(), buckets=4, budget=500, range_rows=range_rows, copies=copies).collect()
+        assert sorted((r.n_tokens, r.bucket, r.bucket_len, r.batch_id, r.slot, r.padding) for r in got) == sorted(want)
+        found.append(sorted(str(r) for r in got))
+    assert found[0] == found[1]  # places don't depend on how the input was dealt
+    placed = sorted((r.bucket, r.batch_id, r.slot, r.n_tokens, r.doc_id is not None, r.doc_id or 0) for r in got)
+    assert [x[3:] for x in placed] == sorted(x[3:] for x in placed)
+    for b in {r.batch_id for r in got}:
+        mine = [r for r in got if r.batch_id == b]
+        assert len(mine) * mine[0].bucket_len <= 500 or len(mine) == 1
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.words_and_end()).count() == 0
 
 
-def test_rounded_lengths(spark):
-    got = spark.range(1, 5000).select("id", packing.rounded(F.col("id")).alias("r")).collect()
-    assert all(r.r >= r.id and r.r - r.id <= r.id / 128 and (r.id > packing.FINE or r.r == r.id) for r in got)
+def test_packing_keeps_columns_that_clash(spark):
+    got = packing.pack(spark.createDataFrame(rows()[:9], SCHEMA), F.length("text").cast("long") + 1, keep=["n_tokens", "shard"]).toDF("given", "shard", "n", "bucket", "len", "batch", "slot", "padding")
+    assert sorted((r.given, r.shard, r.n) for r in got.collect()) == sorted((4, 3, len(t) + 1) for _, t, *_ in rows()[:9])
 
 
 # op4 ---------------------------------------------------------------------------------------------------------------
