@@ -214,31 +214,69 @@ def test_language_id_without_labels(spark):
 # op5 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shards, piece_rows", [(4, 1000), (16, 2)])
-def test_sharding_by_brute_force(spark, shards, piece_rows):
-    data = rows() + [(1000 + k, "hot", 0, 0, 0, 0, 0.0) for k in range(80)]
+def brute_shards(keys, shards, whole):
+    """{(h, id): shard} by the plain rule for tolerance 0: nearest end of the group, or of the row in a larger group."""
+    total, fair = sum(s for *_, s in keys), sum(s for *_, s in keys) / shards
+    groups, out, at = {}, {}, 0
+    for h, i, s in sorted(keys):
+        groups.setdefault(h, {}).setdefault(i, []).append(s)
+    cuts = []
+    for k in range(1, shards):
+        target, at = -(-total * k // shards), 0
+        for h, rows_ in sorted(groups.items()):
+            size = sum(map(sum, rows_.values()))
+            if target <= at + size:
+                if min(target - at, at + size - target) <= whole * fair:
+                    cuts.append(at if target - at < at + size - target else at + size)
+                    break
+                for i, sizes in sorted(rows_.items()):
+                    if target <= at + sum(sizes):
+                        cuts.append(at if target - at < at + sum(sizes) - target else at + sum(sizes))
+                        break
+                    at += sum(sizes)
+                break
+            at += size
+    at = 0
+    for h, rows_ in sorted(groups.items()):
+        for i, sizes in sorted(rows_.items()):
+            out[h, i] = sum(at >= c for c in cuts)
+            at += sum(sizes)
+    return out
+
+
+@pytest.mark.parametrize("shards, piece_rows, whole", [(4, 1000, 0.05), (16, 2, 0.05), (16, 2, 0.0), (5, 3, 0.4), (1, 9, 0.05)])
+def test_sharding_by_brute_force(spark, shards, piece_rows, whole):
+    data = rows() + [(1000 + k, "hot", 0, 0, 0, 0, 0.0) for k in range(900)] + [(7777, "one row", 0, 0, 0, 0, 0.0)] * 90
     df = spark.createDataFrame(data, SCHEMA)
     hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
-    order = sorted((hashes[t or ""], -(1 << 63) if i is None else i, len((t or "").encode()) + 1) for i, t, *_ in data)
-    total, before, want, last = sum(s for *_, s in order), 0, {}, None
-    for h, i, s in order:
-        # The row in which k / shards of the bytes is reached is the last one of shard k - 1.
-        want.setdefault((h, i), []).append(sum(before >= -(-total * k // shards) for k in range(1, shards)))
-        before += s
-    got = sharding.shard(df, shards=shards, piece_rows=piece_rows).collect()
-    assert len(got) == len(data)
-    for r in got:
-        assert r.shard in want[next(k for k in want if k[1] == (-(1 << 63) if r.doc_id is None else r.doc_id) and r.shard in want[k])]
+    keys = [(hashes[t or ""], -(1 << 63) if i is None else i, len((t or "").encode()) + 1) for i, t, *_ in data]
+    want = brute_shards(keys, shards, whole)
+    found = []
+    for parts in (2, 5):
+        got = sharding.shard(df.repartition(parts), shards=shards, piece_rows=piece_rows, copies=7, tolerance=0.0, whole=whole).collect()
+        found.append(sorted(str(r) for r in got))
+    assert found[0] == found[1]
+    crc = {h: zlib.crc32((t or "").encode()) for t, h in ((t, hashes[t or ""]) for _, t, *_ in data)}
+    wanted = sorted((i, s, crc[h], want[h, i]) for h, i, s in keys)
+    assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.size, r.text_crc32, r.shard) for r in got) == wanted
     slots = {}
     for r in got:
         slots.setdefault(r.shard, []).append(r.slot)
         assert (r.law, r.grown_shard) == ("bytes", None)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    texts = {i: t or "" for i, t, *_ in data if i is not None}
-    assert all(r.doc_id is None or (r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode())) for r in got)
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_splitters_of_a_million_keys(spark):
+    """Boundaries within the tolerance, and rows that reach the driver bounded by the probes at any size."""
+    n, hot = 1_000_000, 300_000
+    keys = spark.range(n).select(F.when(F.col("id") < hot, F.lit(12345)).otherwise(F.xxhash64("id")).alias("h"), "id", (F.pmod(F.hash("id"), F.lit(50)) + 1).cast("long").alias("size")).cache()
+    ends = sharding.splitters(keys, 16)
+    sizes = [r.s for r in keys.groupBy(sharding.shard_of(F.col("h"), F.col("id"), ends).alias("k")).agg(F.sum("size").alias("s")).orderBy("k").collect()]
+    assert len(sizes) == 16 and max(sizes) / min(sizes) < 1 + 4 * sharding.TOLERANCE
+    keys.unpersist()
+
+
 # op8 ---------------------------------------------------------------------------------------------------------------
 
 
