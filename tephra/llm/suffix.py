@@ -8,7 +8,7 @@ Dealing out. Every string of ``length`` symbols has one *anchor*: of all spans o
 smallest hash. Equal strings have equal anchors at equal places, so strings with different anchor hashes never need to
 meet. One scan turns each text into runs of starts that share an anchor (about one run per half span); counting anchor
 hashes (pre-aggregated) drops all runs whose anchor occurs once. Runs over equal symbols form a class, which is collapsed
-into one run that counts as often: a copy adds nothing to a suffix array. The symbols of one run of each class are fetched
+into one run that counts as often: a copy adds nothing to a suffix array. The bytes of one run of each class are fetched
 and dealt into buckets of bounded size by anchor, and each bucket keeps an index family: a new batch gets a suffix array
 (offsets into one shared buffer, compared up to ``length``), is merge-scanned against the existing levels for matches of
 full length, and levels of equal rank merge geometrically. What the family finds in a class holds for all its runs. An
@@ -30,7 +30,7 @@ MOST_CLASSES = 4096
 #: Runs that make a class hot, and ranges of hot classes that may be broadcast (32 bytes each).
 HOT_RUNS, HOT_CLASSES = 1000, 200_000
 #: Suffixes in a bucket on average, and in a batch of the index family.
-BUCKET_SUFFIXES, BATCH_SUFFIXES = 50_000, 8192
+BUCKET_SUFFIXES, BATCH_SUFFIXES = 65_536, 16_384
 _POSITION_BITS = 22
 _PIECE = 1 << 18
 #: First bytes of code points that are symbols of their own among words: from U+3000, scripts without spaces.
@@ -46,17 +46,12 @@ class Rule:
     span: int
 
     def __post_init__(self):
-        if self.unit not in ("bytes", "words") or not 0 < self.span <= self.length or self.length * self.width < 8:
+        if self.unit not in ("bytes", "words") or not 0 < self.span <= self.length or self.unit == "bytes" and self.length < 8:
             raise ValueError(f"not a rule: {self}")
 
-    @property
-    def width(self) -> int:
-        """Bytes of a symbol where runs are fetched: words go as their 64-bit hashes."""
-        return 8 if self.unit == "words" else 1
-
 
 #: Strings of 400 bytes, and passages of over 50 words.
-BYTES, PASSAGES = Rule("bytes", 400, 200), Rule("words", 51, 26)
+BYTES, PASSAGES = Rule("bytes", 400, 128), Rule("words", 51, 17)
 
 
 def symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,18 +104,20 @@ def anchor_runs(codes: np.ndarray, offs: np.ndarray, rule: Rule = BYTES):
     h = span_hash(prefix, at, at + span)
     low = np.uint64((1 << _POSITION_BITS) - 1)
     least = _sliding_least((mix(h) & ~low) | at.astype(np.uint64), length - span + 1)
-    anchor = (least & low).astype(np.int64)
-    row = np.searchsorted(offs, np.arange(len(anchor)), side="right") - 1
-    start = np.flatnonzero(np.arange(len(anchor)) + length <= offs[row + 1])
-    if not len(start):
+    # Runs: of each row the starts that leave room for a string, cut where the anchor changes.
+    first, end = offs[:-1], offs[1:] - length + 1
+    first, end = first[first < end], end[first < end]
+    if not len(first):
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    a = anchor[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(start)))
-    s, a = start[first], a[first]
-    return row[s], s - offs[row[s]], count, h[a], span_hash(prefix, s, s + count + length - 1)
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    inside = np.searchsorted(first, change, side="right") - 1
+    change = change[(inside >= 0) & (change < end[inside]) & (change > first[inside])]
+    s = np.sort(np.concatenate([first, change]))
+    row = np.searchsorted(offs, s, side="right") - 1
+    # A row's last run ends where its starts do; all others where the next begins.
+    count = np.minimum(np.append(s[1:], n), offs[row + 1] - length + 1) - s
+    a = (least[s] & low).astype(np.int64)
+    return row, s - offs[row], count, h[a], span_hash(prefix, s, s + count + length - 1)
 
 
 def _pieces(raw: np.ndarray, offs: np.ndarray, rule: Rule):
@@ -139,6 +136,26 @@ def _pieces(raw: np.ndarray, offs: np.ndarray, rule: Rule):
             yield i, 0, code(part), o
 
 
+def _of_rule(anchor: np.ndarray, k: int) -> np.ndarray:
+    """Anchors of different rules never meet."""
+    return (anchor ^ mix(np.full(1, k + 1, np.uint64))).view(np.int64)
+
+
+def _anchors(rules: tuple[Rule, ...]):
+    """(text) -> (anchor, how many runs have it), summed over pieces of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            raw, offs = utf8(batch.column(0))
+            for k, rule in enumerate(rules):
+                for _, _, codes, o in _pieces(raw, offs, rule):
+                    anchor, c = np.unique(anchor_runs(codes, o, rule)[3], return_counts=True)
+                    if len(anchor):
+                        yield pa.RecordBatch.from_arrays([pa.array(_of_rule(anchor, k)), pa.array(c)], names=["anchor", "c"])
+
+    return run
+
+
 def _runs(rules: tuple[Rule, ...]):
     """(id, crc, text) -> a row for each run of starts of each rule."""
     names = ["id", "crc", "rule", "start", "count", "anchor", "content"]
@@ -151,9 +168,8 @@ def _runs(rules: tuple[Rule, ...]):
                     row, start, count, anchor, content = anchor_runs(codes, o, rule)
                     if len(row):
                         at = pa.array(row + i)
-                        anchor = anchor ^ mix(np.full(1, k + 1, np.uint64))  # rules never meet
                         columns = [np.full(len(row), k, np.int8), (start + p).astype(np.int64), count.astype(np.int32)]
-                        columns += [anchor.view(np.int64), content.view(np.int64)]
+                        columns += [_of_rule(anchor, k), content.view(np.int64)]
                         columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, columns)]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -186,7 +202,9 @@ class SuffixLevels:
             if not len(differ):
                 continue
             group = np.cumsum(~tied)
-            mine = np.flatnonzero(np.isin(group, group[differ]))
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[differ]] = True
+            mine = np.flatnonzero(mixed[group])
             key = self.keys[out[mine] + shift]
             order = np.lexsort((key, group[mine]))
             out[mine], key = out[mine][order], key[order]
@@ -242,15 +260,16 @@ class SuffixLevels:
             self.levels.append(carried)
 
 
-def _spelled(raw: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, shifts) for :class:`SuffixLevels`: hashes of words, or of each byte the number that 8 bytes from it spell."""
+def _spelled(raw: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, shifts, first symbol of each row): hashes of words, or of each byte the number that 8 bytes from it spell."""
     if rule.unit == "words":
-        return np.frombuffer(raw.tobytes(), np.uint64), np.arange(rule.length)
+        _, _, keys, at = symbols(raw, offs)
+        return keys, np.arange(rule.length), at
     padded = np.append(raw, np.zeros(7, np.uint8)).astype(np.uint64)
     keys = padded[: len(raw)].copy()
     for k in range(1, 8):
         keys = (keys << np.uint64(8)) | padded[k : k + len(raw)]
-    return keys, np.append(np.arange(0, rule.length - 8, 8), rule.length - 8)
+    return keys, np.append(np.arange(0, rule.length - 8, 8), rule.length - 8), offs
 
 
 _FOUND = "anchor long, content long, `from` long, `to` long"
@@ -266,8 +285,9 @@ def _scan_bucket(rules: tuple[Rule, ...], batch_suffixes: int):
             mine, rule = table.filter(pa.array(which == k)), rules[k]
             raw, offs = utf8(mine.column("bytes"))
             counts, copies = mine.column("count").to_numpy().astype(np.int64), mine.column("n").to_numpy()
-            at = np.repeat(offs[:-1] // rule.width, counts) + ranges(counts)
-            family = SuffixLevels(*_spelled(raw, rule))
+            keys, shifts, base = _spelled(raw, offs, rule)
+            at = np.repeat(base[:-1], counts) + ranges(counts)
+            family = SuffixLevels(keys, shifts)
             for i in range(0, len(at), batch_suffixes):
                 family.add(at[i : i + batch_suffixes])
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -295,7 +315,7 @@ _FETCHED = "rule tinyint, count int, anchor long, content long, hot boolean, n l
 
 
 def _fetch(rules: tuple[Rule, ...]):
-    """(id, crc, text, runs) -> a row for each run, with its symbols."""
+    """(id, crc, text, runs) -> a row for each run, with its bytes."""
     names = ["rule", "count", "anchor", "content", "hot", "n"]
 
     def run(batches):
@@ -315,17 +335,18 @@ def _fetch(rules: tuple[Rule, ...]):
             mine = np.flatnonzero(kind == k)
             if not len(mine):
                 continue
-            data, base = raw, offs
+            size = count[mine].astype(np.int64) + rule.length - 1
             if rule.unit == "words":
-                _, _, codes, base = symbols(raw, offs)
-                data = codes.view(np.uint8)
-            begin = (base[row[mine]] + start[mine]) * rule.width
-            size = (count[mine].astype(np.int64) + rule.length - 1) * rule.width
+                first, end, _, base = symbols(raw, offs)
+                at = base[row[mine]] + start[mine]
+                begin, size = first[at], end[at + size - 1] - first[at]
+            else:
+                begin = offs[row[mine]] + start[mine]
             # A slice of runs at a time, so that no batch outgrows 32-bit offsets.
             for a, b in blocks(np.append(0, np.cumsum(size)), 1 << 23):
                 at = np.repeat(begin[a:b], size[a:b]) + ranges(size[a:b])
                 ends = np.append(0, np.cumsum(size[a:b])).astype(np.int32)
-                bytes_ = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(data[at])])
+                bytes_ = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(raw[at])])
                 take = pa.array(mine[a:b])
                 yield pa.RecordBatch.from_arrays([*(flat.field(c).take(take) for c in names), bytes_], names=[*names, "bytes"])
 
@@ -349,8 +370,11 @@ def _strings(rules: tuple[Rule, ...]):
             raw, offs = utf8(part.column(part.schema.get_field_index("bytes")))
             count = part.column(part.schema.get_field_index("count")).to_numpy().astype(np.int64)
             within = ranges(count)
-            at = np.repeat(offs[:-1] // rule.width, count) + within
-            codes = np.frombuffer(raw.tobytes(), np.uint64) if rule.unit == "words" else byte_codes(raw)
+            if rule.unit == "words":
+                _, _, codes, offs = symbols(raw, offs)
+            else:
+                codes = byte_codes(raw)
+            at = np.repeat(offs[:-1], count) + within
             pair = (span_hash(prefix_hash(x), at, at + rule.length) for x in (codes, mix(codes ^ np.uint64(0xA0761D6478BD642F))))
             owner = pa.array(np.repeat(np.arange(len(count)), count))
             kept = [part.column(part.schema.get_field_index(c)).take(owner) for c in ("anchor", "content", "n")]
@@ -388,8 +412,10 @@ def repeated_ranges(
     least = min(r.length * (1 if r.unit == "bytes" else 2) - (r.unit == "words") for r in rules)
     schema = "id long, crc long, rule tinyint, start long, count int, anchor long, content long"
     # A passage of wide code points has three bytes a symbol; of other words a letter and a space.
-    runs = texts.where(F.octet_length("text") >= least).mapInArrow(_runs(rules), schema)
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    long = texts.where(F.octet_length("text") >= least)
+    counted = long.select("text").mapInArrow(_anchors(rules), "anchor long, c long")
+    shared = counted.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor")
+    runs = long.mapInArrow(_runs(rules), schema)
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
     shared = written(shared, "suffix-shared")
     runs = written(runs.join(shared, "anchor", "left_semi"), "suffix-runs")
@@ -437,15 +463,16 @@ def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
             for i, j in blocks(utf8(batch.column(batch.schema.get_field_index("__text")))[1]):
                 yield cut(batch.slice(i, j - i))
 
-    def in_bytes(part: np.ndarray, found: list[dict]) -> list[list[tuple[int, int]]]:
+    def in_bytes(part: np.ndarray, kind: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[list[list[int]]]:
         """Byte spans of one text, by rule."""
         out = []
         for k, rule in enumerate(rules):
-            mine = [(r["from"], r["to"] + rule.length - 1) for r in found if r["rule"] == k]
-            if mine and rule.unit == "words":
-                start, end, _, _ = symbols(part, np.array([0, len(part)]))
-                mine = [(int(start[a]), int(end[b - 1])) for a, b in mine]
-            out.append(mine)
+            mine = kind == k
+            a, b = begin[mine], end[mine] + rule.length - 1
+            if len(a) and rule.unit == "words":
+                first, last, _, _ = symbols(part, np.array([0, len(part)]))
+                a, b = first[a], last[b - 1]
+            out.append(list(zip(a.tolist(), b.tolist())))
         return out
 
     def cut(batch):
@@ -457,18 +484,27 @@ def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
             edges = [0, *(e for m in gone for e in m), size]
             return b"".join(data[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2]))
 
-        for k, found in enumerate(batch.column(batch.schema.get_field_index("__ranges"))):
+        found = batch.column(batch.schema.get_field_index("__ranges"))
+        many = found.value_lengths().fill_null(0).to_numpy()
+        flat = found.flatten()
+        columns_ = [flat.field(c).to_numpy() for c in ("rule", "from", "to")]
+        ends = np.cumsum(many)
+        removed = np.zeros(len(many), np.int64)
+        for k, (i, j) in enumerate(zip((ends - many).tolist(), ends.tolist())):
             begin, size = int(offs[k]), int(sizes[k])
-            by_rule = in_bytes(raw[begin : begin + size], found.as_py() or [])
-            first = _merged(by_rule[0])
+            first, every = [], []
+            if i < j:
+                by_rule = in_bytes(raw[begin : begin + size], *(c[i:j] for c in columns_))
+                first = _merged(by_rule[0])
+                every = _merged(x for part in by_rule for x in part) if any(by_rule[1:]) else first
             spans.append([{"start": a, "end": b} for a, b in first])
+            removed[k] = sum(b - a for a, b in first)
             kept.append(rest(begin, size, first))
             if len(rules) > 1:
-                clean.append(rest(begin, size, _merged(x for part in by_rule for x in part)))
-        removed = pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64())
+                clean.append(rest(begin, size, every) if every is not first else kept[-1])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         as_strings = lambda texts: pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
-        values = [pa.array(sizes), removed, pa.array(spans, kind), as_strings(kept) if as_text else pa.array(kept, pa.binary())]
+        values = [pa.array(sizes), pa.array(removed), pa.array(spans, kind), as_strings(kept) if as_text else pa.array(kept, pa.binary())]
         if len(rules) > 1:
             values.append(as_strings(clean))
         passed = [batch.column(batch.schema.get_field_index(c)) for c in columns]

@@ -249,7 +249,8 @@ def test_suffix_levels_double():
     for length in (8, 9, 13, 16):
         rule = suffix.Rule("bytes", length, 4)
         text = bytes(rng.choice(b"ab") for _ in range(600))
-        family = suffix.SuffixLevels(*suffix._spelled(np.frombuffer(text, np.uint8), rule))
+        keys, shifts, _ = suffix._spelled(np.frombuffer(text, np.uint8), np.array([0, len(text)]), rule)
+        family = suffix.SuffixLevels(keys, shifts)
         at = np.arange(len(text) - length + 1)
         for i in range(0, len(at), 8):
             family.add(at[i : i + 8])
