@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tephra.functions.text import canonical_question, numbers
 from tephra.schemas import RECALL_AT, REFUSAL_CELLS
 
+#: Rankings (retrievers, say) that one report may compare.
+MOST_RETRIEVERS = 1000
+
 
 def first_gold_rank(pages: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(…, first_rank): the first rank of a gold page; questions with gold but no hit have a null."""
@@ -20,7 +23,15 @@ def first_gold_rank(pages: DataFrame, gold: DataFrame, by: list[str] | None = No
     extra = [c for c in by if c != "qid"]
     asked = gold.select("qid").distinct()
     if extra:
-        asked = asked.join(F.broadcast(pages.select(*extra).distinct()))
+        # Each question counts for each retriever, ranked by it or not. Their names are few; more are an error.
+        names = pages.select(*extra).distinct().limit(MOST_RETRIEVERS + 1)
+        found = names.collect()
+        if len(found) > MOST_RETRIEVERS:
+            raise ValueError(f"more than {MOST_RETRIEVERS} rankings to compare")
+        kinds = [names.schema[c].dataType for c in extra]
+        each = [F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in zip(extra, kinds))) for r in found]
+        every = F.array(*each) if each else F.array().cast(f"array<{names.schema.simpleString()}>")
+        asked = asked.select("qid", F.inline(every))
     return asked.join(hits, by, "left")
 
 

@@ -1,6 +1,6 @@
 """Ranking: BM25, exact cosine, reciprocal-rank fusion, and page rankings of chunk rankings.
 
-Rankings are DataFrames (qid, ord, score, rank). Scores are rounded to 9 digits before they are ranked and ties go to the
+Rankings are DataFrames (qid, ord, score, rank); qid is of any type. Scores are rounded to 9 digits before they are ranked and ties go to the
 lower ``ord``, so that the order of additions can't flip a rank.
 """
 
@@ -11,21 +11,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tephra.functions.text import tokens
 from tephra.schemas import BM25_B, BM25_K1, CANDIDATES, RRF_K
 from tephra.sources.scratch import materialized
 
-#: Rows of a side that may be broadcast, proven by a count first.
-BROADCAST_ROWS = 200_000
-#: Queries in one block of exact cosine search.
-QUERY_BLOCK = 1024
+#: Rows and bytes of a side that may be broadcast, proven by a count first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Queries that BM25 scores in place, and queries of one pass of exact cosine search.
+QUERY_BLOCK, COSINE_BLOCK = 1024, 16_384
+#: Rows and queries that are multiplied at a time.
+_TILE = (2048, 1024)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; as it is beyond that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows and bytes; as it is beyond that."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f.name)))), F.lit(0))
+    count, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if count <= rows and total <= most_bytes else df
 
 
 def term_statistics(docs: DataFrame, fold: bool = True) -> DataFrame:
@@ -77,7 +88,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
     if not terms:
         return queries.select("qid", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     place = {w: t for t, w in enumerate(terms)}
-    ids = np.array([r["qid"] for r in found], np.int64)
+    kind = queries.schema["qid"].dataType
+    ids = pa.array([r["qid"] for r in found], to_arrow_type(kind))
     pairs: dict[tuple[int, int], int] = {}
     for q, r in enumerate(found):
         for w in r["words"] or ():
@@ -125,45 +137,95 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
                 best = np.lexsort((np.broadcast_to(ords[:, None], sums.shape), -sums), axis=0)[:k]
                 value = np.take_along_axis(sums, best, axis=0).ravel()
                 keep = value > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(best))[keep]), pa.array(ords[best].ravel()[keep]), pa.array(value[keep])], names=["qid", "ord", "score"])
+                who = ids.take(pa.array(np.tile(np.arange(len(ids)), len(best))[keep]))
+                yield pa.RecordBatch.from_arrays([who, pa.array(ords[best].ravel()[keep]), pa.array(value[keep])], names=["qid", "ord", "score"])
 
     # Written: a ranking is small, is read several times, and keeps Python out of the plans that build on it.
-    return materialized(_top(words.mapInArrow(score, "qid long, ord long, score double"), k), "bm25-ranking")
+    return materialized(_top(words.mapInArrow(score, f"qid {kind.simpleString()}, ord long, score double"), k), "bm25-ranking")
+
+
+class _Best:
+    """The best ``k`` rows of each query so far; ties go to the lower ord."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.most = k, max(4 * k * queries, 1 << 18)
+        self.least = np.full(queries, -np.inf)  # score that a row must reach
+        self.parts, self.held = [], 0
+
+    def add(self, query: np.ndarray, ord_: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, ord_, score))
+        self.held += len(query)
+        if self.held > self.most:
+            self.kept()
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ord_, score = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        order = np.lexsort((ord_, -score, query))
+        query, ord_, score = query[order], ord_[order], score[order]
+        first = np.searchsorted(query, np.arange(len(self.least)))
+        place = np.arange(len(query)) - first[query]
+        full = place == self.k - 1
+        self.least[query[full]] = score[full]
+        keep = place < self.k
+        self.parts, self.held = [(query[keep], ord_[keep], score[keep])], int(keep.sum())
+        return self.parts[0]
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(qid, ord, score, rank): exact cosine search of a stated query set against all rows, in blocks.
 
-    ``vectors`` has ord and embedding, ``queries`` qid and embedding. Blocks of queries are multiplied with whole Arrow
-    batches; a batch puts out its own best ``k`` for each query, so that what is shuffled is small. A zero vector scores 0
-    and is ranked. Null vectors are left out; vectors of another length than the query's too.
+    ``vectors`` has ord and embedding, ``queries`` qid (of any type) and embedding. Queries are dealt by hash into blocks of
+    about ``COSINE_BLOCK``, of which the driver holds one at a time; each block takes one scan of the vectors, in which a task
+    multiplies tiles and puts out its own best ``k`` of each query once, at its end. A zero vector scores 0 and is ranked.
+    Null vectors are left out; vectors of another length than the query's too.
     """
-    found = queries.where("embedding is not null").select("qid", "embedding").orderBy("qid").toPandas()
-    out = None
-    for i in range(0, max(len(found), 1), QUERY_BLOCK):
-        block = found.iloc[i : i + QUERY_BLOCK]
-        ids = block["qid"].to_numpy(np.int64)
-        matrix = np.array([np.asarray(v, np.float64) for v in block["embedding"]]) if len(block) else np.zeros((0, 0))
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-        def run(batches, ids=ids, unit=unit):
-            for batch in batches:
+    asked = queries.where("embedding is not null").select("qid", "embedding")
+    blocks = asked.count() // COSINE_BLOCK + 1
+    kind = queries.schema["qid"].dataType
+    rows = vectors.where("embedding is not null").select(F.col("ord").cast("long"), F.col("embedding").cast("array<double>"))
+    context, out = vectors.sparkSession.sparkContext, None
+    for i in range(blocks):
+        found = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()
+        for size in sorted({len(r["embedding"]) for r in found}) or [0]:
+            mine = [r for r in found if len(r["embedding"]) == size]
+            matrix = np.array([r["embedding"] for r in mine], np.float64).reshape(len(mine), size)
+            unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+            shared = context.broadcast((pa.array([r["qid"] for r in mine], to_arrow_type(kind)), unit))
+            part = rows.mapInArrow(_nearest(shared, k), f"qid {kind.simpleString()}, ord long, score double")
+            out = part if out is None else out.unionAll(part)
+    return materialized(_top(out, k), "cosine-ranking")
+
+
+def _nearest(shared, k: int):
+    """(ord, embedding) of one task -> its best ``k`` rows for each query of a block."""
+
+    def run(batches):
+        ids, unit = shared.value
+        best = _Best(len(ids), k)
+        for whole in batches:
+            for i in range(0, whole.num_rows if len(ids) else 0, _TILE[0]):
+                batch = whole.slice(i, _TILE[0])
                 ords, lists = batch.column(0).to_numpy(), batch.column(1)
                 length = np.diff(lists.offsets.to_numpy())
-                right = np.flatnonzero(length == unit.shape[1]) if len(unit) else np.zeros(0, np.int64)
+                right = np.flatnonzero(length == unit.shape[1])
                 if not len(right):
                     continue
                 rows = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(right), -1)
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-                score, mine = np.round(rows @ unit.T, 9) + 0.0, ords[right]
-                order = np.lexsort((np.broadcast_to(mine[:, None], score.shape), -score), axis=0)[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(ids, len(order))), pa.array(mine[order].ravel()), pa.array(np.take_along_axis(score, order, axis=0).ravel())], names=["qid", "ord", "score"]
-                )
-
-        part = vectors.where("embedding is not null").select(F.col("ord").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "qid long, ord long, score double")
-        out = part if out is None else out.unionAll(part)
-    return materialized(_top(out, k), "cosine-ranking")
+                mine = ords[right]
+                for q in range(0, len(ids), _TILE[1]):
+                    score = np.round(rows @ unit[q : q + _TILE[1]].T, 9) + 0.0
+                    least = best.least[q : q + _TILE[1]]
+                    if len(right) > k:
+                        least = np.maximum(least, np.partition(score, len(right) - k, axis=0)[len(right) - k])
+                    row, query = np.nonzero(score >= least)
+                    best.add(query + q, mine[row], score[row, query])
+        query, ord_, score = best.kept()
+        for i in range(0, len(query), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[part])), pa.array(ord_[part]), pa.array(score[part])], names=["qid", "ord", "score"])
+
+    return run
 
 
 def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
@@ -173,6 +235,10 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     places = [f"r{j}" for j in range(len(rankings))]
+    # The exchange is spelled out. Rankings are partitioned by query, which Spark 4.1 takes for the union's partitioning too,
+    # and it then leaves the exchange out; but where a reused exchange stands below, the union no longer has that partitioning
+    # when it runs, and sums go wrong.
+    union = union.repartition("qid", "ord")
     summed = union.groupBy("qid", "ord").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), *(F.min(p).alias(p) for p in places))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), *(F.asc_nulls_last(p) for p in places), "ord")
     return summed.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("qid", "ord", "score", "rank")
@@ -183,7 +249,7 @@ def retrieve(lexical: DataFrame, semantic: DataFrame, k: int = 5) -> DataFrame:
     dense = semantic.select("qid").distinct()
     fused = fuse([lexical.join(dense, "qid", "left_semi"), semantic], k).select("qid", "ord", "rank", F.lit("hybrid").alias("retrieval_mode"))
     plain = lexical.join(dense, "qid", "left_anti").where(F.col("rank") <= k).select("qid", "ord", "rank", F.lit("bm25_only").alias("retrieval_mode"))
-    return fused.unionByName(plain)
+    return fused.unionByName(plain).repartition("qid")  # see fuse()
 
 
 def page_ranking(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tephra.operators.retrieval import small
+from tephra.sources.scratch import materialized
 
 
 def percentile_at(q: float, n: Column) -> Column:
@@ -14,16 +15,31 @@ def percentile_at(q: float, n: Column) -> Column:
     return F.least(F.floor(F.lit(q) * n), n - 1) + 1
 
 
+def _bin(x: Column) -> Column:
+    """Number of a bin of values that grows with them: 64 to a factor of two, on both sides of zero."""
+    scaled = F.floor(F.log2(F.abs(x)) * 64).cast("long") + 100_000
+    return F.when(x > 0, scaled).when(x < 0, -scaled).otherwise(F.lit(0).cast("long"))
+
+
 def _percentiles(events: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
     """Empirical percentiles of latency over calls that weren't cached.
 
-    Equal latencies are counted first, which bounds the window by the distinct values; the place is found by a running sum.
+    Calls are counted by bins of latency first; a running sum over the bins of a group, which are few whatever its size, tells
+    the bin and the place in it of each percentile. Only calls in these bins are looked at again, counted by latency and
+    ranked by bin.
     """
-    counted = events.where("not cached").groupBy(*by, "latency_ms").agg(F.count("*").alias("c"))
+    live = events.where("not cached").select(*by, "latency_ms", _bin(F.col("latency_ms")).alias("bin"))
     group = Window.partitionBy(*by)
-    reach = F.sum("c").over(group.orderBy("latency_ms"))
-    placed = counted.select(*by, "latency_ms", reach.alias("upto"), F.sum("c").over(group).alias("n"))
-    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("upto") >= percentile_at(q, F.col("n")), F.col("latency_ms"))).alias(name) for name, q in quantiles.items()))
+    bins = live.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    bins = bins.select(*by, "bin", "c", F.sum("c").over(group.orderBy("bin")).alias("upto"), F.sum("c").over(group).alias("n"))
+    places = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), percentile_at(q, F.col("n")).alias("place")) for name, q in quantiles.items())))
+    wanted = bins.select("*", places.alias("p")).where("p.place <= upto and p.place > upto - c")
+    wanted = wanted.select(*by, "bin", "p.name", (F.col("p.place") - F.col("upto") + F.col("c")).alias("place"))
+    wanted = materialized(wanted, "percentile-bins")
+    counted = live.join(small(wanted.select(*by, "bin").distinct()), [*by, "bin"], "left_semi").groupBy(*by, "bin", "latency_ms").agg(F.count("*").alias("c"))
+    reach = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("latency_ms")).alias("upto")
+    met = counted.select(*by, "bin", "latency_ms", reach).join(small(wanted), [*by, "bin"]).where("upto >= place")
+    return met.groupBy(*by).agg(*(F.min(F.when(F.col("name") == name, F.col("latency_ms"))).alias(name) for name in quantiles))
 
 
 def priced(events: DataFrame, prices: DataFrame) -> DataFrame:

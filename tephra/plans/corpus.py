@@ -30,9 +30,15 @@ def _lexical(spark, sf_dir, k):
     return retrieval.bm25(docs, tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), k)
 
 
-def _semantic(spark, sf_dir, k):
+def _searched(spark, sf_dir, k):
+    """Rankings of every vector whose id is divisible by 20, against all vectors."""
     v = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
-    return retrieval.cosine(v.where("ord >= 20"), v.where("ord < 20").withColumnRenamed("ord", "qid"), k)
+    return retrieval.cosine(v, v.where("ord % 20 = 0").withColumnRenamed("ord", "qid"), k)
+
+
+def _semantic(spark, sf_dir, k):
+    """The same rankings as those of questions: the n-th query vector stands for question n."""
+    return _searched(spark, sf_dir, k).withColumn("qid", F.expr("qid div 20"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -40,7 +46,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    return _semantic(spark, sf_dir, 10).select("qid", "ord", "rank", F.round("score", 6).alias("score"))
+    return _searched(spark, sf_dir, 10).select("qid", "ord", "rank", F.round("score", 6).alias("score"))
 
 
 def rrf_hybrid(spark, sf_dir):
@@ -114,20 +120,28 @@ QUERIES = {f.__name__: f for f in (clean_pages, tokenize_docs, term_stats, bm25_
 _CLEAN = r"trim(regexp_replace(replace(regexp_replace(text, '(\w)-\s*\n\s*(\w)', '\1\2', 'g'), chr(65533), ' '), '\s+', ' ', 'g'))"
 _PAGES = f"pages as (select doc_id, source, page, {_CLEAN} as text from (select doc_id, source, row_number() over (partition by source order by doc_id)::int as page, text from documents) where {_CLEAN} <> '')"
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_LEXICAL = f"""
-toks as (select doc_id as ord, {_TOKENS} as w from documents),
+
+
+def _lexical_sql(docs: str = "documents", asked: str = "(select item_id as qid, text from benchmark)") -> str:
+    """BM25 rankings ``lex`` of these questions (qid, text) over these texts (doc_id, text)."""
+    return f"""
+toks as (select doc_id as ord, {_TOKENS} as w from {docs}),
 tot as (select count(*) as n, avg(len(w)) as mean from toks),
 post as (select ord, dl, term, count(*) as tf from (select ord, len(w) as dl, unnest(w) as term from toks) group by all),
 df as (select term, count(*) as df from post group by term),
-asked as (select qid, term, count(*) as qtf from (select item_id as qid, unnest({_TOKENS}) as term from benchmark) group by all),
+asked as (select qid, term, count(*) as qtf from (select qid, unnest({_TOKENS}) as term from {asked}) group by all),
 lex_all as (select qid, ord, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))), 9) as score
   from asked join post using (term) join df using (term), tot group by qid, ord),
 lex as (select *, row_number() over (partition by qid order by score desc, ord) as rank from lex_all)"""
+
+
+_LEXICAL = _lexical_sql()
 _SEMANTIC = """
 vec as (select vec_id as ord, embedding::double[] as e from embeddings),
 unit as (select ord, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) as e from vec),
-sem_all as (select q.ord as qid, d.ord as ord, round(list_dot_product(q.e, d.e), 9) as score from unit q, unit d where q.ord < 20 and d.ord >= 20),
-sem as (select *, row_number() over (partition by qid order by score desc, ord) as rank from sem_all)"""
+sem_all as (select q.ord as qid, d.ord as ord, round(list_dot_product(q.e, d.e), 9) as score from unit q, unit d where q.ord % 20 = 0),
+searched as (select *, row_number() over (partition by qid order by score desc, ord) as rank from sem_all),
+sem as (select qid // 20 as qid, ord, score, rank from searched)"""
 _FUSED = """
 both_r as (select qid, ord, rank, rank as r0, null::bigint as r1 from lex where rank <= 50 union all select qid, ord, rank, null, rank from sem where rank <= 50),
 fused as (select qid, ord, score, row_number() over (partition by qid order by score desc, r0 nulls last, r1 nulls last, ord) as rank
@@ -172,7 +186,7 @@ ORACLES = {
     "tokenize_docs": f"select doc_id, len(w) as n_tokens, len(list_distinct(w)) as n_distinct, md5(array_to_string(w, ' ')) as digest from (select doc_id, {_TOKENS} as w from documents)",
     "term_stats": f"select term, count(*) as df, sum(tf)::bigint as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS}) as term from documents) group by all) group by term",
     "bm25_topk": f"with {_LEXICAL} select qid, ord, rank, round(score, 6) as score from lex where rank <= 10",
-    "dense_topk": f"with {_SEMANTIC} select qid, ord, rank, round(score, 6) as score from sem where rank <= 10",
+    "dense_topk": f"with {_SEMANTIC} select qid, ord, rank, round(score, 6) as score from searched where rank <= 10",
     "rrf_hybrid": f"with {_LEXICAL}, {_SEMANTIC}, {_FUSED} select qid, ord, rank, round(score, 6) as score from fused where rank <= 10",
     "retrieve_fallback": f"with {_LEXICAL}, {_SEMANTIC}, {_FUSED} select qid, ord, rank, 'hybrid' as retrieval_mode from fused where rank <= 5 and qid in (select qid from sem) union all select qid, ord, rank, 'bm25_only' from lex where rank <= 5 and qid not in (select qid from sem)",
     "page_dedupe": f"with {_RANKED} select * from ranked where rank <= 10",

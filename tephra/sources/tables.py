@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tephra.functions.text import clean_text
+from tephra.operators.numbering import row_numbers
 from tephra.operators.retrieval import small
+from tephra.sources.scratch import materialized
 
 #: Stand-in gazetteer and regions: positions by rule, so that no data is shipped.
 RINGS = (
@@ -23,9 +24,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, page, text): documents as the pages of their source, in order of ids."""
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select("doc_id", "source", page.cast("int").alias("page"), "text")
+    """(doc_id, source, page, text): documents as the pages of their source, in order of ids.
+
+    Pages are numbered on ids alone, so that a source with a third of all documents moves no text into one task.
+    """
+    docs = read(spark, sf_dir, "documents")
+    pages = row_numbers(docs.select("doc_id", "source"), ["source"], ["doc_id"], "page").select("doc_id", F.col("page").cast("int").alias("page"))
+    return docs.select("doc_id", "source", "text").join(pages, "doc_id").select("doc_id", "source", "page", "text")
 
 
 def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +86,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("over the next "), F.col("n_nationkey") + 1, F.lit(" days"))).when(F.col("n_nationkey") % 5 == 1, "next two weeks").when(F.col("n_nationkey") % 5 == 2, "tomorrow").when(F.col("n_nationkey") % 5 == 3, "within three days").otherwise("soon")
     place = F.when(F.col("n_nationkey") % 6 == 5, "nowhere").otherwise(F.concat(F.lit("Nation"), F.col("n_nationkey") + F.when(F.col("n_nationkey") % 8 == 7, 100).otherwise(0)))
     # Twenty-five nations and five kinds: both sides are fixed.
-    both = n.join(F.broadcast(kinds))
+    both = n.join(small(kinds, 100))
     return both.select((F.col("n_nationkey") * 10 + number).cast("long").alias("qid"), F.concat(F.lit("How risky are "), word, F.lit(" in "), place, F.lit(" "), span, F.lit("?")).alias("text"))
 
 
 def benchmark_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, source, page): pages that hold a benchmark item word for word.
 
-    Items meet pages on their first five words, then the whole text is compared.
+    Items meet pages on their first five words, told by their hash without the text beside it, then whole texts are compared.
     """
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), clean_text("text").alias("item"))
     items = items.withColumn("k", F.xxhash64(F.slice(F.split("item", " "), 1, 5)))
     pages = cleaned_pages(spark, sf_dir).withColumn("w", F.split("text", " "))
-    runs = pages.select("source", "page", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(F.slice("w", i, 5)))).alias("k"))
-    met = runs.join(small(items), "k").where(F.contains("text", "item"))
-    return met.select("qid", "source", "page").distinct()
+    runs = pages.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(F.slice("w", i, 5))))).alias("k"))
+    met = materialized(runs.join(small(items.select("k", "qid")), "k").select("doc_id", "qid"), "gold-candidates")
+    both = pages.select("doc_id", "source", "page", "text").join(small(met), "doc_id").join(small(items.select("qid", "item")), "qid")
+    return both.where(F.contains("text", "item")).select("qid", "source", "page").distinct()
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

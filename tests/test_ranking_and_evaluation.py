@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tephra.operators import evaluation, retrieval
+from tephra.operators import evaluation, retrieval, telemetry
+from tephra.operators.numbering import row_numbers
 
 DOCS = [(0, "heat heat wave"), (1, "rain rain rain fall"), (2, "heat and rain"), (3, ""), (4, "heat heat wave")]
 
@@ -40,8 +41,80 @@ def test_cosine(spark, monkeypatch):
         s = np.round((v @ q[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-12) / np.linalg.norm(q[k]), 9)
         want += [(k, int(i)) for i in sorted(range(50), key=lambda i: (-s[i], i))[:7]]
     assert ranked(retrieval.cosine(vectors, queries, 7)) == want
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "COSINE_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "_TILE", (9, 2))
     assert ranked(retrieval.cosine(vectors, queries, 7)) == want
+    named = queries.withColumn("qid", F.concat(F.lit("q"), "qid"))
+    assert ranked(retrieval.cosine(vectors, named, 7)) == [(f"q{q}", o) for q, o in want]
+    assert retrieval.cosine(vectors, queries.limit(0), 7).count() == 0
+
+
+def test_cosine_keeps_ties_in_order(spark, monkeypatch):
+    """Equal vectors in every batch: the lowest ords win, whatever was kept before."""
+    monkeypatch.setattr(retrieval, "_TILE", (4, 2))
+    vectors = spark.createDataFrame([(k * 37 % 101, [1.0, float(k % 2)]) for k in range(101)], "ord long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "qid long, embedding array<double>")
+    even = sorted(k * 37 % 101 for k in range(101) if k % 2 == 0)
+    odd = sorted(k * 37 % 101 for k in range(101) if k % 2)
+    assert ranked(retrieval.cosine(vectors, queries, 20)) == [(0, o) for o in even[:20]] + [(1, o) for o in odd[:20]]
+
+
+def test_rankings_of_named_questions(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "ord long, text string")
+    queries = spark.createDataFrame([("SP-01", "heat wave"), ("SP-02", "rain")], "qid string, text string")
+    want = [("SP-01", 0), ("SP-01", 4), ("SP-01", 2), ("SP-02", 1), ("SP-02", 2)]
+    assert ranked(retrieval.bm25(docs, queries, 10)) == want
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    assert ranked(retrieval.bm25(docs, queries, 10)) == want
+
+
+def test_rankings_may_be_read_twice_without_being_written(spark, monkeypatch):
+    """A plan in which a ranking stands by itself and in a fusion; the exchange below it is reused."""
+    monkeypatch.setattr(retrieval, "materialized", lambda df, name: df)
+    docs = spark.createDataFrame([(k, " ".join(f"t{(k * j) % 7}" for j in range(1, 9))) for k in range(60)], "ord long, text string")
+    queries = spark.createDataFrame([(q, f"t{q % 7} t{q % 5}") for q in range(8)], "qid long, text string")
+    vectors = docs.select("ord", F.array((F.col("ord") % 7).cast("double"), (F.col("ord") % 3).cast("double"), F.lit(1.0)).alias("embedding"))
+    asked = queries.select("qid", F.array((F.col("qid") % 7).cast("double"), F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    lexical, semantic = retrieval.bm25(docs, queries, 20), retrieval.cosine(vectors, asked, 20)
+    fused = retrieval.fuse([lexical, semantic], 20)
+    part = lambda df, name: df.select(F.lit(name).alias("of"), "qid", "ord", "rank")
+    together = part(lexical, "bm25").unionByName(part(semantic, "dense")).unionByName(part(fused, "hybrid")).join(queries.select("qid"), "qid", "left_semi").collect()
+    ranks = {}
+    for r in together:
+        if r.of != "hybrid":
+            ranks.setdefault((r.qid, r.ord), {})[r.of] = r["rank"]
+    want = []
+    for q in range(8):
+        mine = [(-round(sum(1 / (60 + x) for x in places.values()), 9), places.get("bm25", 99), places.get("dense", 99), o) for (qid, o), places in ranks.items() if qid == q]
+        want += [(q, o, place) for place, (*_, o) in enumerate(sorted(mine)[:20], 1)]
+    assert sorted((r.qid, r.ord, r["rank"]) for r in together if r.of == "hybrid") == sorted(want)
+
+
+def test_row_numbers(spark):
+    rows = [(f"s{k % 3}" if k % 10 else None, k * 7919 % 1000) for k in range(1000)] + [("hot", k) for k in range(2000, 4000)]
+    got = row_numbers(spark.createDataFrame(rows, "source string, id long").repartition(6), ["source"], ["id"], "page").collect()
+    want = {}
+    for s in {r[0] for r in rows}:
+        want |= {(s, i): n for n, i in enumerate(sorted(i for t, i in rows if t == s), 1)}
+    assert {(r.source, r.id): r.page for r in got} == want and len(got) == len(rows)
+
+
+def test_small_sides_are_proven_by_bytes_too(spark):
+    df = spark.createDataFrame([(1, "x" * 1000)] * 10, "k int, text string")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(retrieval.small(df)) and not hinted(retrieval.small(df, most_bytes=5000)) and not hinted(retrieval.small(df, rows=9))
+
+
+def test_percentiles_by_bins(spark):
+    rng = np.random.default_rng(2)
+    values = [float(x) for x in np.round(np.exp(rng.normal(3, 2, 400)), 2)] + [0.0, 0.0, -1.5, 1e-9, 7.0, 7.0]
+    rows = [(v, k % 7 == 0, f"op{k % 3}") for k, v in enumerate(values)] + [(5.0, True, "cached only")]
+    events = spark.createDataFrame(rows, "latency_ms double, cached boolean, op string")
+    got = {r.op: (r.a, r.b, r.c) for r in telemetry._percentiles(events, ["op"], {"a": 0.5, "b": 0.95, "c": 1.0}).collect()}
+    for op in ("op0", "op1", "op2"):
+        live = sorted(v for v, cached, o in rows if o == op and not cached)
+        assert got[op] == tuple(live[min(int(q * len(live)), len(live) - 1)] for q in (0.5, 0.95, 1.0))
+    assert "cached only" not in got
 
 
 def test_fusion_and_fallback(spark):
