@@ -15,7 +15,7 @@ from tephra.schemas import MIN_BLOCKS_FOR_TREND, RETURN_PERIODS, SIGNIFICANCE
 from tephra.sources.scratch import materialized
 
 #: Bootstrap replicates, stationary and drifting, and replicates in one task.
-BOOT, BOOT_TREND, BOOT_TASK = 300, 200, 25
+BOOT, BOOT_TREND, BOOT_TASK = 300, 200, 100
 ALPHA = 0.10
 
 
@@ -88,24 +88,30 @@ def _band(draws: DataFrame, levels: DataFrame, alpha: float) -> DataFrame:
     return joined.select("location", "return_period", "level", F.least("low", "level").alias("ci_low"), F.greatest("high", "level").alias("ci_high"))
 
 
+def _without_band(levels: DataFrame) -> DataFrame:
+    return levels.select("location", "return_period", "level", F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
+
+
 def return_levels_with_band(maxima: DataFrame, fits: DataFrame | None = None, periods=RETURN_PERIODS, boot: int = BOOT, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
-    """(location, return_period, level, ci_low, ci_high): parametric bootstrap of the stationary fit.
+    """(location, return_period, level, ci_low, ci_high): parametric bootstrap of the stationary fit, none where ``boot`` is 0.
 
     Replicates are dealt over tasks in blocks, each with a random stream of its own that only the seed, the location and
     the replicate's number decide.
     """
     fits = materialized(fit(maxima), "fits") if fits is None else fits
+    if boot <= 0:
+        return _without_band(return_levels(fits, periods))
     blocks = -(-boot // BOOT_TASK)
     work = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = []
         for r in pdf.itertuples():
-            for b in range(r.part * BOOT_TASK, min(boot, (r.part + 1) * BOOT_TASK)):
-                sample = gev.draws(r.c, r.loc, r.scale, int(r.n_blocks), (seed, zlib.crc32(str(r.location).encode()), b))
-                c, loc, scale, _ = gev.fit(sample)
-                rows += [(r.location, int(p), float(gev.quantile(1 - 1 / p, c, loc, scale))) for p in periods]
-        return pd.DataFrame(rows, columns=["location", "return_period", "draw"])
+            numbers = range(r.part * BOOT_TASK, min(boot, (r.part + 1) * BOOT_TASK))
+            samples = np.array([gev.draws(r.c, r.loc, r.scale, int(r.n_blocks), (seed, zlib.crc32(str(r.location).encode()), b)) for b in numbers])
+            c, loc, scale, _ = gev.fits(samples)
+            out += [pd.DataFrame({"location": r.location, "return_period": int(p), "draw": gev.quantile(1 - 1 / p, c, loc, scale)}) for p in periods]
+        return pd.concat(out)
 
     kind = dict(fits.dtypes)["location"]
     draws = work.groupBy("location", "part").applyInPandas(run, f"location {kind}, return_period int, draw double")
@@ -120,22 +126,23 @@ def trend_return_levels(maxima: DataFrame, trends: DataFrame, periods=RETURN_PER
     point = trends.select("location", "c", location_at(F.col("last_block")).alias("loc"), F.col("sigma").alias("scale"))
     levels = return_levels(point, periods).select("location", "return_period", "level")
     if boot <= 0:
-        return levels.select("*", F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
+        return _without_band(levels)
     grids = maxima.groupBy("location").agg(F.sort_array(F.collect_list(F.col("block").cast("double"))).alias("grid"))
     blocks = -(-boot // BOOT_TASK)
     work = trends.join(grids, "location").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = []
         for r in pdf.itertuples():
             x = np.asarray(r.grid, float) - r.x_mean
             parent = [r.c, r.mu0, r.slope, np.log(r.sigma)]
-            for b in range(r.part * BOOT_TASK, min(boot, (r.part + 1) * BOOT_TASK)):
-                sample = gev.draws(r.c, r.mu0 + r.slope * x, r.sigma, len(x), (seed, zlib.crc32(str(r.location).encode()), b))
-                (c, mu0, slope, log_scale), _ = gev.trend_mle(sample, x, parent)
-                loc = mu0 + slope * (r.last_block - r.x_mean)
-                rows += [(r.location, int(p), float(gev.quantile(1 - 1 / p, c, loc, np.exp(log_scale)))) for p in periods]
-        return pd.DataFrame(rows, columns=["location", "return_period", "draw"])
+            numbers = range(r.part * BOOT_TASK, min(boot, (r.part + 1) * BOOT_TASK))
+            samples = np.array([gev.draws(r.c, r.mu0 + r.slope * x, r.sigma, len(x), (seed, zlib.crc32(str(r.location).encode()), b)) for b in numbers])
+            found, _ = gev.trend_fits(samples, x, parent)
+            loc = found[:, 1] + found[:, 2] * (r.last_block - r.x_mean)
+            level = lambda p: gev.quantile(1 - 1 / p, found[:, 0], loc, np.exp(found[:, 3]))  # noqa: B023, E731
+            out += [pd.DataFrame({"location": r.location, "return_period": int(p), "draw": level(p)}) for p in periods]
+        return pd.concat(out)
 
     kind = dict(trends.dtypes)["location"]
     draws = work.groupBy("location", "part").applyInPandas(run, f"location {kind}, return_period int, draw double")

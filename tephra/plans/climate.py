@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tephra.functions import gev
 from tephra.operators import extremes, verdict
+from tephra.schemas import MIN_BLOCKS_FOR_TREND, RETURN_PERIODS
 from tephra.sources import tables
 
 
@@ -76,12 +77,27 @@ def wind_speeds(spark, sf_dir):
     return e.select("event_id", F.round(verdict.metres_per_second(F.col("value")), 6).alias("ms"), verdict.absolute_level(F.lit("wind"), F.col("value")).alias("level"))
 
 
+def _rounded(df, **digits):
+    """``df`` with these columns rounded to so many digits, further than two optimisers of one likelihood differ."""
+    return df.withColumns({c: F.round(c, n) + 0.0 for c, n in digits.items()})
+
+
 def gev_fit(spark, sf_dir):
-    return extremes.fit(_monthly(spark, sf_dir))
+    return _rounded(extremes.fit(_monthly(spark, sf_dir)), c=3, loc=2, scale=2, log_likelihood=4)
 
 
 def gev_trend_fit(spark, sf_dir):
-    return extremes.fit_trend(_monthly(spark, sf_dir))
+    fits = extremes.fit_trend(_monthly(spark, sf_dir))
+    return _rounded(fits, c=3, mu0=2, slope=3, sigma=2, x_mean=4, lr_statistic=3, p_value=4, slope_per_decade=2)
+
+
+def hazard_levels(spark, sf_dir):
+    """The hazard statistic without bands: summary, levels at the latest block, trend."""
+    found = extremes.hazard_statistics(_monthly(spark, sf_dir), boot=0, boot_trend=0)
+    level = F.explode(F.transform("return_levels", lambda r: F.struct(r["return_period"].alias("return_period"), (F.round(r["level"], 1) + 0.0).alias("level")))).alias("r")
+    trend = (F.round(F.col("trend.slope_per_decade"), 2) + 0.0, F.round(F.col("trend.p_value"), 4) + 0.0, F.col("trend.significant"), F.col("trend.evaluated_at"))
+    names = ("slope_per_decade", "p_value", "significant", "evaluated_at")
+    return found.select("location", "n_blocks", "first_block", "last_block", "record_max", *(c.alias(n) for n, c in zip(names, trend)), level).select("*", "r.*").drop("r")
 
 
 def return_levels_ci(spark, sf_dir):
@@ -97,7 +113,7 @@ def hazard_stat(spark, sf_dir):
     return extremes.hazard_statistics(_monthly(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (block_maxima, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak, risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, return_levels_ci, trend_levels_ci, hazard_stat)}
+QUERIES = {f.__name__: f for f in (block_maxima, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak, risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, hazard_levels, return_levels_ci, trend_levels_ci, hazard_stat)}
 
 _DAILY = """
 daily as (select s_nationkey as location, l_shipdate::date as day, sum(l_quantity) as precip, max(l_extendedprice) as temp from lineitem join supplier on l_suppkey = s_suppkey group by all),
@@ -109,7 +125,52 @@ _PEAKS = """
 long as (select location, day, 'precipitation_sum' as variable, precip as value from daily union all select location, day, 'temperature_2m_max', temp from daily),
 peaks as (select location, variable, max(value) as peak from long join (select location, max(day) as last from daily group by 1) using (location) where date_diff('day', day, last) < 7 group by all)"""
 
+#: Negative log-likelihood of one value under shape c, location l and log scale g, infinite off the support.
+_NLL = """case when abs(c) < 1e-8 then g + (value - l) / exp(g) + exp(-(value - l) / exp(g)) when 1 - c * (value - l) / exp(g) <= 0 then 1e200
+  else g - (1 / c - 1) * ln(1 - c * (value - l) / exp(g)) + pow(1 - c * (value - l) / exp(g), 1 / c) end"""
+# Maximum likelihood by pattern search: the best of all neighbours a step away in any of the parameters; the step halves
+# where the centre is best. An optimiser other than the operators', on the same likelihood.
+_MONTHLY = "m as (select location, year(day) * 12 + month(day) as block, max(precip) as value from daily group by all)"
+_FITS = f"""{_MONTHLY},
+st as (select location, count(*) as n_blocks, min(block) as first_block, max(block) as last_block, max(value)::double as record_max, avg(block)::double as x_mean, greatest(max(block) - avg(block), avg(block) - min(block))::double as reach,
+  stddev_pop(value) * sqrt(6.0) / pi() as sd, avg(value) as mean from m group by location),
+d as (select unnest([-1, 0, 1]) as k),
+search as (
+  select 0 as i, location, 0.0::double as c, mean - 0.5772156649 * sd as l0, ln(sd) as g, 1e300::double as v, 0.25::double as w from st
+  union all
+  select i + 1, location, best.c, best.l, best.g, best.v, case when best.moved then w else w / 2 end from (
+    select i, location, any_value(w) as w, arg_min({{'c': c, 'l': l, 'g': g, 'v': v, 'moved': moved}}, (v, moved)) as best from (
+      select i, location, any_value(w) as w, c, l, g, any_value(moved) as moved, case when abs(c) >= 1 then 1e200 else sum({_NLL}) end as v from (
+        select i, search.location, w, search.c + a.k * w as c, l0 + b.k * w * exp(search.g) as l, search.g + e.k * w as g, not (a.k = 0 and b.k = 0 and e.k = 0) as moved
+        from search, d a, d b, d e where i < 400 and w > 1e-8) n join m using (location) group by i, location, c, l, g) group by i, location)),
+fit as (select location, arg_max(c, i) as c, arg_max(l0, i) as loc, exp(arg_max(g, i)) as scale, -arg_max(v, i) as log_likelihood from search group by location)"""
+_TRENDS = f"""{_FITS},
+drift as (
+  select 0 as i, location, c, loc as l0, 0.0::double as s, ln(scale) as g, 1e300::double as v, 0.25::double as w from fit
+  union all
+  select i + 1, location, best.c, best.l0, best.s, best.g, best.v, case when best.moved then w else w / 2 end from (
+    select i, location, any_value(w) as w, arg_min({{'c': c, 'l0': l0, 's': s, 'g': g, 'v': v, 'moved': moved}}, (v, moved)) as best from (
+      select i, location, any_value(w) as w, c, l0, s, g, any_value(moved) as moved, case when abs(c) >= 1 then 1e200 else sum({_NLL}) end as v from (
+        select n.*, value, l0 + s * (block - x_mean) as l from (
+          select i, drift.location, w, drift.c + a.k * w as c, l0 + b.k * w * exp(drift.g) as l0, s + f.k * w * exp(drift.g) / reach as s, drift.g + e.k * w as g, not (a.k = 0 and b.k = 0 and e.k = 0 and f.k = 0) as moved, x_mean
+          from drift join st using (location), d a, d b, d e, d f where i < 400 and w > 1e-8) n join m using (location)) group by i, location, c, l0, s, g) group by i, location)),
+tr as (select location, arg_max(drift.c, i) as c, arg_max(l0, i) as mu0, arg_max(s, i) as slope, exp(arg_max(g, i)) as sigma, -arg_max(v, i) as drifting from drift group by location),
+lr as (select tr.*, greatest(0, 2 * (drifting - log_likelihood)) as lr_statistic, sqrt(greatest(0, 2 * (drifting - log_likelihood)) / 2) as z, 1 / (1 + 0.3275911 * sqrt(greatest(0, 2 * (drifting - log_likelihood)) / 2)) as t from tr join fit using (location)),
+trends as (select *, (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z) as p_value from lr)"""
+_LEVEL = "case when abs(c) < 1e-8 then l - g * ln(-ln(1 - 1.0::double / t)) else l + g * (1 - pow(-ln(1 - 1.0::double / t), c)) / c end"
+
 ORACLES = {
+    "gev_fit": f"with recursive {_DAILY}, {_FITS} select location, round(c, 3) + 0.0 as c, round(loc, 2) as loc, round(scale, 2) as scale, round(log_likelihood, 4) as log_likelihood, n_blocks from fit join st using (location)",
+    "gev_trend_fit": f"""with recursive {_DAILY}, {_TRENDS}
+select location, round(c, 3) + 0.0 as c, round(mu0, 2) as mu0, round(slope, 3) + 0.0 as slope, round(sigma, 2) as sigma, round(x_mean, 4) as x_mean, round(lr_statistic, 3) as lr_statistic, round(p_value, 4) as p_value, last_block::double as last_block,
+  round(slope * 10, 2) + 0.0 as slope_per_decade, p_value < 0.05 as significant from trends join st using (location)""",
+    "hazard_levels": f"""with recursive {_DAILY}, {_TRENDS},
+long as (select * from trends join (select location from st where n_blocks >= {MIN_BLOCKS_FOR_TREND}) using (location)),
+used as (select location, case when p_value < 0.05 then long.c else fit.c end as c, case when p_value < 0.05 then mu0 + slope * (last_block - x_mean) else loc end as l, case when p_value < 0.05 then sigma else scale end as g
+  from fit join st using (location) left join long using (location)),
+periods as (select unnest([{", ".join(map(str, RETURN_PERIODS))}])::int as t)
+select location, n_blocks, first_block, last_block, record_max, round(slope * 10, 2) + 0.0 as slope_per_decade, round(p_value, 4) as p_value, p_value < 0.05 as significant, case when p_value < 0.05 then last_block::double end as evaluated_at, t as return_period, round({_LEVEL}, 1) as level
+from used join st using (location) left join (select location, slope, p_value from long) using (location), periods""",
     "block_maxima": f"with {_DAILY} select location, block, round(value, 6) as value, n_blocks, first_block, last_block, round(record_max, 6) as record_max from maxima join summary using (location)",
     "return_level_curve": f"with {_DAILY} select location, return_period, round(level, 4) as level from levels",
     "return_period_of_peak": f"with {_DAILY} select location, round(1 / (1 - exp(-exp(-(record_max - loc) / scale))), 4) as return_period from gum join summary using (location)",

@@ -22,7 +22,36 @@ def test_fit_is_a_local_optimum():
     c, loc, scale, likelihood = gev.fit(np.array(MAXIMA))
     for d in (-0.01, 0.01):
         for shift in ((d, 0, 0), (0, d * 50, 0), (0, 0, d)):
-            assert -gev.negative_log_likelihood(np.array(MAXIMA), c + shift[0], loc + shift[1], math.log(scale) + shift[2]) <= likelihood + 1e-6
+            moved = (np.array([x]) for x in (c + shift[0], loc + shift[1], math.log(scale) + shift[2]))
+            assert -gev.negative_log_likelihood(np.array([MAXIMA]), *moved)[0] <= likelihood + 1e-6
+
+
+def test_likelihood_by_its_density():
+    """Against the sum of log densities, value by value."""
+    for c in (-0.4, -1e-9, 0.0, 0.2, 0.7):
+        loc, scale = 3.0, 1.5
+        y = gev.draws(c, loc, scale, 20, (4, 4))
+        total = 0.0
+        for v in y:
+            z = (v - loc) / scale
+            t = math.exp(-z) if abs(c) < 1e-8 else (1 - c * z) ** (1 / c)
+            total -= math.log(t ** (1 - (0 if abs(c) < 1e-8 else c)) * math.exp(-t) / scale)
+        got = gev.negative_log_likelihood(y[None, :], np.array([c]), np.array([loc]), np.array([math.log(scale)]))[0]
+        assert got == pytest.approx(total, abs=1e-9)
+    assert np.isinf(gev.negative_log_likelihood(np.array([[1.0, 99.0]]), np.array([0.5]), np.array([0.0]), np.array([0.0]))).all()
+
+
+def test_fits_in_company_are_fits_alone():
+    rng = np.random.default_rng(5)
+    samples = np.array([gev.draws(c, 10, 2, 40, (9, k)) for k, c in enumerate(rng.uniform(-0.3, 0.3, 25))] + [np.full(40, 7.0), np.r_[np.zeros(39), 1e6]])
+    together = np.array(gev.fits(samples))
+    for k, y in enumerate(samples):
+        assert np.array(gev.fit(y)) == pytest.approx(together[:, k], nan_ok=True, abs=1e-9)
+    x = np.arange(40.0) - 19.5
+    found, likelihood = gev.trend_fits(samples[:25], x, [0.0, 10.0, 0.0, 0.7])
+    for k in range(25):
+        one, least = gev.trend_fits(samples[k : k + 1], x, [0.0, 10.0, 0.0, 0.7])
+        assert one[0] == pytest.approx(found[k], abs=1e-9) and least[0] == pytest.approx(likelihood[k], abs=1e-9)
 
 
 def test_trend():
@@ -129,9 +158,37 @@ def test_answers_use_the_guard_and_the_cache(spark):
     got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model).collect()}
     assert got[1].citations == ["s#p1#0"] and got[2].abstain and "drought" in got[2].abstain_reason
     packed = spark.sql("select 'rain?' q, array(named_struct('chunk_id', 's#p1#0', 'text', 'rain will rise')) c")
-    cache = packed.select(answers.answer_key("model", F.col("q"), F.col("c")).alias("key"), F.lit('{"answer": "cached", "citations": ["s#p1#0"], "abstain": false}').alias("raw"))
-    got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model, cache).collect()}
+    cache = packed.select(answers.answer_key("m1", F.col("q"), F.col("c")).alias("key"), F.lit('{"answer": "cached", "citations": ["s#p1#0"], "abstain": false}').alias("raw"))
+    got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model, cache, name="m1").collect()}
     assert got[1].answer == "cached"
+    got = {r.qid: r for r in api.answer_evidence(q, chunks, answers.extractive_model, cache, name="m2").collect()}
+    assert got[1].answer == "rain will rise"  # two models share no answers
+
+
+def test_evidence_is_fused_where_there_are_vectors(spark):
+    def embedder(texts):
+        if any("fails" in t for t in texts):
+            raise RuntimeError("no vector")
+        return [[1.0, 0.0] if "rain" in t else [0.0, 1.0] for t in texts]
+
+    chunks = spark.createDataFrame([(1, "s#p1#0", "s", 1, "rain will rise"), (2, "s#p2#0", "s", 2, "more wet days"), (3, "s#p3#0", "s", 3, "question heat")], "ord long, chunk_id string, source string, page int, text string")
+    vectors = spark.createDataFrame([(1, [0.9, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "ord long, embedding array<float>")
+    q = spark.createDataFrame([("a", "rain rise"), ("b", "heat fails")], "qid string, text string")  # ids of any type
+    got = [(r.qid, r.chunk_id, r.retrieval_mode) for r in api.search_evidence(q, chunks, vectors=vectors, embedder=embedder).orderBy("qid", "rank").collect()]
+    assert [x for x in got if x[0] == "a"] == [("a", "s#p1#0", "hybrid"), ("a", "s#p2#0", "hybrid"), ("a", "s#p3#0", "hybrid")]
+    assert [x for x in got if x[0] == "b"] == [("b", "s#p3#0", "bm25_only")]  # its vector failed, the others' didn't
+    broken = [(r.qid, r.retrieval_mode) for r in api.search_evidence(q, chunks, vectors=vectors, embedder=lambda xs: 1 / 0).collect()]
+    assert {m for _, m in broken} == {"bm25_only"} and answers.embedding_available(lambda xs: 1 / 0)[0] is False
+    assert answers.embedding_available(embedder) == (True, "dense retrieval available, 2 dimensions") and not answers.embedding_available(None)[0]
+    found = {r.qid: r for r in pipeline.answered(q, chunks, answers.extractive_model, 2, vectors=vectors, embedder=embedder).collect()}
+    assert found["a"].answer == "rain will rise" and found["b"].citations == ["s#p3#0"]
+
+
+def test_a_question_without_evidence_is_answered_too(spark):
+    chunks = spark.createDataFrame([(1, "s#p1#0", "s", 1, "rain")], "ord long, chunk_id string, source string, page int, text string")
+    q = spark.createDataFrame([(1, "snow"), (2, ""), (3, None)], "qid long, text string")
+    got = {r.qid: r for r in pipeline.answered(q, chunks, answers.extractive_model, 2).collect()}
+    assert (got[1].status, got[1].abstain, got[1].abstain_reason) == ("ok", True, "no excerpts") and got[2].abstain
 
 
 def test_embeddings_go_through_the_cache(spark):
