@@ -64,7 +64,7 @@ def reports(runs: DataFrame) -> DataFrame:
     by_period = F.map_from_entries(F.col("return_levels"))
     grounded = F.when(matches, level_by_return_period(F.col("peak"), F.transform_values(by_period, lambda _, v: v)))
     level = F.coalesce(grounded, absolute_level(F.col("hazard"), F.col("peak")))
-    ms = F.format_number(metres_per_second(F.col("peak")), 1)
+    ms = F.format_string("%.1f", metres_per_second(F.col("peak")))
     detail = F.when(F.col("hazard") == "extreme_precip", F.format_string("max daily %s mm", "peak")).when(F.col("hazard") == "heatwave", F.format_string("max daily %s °C", "peak")).otherwise(F.format_string("max daily %s km/h (%s m/s)", F.col("peak"), ms))
     factor = F.element_at(_map({"extreme_precip": "precipitation", "heatwave": "temperature", "wind": "wind"}), F.col("hazard"))
     text = levels_text(F.col("return_levels"))

@@ -10,6 +10,33 @@ from tephra.plans.corpus import _lexical
 from tephra.sources import tables
 
 
+def answered_questions(spark, sf_dir):
+    """Benchmark items as questions, and some out of scope, through guard, fused retrieval, model and checks.
+
+    Chunks are the cleaned pages; the n-th query vector stands for question n, questions without one are searched by words.
+    """
+    from tephra.plans import pipeline
+
+    items = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    asked = items.unionByName(spark.createDataFrame([(-1, "How do droughts change?"), (-2, "Hail or heat?"), (-3, "")], "qid long, text string"))
+    pages = tables.cleaned_pages(spark, sf_dir)
+    chunks = pages.select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"), "source", "page", "text")
+    vectors = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding").join(chunks.select("ord"), "ord", "left_semi")
+    of_questions = tables.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.expr("vec_id div 20").alias("qid"), "embedding")
+    found = pipeline.answered(asked, chunks, answers.extractive_model, 3, vectors=vectors, question_vectors=of_questions)
+    return found.select("qid", "status", "answer", F.array_join("citations", ",").alias("citations"), "abstain", "abstain_reason", F.size("unknown").alias("n_unknown"))
+
+
+def evidence_search(spark, sf_dir):
+    """The search tool: as many chunks as each question asks for, within its bounds."""
+    from tephra.plans import api
+
+    items = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", (F.col("item_id") % 14 - 2).cast("int").alias("top_k"))
+    pages = tables.cleaned_pages(spark, sf_dir)
+    chunks = pages.select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"), "source", "page", "text")
+    return api.search_evidence(items, chunks).select("qid", "rank", "chunk_id", F.md5("text").alias("digest"), "retrieval_mode")
+
+
 def number_provenance(spark, sf_dir):
     """Numbers of each page against those of the next page of its source."""
     pages = tables.corpus_pages(spark, sf_dir)
@@ -189,12 +216,12 @@ def forecast_rows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    number_provenance, citation_integrity, citation_hits, refusal_matrix, trust_rates, claim_support, slice_quota, dataset_overlap, batch_upsert, gold_canonical, dataset_hash, outcome_stability, outcome_keys, telemetry_rollup, telemetry_report,
+    answered_questions, evidence_search, number_provenance, citation_integrity, citation_hits, refusal_matrix, trust_rates, claim_support, slice_quota, dataset_overlap, batch_upsert, gold_canonical, dataset_hash, outcome_stability, outcome_keys, telemetry_rollup, telemetry_report,
     span_summary, cost_estimate, transient_errors, cache_hit_miss, vector_keys, statistic_keys, prompt_build, answer_pages, scope_refusals, tool_top_k, forecast_rows,
 )}
 
 from tephra.plans.climate import _DAILY  # noqa: E402
-from tephra.plans.corpus import _CLEAN, _LEXICAL, _PAGES  # noqa: E402
+from tephra.plans.corpus import _CLEAN, _FUSED, _LEXICAL, _PAGES, _SEMANTIC, _lexical_sql  # noqa: E402
 from tephra.plans.front import _QUESTIONS, _SCOPE  # noqa: E402
 
 _NUM = "list_distinct(regexp_extract_all({}, '[0-9]+(?:\\.[0-9]+)?'))"
@@ -214,6 +241,15 @@ def _rollup(by: str) -> str:
 
 
 ORACLES = {
+    "answered_questions": f"""with {_PAGES}, q as (select item_id as qid, text from benchmark union all select * from (values (-1, 'How do droughts change?'), (-2, 'Hail or heat?'), (-3, ''))),
+guard as (select qid, text, {_SCOPE} as oos from q), live as (select qid, text from guard where oos is null), {_lexical_sql("pages", "live")},
+{_SEMANTIC.replace("unit q, unit d where q.ord % 20 = 0", "unit q, unit d where q.ord % 20 = 0 and d.ord in (select doc_id from pages)")}, {_FUSED},
+top as (select qid, ord from fused where rank = 1 and qid in (select qid from sem) and qid in (select qid from live) union all select qid, ord from lex where rank = 1 and qid not in (select qid from sem))
+select qid, 'ok' as status, case when oos is null and ord is not null then left(p.text, 400) else '' end as answer, case when oos is null and ord is not null then source || '#p' || page || '#0' else '' end as citations,
+  oos is not null or ord is null as abstain, case when oos is not null then 'Out of scope: this system assesses heatwave, extreme precipitation, wind only, and the question concerns ' || oos || '.' when ord is null then 'no excerpts' else '' end as abstain_reason, 0 as n_unknown
+from guard left join top using (qid) left join pages p on p.doc_id = ord""",
+    "evidence_search": f"""with {_PAGES}, {_lexical_sql("pages")}
+select qid, rank, source || '#p' || page || '#0' as chunk_id, md5(text) as digest, 'bm25_only' as retrieval_mode from lex join pages on doc_id = ord where rank <= greatest(1, least(10, qid % 14 - 2))""",
     "number_provenance": f"with p as (select doc_id, source, row_number() over (partition by source order by doc_id) as page, text from documents) select a.doc_id, len({_NUM.format('a.text')}) as n_numbers, len(list_filter({_NUM.format('a.text')}, lambda x: not list_contains(coalesce({_NUM.format('b.text')}, []), x))) = 0 as ok from p a left join p b on a.source = b.source and b.page = a.page + 1",
     "citation_integrity": """select event_id as qid, case event_id % 6 when 0 then 'ok' when 1 then 'invalid_citation' when 2 then 'uncited' when 3 then 'ok' else 'malformed' end as status,
   case event_id % 6 when 0 then 'a' || event_id when 1 then 'b' when 2 then 'c' when 3 then '' end as answer, case event_id % 6 when 0 then false when 1 then false when 2 then false when 3 then true end as abstain,

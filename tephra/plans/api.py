@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +46,19 @@ def metrics(events: DataFrame, prices: DataFrame) -> DataFrame:
     return telemetry.summarize(events, prices, ["op"])
 
 
-def search_evidence(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, rank, chunk_id, source, page, text): the best chunks; ``top_k`` of each question, if any, held to 1..10."""
+def search_evidence(questions: DataFrame, chunks: DataFrame, **retrieval_by) -> DataFrame:
+    """(qid, rank, chunk_id, source, page, text, retrieval_mode): the best chunks, fused where there are vectors.
+
+    ``top_k`` of each question, if any, is held to 1..10.
+    """
     k = answers.clamped_top_k(F.coalesce("top_k", F.lit(SEARCH_TOP_K)) if "top_k" in questions.columns else F.lit(SEARCH_TOP_K))
-    ranked = retrieval.bm25(chunks, questions.select("qid", "text"), answers.MAX_TOP_K).join(questions.select("qid", k.alias("k")), "qid").where("rank <= k")
-    return ranked.join(chunks, "ord").select("qid", "rank", "chunk_id", "source", "page", "text")
+    found = pipeline.retrieved(questions.select("qid", "text"), chunks, answers.MAX_TOP_K, **retrieval_by)
+    ranked = found.join(questions.select("qid", k.alias("k")), "qid").where("rank <= k")
+    return ranked.join(chunks, "ord").select("qid", "rank", "chunk_id", "source", "page", "text", "retrieval_mode")
 
 
-def answer_evidence(questions: DataFrame, chunks: DataFrame, model: Callable[[list[str]], list[str]], cache: DataFrame | None = None) -> DataFrame:
-    return pipeline.answered(questions, chunks, model, ANSWER_TOP_K, cache)
+def answer_evidence(questions: DataFrame, chunks: DataFrame, model: pipeline.Model, cache: DataFrame | None = None, **more) -> DataFrame:
+    return pipeline.answered(questions, chunks, model, ANSWER_TOP_K, cache, **more)
 
 
 def climatology(requests: DataFrame, daily: DataFrame, boot: int = extremes.BOOT) -> DataFrame:

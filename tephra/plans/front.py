@@ -83,6 +83,14 @@ def assess_nl(spark, sf_dir):
     return r.select("qid", "location", "hazard", "horizon_days", "risk_level", "confidence", "refusal", F.size("drivers").alias("n_drivers"), F.size("citations").alias("n_citations"), "grounding_status")
 
 
+def report_text(spark, sf_dir):
+    """What a reader sees: summary, drivers and cited pages of each report."""
+    r = verdict.reports(_runs(spark, sf_dir)).where("refusal is null")
+    drivers = F.array_join(F.transform("drivers", lambda d: F.concat(d["factor"], F.lit("="), d["detail"])), "; ")
+    pages = F.array_join(F.transform("citations", lambda c: F.concat(c["source"], F.lit(" "), c["locator"])), ", ")
+    return r.select("qid", "summary", drivers.alias("drivers"), pages.alias("citations"))
+
+
 def report_invariants(spark, sf_dir):
     r = verdict.reports(_runs(spark, sf_dir))
     broken = r.withColumns({"confidence": F.when(F.col("qid") % 3 == 0, F.lit(1.5)).otherwise(F.col("confidence")), "horizon_days": F.when(F.col("qid") % 4 == 0, F.lit(0)).otherwise(F.col("horizon_days"))})
@@ -110,7 +118,7 @@ def request_status(spark, sf_dir):
     return api.request_status(r, "key").groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation, evidence_questions, assess_nl, report_invariants, report_checks, request_status)}
+QUERIES = {f.__name__: f for f in (scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation, evidence_questions, assess_nl, report_text, report_invariants, report_checks, request_status)}
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _QUESTIONS = f"""
@@ -142,7 +150,7 @@ from tephra.plans.climate import _DAILY, _PEAKS  # noqa: E402
 _RUNS = f"""{_LOCATED}, {_DAILY}, {_PEAKS},
 pk as (select location as nation, max(peak) filter (where variable = 'precipitation_sum') as precip_peak, max(peak) filter (where variable = 'temperature_2m_max') as temp_peak from peaks group by 1),
 lv as (select location as nation, round(max(level) filter (where return_period = 10), 2) as l10, round(max(level) filter (where return_period = 50), 2) as l50, round(max(level) filter (where return_period = 100), 2) as l100 from levels group by 1),
-runs as (select qid, l.location, hazard, horizon_days, refusal, round(case hazard when 'heatwave' then temp_peak when 'extreme_precip' then precip_peak else precip_peak / 2 end, 2) as peak, hazard in ('heatwave', 'wind') and l10 is not null as has_stat, l10, l50, l100, qid % 20 = 0 as answered
+runs as (select qid, l.location, hazard, horizon_days, refusal, round(case hazard when 'heatwave' then temp_peak when 'extreme_precip' then precip_peak else precip_peak / 2 end, 2) as peak, hazard in ('heatwave', 'wind') and l10 is not null as has_stat, l10, l50, l100, qid % 20 = 0 as answered, nation
   from located l left join pk using (nation) left join lv using (nation)),
 rep as (select qid, location, hazard, horizon_days, refusal,
   case when refusal is not null or peak is null then null when hazard = 'heatwave' and has_stat then case when peak >= l100 then 'SEVERE' when peak >= l50 then 'HIGH' when peak >= l10 then 'MODERATE' else 'LOW' end
@@ -167,6 +175,16 @@ select id, ['AAA', 'BBB', 'CCC', 'DDD'][r + 1] as acronym, case when r is not nu
     "input_validation": "select c_custkey, c_acctbal / 50 between -90 and 90 and c_acctbal / 25 between -180 and 180 as coordinates_ok, c_custkey % 20 between 1 and 16 as horizon_ok from customer",
     "evidence_questions": f"with {_LOCATED} select qid, 'How are ' || case hazard when 'heatwave' then 'hot extremes and extreme heat' when 'extreme_precip' then 'heavy precipitation and extreme rainfall' else 'mean wind speed and wind extremes' end || ' projected to change in intensity and frequency over ' || location || ' at higher global warming levels?' as question from located where refusal is null",
     "assess_nl": f"with {_RUNS} select * from rep",
+    "report_text": f"""with {_RUNS},
+t as (select r.qid, r.hazard, r.horizon_days, peak::varchar as peak, has_stat, answered, risk_level, n_blocks, printf('%.1f', peak / 3.6) as ms, '10yr=' || round(l10, 1)::varchar || ', 50yr=' || round(l50, 1)::varchar || ', 100yr=' || round(l100, 1)::varchar as levels
+  from runs r join rep using (qid) left join summary s on s.location = r.nation where r.refusal is null)
+select qid,
+  case hazard when 'extreme_precip' then 'Peak daily rainfall of ' || peak || ' mm over ' || horizon_days || ' days.' when 'heatwave' then 'Peak daily max temperature of ' || peak || ' °C over ' || horizon_days || ' days.' else 'Peak daily wind of ' || peak || ' km/h (' || ms || ' m/s) over ' || horizon_days || ' days.' end
+    || case when has_stat then ' ERA5 return levels (' || levels || ').' else '' end || case when answered then ' IPCC AR6: as assessed.' else '' end as summary,
+  case hazard when 'extreme_precip' then 'precipitation=max daily ' || peak || ' mm' when 'heatwave' then 'temperature=max daily ' || peak || ' °C' else 'wind=max daily ' || peak || ' km/h (' || ms || ' m/s)' end
+    || case when has_stat and hazard = 'heatwave' then '; climatology=' || n_blocks || '-yr ERA5 GEV (temperature_2m_max); severity_basis=forecast peak ' || peak || ' x vs GEV return levels (' || levels || ') -> ' || risk_level
+      when has_stat then '; climatology=' || n_blocks || '-yr ERA5 GEV (wind_gusts_10m_max); severity_basis=absolute thresholds (forecast/climatology variable mismatch: wind_speed_10m_max vs wind_gusts_10m_max)' else '' end as drivers,
+  case when answered then 'A p1, B p2' else '' end as citations from t""",
     "report_invariants": f"""with {_RUNS}, b as (select qid, hazard, risk_level, refusal, case when qid % 3 = 0 then 1.5 else confidence end as c, case when qid % 4 = 0 then 0 else horizon_days end as h from rep)
 select qid, array_to_string(list_filter([case when (risk_level is null) = (refusal is null) then 'exactly_one_of_level_and_refusal' end, case when hazard is null and refusal is null then 'hazard_missing_without_refusal' end, case when h <= 0 then 'horizon_not_positive' end, case when c not between 0 and 1 then 'confidence_out_of_range' end], lambda x: x is not null), ',') as violations from b""",
     "report_checks": f"with {_RUNS} select qid, '' as failed from rep where refusal is null and risk_level is not null",

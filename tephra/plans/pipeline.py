@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,15 +12,22 @@ from tephra.functions.text import evidence_question
 from tephra.operators import answers, evaluation, extremes, places, retrieval, verdict
 from tephra.schemas import FORECAST_SERIES, HAZARD_SERIES, HAZARD_UNITS
 
+Model = Callable[[list[str]], list[str]]
+Embedder = Callable[[list[str]], list[list[float]]]
+_log = logging.getLogger(__name__)
 _TREND = "struct<significant: boolean, slope_per_decade: double, p_value: double, evaluated_at: double>"
 
 
-def assess(questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily: DataFrame, forecast: DataFrame, chunks: DataFrame | None = None, model: Callable[[list[str]], list[str]] | None = None, boot: int = extremes.BOOT, top_k: int = 8) -> DataFrame:
+def assess(
+    questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily: DataFrame, forecast: DataFrame, chunks: DataFrame | None = None,
+    model: Model | None = None, boot: int = extremes.BOOT, top_k: int = 8, **retrieval_by,
+) -> DataFrame:
     """One report for each free-text question (qid, text): parse, locate, fit, compare, cite.
 
     ``daily`` and ``forecast`` have latitude, longitude, day, variable, value; ``chunks`` has ord, chunk_id, source, page and
     text. Refused questions never reach a fit or a model. A location without a series still gets a report, on fixed
-    thresholds; without chunks or a model reports are ungrounded.
+    thresholds. What fails without taking the report along: without chunks or a model, or where the model's output can't be
+    used, it is ungrounded and says so; ``retrieval_by`` goes to :func:`answered`. Malformed tables fail the whole plan.
     """
     asked = places.located(questions, gazetteer, regions)
     live = asked.where("refusal is null")
@@ -40,7 +48,7 @@ def assess(questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily
     run = keyed.join(peaks, "qid", "left").join(stats.withColumnRenamed("location", "place_key"), "place_key", "left")
     if chunks is not None and model is not None:
         evidence = live.select("qid", evidence_question(F.col("hazard"), F.col("location")).alias("text"))
-        found = answered(evidence, chunks, model, top_k)
+        found = answered(evidence, chunks, model, top_k, **retrieval_by)
         cited = answers.cited_pages(found.where("status = 'ok' and not abstain"))
         pages = cited.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "page"))), lambda c: F.struct(c["source"].alias("source"), c["page"].alias("page"))).alias("citations"))
         grounded = found.where("status = 'ok' and not abstain").select("qid", "answer").join(pages, "qid")
@@ -55,22 +63,52 @@ def assess(questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily
     )
 
 
-def answered(questions: DataFrame, chunks: DataFrame, model: Callable[[list[str]], list[str]], top_k: int = 8, cache: DataFrame | None = None) -> DataFrame:
+def retrieved(
+    questions: DataFrame, chunks: DataFrame, top_k: int, vectors: DataFrame | None = None, embedder: Embedder | None = None,
+    question_vectors: DataFrame | None = None, vector_cache: DataFrame | None = None,
+) -> DataFrame:
+    """(qid, ord, rank, retrieval_mode): fused lexical and dense rankings, lexical ones where a question has no vector.
+
+    ``vectors`` has ord and embedding of the chunks. Questions come with ``question_vectors`` (qid, embedding), or an embedder
+    makes them, probed first. Without either, or where the probe fails, all rankings are lexical and a warning says why.
+    """
+    lexical = retrieval.bm25(chunks, questions, max(top_k, retrieval.CANDIDATES))
+    if question_vectors is None and vectors is not None:
+        ok, detail = answers.embedding_available(embedder)
+        if ok:
+            question_vectors, _ = answers.embedded(questions.select("qid", "text"), embedder, "RETRIEVAL_QUERY", vector_cache)
+        else:
+            _log.warning("%s: retrieval is lexical only", detail)
+    if vectors is None or question_vectors is None:
+        return lexical.where(F.col("rank") <= top_k).select("qid", "ord", "rank", F.lit("bm25_only").alias("retrieval_mode"))
+    asked = question_vectors.join(questions.select("qid"), "qid", "left_semi")
+    return retrieval.retrieve(lexical, retrieval.cosine(vectors, asked), top_k)
+
+
+def answered(
+    questions: DataFrame, chunks: DataFrame, model: Model, top_k: int = 8, cache: DataFrame | None = None, name: str = "offline", **retrieval_by
+) -> DataFrame:
     """(qid, status, answer, citations, abstain, abstain_reason, unknown): guard, retrieve, cache, model, check.
 
-    Questions that the guard refuses abstain before any retrieval. ``cache`` has key and raw; only misses reach the model.
+    Questions that the guard refuses abstain before any retrieval. ``cache`` has key and raw; only misses reach the model,
+    whose ``name`` is part of the key. ``retrieval_by`` goes to :func:`retrieved`.
     """
     guarded = answers.scope_refusals(questions)
     live = questions.join(guarded.where("not refused").select("qid"), "qid", "left_semi")
-    ranked = retrieval.bm25(chunks, live, top_k).join(chunks, "ord").join(live.withColumnRenamed("text", "question"), "qid")
-    packed = ranked.groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("c"))
-    keyed = packed.select("qid", answers.answer_key("model", F.col("question"), F.col("c")).alias("key"), F.transform("c", lambda c: c["chunk_id"]).alias("allowed_ids"))
+    found = retrieved(live, chunks, top_k, **retrieval_by)
+    # Questions for which nothing is found reach the model too, with no excerpts.
+    ranked = live.withColumnRenamed("text", "question").join(found.join(chunks, "ord"), "qid", "left")
+    excerpt = F.when(F.col("chunk_id").isNotNull(), F.struct("rank", "chunk_id", "text"))
+    packed = ranked.groupBy("qid", "question").agg(F.array_sort(F.collect_list(excerpt)).alias("c"))
+    key = answers.answer_key(name, F.col("question"), F.col("c")).alias("key")
+    keyed = packed.select("qid", key, F.transform("c", lambda c: c["chunk_id"]).alias("allowed_ids"))
     prompts = answers.prompts(ranked.select("qid", "question", "rank", "chunk_id", "source", "page", "text"))
     if cache is None:
-        raw = answers.call_model(prompts, model).select("qid", "raw")
+        raw = answers.call_model(prompts, model, name=name).select("qid", "raw")
     else:
         hits, misses = answers.split_by_cache(keyed.select("qid", "key"), cache)
-        raw = hits.select("qid", "raw").unionByName(answers.call_model(prompts.join(misses.select("qid"), "qid", "left_semi"), model).select("qid", "raw"))
+        asked = prompts.join(misses.select("qid"), "qid", "left_semi")
+        raw = hits.select("qid", "raw").unionByName(answers.call_model(asked, model, name=name).select("qid", "raw"))
     checked = answers.checked_answers(raw.join(keyed.select("qid", "allowed_ids"), "qid"))
     refused = guarded.where("refused").select("qid", F.lit("ok").alias("status"), F.lit("").alias("answer"), F.array().cast("array<string>").alias("citations"), F.lit(True).alias("abstain"), "abstain_reason", F.array().cast("array<string>").alias("unknown"))
     return checked.unionByName(refused)

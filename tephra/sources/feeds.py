@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,55 @@ from tephra.operators.chunking import chunk_pages, pages_of
 from tephra.schemas import FORECAST, FORECAST_SERIES, GOLD_QUESTION, TELEMETRY
 
 
+#: Tries of a request and seconds before the second one, doubled before each further one.
+TRIES, PAUSE = 3, 0.5
+
+
+class RequestError(Exception):
+    """What a fetcher raises: the status of a response, or none where the transport failed."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
+
+
+def fetched(requests: DataFrame, fetch: Callable[[dict], str], tries: int = TRIES, pause: Callable[[int], None] | None = None) -> DataFrame:
+    """The requests with body, error and tries: one response each through a pluggable fetcher, in Arrow batches.
+
+    ``fetch`` gets a request's columns and returns the body, or raises :class:`RequestError`. A failed transport, status 429
+    and statuses from 500 on are tried again, ``tries`` times in all; any other failure, or the last, is a row with an error.
+    """
+    pause = pause or (lambda n: time.sleep(PAUSE * 2**n))
+    columns = requests.columns
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for request in pdf.to_dict("records"):
+                body = error = None
+                for n in range(tries):
+                    try:
+                        body, error = fetch(request), None
+                        break
+                    except RequestError as e:
+                        error = str(e)
+                        if e.status is not None and e.status != 429 and e.status < 500:
+                            break
+                        if n + 1 < tries:
+                            pause(n)
+                rows.append((*(request[c] for c in columns), body, error, n + 1))
+            yield pd.DataFrame(rows, columns=[*columns, "body", "error", "tries"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema]
+    return requests.mapInPandas(run, ", ".join([*kinds, "body string", "error string", "tries int"]))
+
+
+def forecast_bodies(responses: DataFrame) -> DataFrame:
+    """Forecast responses out of the bodies of :func:`fetched`; rows without one are left out."""
+    found = responses.where("body is not null").select(F.from_json("body", FORECAST).alias("r"))
+    return found.select("r.*")
+
+
 def forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Forecast responses (JSON, one a line or a file) with the location they answer for."""
     return spark.read.schema(FORECAST).option("multiLine", True).json(path)

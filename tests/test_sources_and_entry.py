@@ -34,6 +34,48 @@ def test_forecast_and_archive(spark, tmp_path):
     assert [r.value for r in feeds.archive_long(spark, str(tmp_path / "a.json"), "precipitation_sum").orderBy("day").collect()] == [3.0, None]
 
 
+def test_fetch_tries_again_where_that_helps(spark):
+    def fetch(request):
+        if request["id"] == 1:
+            return '{"latitude": 1.5, "longitude": 2.5, "timezone": "UTC", "daily": {"time": ["2024-01-01"], "precipitation_sum": [1.0], "temperature_2m_max": [30.0], "wind_speed_10m_max": [5.0]}}'
+        raise feeds.RequestError(f"status {request['id']}", request["id"] if request["id"] > 9 else None)
+
+    asked = spark.createDataFrame([(1, 0.5), (2, 0.5), (404, 0.5), (429, 0.5), (503, None)], "id int, latitude double")
+    got = {r.id: r for r in feeds.fetched(asked, fetch, pause=lambda n: None).collect()}
+    assert {k: (r.error, r.tries) for k, r in got.items()} == {1: (None, 1), 2: ("status 2", 3), 404: ("status 404", 1), 429: ("status 429", 3), 503: ("status 503", 3)}
+    rows = feeds.forecast_long(feeds.forecast_bodies(feeds.fetched(asked, fetch, pause=lambda n: None))).collect()
+    assert sorted(r.value for r in rows) == [1.0, 5.0, 30.0]
+
+
+def test_scratch_tables_need_a_shared_folder_and_are_deleted(spark, monkeypatch, tmp_path):
+    from tephra.sources import scratch
+
+    df = scratch.materialized(spark.range(3), "scratch-test")
+    path = df._tephra_path.removeprefix("file://").removeprefix("file:")
+    assert df.count() == 3 and os.path.isdir(path)
+    scratch.discard(df)
+    assert not os.path.exists(path)
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Session())
+    Session.conf["spark.master"] = "local[2]"
+    assert scratch.shared_folder(Session()) == Session.conf["spark.checkpoint.dir"]
+    Session.conf = Conf({"spark.master": "spark://somewhere:7077", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert scratch.shared_folder(Session()) == "hdfs://x/y"
+
+
+def test_artifact(spark, tmp_path):
+    feeds.write_artifact(spark.createDataFrame([("s", 0.5)], "slice string, mrr double"), str(tmp_path / "a"), set="dev", model="m")
+    (r,) = spark.read.json(str(tmp_path / "a")).collect()
+    assert (r.slice, r.mrr, r["set"], r.model) == ("s", 0.5, "dev", "m")
+
+
 def test_gold_set_in_both_forms(spark, tmp_path):
     q = '{"id": "a", "slice": "single_page", "question": "q", "answerable": true, "expected_behavior": "answer", "gold_pages": [{"source": "s", "page": 1}], "supporting_quote": "", "notes": ""}'
     (tmp_path / "object.json").write_text('{"questions": [' + q + "]}")
