@@ -1,8 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by numpy SGD.
 
-A text's features are the 1- to 4-character substrings of its words (A-Z lower-cased, with a mark at both word ends),
-counted in bytes of UTF-8 and hashed into ``BUCKETS`` rows of an embedding table; their mean goes through a linear layer
-and a softmax. Training is mini-batch stochastic gradient descent on a bounded sample of labelled rows. As the layers are
+A text's features are its words and their substrings of 2 to 4 bytes of UTF-8 (A-Z lower-cased, told apart at the start and
+the end of a word), hashed into ``BUCKETS`` rows of an embedding table; their mean goes through a linear layer and a softmax. Training is mini-batch stochastic gradient descent on a bounded sample of labelled rows. As the layers are
 linear, the trained model is folded into one table of class scores per bucket, so that a prediction is a table look-up and
 a mean over the whole text. A temperature and two rejection thresholds are fitted on a part of the sample kept from
 training: one for the score of the likeliest language, one for the text's familiarity, the mean log2 of how much more often
@@ -135,17 +134,20 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions
             rows = chosen[i : i + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
+            # Sums by reduceat over sorted rows: large products would go to the threads of a BLAS, which fight for a busy driver.
             ids, weight = (np.concatenate([bags[r][k] for r in rows]) for k in (0, 1))
             who = np.repeat(np.arange(len(rows)), n[rows])
-            hidden = np.zeros((len(rows), dimensions), np.float32)
-            np.add.at(hidden, who, embed[ids] * weight[:, None])
+            hidden = np.add.reduceat(embed[ids] * weight[:, None], np.cumsum(n[rows]) - n[rows])
             wrong = softmax(hidden @ layer + bias).astype(np.float32)
             wrong[np.arange(len(rows)), target[rows]] -= 1
             wrong /= len(rows)
             back_to = wrong @ layer.T
             layer -= rate * hidden.T @ wrong
             bias -= rate * wrong.sum(axis=0)
-            np.add.at(embed, ids, -rate * len(rows) * weight[:, None] * back_to[who])
+            by_id = np.argsort(ids, kind="stable")
+            sorted_ids = ids[by_id]
+            first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+            embed[sorted_ids[first]] -= rate * len(rows) * np.add.reduceat((weight[:, None] * back_to[who])[by_id], first)
     often = np.zeros(buckets)
     for r in np.sort(chosen):
         often[bags[r][0]] += bags[r][1]
@@ -213,7 +215,7 @@ def _predict(shared, columns: list[str]):
             raw, offs = utf8(batch.column(batch.schema.get_field_index("__text")))
             letters = batch.column(batch.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
             lang, score, taken = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters), bool)
-            for i, j in blocks(offs) if model.labels else ():
+            for i, j in blocks(offs, 1 << 18) if model.labels else ():
                 p, taken[i:j] = model.judge(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 lang[i:j], score[i:j] = labels[p.argmax(axis=1)], p.max(axis=1)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
@@ -224,13 +226,13 @@ def _predict(shared, columns: list[str]):
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default, under their names) and lang_pred string, score double, accepted boolean.
+    """The columns ``keep`` (all but those of these names by default) and lang_pred string, score double, accepted boolean.
 
     A null text and one without a letter get ``und``, score 0 and are not accepted; nor are texts whose calibrated score or
-    familiarity is below the model's threshold, although these keep their likeliest language. A model without languages gives ``und``. One
-    row for every input row, ties and repeated rows included; clashing columns of the input must be left out by ``keep``.
+    familiarity is below the model's threshold, although these keep their likeliest language. A model without languages
+    gives ``und``. One row for every input row, ties, null ids and repeated rows included; texts of any length are read whole.
     """
-    keep = list(docs.columns) if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")] if keep is None else keep
     renamed = [f"__{i}" for i in range(len(keep))]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
