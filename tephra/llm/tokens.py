@@ -30,6 +30,8 @@ END_ID = 2
 #: Ids in a shard, unless one document has more; and keys in a bucket of the index on average.
 SHARD_IDS, BUCKET_KEYS = 2_000_000, 2000
 _GAMMA, _LEVELS = 2.0, 64
+#: Bytes of bits between two stored ranks.
+_RANK_BYTES = 32
 _JOINED = 2000
 _BLOCK = 8 << 20
 _encoders: dict = {}
@@ -75,33 +77,57 @@ def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Vocabulary:
-    """Ids of words met before, by 64-bit hash, kept in the worker from task to task; at most ``MOST_WORDS``."""
+    """Ids of words met before, kept in the worker from task to task; at most ``MOST_WORDS``.
+
+    Words are found by a 64-bit hash and then compared, so that two of one hash never get each other's ids.
+    """
 
     MOST_WORDS = 1_500_000
 
     def __init__(self, path: str):
         self.path = path
-        self.hashes, self.at, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.at, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.place, self.words, self.ids = np.zeros(0, np.int32), pa.array([], pa.string()), np.zeros(0, np.uint32)
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As :func:`encode_words`, for distinct words; only those not met before reach the tokenizer."""
-        raw, offs = utf8(words)
-        h = span_hash(prefix_hash(byte_codes(raw)), offs[:-1], offs[1:])
+        h = self.hash(words)
         where = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         known = self.hashes[where] == h if len(self.hashes) else np.zeros(len(h), bool)
+        held = np.flatnonzero(known)
+        same = pc.equal(self.words.take(pa.array(self.place[where[held]])), words.take(pa.array(held))) if len(held) else pa.array([], pa.bool_())
+        known[held] = same.to_numpy(zero_copy_only=False)
         fresh = np.flatnonzero(~known)
-        ids, at, lengths = encode_words(words.take(pa.array(fresh)), self.path)
+        new = words.take(pa.array(fresh))
+        ids, at, lengths = encode_words(new, self.path)
         out_at, out_n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         out_at[known], out_n[known] = self.at[where[known]], self.lengths[where[known]]
         out_at[fresh], out_n[fresh] = at + len(self.ids), lengths
         every = np.concatenate([self.ids, ids])
         if len(self.hashes) + len(fresh) <= self.MOST_WORDS:
-            order = np.argsort(h[fresh])
+            order = np.argsort(h[fresh], kind="stable")
+            # Of words of one hash the first stays.
+            first = np.append(True, h[fresh][order][1:] != h[fresh][order][:-1]) if len(order) else np.zeros(0, bool)
+            order = order[first]
             put = np.searchsorted(self.hashes, h[fresh][order])
-            self.hashes, self.at, self.lengths = (np.insert(old, put, new[order]) for old, new in ((self.hashes, h[fresh]), (self.at, out_at[fresh]), (self.lengths, lengths)))
+            order, put = (x[~self._has(h[fresh][order])] for x in (order, put))
+            values = (h[fresh], out_at[fresh], lengths, np.arange(len(self.words), len(self.words) + len(fresh)))
+            olds = (self.hashes, self.at, self.lengths, self.place)
+            self.hashes, self.at, self.lengths, self.place = (np.insert(old, put, v[order].astype(old.dtype)) for old, v in zip(olds, values))
+            self.words = pa.concat_arrays([self.words, new])
             self.ids = every
         return every, out_at, out_n
 
+    @staticmethod
+    def hash(words: pa.Array) -> np.ndarray:
+        raw, offs = utf8(words)
+        return span_hash(prefix_hash(byte_codes(raw)), offs[:-1], offs[1:])
+
+    def _has(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+
 
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -112,7 +138,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tup
     spread = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([\pL\pN])([.,!?;:]+)", r"\1 \2")
     split = pc.ascii_split_whitespace(spread)
     per_text = np.diff(split.offsets.to_numpy().astype(np.int64))
-    coded = split.flatten().dictionary_encode()
+    coded = split.flatten().cast(pa.string()).dictionary_encode()
     ids, at, lengths = _vocabularies.setdefault(path, Vocabulary(path)).encode(coded.dictionary)
     word = coded.indices.to_numpy(zero_copy_only=False)
     n = lengths[word]
@@ -185,15 +211,34 @@ def build_hash(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return levels, slot
 
 
-def look_up(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """Slot of each key, -1 where no level has its bit. Keys that were not built in may get any slot: see fingerprints."""
+def packed(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, bits, ranks): bits of all levels as bytes, each level in whole blocks, and the set bits before each block."""
+    sizes = np.array([len(x) for x in levels], np.int64)
+    padded = [np.append(x, np.zeros(-len(x) % (8 * _RANK_BYTES), bool)) for x in levels]
+    bits = np.packbits(np.concatenate(padded)) if padded else np.zeros(0, np.uint8)
+    counts = np.bitwise_count(bits.reshape(-1, _RANK_BYTES)).sum(axis=1, dtype=np.int64)
+    return sizes, bits, np.cumsum(counts) - counts
+
+
+def look_up(sizes: np.ndarray, bits: np.ndarray, ranks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Slot of each key, -1 where no level has its bit. Keys that were not built in may get any slot: see fingerprints.
+
+    The work for a key doesn't grow with the number of keys that were built in: on average about two levels, and in its own
+    a count of the bits of one block.
+    """
     slot, left, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-    for k, bits in enumerate(levels):
-        at = (mix(keys[left] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(len(bits))).astype(np.int64)
-        hit = bits[at]
-        slot[left[hit]] = base + (np.cumsum(bits) - 1)[at[hit]]
-        base += int(bits.sum())
+    for k, size in enumerate(sizes.tolist()):
+        at = base + (mix(keys[left] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
+        hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        mine = at[hit]
+        block = mine // (8 * _RANK_BYTES)
+        inside = bits.reshape(-1, _RANK_BYTES)[block]
+        before = np.unpackbits(inside, axis=1) & (np.arange(8 * _RANK_BYTES) < (mine % (8 * _RANK_BYTES))[:, None])
+        slot[left[hit]] = ranks[block] + before.sum(axis=1)
         left = left[~hit]
+        if not len(left):
+            break
+        base += -(-size // (8 * _RANK_BYTES)) * 8 * _RANK_BYTES
     return slot
 
 
@@ -204,10 +249,11 @@ def fingerprint_of(keys: np.ndarray) -> np.ndarray:
 def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = key_hashes(pdf["id"].to_numpy(), pdf["occurrence"].to_numpy())
     levels, slot = build_hash(keys)
+    sizes, bits, ranks = packed(levels)
     put = lambda values, kind: _placed(values, slot, kind)
     return pd.DataFrame(
         {
-            "bucket": [pdf["bucket"].iloc[0]], "sizes": [np.array([len(x) for x in levels], "<i8").tobytes()], "bits": [b"".join(np.packbits(x).tobytes() for x in levels)],
+            "bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes.astype("<i8").tobytes()], "bits": [bits.tobytes()], "ranks": [ranks.astype("<i8").tobytes()],
             "fingerprints": [put(fingerprint_of(keys), "<u4")], "shards": [put(pdf["shard"], "<i8")], "offsets": [put(pdf["offset"], "<i8")], "lengths": [put(pdf["length"], "<i8")],
         }
     )
@@ -224,13 +270,9 @@ def _find_bucket(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if not len(index) or not len(keys):
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "occurrence", "shard", "offset", "length")})
     row = index.iloc[0]
-    levels, at = [], 0
-    for size in np.frombuffer(row["sizes"], "<i8").tolist():
-        step = -(-size // 8)
-        levels.append(np.unpackbits(np.frombuffer(row["bits"], np.uint8)[at : at + step])[:size].astype(bool))
-        at += step
     hashes = key_hashes(keys["id"].to_numpy(), keys["occurrence"].to_numpy())
-    slot = look_up(levels, hashes)
+    # The stored bytes are looked into as they are; nothing of the bucket is decoded.
+    slot = look_up(np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["ranks"], "<i8"), hashes)
     known = slot >= 0
     known[known] = np.frombuffer(row["fingerprints"], "<u4")[slot[known]] == fingerprint_of(hashes[known])
     slot = slot[known]
@@ -259,7 +301,7 @@ class TokenStore:
         entries = entries.withColumn("id", F.coalesce("id", F.lit(0)))
         buckets = entries.count() // BUCKET_KEYS + 1
         entries = entries.withColumn("bucket", F.pmod(F.xxhash64("id", "occurrence"), F.lit(buckets)))
-        index = entries.groupBy("bucket").applyInPandas(_build_bucket, "bucket long, sizes binary, bits binary, fingerprints binary, shards binary, offsets binary, lengths binary")
+        index = entries.groupBy("bucket").applyInPandas(_build_bucket, "bucket long, sizes binary, bits binary, ranks binary, fingerprints binary, shards binary, offsets binary, lengths binary")
         return TokenStore(payloads, written(index, "token-index"), buckets, wide)
 
     def locate(self, keys: DataFrame) -> DataFrame:
@@ -270,8 +312,13 @@ class TokenStore:
     def read(self, keys: DataFrame) -> DataFrame:
         """(id, occurrence, start, n_tokens, ids_crc32) for keys (id, occurrence), from payloads at the index's locations."""
         found = self.locate(keys).groupBy("shard").agg(F.collect_list(F.struct("id", "occurrence", "offset", "length")).alias("wanted"))
-        sizes = self.payloads.select("shard", "n_ids")
-        base = sizes.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("base"))
+        # Ids before a shard: those of the ranges before, one sum for each, and of the shards before in its own range.
+        sizes = self.payloads.select("shard", "n_ids", F.shiftright("shard", 24).alias("range"))
+        sums = sorted(sizes.groupBy("range").agg(F.sum("n_ids")).collect())
+        ahead = np.cumsum([0, *(n for _, n in sums)]).tolist()
+        starts = self.payloads.sparkSession.createDataFrame([(r, a) for (r, _), a in zip(sums, ahead)] or [(-1, 0)], "range long, ahead long")
+        inner = F.sum("n_ids").over(Window.partitionBy("range").orderBy("shard")) - F.col("n_ids")
+        base = sizes.withColumn("inner", inner).join(F.broadcast(starts), "range").select("shard", (F.col("ahead") + F.col("inner")).alias("base"))
         wide = self.wide
 
         def run(batches):
