@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, utf8
+from .common import blocks, ranges, utf8
 
 START, END = "<|im_start|>", "<|im_end|>"
 ROLE_END, TURN_END = "\n", END + "\n"
@@ -27,6 +27,8 @@ ROLE_END, TURN_END = "\n", END + "\n"
 LOSS_ROLE = "assistant"
 #: Bytes after which a conversation goes on in another part.
 PART_BYTES = 1 << 20
+#: Bytes of texts that are formatted at a time.
+SLICE_BYTES = 64 << 20
 
 
 def escaped(column: pa.Array) -> pa.Array:
@@ -50,8 +52,8 @@ def unescaped(text: str) -> str:
     return "".join(out)
 
 
-def assembled(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, turn offsets, text begin, text end) of the formatted turns, in one buffer."""
+def assembled(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, turn offsets, text begin, text end) of the formatted turns, scattered into one Arrow buffer of their size."""
     n = len(roles)
     contents = [utf8(pc.replace_substring(escaped(roles), "\n", "<\\n")), utf8(escaped(texts))]
     fixed = [np.frombuffer(x.encode(), np.uint8) for x in (START, ROLE_END, TURN_END)]
@@ -60,12 +62,13 @@ def assembled(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     lengths[:, 1], lengths[:, 3] = np.diff(contents[0][1]), np.diff(contents[1][1])
     ends = np.cumsum(lengths.ravel()).reshape(n, 5)
     begins = ends - lengths
-    out = np.empty(int(ends[-1, -1]) if n else 0, np.uint8)
+    buffer = pa.allocate_buffer(int(ends[-1, -1]) if n else 0)
+    out = np.frombuffer(buffer, np.uint8)
     for k, part in zip((0, 2, 4), fixed):
         out[(begins[:, k, None] + np.arange(len(part))).ravel()] = np.tile(part, n)
     for k, (raw, _) in zip((1, 3), contents):
         out[np.repeat(begins[:, k], lengths[:, k]) + ranges(lengths[:, k])] = raw
-    return out, np.append(0, ends[:, -1]) if n else np.zeros(1, np.int64), begins[:, 3], ends[:, 3]
+    return buffer, np.append(0, ends[:, -1]) if n else np.zeros(1, np.int64), begins[:, 3], ends[:, 3]
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -82,11 +85,12 @@ def _format(part_bytes: int):
         now, part, filled = (object(),), 0, 0
         for batch in batches:
             ids, roles, texts = batch.column(0), batch.column(2), batch.column(3)
-            for lo in range(0, len(ids), 1024):
-                conv = ids.slice(lo, 1024).to_pylist()
-                role = roles.slice(lo, 1024)
-                raw, at, begin, end = assembled(role, texts.slice(lo, 1024))
-                points = _code_points(raw)
+            # Slices of so few bytes that offsets of 32 bits hold them also where control strings double them.
+            for lo, hi in blocks(utf8(texts)[1], SLICE_BYTES):
+                conv = ids.slice(lo, hi - lo).to_pylist()
+                role = roles.slice(lo, hi - lo)
+                raw, at, begin, end = assembled(role, texts.slice(lo, hi - lo))
+                points = _code_points(np.frombuffer(raw, np.uint8))
                 loss = pc.fill_null(pc.equal(role, LOSS_ROLE), False).to_numpy(zero_copy_only=False)
                 # Parts: rows of one conversation next to each other, cut where the part is full.
                 rows, first = [], 0
@@ -101,7 +105,7 @@ def _format(part_bytes: int):
                     part, filled, first = part + 1, 0, last
                 firsts, lasts = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
                 offs = np.append(at[firsts], at[lasts[-1]])
-                text = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
+                text = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offs.astype(np.int64).tobytes()), raw)
                 spans = [[{"start": int(points[begin[k]] - points[at[a]]), "end": int(points[end[k]] - points[at[a]])} for k in range(a, b) if loss[k]] for a, b in zip(firsts, lasts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), text.cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(lasts - firsts)],
