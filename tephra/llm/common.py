@@ -6,12 +6,12 @@ numpy runs over that buffer instead of over Python strings.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from tephra.sources.scratch import discard as discard
+from tephra.sources.scratch import materialized
 
 MASK64 = (1 << 64) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -22,26 +22,22 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tephra-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialized(df, name)
+
+
+#: Partitions up to which they stay small, and bytes of each beyond that.
+SMALL_PARTS, LARGE_PART = 512, 512 << 20
 
 
 def parts_for(n_bytes: float, per_part: int = 16 << 20, least: int = 1) -> int:
-    """Number of partitions for so many bytes."""
-    return max(least, int(n_bytes // per_part) + 1)
+    """Number of partitions for so many bytes: small ones for a small table, large ones that stream for a large table.
+
+    It grows with the table once all of ``SMALL_PARTS`` are large, so that 100 TB make some 200,000 partitions.
+    """
+    small = int(n_bytes // per_part) + 1
+    return max(least, small if small <= SMALL_PARTS else max(SMALL_PARTS, int(n_bytes // LARGE_PART) + 1))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

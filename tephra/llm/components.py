@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = written(edges, name)
     told = None
     for _ in range(ROUNDS):
-        edges = written(_star(_star(edges, large=True), large=False), name)
+        before, edges = edges, written(_star(_star(edges, large=True), large=False), name)
+        discard(before)  # the new table stands on its own
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == told:
             break
