@@ -163,6 +163,13 @@ def test_packing_keeps_columns_that_clash(spark):
     assert sorted((r.given, r.shard, r.n) for r in got.collect()) == sorted((4, 3, len(t) + 1) for _, t, *_ in rows()[:9])
 
 
+def test_parts_grow_slowly():
+    from tephra.llm.common import parts_for
+
+    assert [parts_for(n) for n in (0, 1 << 24, 1 << 30)] == [1, 2, 65]
+    assert 512 <= parts_for(30e9) < 1000 and parts_for(100e12) < 200_000
+
+
 # op4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +210,44 @@ def test_the_calibrated_score_is_not_voided():
     assert model.threshold > 0.8
 
 
+def test_subwords_by_brute_force():
+    """Words and their substrings of 2 to 4 bytes, A-Z in lower case, told apart at both ends of a word."""
+    texts = ["Ab abc", "", "  x\té日 ", "the The tHe", "a" * 9, None]
+    from tephra.llm.common import utf8
+
+    bucket, row = langid.features(*utf8(pa.array(texts)), 1 << 20)
+    seen = {}
+    for k, text in enumerate(texts):
+        want = []
+        for w in (text or "").split():
+            raw = bytes(b + 32 if 65 <= b <= 90 else b for b in w.encode())
+            want.append(("word", raw))
+            want += [(raw[i : i + n], i == 0, i + n == len(raw)) for n in (2, 3, 4) for i in range(len(raw) - n + 1)]
+        got = bucket[row == k].tolist()
+        assert len(got) == len(want)
+        for f in set(want):
+            found = [b for b in set(got) if got.count(b) == want.count(f)]
+            assert found
+            seen[f] = seen.get(f, set(found)) & set(found)
+    assert all(seen.values())  # one feature has one bucket in every text
+
+
+def test_language_id_of_odd_tables(spark):
+    rng = random.Random(9)
+    known = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(random.Random(1).choices(list(SYLLABLES), k=200))]
+    model = langid.train([t for _, t, _ in known], [x for *_, x in known])
+    long = prose(rng, "bb", 60_000)
+    data = [(1, long, 0.5, "x", True, "k"), (None, known[0][1], 0.5, "x", True, "k"), (None, None, None, None, None, None), (2, "", 0.5, "x", True, "k"), (3, known[0][1], 1.0, "y", False, "k"), (3, known[0][1], 1.0, "y", False, "k")]
+    df = spark.createDataFrame(data, "doc_id long, text string, score double, lang_pred string, accepted boolean, extra string")
+    out = langid.predict(df, model)
+    assert out.columns == ["doc_id", "text", "extra", "lang_pred", "score", "accepted"]  # the operator's columns win
+    got = out.collect()
+    assert len(got) == 6 and [r.lang_pred for r in got if r.doc_id == 1] == ["bb"]
+    same = [r for r in got if r.text == known[0][1]]
+    assert len({(r.lang_pred, r.score, r.accepted) for r in same}) == 1 and len(same) == 3
+    assert all((r.lang_pred, r.score, r.accepted) == ("und", 0.0, False) for r in got if not r.text)
+
+
 def test_language_id_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty)
@@ -399,15 +444,32 @@ def test_token_store_round_trip(spark):
     assert empty.read(absent).count() == 0
 
 
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    """Words are compared, not only their hashes: with a hash of three values all ids are right nevertheless."""
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    reference = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens.Vocabulary, "hash", staticmethod(lambda words: np.array([len(w.as_py()) % 3 for w in words], np.uint64)))
+    vocabulary = tokens.Vocabulary(path)
+    rng = random.Random(3)
+    for _ in range(4):
+        words = sorted({prose(rng, rng.choice(list(SYLLABLES)), 1) for _ in range(50)})
+        ids, at, n = vocabulary.encode(pa.array(words))
+        for w, a, k in zip(words, at, n):
+            assert ids[a : a + k].tolist() == reference.encode(w, add_special_tokens=False).ids
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     levels, slot = tokens.build_hash(keys)
     assert sorted(slot.tolist()) == list(range(len(keys)))
-    assert (tokens.look_up(levels, keys) == slot).all()
+    index = tokens.packed(levels)
+    assert (tokens.look_up(*index, keys) == slot).all()
     other = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     prints = np.zeros(len(keys), np.uint32)
     prints[slot] = tokens.fingerprint_of(keys)
-    at = tokens.look_up(levels, other)
+    at = tokens.look_up(*index, other)
     assert (prints[at[at >= 0]] == tokens.fingerprint_of(other)[at >= 0]).sum() == 0
     with pytest.raises(ValueError):
         tokens.build_hash(np.array([5, 5], np.uint64))

@@ -44,6 +44,14 @@ def test_chats_round_trip(spark, part_bytes):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def test_long_turns_go_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SLICE_BYTES", 3000)
+    rows = [(1, k, "assistant", "<|" * 700 + "é" * k, 0, "") for k in range(12)] + [(2, 0, "user", "x" * 50_000, 0, "")]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, TURNS))).collect()}
+    assert (got[1].n_turns, got[1].loss_chars) == (12, sum(len(r[3]) for r in rows[:12])) and got[2].n_turns == 1
+    assert got[1].loss_sha256 == hashlib.sha256("".join(r[3] for r in rows[:12]).encode()).hexdigest()
+
+
 PAGES = {
     "": "", None: "", "plain words": "plain words", "<p>one<p>two": "one\n\ntwo",
     "<body><nav>a, b. c</nav><article><h1>T&eacute;</h1><p>x <b>y</b>\n  z<br>w</p></article><footer>f</footer></body>": "Té\n\nx y z w",
