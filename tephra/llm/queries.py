@@ -133,6 +133,30 @@ select conv_id, count(*) as n_turns,
     + (length(role) - length(replace(role, '<|', '')) + length(text) - length(replace(text, '<|', ''))) // 2
     + 2 * (length(role) - length(replace(role, chr(10), ''))))::bigint as formatted_chars
 from t group by conv_id
+""",
+    "op7_suffix_dedup": r"""
+with d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as x from documents),
+part as (select doc_id, k * 512 as k, substr(x, k * 1024 + 1, 1822) as x from (select doc_id, x, unnest(range(0, length(x) // 1024 + 1)) as k from d)),
+win as (select doc_id, k + j as i, substr(x, 2 * j + 1, 2) as byte, case when length(x) >= 2 * j + 800 then md5(substr(x, 2 * j + 1, 800)) end as h
+  from (select doc_id, k, x, unnest(range(0, least(512, length(x) // 2))) as j from part)),
+twice as (select h from win where h is not null group by h having count(*) > 1),
+b as (select doc_id, i, byte, coalesce(i - max(case when twice.h is not null then i end) over (partition by doc_id order by i) < 400, false) as gone from win left join twice using (h)),
+edge as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens, sum(case when byte between '80' and 'BF' then 0 else 1 end) over (partition by doc_id order by i) as p from b),
+bytes as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans, coalesce(string_agg(byte, '' order by i) filter (where not gone), '') as kept from edge group by doc_id),
+chars as (select doc_id, p, bool_or(gone) as gone from edge group by doc_id, p),
+tok as (select doc_id, j, t, not regexp_full_match(t, '[\x20\x09-\x0D]+') as word from (select doc_id, unnest(ts) as t, generate_subscripts(ts, 1) as j
+  from (select doc_id, regexp_extract_all(text, '[\x{3000}-\x{10FFFF}]|[^\x20\x09-\x0D\x{3000}-\x{10FFFF}]+|[\x20\x09-\x0D]+') as ts from d))),
+num as (select *, sum(case when word then 1 else 0 end) over (partition by doc_id order by j) as w from tok),
+ws as (select doc_id, list(t order by j) filter (where word) as ws from num group by doc_id),
+run as (select doc_id, w, md5(array_to_string(ws[w:w + 50], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 49)) as w from ws)),
+again as (select doc_id, w from run join (select h from run group by h having count(*) > 1) using (h)),
+cover as (select num.doc_id, j, t, word, num.w - max(again.w) over (partition by num.doc_id order by j) as far from num left join again on again.doc_id = num.doc_id and again.w = num.w),
+gone as (select doc_id, j, coalesce(far < case when word then 51 else 50 end, false) as gone, length(t) as n, sum(length(t)) over (partition by doc_id order by j) as upto from cover),
+letters as (select doc_id, unnest(cs) as c, generate_subscripts(cs, 1) as p from (select doc_id, regexp_extract_all(text, '(?s).') as cs from d)),
+kept as (select l.doc_id, string_agg(c, '' order by l.p) filter (where not g.gone and not ch.gone) as text
+  from letters l asof join (select doc_id, gone, upto - n + 1 as p from gone) g on l.doc_id = g.doc_id and l.p >= g.p join chars ch on ch.doc_id = l.doc_id and ch.p = l.p group by l.doc_id)
+select d.doc_id, coalesce(n_bytes, 0)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(bytes.kept, ''))) as kept_sha256, coalesce(kept.text, '') as text
+from d left join bytes using (doc_id) left join kept using (doc_id)
 """,
     "op10_ngram_jaccard": r"""
 with recursive w as (

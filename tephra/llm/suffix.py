@@ -484,6 +484,17 @@ def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
             edges = [0, *(e for m in gone for e in m), size]
             return b"".join(data[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2]))
 
+        def whole(begin: int, size: int, gone: list[list[int]]) -> list[list[int]]:
+            """The spans, widened to whole characters."""
+            out = []
+            for a, b in gone:
+                while a > 0 and data[begin + a] & 0xC0 == 0x80:
+                    a -= 1
+                while b < size and data[begin + b] & 0xC0 == 0x80:
+                    b += 1
+                out.append((a, b))
+            return _merged(out)
+
         found = batch.column(batch.schema.get_field_index("__ranges"))
         many = found.value_lengths().fill_null(0).to_numpy()
         flat = found.flatten()
@@ -499,11 +510,11 @@ def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
                 every = _merged(x for part in by_rule for x in part) if any(by_rule[1:]) else first
             spans.append([{"start": a, "end": b} for a, b in first])
             removed[k] = sum(b - a for a, b in first)
-            kept.append(rest(begin, size, first))
+            kept.append(rest(begin, size, whole(begin, size, first) if as_text else first))
             if len(rules) > 1:
-                clean.append(rest(begin, size, every) if every is not first else kept[-1])
+                clean.append(rest(begin, size, whole(begin, size, every)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        as_strings = lambda texts: pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
+        as_strings = lambda texts: pa.array([x.decode() for x in texts], pa.string())
         values = [pa.array(sizes), pa.array(removed), pa.array(spans, kind), as_strings(kept) if as_text else pa.array(kept, pa.binary())]
         if len(rules) > 1:
             values.append(as_strings(clean))
@@ -523,8 +534,8 @@ def remove_repeats(
     Spans and ``kept`` are in bytes of UTF-8 and by the first rule. With more rules there is ``clean`` too, a string: what
     no rule removes. A null or empty text has 0 bytes and no spans; texts shorter than a rule's length keep all. A null id
     is allowed. Repeated rows repeat one another, so both lose their texts. An empty table gives an empty one. Spans of a
-    rule on bytes may cut inside a UTF-8 sequence, therefore ``kept`` is binary; with ``as_text`` it is text without such
-    broken characters, as is ``clean``. A rule on words removes from the first byte of the first to the last byte of the last
+    rule on bytes may cut inside a UTF-8 sequence, therefore ``kept`` is binary; with ``as_text`` it is text without the
+    characters of which a byte goes, as is ``clean``. A rule on words removes from the first byte of the first to the last byte of the last
     word, and takes words for equal whatever white space stands between. One row for every input row.
     """
     keep = [id_col] if keep is None else keep

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_sql_agrees(spark, name):
+def test_sql_agrees(spark, name):  # op7 takes a few seconds in DuckDB
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
@@ -54,7 +54,7 @@ def test_pipeline_by_brute_force(spark):
     before, after = ran["repeated_passages"]
     texts = [r.text.encode() for r in before]
     for r, t, gone in zip(before, texts, brute_passages(texts, 51)):
-        left = bytes(np.frombuffer(t, np.uint8)[~gone]).decode()
+        left = bytes(np.frombuffer(t, np.uint8)[~gone]).decode()  # passages begin and end with whole characters
         assert after[r.doc_id].text == left and after[r.doc_id].n_chars == len(left)
 
     before, after = ran["decontamination"]
