@@ -1,4 +1,4 @@
-"""Exact set-similarity join of documents on word shingles: a grouped prefix join.
+"""Set-similarity join of documents on word shingles, without missed links: a grouped prefix join.
 
 Method. Tokens (52-bit shingle hashes) get one global order: those found to be frequent come last, by frequency; the rest
 stand in hash order. Any fixed order gives exact results; this one only keeps frequent shingles out of the prefixes. With
@@ -7,11 +7,13 @@ a third longer, which makes the guarantee a count: linked sets share at least ``
 Documents with the same prefix and size collapse into one group and are posted once. A group leaves when fewer than
 ``needed(n)`` of its prefix tokens are posted by another group that is still there (two rounds). The posting lists of the
 rest, sorted by size, link neighbours of compatible size (``|a| >= t |b|``), which filters group pairs; the connected
-components of these candidate links are *families*: no link can cross two of them. Families are then expanded to their
-distinct sets, which are fetched once each and verified exactly with integer arithmetic inside a task. A family above ``block_tokens`` is dealt in blocks
-by size and each pair of size-compatible blocks is one task, so that no task holds more than two blocks.
+components of these candidate links are *families*: no link can cross two of them. The distinct sets of a family are
+fetched once each; inside a task the pairs of its groups are formed through an index of prefix tokens, filtered by size and
+by ``needed``, expanded to their members and verified by integer arithmetic. A family above ``block_tokens`` is dealt in
+blocks by size and each pair of size-compatible blocks is one task, so that no task holds more than two blocks.
 
-Equal sets are one class, so that exact copies cost nothing; the result has a row for every document.
+Equal sets are one class, so that exact copies cost nothing; the result has a row for every document. Shingles are known by
+hashes of 52 bits: results are exact but for clashes of these.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SIMILARITY = Fraction(3, 4)
 FREQUENT_TASK, FREQUENT = 4096, 65536
 #: Tokens of sets in one block of a family; 8 bytes each.
 BLOCK_TOKENS = 1_500_000
+#: Members that are verified against one set at a time.
+_SLICE = 64
 #: A posting list of a token that is this frequent is dealt over SALTS lists, whose heads are then linked.
 HOT, SALTS = 2000, 64
 
@@ -97,12 +101,7 @@ def _sets(size: int, t: Fraction, tokens, counts):
                 h, row = shingles(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
                 rows = j - i
                 n = np.bincount(row, minlength=rows)
-                freq = np.zeros(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    freq = np.where(known[at] == h, seen[at], 0)
-                # Within a row the tokens are in hash order, which a stable sort by frequency keeps.
-                order = np.argsort((row << 40) | freq, kind="stable")
+                order, freq = _in_order(h, row, known, seen)
                 ends = np.cumsum(n)
                 p = np.where(n > 0, prefix_length(n, t), 0)
                 take = order[np.repeat(ends - n, p) + ranges(p)]
@@ -152,41 +151,63 @@ def _candidate_links(posted: DataFrame, t: Fraction) -> DataFrame:
 def linked_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fraction) -> np.ndarray:
     """Labels (positions) of sets joined by links: within ``left``, or between ``left`` and ``right`` (numbered on).
 
-    Overlaps are counted exactly through an inverted index, a bounded slice of rows at a time; a set whose label equals its
-    partner's needs no count of its own.
+    Sets come in the global order of tokens. Those of one prefix and size are one group; pairs of groups are formed through
+    an index of prefix tokens and filtered by size and by the number of prefix tokens that they share; the members of pairs
+    that are left are verified by exact overlaps, a bounded slice at a time. Members whose labels agree by then need none.
     """
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets], np.int64)
-    parent = np.arange(len(sets))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    first = len(left) if right is not None else 0  # partners stand at first..
-    values = np.concatenate(sets[first:]) if len(sets) > first else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(first, len(sets)), sizes[first:])
+    label = np.arange(len(sets))
+    if not len(sets):
+        return label
+    prefixes, need = prefix_length(sizes, t), needed(sizes, t)
+    groups: dict[tuple[int, bytes], int] = {}
+    group = np.array([groups.setdefault((len(s), s[:q].tobytes()), len(groups)) for s, q in zip(sets, prefixes.tolist())])
+    _, first = np.unique(group, return_index=True)
+    by_group = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[by_group], np.arange(len(groups) + 1))
+    split = len(left) if right is not None else 0
+
+    def members(g: int, side: int) -> np.ndarray:
+        mine = by_group[cuts[g] : cuts[g + 1]]
+        return mine if right is None else mine[mine < split] if side == 0 else mine[mine >= split]
+
+    # Postings of prefix tokens: a row for each group that has a partner.
+    posted = [g for g in range(len(groups)) if len(members(g, 1))]
+    values = np.concatenate([sets[first[g]][: prefixes[first[g]]] for g in posted])
+    owner = np.repeat(np.array(posted), prefixes[first[posted]])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     num, den = t.numerator, t.denominator
-    span = len(sets) - first
-    for i in range(len(left)):
-        lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
-        length = hi - lo
-        hit = owner[np.repeat(lo, length) + ranges(length)]
-        overlap = np.bincount(hit - first, minlength=span)
-        partner = np.flatnonzero(overlap) + first
+    n, least = sizes[first], need[first]
+    for g in range(len(groups)):
+        asked = members(g, 0)
+        if not len(asked):
+            continue
+        prefix = sets[first[g]][: prefixes[first[g]]]
+        low, high = np.searchsorted(values, prefix), np.searchsorted(values, prefix, side="right")
+        shared = np.bincount(owner[np.repeat(low, high - low) + ranges(high - low)], minlength=len(groups))
+        near = np.flatnonzero(shared >= np.maximum(least, least[g]))
+        near = near[(den * np.minimum(n[near], n[g]) >= num * np.maximum(n[near], n[g]))]
         if right is None:
-            partner = partner[partner > i]
-        both = overlap[partner - first]
-        linked = partner[both * den >= num * (sizes[i] + sizes[partner] - both)]
-        for x in linked.tolist():
-            a, b = root(i), root(x)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(x) for x in range(len(sets))], np.int64)
+            near = near[near >= g]  # each pair of groups once, and a group with itself
+        if not len(near):
+            continue
+        partners = np.concatenate([members(x, 1) for x in near.tolist()])
+        for x in asked.tolist():
+            open_ = partners[(label[partners] != label[x]) & (partners != x)]
+            own = np.sort(sets[x])
+            while len(open_):
+                some, open_ = open_[:_SLICE], open_[_SLICE:]
+                tokens = np.concatenate([sets[y] for y in some.tolist()])
+                at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                both = np.bincount(np.repeat(np.arange(len(some)), sizes[some]), weights=own[at] == tokens, minlength=len(some)).astype(np.int64)
+                for y in some[both * den >= num * (sizes[x] + sizes[some] - both)].tolist():
+                    if label[x] != label[y]:
+                        a, b = sorted((label[x], label[y]))
+                        label[label == b] = a
+                open_ = open_[label[open_] != label[x]]
+    return label
 
 
 def _verify(t: Fraction):
@@ -202,10 +223,20 @@ def _verify(t: Fraction):
     return run
 
 
-def _fetch(size: int):
+def _in_order(h: np.ndarray, row: np.ndarray, known: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the tokens in the global order, row by row; frequency of each); tokens come in hash order within a row."""
+    freq = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        freq = np.where(known[at] == h, seen[at], 0)
+    return np.argsort((row << 40) | freq, kind="stable"), freq
+
+
+def _fetch(size: int, tokens, counts):
     """(rep, n, sig1, sig2, unit, side, text) -> (rep, unit, side, tokens): the set again, if it is the one meant."""
 
     def run(batches):
+        known, seen = tokens.value, counts.value
         for batch in batches:
             raw, offs = utf8(batch.column(batch.schema.get_field_index("text")))
             units = batch.column(batch.schema.get_field_index("units"))
@@ -217,7 +248,7 @@ def _fetch(size: int):
                 np.cumsum(mix(h ^ np.uint64(0x9E6C63D0676A9A99)), out=sums[1:])
                 sig = (sums[ends] - sums[ends - n]).view(np.int64)
                 same = np.flatnonzero(sig == batch.column(batch.schema.get_field_index("sig1")).slice(i, j - i).to_numpy())
-                data, reps = h.tobytes(), batch.column(batch.schema.get_field_index("rep")).slice(i, j - i).to_pylist()
+                data, reps = h[_in_order(h, row, known, seen)[0]].tobytes(), batch.column(batch.schema.get_field_index("rep")).slice(i, j - i).to_pylist()
                 out = [(reps[k], u["unit"], u["side"], data[8 * (ends[k] - n[k]) : 8 * ends[k]]) for k in same.tolist() for u in units[i + k].as_py()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["rep", "unit", "side", "tokens"])
@@ -260,7 +291,7 @@ def ngram_jaccard(
     whole = placed.where(F.col("tokens") <= block_tokens).select("rep", "sig1", F.array(F.struct(F.col("family").cast("string").alias("unit"), F.lit(0).alias("side"))).alias("units"))
     large = _block_units(placed.where(F.col("tokens") > block_tokens), similarity, block_tokens)
     units = whole.unionAll(large)
-    fetched = units.join(texts.withColumnRenamed("id", "rep"), "rep").mapInArrow(_fetch(size), "rep long, unit string, side int, tokens binary")
+    fetched = units.join(texts.withColumnRenamed("id", "rep"), "rep").mapInArrow(_fetch(size, *shared), "rep long, unit string, side int, tokens binary")
     found = fetched.groupBy("unit").applyInPandas(_verify(similarity), "a long, b long")
     joined = components(found, "jaccard-links")
 

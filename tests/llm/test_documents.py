@@ -95,6 +95,78 @@ def test_texts_that_share_a_buffer(monkeypatch):
         assert [f.tolist() for f in fingerprint.features_of(texts, rank)] == want
 
 
+def brute_levels(data):
+    """Entropy level of each window, from counts of its bytes taken anew."""
+    unit = 1 << 20
+    cost = [round(c * np.log2(c) * unit) if c else 0 for c in range(65)]
+    out = []
+    for i in range(len(data) - 63):
+        total = sum(cost[data[i : i + 64].count(b)] for b in set(data[i : i + 64]))
+        out.append((6 * 64 * unit - total) * 1023 // (6 * 64 * unit))
+    return out
+
+
+def brute_digest(data, rank):
+    """Chained filters as lists of sets of bits."""
+    from tephra.llm.common import byte_codes, prefix_hash, span_hash
+
+    def hashed(part):
+        raw = np.frombuffer(part, np.uint8)
+        return int(span_hash(prefix_hash(byte_codes(raw)), np.array([0]), np.array([len(raw)]))[0])
+
+    if not data:
+        return []
+    if len(data) < 64:
+        found = [data]
+    else:
+        r = [rank[x] for x in brute_levels(data)]
+        width = min(64, len(r))
+        points = [0] * len(r)
+        for s in range(len(r) - width + 1):
+            points[min(range(s, s + width), key=lambda k: (r[k], k))] += 1
+        found = [data[k : k + 64] for k in range(len(r)) if points[k] >= min(16, len(r) - width + 1)]
+    chain, held = [], set()
+    for h in map(hashed, found):
+        if not chain or h not in held and len(held) == 160:
+            chain.append(set())
+            held = set()
+        held.add(h)
+        chain[-1] |= {h >> 11 * k & 2047 for k in range(5)}
+    return chain
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    short, long = sorted((a, b), key=len)
+    best = [max((len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in long) for x in short]
+    return min(1.0, sum(max(0.0, v) for v in best) / len(short))
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Histogram, windows, filter chains and likeness of the whole query, from their plain statements."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 60)) for _ in range(14)] + ["", "short", "a" * 300, prose(rng, "aa", 700)]
+    texts += [texts[3], None]
+    rows_ = [(k * 3, t) for k, t in enumerate(texts)]
+    order = sorted(((i, t or "") for i, t in rows_), reverse=True)
+    histogram = [0] * 1024
+    for _, t in order:
+        for x in brute_levels(t.encode()):
+            histogram[x] += 1
+    rank = {x: n for n, x in enumerate(sorted(range(1024), key=lambda x: (histogram[x], x)))}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows_, "doc_id long, text string"), part_bytes=4000).collect()}
+    bits = lambda text: [{int(x) for x in np.flatnonzero(np.unpackbits(f))} for f in fingerprint.decoded(text)]
+    for (i, own), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(own) // 2
+        digests = [brute_digest(t.encode(), rank) for t in (own, own[: len(own) - half] + following[:half], following)]
+        assert bits(got[i].fingerprint) == digests[0] and bits(got[i].edited_fingerprint) == digests[1]
+        assert got[i].near_edited == pytest.approx(brute_likeness(digests[0], digests[1]), abs=1e-9)
+        assert got[i].near_next == pytest.approx(brute_likeness(digests[0], digests[2]), abs=1e-9)
+
+
 # op3 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -75,6 +75,37 @@ def test_jaccard_of_an_empty_table(spark):
     assert jaccard.ngram_jaccard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_links_within_and_between(seed):
+    """Labels against all pairs: families of edited sets, many of one prefix, in an order in which rare tokens come first."""
+    rng = np.random.default_rng(seed)
+    t, sets = Fraction(3, 4), []
+    for _ in range(12):
+        base = rng.choice(5000, rng.integers(1, 60), replace=False)
+        for _ in range(rng.integers(1, 9)):
+            keep = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.2])]
+            more = rng.choice(np.arange(5000, 9000), rng.integers(0, 4), replace=False)
+            mine = np.unique(np.concatenate([keep, more]))
+            if len(mine):
+                sets.append(mine.astype(np.uint64))
+    sets = [np.array(s, np.uint64) for s in {tuple(s.tolist()) for s in sets}]  # distinct sets, tokens ascending: one order for all
+    linked = lambda a, b: 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b))
+
+    def want(pairs):
+        label = list(range(len(sets)))
+        for i, j in pairs:
+            if linked(sets[i], sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+        return label
+
+    n = len(sets)
+    assert jaccard.linked_within(sets, None, t).tolist() == want([(i, j) for i in range(n) for j in range(i)])
+    k = n // 2
+    assert jaccard.linked_within(sets[:k], sets[k:], t).tolist() == want([(i, j) for i in range(k) for j in range(k, n)])
+    assert len(jaccard.linked_within([], None, t)) == 0
+
+
 def test_bounds_of_prefixes():
     t = Fraction(3, 4)
     n = np.arange(1, 500)
