@@ -85,7 +85,9 @@ def moments_start(y: np.ndarray) -> tuple[float, float, float]:
     return c, float(b0 - scale * (1 - gamma) / c), float(abs(scale))
 
 
-def simplexes(f, start: np.ndarray, step: np.ndarray, x_tol: float = 1e-7, f_tol: float = 1e-10, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def simplexes(
+    f, start: np.ndarray, step: np.ndarray, x_tol: float = 1e-7, f_tol: float = 1e-10, most: int = 5000
+) -> tuple[np.ndarray, np.ndarray]:
     """Nelder-Mead minima of many problems at once: one simplex for each row of ``start``, all moved in the same numpy calls.
 
     ``f`` takes points and the row of the problem that each belongs to. What a simplex does depends on its own problem alone.
@@ -207,7 +209,10 @@ def fit_trend(y: np.ndarray, covariate: np.ndarray, stationary=None) -> dict:
     found, likelihoods = trend_fits(y[None, :], x - mean, [c, loc, 0.0, math.log(scale)])
     (tc, mu0, slope, log_scale), drifting = found[0], float(likelihoods[0])
     ratio = max(0.0, 2 * (drifting - likelihood)) if math.isfinite(likelihood) else 0.0
-    return {"c": float(tc), "mu0": float(mu0), "slope": float(slope), "sigma": float(math.exp(log_scale)), "x_mean": mean, "lr_statistic": ratio, "p_value": math.erfc(math.sqrt(ratio / 2))}
+    return {
+        "c": float(tc), "mu0": float(mu0), "slope": float(slope), "sigma": float(math.exp(log_scale)), "x_mean": mean,
+        "lr_statistic": ratio, "p_value": math.erfc(math.sqrt(ratio / 2))
+    }
 
 
 def draws(c: float, loc, scale: float, n: int, seed) -> np.ndarray:

@@ -80,7 +80,10 @@ def numbers(text: Column | str) -> Column:
 def page_of(chunk_id: Column | str) -> Column:
     """struct<source, page> of ``source#pN#i``; null where the id hasn't exactly three parts."""
     parts = F.split(_as_column(chunk_id), "#")
-    return F.when(F.size(parts) == 3, F.struct(parts[0].alias("source"), F.substring(parts[1], 2, 20).try_cast("int").alias("page")))
+    return F.when(
+        F.size(parts) == 3,
+        F.struct(parts[0].alias("source"), F.substring(parts[1], 2, 20).try_cast("int").alias("page"))
+    )
 
 
 def canonical_question(text: Column | str) -> Column:
@@ -100,7 +103,9 @@ def quote_between(text: Column | str, start: Column | str, end: Column | str, mo
 def out_of_scope(question: Column | str) -> Column:
     """The unsupported hazard that a question is about; null where it is in scope. Marine heatwaves come first."""
     q = _as_column(question)
-    found = F.when(q.rlike(f"(?iU){MARINE_PATTERN}"), "marine heatwave").when(q.rlike(f"(?iU){SUPPORTED_PATTERN}"), F.lit(None).cast("string"))
+    found = F.when(q.rlike(f"(?iU){MARINE_PATTERN}"), "marine heatwave").when(
+        q.rlike(f"(?iU){SUPPORTED_PATTERN}"), F.lit(None).cast("string")
+    )
     for pattern, name in UNSUPPORTED_PATTERNS.items():
         found = found.when(q.rlike(f"(?iU){pattern}"), name)
     return found
@@ -126,11 +131,18 @@ def horizon_of(question: Column | str) -> Column:
     q = F.lower(_as_column(question))
     value = F.create_map(*(F.lit(x) for pair in WORD_NUMBERS.items() for x in pair))
     group = lambda pattern: F.regexp_extract(q, f"(?U){pattern}", 1)
-    days = F.when(q.rlike(r"(?U)next\s+\d+\s+days?"), F.coalesce(group(r"next\s+(\d+)\s+days?").try_cast("decimal(38,0)"), F.lit(MAX_HORIZON)))
+    days = F.when(
+        q.rlike(r"(?U)next\s+\d+\s+days?"),
+        F.coalesce(group(r"next\s+(\d+)\s+days?").try_cast("decimal(38,0)"), F.lit(MAX_HORIZON))
+    )
     weeks, bare = F.try_element_at(value, group(r"next\s+(\w+)\s+weeks?")), F.try_element_at(value, group(r"(\w+)\s+days?"))
-    fixed = F.when(q.rlike(r"\bnext week\b|\bthis week\b"), 7).when(q.rlike(r"\bfortnight\b|\btwo weeks\b"), 14).when(q.rlike(r"\btomorrow\b"), 2).otherwise(DEFAULT_HORIZON)
+    fixed = F.when(q.rlike(r"\bnext week\b|\bthis week\b"), 7).when(
+        q.rlike(r"\bfortnight\b|\btwo weeks\b"), 14
+    ).when(q.rlike(r"\btomorrow\b"), 2).otherwise(DEFAULT_HORIZON)
     # least() passes over nulls, therefore each rule that doesn't apply is told apart first.
-    return F.coalesce(*(F.when(x.isNotNull(), F.least(x, F.lit(MAX_HORIZON)).cast("int")) for x in (days, weeks * 7, bare)), fixed)
+    return F.coalesce(
+        *(F.when(x.isNotNull(), F.least(x, F.lit(MAX_HORIZON)).cast("int")) for x in (days, weeks * 7, bare)), fixed
+    )
 
 
 def place_of(question: Column | str) -> Column:
@@ -143,7 +155,9 @@ def place_of(question: Column | str) -> Column:
 def location_label(name: Column, region_label: Column, country: Column) -> Column:
     """``name, region`` where a region is known, else ``name, country`` without a dangling comma."""
     plain = F.rtrim(F.concat(name, F.lit(", "), F.coalesce(country, F.lit(""))))
-    return F.when(region_label.isNotNull(), F.concat_ws(", ", name, region_label)).otherwise(F.regexp_replace(plain, r"[, ]+$", ""))
+    return F.when(
+        region_label.isNotNull(), F.concat_ws(", ", name, region_label)
+    ).otherwise(F.regexp_replace(plain, r"[, ]+$", ""))
 
 
 def evidence_question(hazard: Column, location: Column) -> Column:

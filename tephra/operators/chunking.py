@@ -36,9 +36,14 @@ def pages_of(raw: DataFrame, text_col: str = "text") -> DataFrame:
 def segments(text: Column, pattern: str) -> Column:
     """array<struct<label, text>>: the text before the first row, then a segment a row; null below two row labels."""
     labels, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    rows = F.zip_with(labels, F.slice(between, 2, F.size(labels)), lambda a, b: F.struct(a.alias("label"), F.trim(F.concat(a, b)).alias("text")))
+    rows = F.zip_with(
+        labels, F.slice(between, 2, F.size(labels)),
+        lambda a, b: F.struct(a.alias("label"), F.trim(F.concat(a, b)).alias("text"))
+    )
     first = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.trim(between[0]).alias("text")))
-    return F.when(F.size(labels) >= 2, F.concat(F.when(F.trim(between[0]) != "", first).otherwise(F.slice(first, 1, 0)), rows))
+    return F.when(
+        F.size(labels) >= 2, F.concat(F.when(F.trim(between[0]) != "", first).otherwise(F.slice(first, 1, 0)), rows)
+    )
 
 
 def caption_of(text: Column) -> Column:
@@ -46,7 +51,10 @@ def caption_of(text: Column) -> Column:
     found = F.regexp_extract(text, f"({CAPTION_PATTERN})", 1)
     inside = F.position(found, text) + F.length(found) - 1 < F.length(text)
     trimmed = F.trim(found)
-    return F.when(found != "", F.when(inside & F.contains(trimmed, F.lit(" ")), F.regexp_replace(trimmed, r" [^ ]*$", "")).otherwise(trimmed))
+    return F.when(
+        found != "",
+        F.when(inside & F.contains(trimmed, F.lit(" ")), F.regexp_replace(trimmed, r" [^ ]*$", "")).otherwise(trimmed)
+    )
 
 
 def with_captions(pages: DataFrame, pattern: str) -> DataFrame:
@@ -58,8 +66,12 @@ def with_captions(pages: DataFrame, pattern: str) -> DataFrame:
     marked = pages.withColumns({"segments": table, "own": F.when(table.isNotNull(), caption_of(F.col("text")))})
     by_page = Window.partitionBy("source").orderBy("page")
     run = F.count_if(F.col("segments").isNull()).over(by_page)
-    carried = F.last("own", ignorenulls=True).over(Window.partitionBy("source", "run").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("run", run).withColumn("caption", F.when(F.col("segments").isNotNull(), carried)).drop("own", "run")
+    carried = F.last("own", ignorenulls=True).over(
+        Window.partitionBy("source", "run").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return marked.withColumn("run", run).withColumn(
+        "caption", F.when(F.col("segments").isNotNull(), carried)
+    ).drop("own", "run")
 
 
 def windows(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
@@ -111,9 +123,17 @@ def chunk_pages(pages: DataFrame, pattern: str | None = None, most: int = MAX_CH
     whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("text").alias("text")))
     marked = marked.withColumn("segments", F.coalesce("segments", whole))
     cut = marked.withColumn("cut", _windows_udf(most, overlap)(F.transform("segments", lambda s: s["text"])))
-    pieces = F.flatten(F.zip_with("segments", "cut", lambda s, w: F.transform(w, lambda x: F.struct(s["label"].alias("label"), x.alias("piece")))))
+    pieces = F.flatten(
+        F.zip_with(
+            "segments", "cut",
+            lambda s, w: F.transform(w, lambda x: F.struct(s["label"].alias("label"), x.alias("piece")))
+        )
+    )
     flat = cut.select("source", "page", "caption", F.posexplode(pieces).alias("i", "p"))
     label, piece = F.col("p.label"), F.col("p.piece")
     labelled = F.when(label.isNotNull() & ~F.startswith(piece, label), F.concat_ws(" ", label, piece)).otherwise(piece)
-    full = F.when(label.isNotNull() & F.col("caption").isNotNull() & ~F.contains(labelled, F.lit("Table")), F.concat(labelled, F.lit(" ["), F.col("caption"), F.lit("]"))).otherwise(labelled)
+    full = F.when(
+        label.isNotNull() & F.col("caption").isNotNull() & ~F.contains(labelled, F.lit("Table")),
+        F.concat(labelled, F.lit(" ["), F.col("caption"), F.lit("]"))
+    ).otherwise(labelled)
     return flat.select(F.concat("source", F.lit("#p"), "page", F.lit("#"), "i").alias("chunk_id"), "source", "page", full.alias("text"))

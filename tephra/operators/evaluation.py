@@ -51,13 +51,18 @@ def recall_report(ranks: DataFrame, by: list[str], at=RECALL_AT) -> DataFrame:
     columns = [n.alias("n")]
     for k in at:
         low, high = wilson(hits[k], n)
-        columns += [F.round(hits[k] / n, 4).alias(f"recall_{k}"), F.round(low, 4).alias(f"low_{k}"), F.round(high, 4).alias(f"high_{k}")]
+        columns += [
+            F.round(hits[k] / n, 4).alias(f"recall_{k}"), F.round(low, 4).alias(f"low_{k}"),
+            F.round(high, 4).alias(f"high_{k}")
+        ]
     columns.append(F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 4).alias("mrr"))
     return ranks.groupBy(*by).agg(*columns)
 
 
 def refusal_cell(expected_refuse: Column, did_abstain: Column) -> Column:
-    return F.when(expected_refuse, F.when(did_abstain, "correct_refuse").otherwise("false_answer")).otherwise(F.when(did_abstain, "false_refuse").otherwise("correct_answer"))
+    return F.when(
+        expected_refuse, F.when(did_abstain, "correct_refuse").otherwise("false_answer")
+    ).otherwise(F.when(did_abstain, "false_refuse").otherwise("correct_answer"))
 
 
 def refusal_matrix(outcomes: DataFrame) -> DataFrame:
@@ -78,17 +83,32 @@ def trust_rates(results: DataFrame) -> DataFrame:
     """
     answered, refused = ~F.col("abstain"), F.col("abstain") & F.col("expected_refuse") & F.col("has_gold")
     checks = {
-        "citation_validity": (answered & F.col("has_gold"), F.col("cites_gold")), "numeric_provenance": (answered, F.col("numbers_ok")), "grounded_refusals": (refused & ~F.col("by_guard"), F.col("cites_gold")),
-        "answers_fully_supported": (answered & F.col("claims_ok").isNotNull(), F.col("claims_ok")), "scope_guard_refusals": (refused & F.col("by_guard"), F.lit(True)),
+        "citation_validity": (answered & F.col("has_gold"), F.col("cites_gold")),
+        "numeric_provenance": (answered, F.col("numbers_ok")),
+        "grounded_refusals": (refused & ~F.col("by_guard"), F.col("cites_gold")),
+        "answers_fully_supported": (answered & F.col("claims_ok").isNotNull(), F.col("claims_ok")),
+        "scope_guard_refusals": (refused & F.col("by_guard"), F.lit(True)),
     }
-    packed = results.agg(F.array(*(F.struct(F.lit(name).alias("check"), F.count_if(who & ok).alias("passed"), F.count_if(who).alias("total")) for name, (who, ok) in checks.items())).alias("all"))
+    packed = results.agg(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(name).alias("check"), F.count_if(who & ok).alias("passed"), F.count_if(who).alias("total")
+                )
+                for name, (who, ok) in checks.items()
+            )
+        ).alias("all")
+    )
     return packed.select(F.inline("all"))
 
 
 def claim_support(claims: DataFrame) -> DataFrame:
     """(qid, n_claims, n_supported, all_supported) of ``claims array<struct<claim, supported>>``; no claims are supported."""
     supported = F.filter("claims", lambda c: c["supported"])
-    return claims.select("qid", F.size("claims").alias("n_claims"), F.size(supported).alias("n_supported"), (F.size("claims") == F.size(supported)).alias("all_supported"))
+    return claims.select(
+        "qid", F.size("claims").alias("n_claims"), F.size(supported).alias("n_supported"),
+        (F.size("claims") == F.size(supported)).alias("all_supported")
+    )
 
 
 def quota_gaps(questions: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -100,7 +120,9 @@ def quota_gaps(questions: DataFrame, quotas: DataFrame) -> DataFrame:
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(kind, value) of ids and canonical questions in both sets."""
-    ids = a.select("id").intersect(b.select("id")).select(F.lit("id").alias("kind"), F.col("id").cast("string").alias("value"))
+    ids = a.select("id").intersect(b.select("id")).select(
+        F.lit("id").alias("kind"), F.col("id").cast("string").alias("value")
+    )
     text = canonical_question("question").alias("value")
     return ids.unionByName(a.select(text).intersect(b.select(text)).select(F.lit("text").alias("kind"), "value"))
 
@@ -115,10 +137,17 @@ def gold_violations(questions: DataFrame) -> DataFrame:
     pages = F.array_sort(F.array_distinct(F.coalesce("gold_pages", F.array().cast("array<struct<source:string,page:int>>"))))
     empty = F.size(pages) == 0
     checks = {
-        "answerable_without_gold": F.col("answerable") & empty, "gold_without_answerable": ~F.col("answerable") & ~empty, "answer_expected_of_unanswerable": (F.col("expected_behavior") == "answer") & ~F.col("answerable"),
+        "answerable_without_gold": F.col("answerable") & empty,
+        "gold_without_answerable": ~F.col("answerable") & ~empty,
+        "answer_expected_of_unanswerable": (F.col("expected_behavior") == "answer") & ~F.col("answerable"),
         "page_below_one": F.exists(pages, lambda p: p["page"] < 1),
     }
-    return questions.withColumns({"gold_pages": pages, "violations": F.array_compact(F.array(*(F.when(bad, name) for name, bad in checks.items())))})
+    return questions.withColumns(
+        {
+            "gold_pages": pages,
+            "violations": F.array_compact(F.array(*(F.when(bad, name) for name, bad in checks.items())))
+        }
+    )
 
 
 def content_hash(questions: DataFrame) -> DataFrame:
@@ -126,7 +155,10 @@ def content_hash(questions: DataFrame) -> DataFrame:
 
     A gold set is bounded by what people label; it is gathered in one task, never on the driver.
     """
-    names = ["id", "slice", "question", "answerable", "expected_behavior", "gold_pages", "supporting_quote", "hazard", "notes"]
+    names = [
+        "id", "slice", "question", "answerable", "expected_behavior", "gold_pages", "supporting_quote", "hazard",
+        "notes"
+    ]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -135,17 +167,33 @@ def content_hash(questions: DataFrame) -> DataFrame:
             r["answerable"] = bool(r["answerable"])
             r["gold_pages"] = [{"source": p["source"], "page": int(p["page"])} for p in r["gold_pages"]]
             rows.append(r)
-        return pd.DataFrame({"content_hash": [hashlib.sha256(json.dumps(rows, sort_keys=True, ensure_ascii=False).encode()).hexdigest()]})
+        return pd.DataFrame(
+            {
+                "content_hash": [
+                    hashlib.sha256(json.dumps(rows, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+                ]
+            }
+        )
 
-    return gold_violations(questions).select(*names, F.lit(1).alias("all")).groupBy("all").applyInPandas(one, "content_hash string")
+    return gold_violations(questions).select(
+        *names, F.lit(1).alias("all")
+    ).groupBy("all").applyInPandas(one, "content_hash string")
 
 
 def outcome_key(abstain: Column, citations: Column, answer: Column) -> Column:
     """Identity of an answer: whether it abstains, sorted citations, and 12 digits of the answer's hash."""
-    return F.to_json(F.struct(abstain.alias("abstain"), F.substring(F.sha2(answer, 256), 1, 12).alias("answer_sha"), F.array_sort(citations).alias("citations")))
+    return F.to_json(
+        F.struct(
+            abstain.alias("abstain"), F.substring(F.sha2(answer, 256), 1, 12).alias("answer_sha"),
+            F.array_sort(citations).alias("citations")
+        )
+    )
 
 
 def stability(outcomes: DataFrame) -> DataFrame:
     """(model, repeats, distinct_outcomes, errors, deterministic) of (model, outcome, error)."""
     distinct, errors = F.countDistinct("outcome"), F.count("error")
-    return outcomes.groupBy("model").agg(F.count("*").alias("repeats"), distinct.alias("distinct_outcomes"), errors.alias("errors"), ((distinct <= 1) & (errors == 0)).alias("deterministic"))
+    return outcomes.groupBy("model").agg(
+        F.count("*").alias("repeats"), distinct.alias("distinct_outcomes"), errors.alias("errors"),
+        ((distinct <= 1) & (errors == 0)).alias("deterministic")
+    )

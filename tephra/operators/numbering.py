@@ -20,7 +20,9 @@ def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "row
     counts = dealt.groupBy("__part", *by).agg(F.count("*").alias("__n"))
     ahead = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")
     # Null-safe: rows of a null group are a group like others.
-    before = counts.select(F.col("__part").alias("__at"), *(F.col(c).alias(f"__by{k}") for k, c in enumerate(by)), ahead.alias("__ahead"))
+    before = counts.select(
+        F.col("__part").alias("__at"), *(F.col(c).alias(f"__by{k}") for k, c in enumerate(by)), ahead.alias("__ahead")
+    )
     same = F.col("__part") == F.col("__at")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))

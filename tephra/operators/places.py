@@ -28,7 +28,9 @@ def geocode(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
     pre-aggregated minimum, so that no name's rows meet in one task.
     """
     best = gazetteer.groupBy("place").agg(F.min(F.struct("ord", "name", "latitude", "longitude", "country")).alias("g"))
-    return queries.join(small(best), "place", "left").select(*queries.columns, "g.name", "g.latitude", "g.longitude", "g.country")
+    return queries.join(small(best), "place", "left").select(
+        *queries.columns, "g.name", "g.latitude", "g.longitude", "g.country"
+    )
 
 
 def inside(lat: Column, lon: Column, ring: Column) -> Column:
@@ -45,7 +47,9 @@ def inside(lat: Column, lon: Column, ring: Column) -> Column:
     def touches(i):
         a, b = edge(i)
         cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
-        return (cross == 0) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+        return (cross == 0) & lon.between(
+            F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])
+        ) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
 
     steps = F.sequence(F.lit(0), n - 1)
     crossed = F.size(F.filter(steps, crosses)) % 2 == 1
@@ -60,22 +64,32 @@ def region_of(points: DataFrame, regions: DataFrame) -> DataFrame:
     """
     packed = regions.agg(F.array_sort(F.collect_list(F.struct("ord", "acronym", "name", "ring"))).alias("all"))
     hit = F.get(F.filter("all", lambda r: inside(F.col("latitude"), F.col("longitude"), r["ring"])), F.lit(0))
-    return points.join(F.broadcast(packed)).withColumn("hit", hit).select(*points.columns, F.col("hit.acronym").alias("acronym"), F.col("hit.name").alias("region"))
+    return points.join(F.broadcast(packed)).withColumn("hit", hit).select(
+        *points.columns, F.col("hit.acronym").alias("acronym"), F.col("hit.name").alias("region")
+    )
 
 
 def parse(queries: DataFrame) -> DataFrame:
     """(qid, text) -> qid, text, hazard, out_of_scope, place, horizon_days."""
-    return queries.select("qid", "text", t.hazard_of("text").alias("hazard"), t.parsed_out_of_scope("text").alias("out_of_scope"), t.place_of("text").alias("place"), t.horizon_of("text").alias("horizon_days"))
+    return queries.select(
+        "qid", "text", t.hazard_of("text").alias("hazard"), t.parsed_out_of_scope("text").alias("out_of_scope"),
+        t.place_of("text").alias("place"), t.horizon_of("text").alias("horizon_days")
+    )
 
 
 def located(queries: DataFrame, gazetteer: DataFrame, regions: DataFrame) -> DataFrame:
     """Parsed questions with coordinates, a location label and the first refusal that applies, if any."""
     found = region_of(geocode(parse(queries), gazetteer), regions)
-    label = t.location_label(F.col("name"), F.when(F.col("region").isNotNull(), F.format_string("%s (%s)", "region", "acronym")), F.col("country"))
+    label = t.location_label(
+        F.col("name"), F.when(F.col("region").isNotNull(), F.format_string("%s (%s)", "region", "acronym")),
+        F.col("country")
+    )
     refusal = (
         F.when(F.col("out_of_scope").isNotNull(), F.concat("out_of_scope", F.lit(f" is not a supported hazard {SUPPORTED}")))
         .when(F.col("hazard").isNull(), f"could not identify a supported hazard in the question {SUPPORTED}")
         .when(F.col("place").isNull(), "could not identify a location in the question.")
         .when(F.col("name").isNull(), F.concat(F.lit("could not resolve the location: "), "place"))
     )
-    return found.withColumns({"refusal": refusal, "location": F.when(refusal.isNull(), label).otherwise(F.col("text"))}).withColumn("hazard", F.when(F.col("refusal").isNull(), F.col("hazard")))
+    return found.withColumns(
+        {"refusal": refusal, "location": F.when(refusal.isNull(), label).otherwise(F.col("text"))}
+    ).withColumn("hazard", F.when(F.col("refusal").isNull(), F.col("hazard")))

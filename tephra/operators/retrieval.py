@@ -57,16 +57,27 @@ def _bm25_joined(docs: DataFrame, queries: DataFrame, k: int, fold: bool) -> Dat
     documents: an empty term stands in every document for its length. Frequencies, totals and scores all come from these
     postings, which are written once.
     """
-    asked = queries.select("qid", F.explode(tokens("text", fold)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select(
+        "qid", F.explode(tokens("text", fold)).alias("term")
+    ).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").unionAll(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     # The outer lambda binds the tokens of a text, so that they are found once and not anew for each of them.
-    rows = F.transform(F.array(tokens("text", fold)), lambda ws: F.transform(F.concat(ws, F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), F.size(ws).alias("dl"))))
+    rows = F.transform(
+        F.array(tokens("text", fold)),
+        lambda ws: F.transform(
+            F.concat(ws, F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), F.size(ws).alias("dl"))
+        )
+    )
     words = docs.select("ord", F.inline(F.flatten(rows)))
-    held = materialized(words.join(small(terms), "term").groupBy("term", "ord", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+    held = materialized(
+        words.join(small(terms), "term").groupBy("term", "ord", "dl").agg(F.count("*").alias("tf")), "bm25-postings"
+    )
     totals = held.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
     df = held.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
+    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (
+        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean"))
+    )
     # One row of totals joins every term: its size is proven.
     valued = df.join(F.broadcast(totals)).select("term", "mean", idf.alias("idf"))
     matched = held.join(valued, "term").join(small(asked), "term")
@@ -86,7 +97,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
         return _bm25_joined(docs, queries, k, fold)
     terms = sorted({w for r in found for w in r["words"] or ()})
     if not terms:
-        return queries.select("qid", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+        return queries.select(
+            "qid", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")
+        ).limit(0)
     place = {w: t for t, w in enumerate(terms)}
     kind = queries.schema["qid"].dataType
     ids = pa.array([r["qid"] for r in found], to_arrow_type(kind))
@@ -115,7 +128,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
             _, term, _, length = postings(batch)
             df += np.bincount(term, minlength=len(terms))
             rows, total = rows + len(length), total + int(length.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -1, -2]), pa.array([*df.tolist(), rows, total])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*range(len(terms)), -1, -2]), pa.array([*df.tolist(), rows, total])], names=["term", "n"]
+        )
 
     sums = dict(words.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     df, n = np.array([sums.get(t, 0) for t in range(len(terms))], float), sums.get(-1, 0)
@@ -127,21 +142,30 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fold: bool =
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
                 row, term, tf, length = postings(batch)
-                weight = idf[term] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length[row] / max(mean, 1e-12)))
+                weight = idf[term] * tf * (BM25_K1 + 1) / (
+                    tf + BM25_K1 * (1 - BM25_B + BM25_B * length[row] / max(mean, 1e-12))
+                )
                 many = at[term + 1] - at[term]
                 who = np.repeat(np.arange(len(term)), many)
                 pair = np.repeat(at[term] - (np.cumsum(many) - many), many) + np.arange(len(who))
-                sums = np.bincount(row[who] * len(ids) + asked[pair, 1], weights=weight[who] * asked[pair, 2], minlength=len(length) * len(ids)).reshape(len(length), len(ids))
+                sums = np.bincount(
+                    row[who] * len(ids) + asked[pair, 1], weights=weight[who] * asked[pair, 2],
+                    minlength=len(length) * len(ids)
+                ).reshape(len(length), len(ids))
                 sums = np.round(sums, 9)
                 ords = batch.column(0).to_numpy()
                 best = np.lexsort((np.broadcast_to(ords[:, None], sums.shape), -sums), axis=0)[:k]
                 value = np.take_along_axis(sums, best, axis=0).ravel()
                 keep = value > 0
                 who = ids.take(pa.array(np.tile(np.arange(len(ids)), len(best))[keep]))
-                yield pa.RecordBatch.from_arrays([who, pa.array(ords[best].ravel()[keep]), pa.array(value[keep])], names=["qid", "ord", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [who, pa.array(ords[best].ravel()[keep]), pa.array(value[keep])], names=["qid", "ord", "score"]
+                )
 
     # Written: a ranking is small, is read several times, and keeps Python out of the plans that build on it.
-    return materialized(_top(words.mapInArrow(score, f"qid {kind.simpleString()}, ord long, score double"), k), "bm25-ranking")
+    return materialized(
+        _top(words.mapInArrow(score, f"qid {kind.simpleString()}, ord long, score double"), k), "bm25-ranking"
+    )
 
 
 class _Best:
@@ -159,7 +183,9 @@ class _Best:
             self.kept()
 
     def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, ord_, score = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        query, ord_, score = (
+            np.concatenate(x) for x in zip(*self.parts)
+        ) if self.parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         order = np.lexsort((ord_, -score, query))
         query, ord_, score = query[order], ord_[order], score[order]
         first = np.searchsorted(query, np.arange(len(self.least)))
@@ -223,14 +249,22 @@ def _nearest(shared, k: int):
         query, ord_, score = best.kept()
         for i in range(0, len(query), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[part])), pa.array(ord_[part]), pa.array(score[part])], names=["qid", "ord", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(query[part])), pa.array(ord_[part]), pa.array(score[part])],
+                names=["qid", "ord", "score"]
+            )
 
     return run
 
 
 def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     """(qid, ord, score, rank): reciprocal-rank fusion; ties go to the better rank in the earlier ranking."""
-    parts = [r.select("qid", "ord", "rank", *(F.when(F.lit(i == j), F.col("rank")).alias(f"r{j}") for j in range(len(rankings)))) for i, r in enumerate(rankings)]
+    parts = [
+        r.select(
+            "qid", "ord", "rank", *(F.when(F.lit(i == j), F.col("rank")).alias(f"r{j}") for j in range(len(rankings)))
+        )
+        for i, r in enumerate(rankings)
+    ]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -239,7 +273,9 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     # and it then leaves the exchange out; but where a reused exchange stands below, the union no longer has that partitioning
     # when it runs, and sums go wrong.
     union = union.repartition("qid", "ord")
-    summed = union.groupBy("qid", "ord").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), *(F.min(p).alias(p) for p in places))
+    summed = union.groupBy("qid", "ord").agg(
+        F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), *(F.min(p).alias(p) for p in places)
+    )
     by = Window.partitionBy("qid").orderBy(F.desc("score"), *(F.asc_nulls_last(p) for p in places), "ord")
     return summed.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("qid", "ord", "score", "rank")
 
@@ -247,8 +283,12 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
 def retrieve(lexical: DataFrame, semantic: DataFrame, k: int = 5) -> DataFrame:
     """(qid, ord, rank, retrieval_mode): fused where a query has a semantic ranking, else the lexical one, flagged."""
     dense = semantic.select("qid").distinct()
-    fused = fuse([lexical.join(dense, "qid", "left_semi"), semantic], k).select("qid", "ord", "rank", F.lit("hybrid").alias("retrieval_mode"))
-    plain = lexical.join(dense, "qid", "left_anti").where(F.col("rank") <= k).select("qid", "ord", "rank", F.lit("bm25_only").alias("retrieval_mode"))
+    fused = fuse([lexical.join(dense, "qid", "left_semi"), semantic], k).select(
+        "qid", "ord", "rank", F.lit("hybrid").alias("retrieval_mode")
+    )
+    plain = lexical.join(dense, "qid", "left_anti").where(F.col("rank") <= k).select(
+        "qid", "ord", "rank", F.lit("bm25_only").alias("retrieval_mode")
+    )
     return fused.unionByName(plain).repartition("qid")  # see fuse()
 
 
@@ -256,4 +296,6 @@ def page_ranking(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(…, source, page, rank): chunk rankings as page rankings; the first hit keeps a page's place, places are renumbered."""
     by = by or ["qid"]
     first = ranked.groupBy(*by, "source", "page").agg(F.min("rank").alias("first"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("first", "source", "page"))).drop("first")
+    return first.withColumn(
+        "rank", F.row_number().over(Window.partitionBy(*by).orderBy("first", "source", "page"))
+    ).drop("first")

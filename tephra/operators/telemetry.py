@@ -31,28 +31,48 @@ def _percentiles(events: DataFrame, by: list[str], quantiles: dict[str, float])
     live = events.where("not cached").select(*by, "latency_ms", _bin(F.col("latency_ms")).alias("bin"))
     group = Window.partitionBy(*by)
     bins = live.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-    bins = bins.select(*by, "bin", "c", F.sum("c").over(group.orderBy("bin")).alias("upto"), F.sum("c").over(group).alias("n"))
-    places = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), percentile_at(q, F.col("n")).alias("place")) for name, q in quantiles.items())))
+    bins = bins.select(
+        *by, "bin", "c", F.sum("c").over(group.orderBy("bin")).alias("upto"), F.sum("c").over(group).alias("n")
+    )
+    places = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(name).alias("name"), percentile_at(q, F.col("n")).alias("place"))
+                for name, q in quantiles.items()
+            )
+        )
+    )
     wanted = bins.select("*", places.alias("p")).where("p.place <= upto and p.place > upto - c")
     wanted = wanted.select(*by, "bin", "p.name", (F.col("p.place") - F.col("upto") + F.col("c")).alias("place"))
     wanted = materialized(wanted, "percentile-bins")
-    counted = live.join(small(wanted.select(*by, "bin").distinct()), [*by, "bin"], "left_semi").groupBy(*by, "bin", "latency_ms").agg(F.count("*").alias("c"))
+    counted = live.join(
+        small(wanted.select(*by, "bin").distinct()), [*by, "bin"], "left_semi"
+    ).groupBy(*by, "bin", "latency_ms").agg(F.count("*").alias("c"))
     reach = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("latency_ms")).alias("upto")
     met = counted.select(*by, "bin", "latency_ms", reach).join(small(wanted), [*by, "bin"]).where("upto >= place")
-    return met.groupBy(*by).agg(*(F.min(F.when(F.col("name") == name, F.col("latency_ms"))).alias(name) for name in quantiles))
+    return met.groupBy(*by).agg(
+        *(F.min(F.when(F.col("name") == name, F.col("latency_ms"))).alias(name) for name in quantiles)
+    )
 
 
 def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Events with ``cost`` (0 where cached or unpriced) and ``unpriced``: a model without a price is unknown, not free."""
     joined = events.join(small(prices), "model", "left")
     cost = F.col("tokens_in") / 1e6 * F.col("price_in") + F.col("tokens_out") / 1e6 * F.col("price_out")
-    return joined.withColumns({"cost": F.when(F.col("cached") | F.col("price_in").isNull(), 0.0).otherwise(cost), "unpriced": F.col("price_in").isNull()})
+    return joined.withColumns(
+        {
+            "cost": F.when(F.col("cached") | F.col("price_in").isNull(), 0.0).otherwise(cost),
+            "unpriced": F.col("price_in").isNull()
+        }
+    )
 
 
 def summarize(events: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
     """Calls (cached ones included), cache hits, failures, retries, p50 and p95 latency, cost and unpriced models by group."""
     sums = priced(events, prices).groupBy(*by).agg(
-        F.count("*").alias("calls"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("ok")).alias("failures"), F.sum("retries").alias("retries"), F.round(F.sum("cost"), 6).alias("est_cost_usd"),
+        F.count("*").alias("calls"), F.count_if("cached").alias("cache_hits"),
+        F.count_if(~F.col("ok")).alias("failures"), F.sum("retries").alias("retries"),
+        F.round(F.sum("cost"), 6).alias("est_cost_usd"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("unpriced"), F.col("model")))), ",").alias("unpriced_models"),
     )
     found = _percentiles(events, by, {"p50_ms": 0.50, "p95_ms": 0.95})
@@ -70,8 +90,11 @@ def spans(events: DataFrame, prices: DataFrame, digits: int = 6) -> DataFrame:
     """One row for each span: calls and tokens over live calls, retries and failures over all."""
     live = ~F.col("cached")
     return priced(events, prices).groupBy("span").agg(
-        F.count_if(live).alias("calls"), F.count_if("cached").alias("cache_hits"), F.sum("retries").alias("retries"), F.count_if(~F.col("ok")).alias("failures"),
-        F.coalesce(F.sum(F.when(live, F.col("tokens_in"))), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(F.when(live, F.col("tokens_out"))), F.lit(0)).alias("tokens_out"), F.round(F.sum("cost"), digits).alias("est_cost_usd"),
+        F.count_if(live).alias("calls"), F.count_if("cached").alias("cache_hits"), F.sum("retries").alias("retries"),
+        F.count_if(~F.col("ok")).alias("failures"),
+        F.coalesce(F.sum(F.when(live, F.col("tokens_in"))), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum(F.when(live, F.col("tokens_out"))), F.lit(0)).alias("tokens_out"),
+        F.round(F.sum("cost"), digits).alias("est_cost_usd"),
     )
 
 

@@ -23,7 +23,10 @@ def level_by_return_period(peak: Column, levels: Column) -> Column:
     at = lambda t: F.try_element_at(levels, F.lit(t))
     known = at(10).isNotNull() & at(50).isNotNull() & at(100).isNotNull()
     low, moderate, high, severe = (F.lit(x) for x in LEVELS)
-    return F.when(known & peak.isNotNull(), F.when(peak >= at(100), severe).when(peak >= at(50), high).when(peak >= at(10), moderate).otherwise(low))
+    return F.when(
+        known & peak.isNotNull(),
+        F.when(peak >= at(100), severe).when(peak >= at(50), high).when(peak >= at(10), moderate).otherwise(low)
+    )
 
 
 def absolute_level(hazard: Column, metric: Column) -> Column:
@@ -31,7 +34,11 @@ def absolute_level(hazard: Column, metric: Column) -> Column:
     out = F.lit(None).cast("string")
     for h in HAZARDS:
         moderate, high, severe = ABSOLUTE_BOUNDS[h]
-        band = F.when(metric < moderate, LEVELS[0]).when(metric < high, LEVELS[1]).when(metric < severe, LEVELS[2]).when(metric.isNotNull(), LEVELS[3])
+        band = F.when(
+            metric < moderate, LEVELS[0]
+        ).when(metric < high, LEVELS[1]).when(metric < severe, LEVELS[2]).when(
+            metric.isNotNull(), LEVELS[3]
+        )
         out = F.when(hazard == h, band).otherwise(out)
     return out
 
@@ -39,7 +46,10 @@ def absolute_level(hazard: Column, metric: Column) -> Column:
 def confidence(representativeness: Column, cited: Column) -> Column:
     """What grounds a report adds up, to a ceiling; two digits."""
     bonus = F.coalesce(F.try_element_at(_map(BONUS), representativeness), F.lit(0.0))
-    return F.round(F.least(F.lit(BASE_CONFIDENCE) + bonus + F.when(cited, CITED_BONUS).otherwise(0.0), F.lit(CONFIDENCE_CEILING)), 2)
+    return F.round(
+        F.least(F.lit(BASE_CONFIDENCE) + bonus + F.when(cited, CITED_BONUS).otherwise(0.0), F.lit(CONFIDENCE_CEILING)),
+        2
+    )
 
 
 def metres_per_second(kmh: Column) -> Column:
@@ -48,7 +58,13 @@ def metres_per_second(kmh: Column) -> Column:
 
 def levels_text(levels: Column) -> Column:
     """``10yr=1.5, 50yr=2.0`` of array<struct<return_period, level>>."""
-    return F.array_join(F.transform(levels, lambda r: F.concat(r["return_period"].cast("string"), F.lit("yr="), F.round(r["level"], 1).cast("string"))), ", ")
+    return F.array_join(
+        F.transform(
+            levels,
+            lambda r: F.concat(r["return_period"].cast("string"), F.lit("yr="), F.round(r["level"], 1).cast("string"))
+        ),
+        ", "
+    )
 
 
 def reports(runs: DataFrame) -> DataFrame:
@@ -65,29 +81,73 @@ def reports(runs: DataFrame) -> DataFrame:
     grounded = F.when(matches, level_by_return_period(F.col("peak"), F.transform_values(by_period, lambda _, v: v)))
     level = F.coalesce(grounded, absolute_level(F.col("hazard"), F.col("peak")))
     ms = F.format_string("%.1f", metres_per_second(F.col("peak")))
-    detail = F.when(F.col("hazard") == "extreme_precip", F.format_string("max daily %s mm", "peak")).when(F.col("hazard") == "heatwave", F.format_string("max daily %s °C", "peak")).otherwise(F.format_string("max daily %s km/h (%s m/s)", F.col("peak"), ms))
-    factor = F.element_at(_map({"extreme_precip": "precipitation", "heatwave": "temperature", "wind": "wind"}), F.col("hazard"))
+    detail = F.when(
+        F.col("hazard") == "extreme_precip", F.format_string("max daily %s mm", "peak")
+    ).when(
+        F.col("hazard") == "heatwave", F.format_string("max daily %s °C", "peak")
+    ).otherwise(F.format_string("max daily %s km/h (%s m/s)", F.col("peak"), ms))
+    factor = F.element_at(
+        _map({"extreme_precip": "precipitation", "heatwave": "temperature", "wind": "wind"}), F.col("hazard")
+    )
     text = levels_text(F.col("return_levels"))
     strong = F.coalesce(F.col("trend.significant"), F.lit(False))
     climate = F.when(strong, F.format_string("%s-yr ERA5 non-stationary GEV (%s), levels effective at %s", F.col("n_years"), F.col("variable"), F.col("trend.evaluated_at").cast("long"))).otherwise(
-        F.concat(F.format_string("%s-yr ERA5 GEV (%s)", "n_years", "variable"), F.when(F.col("trend").isNotNull(), F.format_string(", no significant trend (p=%.2f)", F.col("trend.p_value"))).otherwise(""))
+        F.concat(
+            F.format_string("%s-yr ERA5 GEV (%s)", "n_years", "variable"),
+            F.when(
+                F.col("trend").isNotNull(), F.format_string(", no significant trend (p=%.2f)", F.col("trend.p_value"))
+            ).otherwise("")
+        )
     )
     basis = F.when(matches, F.format_string("forecast peak %s %s vs GEV return levels (%s) -> %s", F.col("peak"), F.col("unit"), text, level)).otherwise(
-        F.format_string("absolute thresholds (forecast/climatology variable mismatch: %s vs %s)", F.try_element_at(_map(FORECAST_SERIES), F.col("hazard")), F.col("variable"))
+        F.format_string(
+            "absolute thresholds (forecast/climatology variable mismatch: %s vs %s)",
+            F.try_element_at(_map(FORECAST_SERIES), F.col("hazard")), F.col("variable")
+        )
     )
     driver = lambda f, d: F.struct(f.alias("factor"), d.alias("detail"))
-    drivers = F.when(has_stat, F.array(driver(factor, detail), driver(F.lit("climatology"), climate), driver(F.lit("severity_basis"), basis))).otherwise(F.array(driver(factor, detail)))
+    drivers = F.when(
+        has_stat,
+        F.array(driver(factor, detail), driver(F.lit("climatology"), climate), driver(F.lit("severity_basis"), basis))
+    ).otherwise(F.array(driver(factor, detail)))
     sentence = F.when(F.col("hazard") == "extreme_precip", F.format_string("Peak daily rainfall of %s mm over %s days.", "peak", "horizon_days")).when(F.col("hazard") == "heatwave", F.format_string("Peak daily max temperature of %s °C over %s days.", "peak", "horizon_days")).otherwise(
         F.format_string("Peak daily wind of %s km/h (%s m/s) over %s days.", F.col("peak"), ms, F.col("horizon_days"))
     )
-    climate_sentence = F.when(strong, F.format_string(" ERA5 effective return levels at %s (%s; warming trend %+.1f %s/decade, p=%.3f).", F.col("trend.evaluated_at").cast("long"), text, F.col("trend.slope_per_decade"), F.col("unit"), F.col("trend.p_value"))).otherwise(F.concat(F.lit(" ERA5 return levels ("), text, F.lit(").")))
-    pages = F.when(F.col("answer").isNotNull(), F.array_distinct(F.coalesce("citations", F.array().cast("array<struct<source:string,page:int>>"))))
+    climate_sentence = F.when(
+        strong,
+        F.format_string(
+            " ERA5 effective return levels at %s (%s; warming trend %+.1f %s/decade, p=%.3f).",
+            F.col("trend.evaluated_at").cast("long"), text, F.col("trend.slope_per_decade"), F.col("unit"),
+            F.col("trend.p_value")
+        )
+    ).otherwise(F.concat(F.lit(" ERA5 return levels ("), text, F.lit(").")))
+    pages = F.when(
+        F.col("answer").isNotNull(),
+        F.array_distinct(F.coalesce("citations", F.array().cast("array<struct<source:string,page:int>>")))
+    )
     cited = F.coalesce(F.size(pages) > 0, F.lit(False))
-    summary = F.concat(sentence, F.when(has_stat, climate_sentence).otherwise(""), F.when(F.col("answer").isNotNull(), F.concat(F.lit(" IPCC AR6: "), "answer")).otherwise(""))
+    summary = F.concat(
+        sentence, F.when(has_stat, climate_sentence).otherwise(""),
+        F.when(F.col("answer").isNotNull(), F.concat(F.lit(" IPCC AR6: "), "answer")).otherwise("")
+    )
     return runs.select(
-        *[c for c in ("qid",) if c in runs.columns], "location", "hazard", "horizon_days", F.when(~refused, level).alias("risk_level"), F.when(~refused, summary).alias("summary"), F.when(~refused, drivers).alias("drivers"),
-        F.when(~refused, F.coalesce(F.transform(pages, lambda p: F.struct(p["source"].alias("source"), F.concat(F.lit("p"), p["page"]).alias("locator"))), F.array().cast("array<struct<source:string,locator:string>>"))).alias("citations"),
-        F.when(refused, 0.0).otherwise(confidence(F.when(has_stat, F.col("representativeness")), cited)).alias("confidence"), "refusal",
+        *[c for c in ("qid",) if c in runs.columns], "location", "hazard", "horizon_days",
+        F.when(~refused, level).alias("risk_level"), F.when(~refused, summary).alias("summary"),
+        F.when(~refused, drivers).alias("drivers"),
+        F.when(
+            ~refused,
+            F.coalesce(
+                F.transform(
+                    pages,
+                    lambda p: F.struct(p["source"].alias("source"), F.concat(F.lit("p"), p["page"]).alias("locator"))
+                ),
+                F.array().cast("array<struct<source:string,locator:string>>")
+            )
+        ).alias("citations"),
+        F.when(refused, 0.0).otherwise(
+            confidence(F.when(has_stat, F.col("representativeness")), cited)
+        ).alias("confidence"),
+        "refusal",
         F.when(~refused, F.when(F.col("answer").isNotNull(), "grounded").otherwise("ungrounded")).alias("grounding_status"),
     )
 

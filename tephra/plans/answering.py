@@ -18,59 +18,97 @@ def answered_questions(spark, sf_dir):
     from tephra.plans import pipeline
 
     items = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    asked = items.unionByName(spark.createDataFrame([(-1, "How do droughts change?"), (-2, "Hail or heat?"), (-3, "")], "qid long, text string"))
+    asked = items.unionByName(
+        spark.createDataFrame(
+            [(-1, "How do droughts change?"), (-2, "Hail or heat?"), (-3, "")], "qid long, text string"
+        )
+    )
     pages = tables.cleaned_pages(spark, sf_dir)
     chunks = pages.select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"), "source", "page", "text")
-    vectors = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding").join(chunks.select("ord"), "ord", "left_semi")
-    of_questions = tables.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.expr("vec_id div 20").alias("qid"), "embedding")
+    vectors = tables.read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("ord"), "embedding"
+    ).join(chunks.select("ord"), "ord", "left_semi")
+    of_questions = tables.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(
+        F.expr("vec_id div 20").alias("qid"), "embedding"
+    )
     found = pipeline.answered(asked, chunks, answers.extractive_model, 3, vectors=vectors, question_vectors=of_questions)
-    return found.select("qid", "status", "answer", F.array_join("citations", ",").alias("citations"), "abstain", "abstain_reason", F.size("unknown").alias("n_unknown"))
+    return found.select(
+        "qid", "status", "answer", F.array_join("citations", ",").alias("citations"), "abstain", "abstain_reason",
+        F.size("unknown").alias("n_unknown")
+    )
 
 
 def evidence_search(spark, sf_dir):
     """The search tool: as many chunks as each question asks for, within its bounds."""
     from tephra.plans import api
 
-    items = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", (F.col("item_id") % 14 - 2).cast("int").alias("top_k"))
+    items = tables.read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), "text", (F.col("item_id") % 14 - 2).cast("int").alias("top_k")
+    )
     pages = tables.cleaned_pages(spark, sf_dir)
     chunks = pages.select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"), "source", "page", "text")
-    return api.search_evidence(items, chunks).select("qid", "rank", "chunk_id", F.md5("text").alias("digest"), "retrieval_mode")
+    return api.search_evidence(items, chunks).select(
+        "qid", "rank", "chunk_id", F.md5("text").alias("digest"), "retrieval_mode"
+    )
 
 
 def number_provenance(spark, sf_dir):
     """Numbers of each page against those of the next page of its source."""
     pages = tables.corpus_pages(spark, sf_dir)
     following = pages.select("source", (F.col("page") - 1).alias("page"), F.col("text").alias("cited"))
-    both = pages.join(following, ["source", "page"], "left").withColumn("cited", F.when(F.col("cited").isNull(), F.array().cast("array<string>")).otherwise(F.array("cited")))
-    return both.select("doc_id", F.size(t.numbers("text")).alias("n_numbers"), evaluation.provenance_ok(F.col("text"), F.col("cited")).alias("ok"))
+    both = pages.join(following, ["source", "page"], "left").withColumn(
+        "cited", F.when(F.col("cited").isNull(), F.array().cast("array<string>")).otherwise(F.array("cited"))
+    )
+    return both.select(
+        "doc_id", F.size(t.numbers("text")).alias("n_numbers"),
+        evaluation.provenance_ok(F.col("text"), F.col("cited")).alias("ok")
+    )
 
 
 def _raw_answers(spark, sf_dir):
     """Model output of every kind, made from events."""
     e, k = tables.read(spark, sf_dir, "events"), F.col("event_id") % 6
     raw = (
-        F.when(k == 0, F.concat(F.lit('{"answer": "a'), "event_id", F.lit('", "citations": ["c1", "c2"], "abstain": false}')))
-        .when(k == 1, F.lit('{"answer": "b", "citations": ["c9"], "abstain": false}')).when(k == 2, F.lit('{"answer": "c", "citations": [], "abstain": false}'))
-        .when(k == 3, F.lit('{"answer": "", "citations": ["c1"], "abstain": true, "abstain_reason": "no"}')).when(k == 4, F.lit("not json")).otherwise(F.lit("[1, 2]"))
+        F.when(
+            k == 0,
+            F.concat(F.lit('{"answer": "a'), "event_id", F.lit('", "citations": ["c1", "c2"], "abstain": false}'))
+        )
+        .when(
+            k == 1, F.lit('{"answer": "b", "citations": ["c9"], "abstain": false}')
+        ).when(k == 2, F.lit('{"answer": "c", "citations": [], "abstain": false}'))
+        .when(
+            k == 3, F.lit('{"answer": "", "citations": ["c1"], "abstain": true, "abstain_reason": "no"}')
+        ).when(k == 4, F.lit("not json")).otherwise(F.lit("[1, 2]"))
     )
-    return e.select(F.col("event_id").alias("qid"), raw.alias("raw"), F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("allowed_ids"))
+    return e.select(
+        F.col("event_id").alias("qid"), raw.alias("raw"),
+        F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("allowed_ids")
+    )
 
 
 def citation_integrity(spark, sf_dir):
-    return answers.checked_answers(_raw_answers(spark, sf_dir)).select("qid", "status", "answer", "abstain", "abstain_reason", F.size("unknown").alias("n_unknown"))
+    return answers.checked_answers(_raw_answers(spark, sf_dir)).select(
+        "qid", "status", "answer", "abstain", "abstain_reason", F.size("unknown").alias("n_unknown")
+    )
 
 
 def citation_hits(spark, sf_dir):
     """Whether the best three chunks of a question, by their ids, lie on a gold page."""
     pages = tables.corpus_pages(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "page")
     ids = _lexical(spark, sf_dir, 3).join(pages, "ord").select("qid", F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"))
-    hit = ids.select("qid", t.page_of("chunk_id").alias("p")).select("qid", "p.source", "p.page").join(tables.benchmark_gold(spark, sf_dir), ["qid", "source", "page"], "left_semi").select("qid").distinct()
+    hit = ids.select("qid", t.page_of("chunk_id").alias("p")).select("qid", "p.source", "p.page").join(
+        tables.benchmark_gold(spark, sf_dir), ["qid", "source", "page"], "left_semi"
+    ).select("qid").distinct()
     asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
-    return asked.join(hit.withColumn("h", F.lit(True)), "qid", "left").select("qid", F.coalesce("h", F.lit(False)).alias("hit"))
+    return asked.join(hit.withColumn("h", F.lit(True)), "qid", "left").select(
+        "qid", F.coalesce("h", F.lit(False)).alias("hit")
+    )
 
 
 def _outcomes(spark, sf_dir):
-    return tables.read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("expected_refuse"), (F.col("quality") == 0).alias("did_abstain"))
+    return tables.read(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("toxic") == 1).alias("expected_refuse"), (F.col("quality") == 0).alias("did_abstain")
+    )
 
 
 def refusal_matrix(spark, sf_dir):
@@ -79,12 +117,24 @@ def refusal_matrix(spark, sf_dir):
 
 def trust_rates(spark, sf_dir):
     i = F.col("doc_id")
-    return evaluation.trust_rates(_outcomes(spark, sf_dir).select(F.col("did_abstain").alias("abstain"), "expected_refuse", (i % 3 != 0).alias("has_gold"), (i % 5 == 0).alias("by_guard"), (i % 2 == 0).alias("cites_gold"), (i % 7 != 0).alias("numbers_ok"), F.when(i % 4 != 0, i % 8 != 1).alias("claims_ok")))
+    return evaluation.trust_rates(
+        _outcomes(spark, sf_dir).select(
+            F.col("did_abstain").alias("abstain"), "expected_refuse", (i % 3 != 0).alias("has_gold"),
+            (i % 5 == 0).alias("by_guard"), (i % 2 == 0).alias("cites_gold"), (i % 7 != 0).alias("numbers_ok"),
+            F.when(i % 4 != 0, i % 8 != 1).alias("claims_ok")
+        )
+    )
 
 
 def claim_support(spark, sf_dir):
     c = tables.read(spark, sf_dir, "conversations").where("role <> 'system'")
-    return evaluation.claim_support(c.groupBy(F.col("conv_id").alias("qid")).agg(F.collect_list(F.struct(F.col("text").alias("claim"), (F.length("text") % 3 > 0).alias("supported"))).alias("claims")))
+    return evaluation.claim_support(
+        c.groupBy(F.col("conv_id").alias("qid")).agg(
+            F.collect_list(
+                F.struct(F.col("text").alias("claim"), (F.length("text") % 3 > 0).alias("supported"))
+            ).alias("claims")
+        )
+    )
 
 
 def slice_quota(spark, sf_dir):
@@ -98,7 +148,13 @@ def _questions(spark, sf_dir):
 
 def dataset_overlap(spark, sf_dir):
     q = _questions(spark, sf_dir)
-    return evaluation.overlaps(q.where("id % 2 = 0"), q.where("id % 3 = 0").select((F.col("id") + F.when(F.col("id") % 4 == 0, 1000).otherwise(0)).alias("id"), F.upper("question").alias("question")))
+    return evaluation.overlaps(
+        q.where("id % 2 = 0"),
+        q.where("id % 3 = 0").select(
+            (F.col("id") + F.when(F.col("id") % 4 == 0, 1000).otherwise(0)).alias("id"),
+            F.upper("question").alias("question")
+        )
+    )
 
 
 def batch_upsert(spark, sf_dir):
@@ -111,14 +167,25 @@ def _gold(spark, sf_dir):
     i = F.col("item_id")
     page = lambda n: F.struct(F.concat(F.lit("s"), n % 3).alias("source"), (n % 4).cast("int").alias("page"))
     return tables.read(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("Q"), "item_id").alias("id"), F.lit("single_page").alias("slice"), F.col("text").alias("question"), (i % 3 != 0).alias("answerable"), F.when(i % 2 == 0, "answer").otherwise("refuse").alias("expected_behavior"),
-        F.when(i % 4 != 1, F.array(page(i), page(i + 2), page(i))).otherwise(F.array().cast("array<struct<source:string,page:int>>")).alias("gold_pages"), F.lit("").alias("supporting_quote"), F.lit(None).cast("string").alias("hazard"), F.lit("").alias("notes"),
+        F.concat(F.lit("Q"), "item_id").alias("id"), F.lit("single_page").alias("slice"),
+        F.col("text").alias("question"), (i % 3 != 0).alias("answerable"),
+        F.when(i % 2 == 0, "answer").otherwise("refuse").alias("expected_behavior"),
+        F.when(i % 4 != 1, F.array(page(i), page(i + 2), page(i))).otherwise(
+            F.array().cast("array<struct<source:string,page:int>>")
+        ).alias("gold_pages"),
+        F.lit("").alias("supporting_quote"), F.lit(None).cast("string").alias("hazard"), F.lit("").alias("notes"),
     )
 
 
 def gold_canonical(spark, sf_dir):
     g = evaluation.gold_violations(_gold(spark, sf_dir))
-    return g.select("id", F.array_join(F.transform("gold_pages", lambda p: F.concat(p["source"], F.lit(":"), p["page"].cast("string"))), ",").alias("pages"), F.array_join("violations", ",").alias("violations"))
+    return g.select(
+        "id",
+        F.array_join(
+            F.transform("gold_pages", lambda p: F.concat(p["source"], F.lit(":"), p["page"].cast("string"))), ","
+        ).alias("pages"),
+        F.array_join("violations", ",").alias("violations")
+    )
 
 
 def dataset_hash(spark, sf_dir):
@@ -128,12 +195,23 @@ def dataset_hash(spark, sf_dir):
 def outcome_stability(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
     key = evaluation.outcome_key(F.col("event_id") % 2 == 0, F.array(F.lit("b"), F.lit("a")), F.col("event_type"))
-    return evaluation.stability(e.select("user_id", F.concat(F.lit("m"), F.col("user_id") % 10).alias("model"), F.when(F.col("user_id") % 10 < 5, F.lit("same")).otherwise(key).alias("outcome"), F.when((F.col("user_id") % 10 == 0) & (F.col("event_id") % 100 == 0), "boom").alias("error")))
+    return evaluation.stability(
+        e.select(
+            "user_id", F.concat(F.lit("m"), F.col("user_id") % 10).alias("model"),
+            F.when(F.col("user_id") % 10 < 5, F.lit("same")).otherwise(key).alias("outcome"),
+            F.when((F.col("user_id") % 10 == 0) & (F.col("event_id") % 100 == 0), "boom").alias("error")
+        )
+    )
 
 
 def outcome_keys(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
-    return e.select("event_id", evaluation.outcome_key(F.col("event_id") % 2 == 0, F.array(F.lit("b"), F.lit("a")), F.col("event_type")).alias("outcome"))
+    return e.select(
+        "event_id",
+        evaluation.outcome_key(
+            F.col("event_id") % 2 == 0, F.array(F.lit("b"), F.lit("a")), F.col("event_type")
+        ).alias("outcome")
+    )
 
 
 def telemetry_rollup(spark, sf_dir):
@@ -141,7 +219,9 @@ def telemetry_rollup(spark, sf_dir):
 
 
 def telemetry_report(spark, sf_dir):
-    return telemetry.report(tables.telemetry(spark, sf_dir), tables.prices(spark)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return telemetry.report(
+        tables.telemetry(spark, sf_dir), tables.prices(spark)
+    ).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def span_summary(spark, sf_dir):
@@ -150,7 +230,9 @@ def span_summary(spark, sf_dir):
 
 def cost_estimate(spark, sf_dir):
     p = telemetry.priced(tables.telemetry(spark, sf_dir), tables.prices(spark))
-    return p.groupBy("model").agg(F.round(F.sum("cost"), 6).alias("est_cost_usd"), F.count_if("unpriced").alias("unpriced_calls"))
+    return p.groupBy("model").agg(
+        F.round(F.sum("cost"), 6).alias("est_cost_usd"), F.count_if("unpriced").alias("unpriced_calls")
+    )
 
 
 def transient_errors(spark, sf_dir):
@@ -165,24 +247,38 @@ def cache_hit_miss(spark, sf_dir):
     docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("d"))
     chunk = F.array(F.struct(F.concat(F.lit("d#p1#"), "item_id").alias("chunk_id"), F.col("d").alias("text")))
     wanted = items.join(docs, "item_id").select("item_id", answers.answer_key("model-1", F.col("q"), chunk).alias("key"))
-    hits, misses = answers.split_by_cache(wanted, wanted.where("item_id % 2 = 0").select("key", F.lit("cached").alias("answer")))
-    return hits.select("item_id", "key", F.lit("hit").alias("state")).unionByName(misses.select("item_id", "key", F.lit("miss").alias("state")))
+    hits, misses = answers.split_by_cache(
+        wanted, wanted.where("item_id % 2 = 0").select("key", F.lit("cached").alias("answer"))
+    )
+    return hits.select("item_id", "key", F.lit("hit").alias("state")).unionByName(
+        misses.select("item_id", "key", F.lit("miss").alias("state"))
+    )
 
 
 def vector_keys(spark, sf_dir):
-    return tables.read(spark, sf_dir, "benchmark").select("item_id", answers.vector_key(F.col("text"), "RETRIEVAL_QUERY").alias("key"))
+    return tables.read(spark, sf_dir, "benchmark").select(
+        "item_id", answers.vector_key(F.col("text"), "RETRIEVAL_QUERY").alias("key")
+    )
 
 
 def statistic_keys(spark, sf_dir):
     n = tables.read(spark, sf_dir, "nation")
-    return n.select("n_nationkey", answers.statistic_key(F.col("n_nationkey") / 4.0, F.col("n_nationkey") / 8.0, F.lit("wind"), F.lit(1960), F.lit(2022), "10,50,100", 300).alias("key"))
+    return n.select(
+        "n_nationkey",
+        answers.statistic_key(
+            F.col("n_nationkey") / 4.0, F.col("n_nationkey") / 8.0, F.lit("wind"), F.lit(1960), F.lit(2022),
+            "10,50,100", 300
+        ).alias("key")
+    )
 
 
 def prompt_build(spark, sf_dir):
     """Prompts of the three best chunks, by their hash."""
     pages = tables.cleaned_pages(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "page", "text", F.concat("source", F.lit("#p"), "page", F.lit("#0")).alias("chunk_id"))
     asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return answers.prompts(_lexical(spark, sf_dir, 3).join(pages, "ord").join(asked, "qid")).select("qid", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+    return answers.prompts(_lexical(spark, sf_dir, 3).join(pages, "ord").join(asked, "qid")).select(
+        "qid", F.length("prompt").alias("n"), F.md5("prompt").alias("digest")
+    )
 
 
 def answer_pages(spark, sf_dir):
@@ -200,24 +296,42 @@ def scope_refusals(spark, sf_dir):
 
 
 def tool_top_k(spark, sf_dir):
-    return tables.read(spark, sf_dir, "events").select("event_id", answers.clamped_top_k(F.col("event_id") % 25 - 5).alias("top_k"))
+    return tables.read(spark, sf_dir, "events").select(
+        "event_id", answers.clamped_top_k(F.col("event_id") % 25 - 5).alias("top_k")
+    )
 
 
 def forecast_rows(spark, sf_dir):
     """A forecast's parallel arrays as rows: packed by location first, then opened as its source does."""
     from tephra.sources.feeds import forecast_long
 
-    d = tables.daily(spark, sf_dir).groupBy("location", "day").pivot("variable", ["precipitation_sum", "temperature_2m_max"]).agg(F.max("value"))
+    d = tables.daily(spark, sf_dir).groupBy("location", "day").pivot(
+        "variable", ["precipitation_sum", "temperature_2m_max"]
+    ).agg(F.max("value"))
     last = d.groupBy("location").agg(F.max("day").alias("last"))
     d = d.join(last, "location").where("datediff(last, day) < 7")
-    rows = F.array_sort(F.collect_list(F.struct("day", F.col("precipitation_sum").alias("p"), F.col("temperature_2m_max").alias("t"))))
-    packed = d.groupBy("location").agg(rows.alias("r")).select("location", F.struct(F.col("r.day").alias("time"), F.col("r.p").alias("precipitation_sum"), F.col("r.t").alias("temperature_2m_max"), F.col("r.p").alias("wind_speed_10m_max")).alias("daily"))
-    return forecast_long(packed).select("location", F.date_format("day", "yyyy-MM-dd").alias("day"), "day_no", "variable", F.round("value", 6).alias("value"))
+    rows = F.array_sort(
+        F.collect_list(F.struct("day", F.col("precipitation_sum").alias("p"), F.col("temperature_2m_max").alias("t")))
+    )
+    packed = d.groupBy("location").agg(rows.alias("r")).select(
+        "location",
+        F.struct(
+            F.col("r.day").alias("time"), F.col("r.p").alias("precipitation_sum"),
+            F.col("r.t").alias("temperature_2m_max"), F.col("r.p").alias("wind_speed_10m_max")
+        ).alias("daily")
+    )
+    return forecast_long(packed).select(
+        "location", F.date_format("day", "yyyy-MM-dd").alias("day"), "day_no", "variable",
+        F.round("value", 6).alias("value")
+    )
 
 
 QUERIES = {f.__name__: f for f in (
-    answered_questions, evidence_search, number_provenance, citation_integrity, citation_hits, refusal_matrix, trust_rates, claim_support, slice_quota, dataset_overlap, batch_upsert, gold_canonical, dataset_hash, outcome_stability, outcome_keys, telemetry_rollup, telemetry_report,
-    span_summary, cost_estimate, transient_errors, cache_hit_miss, vector_keys, statistic_keys, prompt_build, answer_pages, scope_refusals, tool_top_k, forecast_rows,
+    answered_questions, evidence_search, number_provenance, citation_integrity, citation_hits, refusal_matrix,
+    trust_rates, claim_support, slice_quota, dataset_overlap, batch_upsert, gold_canonical, dataset_hash,
+    outcome_stability, outcome_keys, telemetry_rollup, telemetry_report,
+    span_summary, cost_estimate, transient_errors, cache_hit_miss, vector_keys, statistic_keys, prompt_build,
+    answer_pages, scope_refusals, tool_top_k, forecast_rows,
 )}
 
 from tephra.plans.climate import _DAILY  # noqa: E402
@@ -250,6 +364,10 @@ select qid, 'ok' as status, case when oos is null and ord is not null then left(
 from guard left join top using (qid) left join pages p on p.doc_id = ord""",
     "evidence_search": f"""with {_PAGES}, {_lexical_sql("pages")}
 select qid, rank, source || '#p' || page || '#0' as chunk_id, md5(text) as digest, 'bm25_only' as retrieval_mode from lex join pages on doc_id = ord where rank <= greatest(1, least(10, qid % 14 - 2))""",
+    "dataset_hash": """with g as (select *, case when item_id % 4 <> 1 then [struct_pack(source := 's' || (item_id % 3), page := item_id % 4), struct_pack(source := 's' || ((item_id + 2) % 3), page := (item_id + 2) % 4)] else [] end as pages from benchmark)
+select sha256('[' || string_agg('{"answerable": ' || (item_id % 3 <> 0)::varchar || ', "expected_behavior": "' || case when item_id % 2 = 0 then 'answer' else 'refuse' end || '", "gold_pages": ['
+  || array_to_string(list_transform(list_sort(list_distinct(pages)), lambda p: '{"page": ' || p.page || ', "source": "' || p.source || '"}'), ', ') || '], "hazard": null, "id": "Q' || item_id || '", "notes": "", "question": ' || to_json(text)::varchar
+  || ', "slice": "single_page", "supporting_quote": ""}', ', ' order by 'Q' || item_id) || ']') as content_hash from g""",
     "number_provenance": f"with p as (select doc_id, source, row_number() over (partition by source order by doc_id) as page, text from documents) select a.doc_id, len({_NUM.format('a.text')}) as n_numbers, len(list_filter({_NUM.format('a.text')}, lambda x: not list_contains(coalesce({_NUM.format('b.text')}, []), x))) = 0 as ok from p a left join p b on a.source = b.source and b.page = a.page + 1",
     "citation_integrity": """select event_id as qid, case event_id % 6 when 0 then 'ok' when 1 then 'invalid_citation' when 2 then 'uncited' when 3 then 'ok' else 'malformed' end as status,
   case event_id % 6 when 0 then 'a' || event_id when 1 then 'b' when 2 then 'c' when 3 then '' end as answer, case event_id % 6 when 0 then false when 1 then false when 2 then false when 3 then true end as abstain,

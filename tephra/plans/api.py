@@ -24,10 +24,30 @@ def request_status(requests: DataFrame, expected_key: str | None = None) -> Data
     lat, lon, days = F.col("latitude"), F.col("longitude"), F.col("horizon_days")
     detail = (
         F.when(~key_accepted(F.col("api_key"), expected_key), "invalid or missing x-api-key")
-        .when(~F.col("hazard").isin(*HAZARDS) | F.col("hazard").isNull(), F.concat(F.lit("unknown hazard "), F.coalesce("hazard", F.lit(""))))
-        .when(~F.coalesce(lat.between(-90, 90), F.lit(False)), F.concat(F.lit("latitude "), F.coalesce(lat.cast("string"), F.lit("")), F.lit(" outside valid range [-90, 90]")))
-        .when(~F.coalesce(lon.between(-180, 180), F.lit(False)), F.concat(F.lit("longitude "), F.coalesce(lon.cast("string"), F.lit("")), F.lit(" outside valid range [-180, 180]")))
-        .when(~places.valid_horizon(days), F.concat(F.lit("horizon "), F.coalesce(days.cast("string"), F.lit("")), F.lit(f" outside valid range [1, {MAX_HORIZON}]")))
+        .when(
+            ~F.col("hazard").isin(*HAZARDS) | F.col("hazard").isNull(),
+            F.concat(F.lit("unknown hazard "), F.coalesce("hazard", F.lit("")))
+        )
+        .when(
+            ~F.coalesce(lat.between(-90, 90), F.lit(False)),
+            F.concat(
+                F.lit("latitude "), F.coalesce(lat.cast("string"), F.lit("")), F.lit(" outside valid range [-90, 90]")
+            )
+        )
+        .when(
+            ~F.coalesce(lon.between(-180, 180), F.lit(False)),
+            F.concat(
+                F.lit("longitude "), F.coalesce(lon.cast("string"), F.lit("")),
+                F.lit(" outside valid range [-180, 180]")
+            )
+        )
+        .when(
+            ~places.valid_horizon(days),
+            F.concat(
+                F.lit("horizon "), F.coalesce(days.cast("string"), F.lit("")),
+                F.lit(f" outside valid range [1, {MAX_HORIZON}]")
+            )
+        )
     )
     status = F.when(detail.isNull(), 200).when(~key_accepted(F.col("api_key"), expected_key), 401).otherwise(422)
     return requests.withColumns({"status": status, "detail": detail})
@@ -51,20 +71,28 @@ def search_evidence(questions: DataFrame, chunks: DataFrame, **retrieval_by) ->
 
     ``top_k`` of each question, if any, is held to 1..10.
     """
-    k = answers.clamped_top_k(F.coalesce("top_k", F.lit(SEARCH_TOP_K)) if "top_k" in questions.columns else F.lit(SEARCH_TOP_K))
+    k = answers.clamped_top_k(
+        F.coalesce("top_k", F.lit(SEARCH_TOP_K)) if "top_k" in questions.columns else F.lit(SEARCH_TOP_K)
+    )
     found = pipeline.retrieved(questions.select("qid", "text"), chunks, answers.MAX_TOP_K, **retrieval_by)
     ranked = found.join(questions.select("qid", k.alias("k")), "qid").where("rank <= k")
     return ranked.join(chunks, "ord").select("qid", "rank", "chunk_id", "source", "page", "text", "retrieval_mode")
 
 
-def answer_evidence(questions: DataFrame, chunks: DataFrame, model: pipeline.Model, cache: DataFrame | None = None, **more) -> DataFrame:
+def answer_evidence(
+    questions: DataFrame, chunks: DataFrame, model: pipeline.Model, cache: DataFrame | None = None, **more
+) -> DataFrame:
     return pipeline.answered(questions, chunks, model, ANSWER_TOP_K, cache, **more)
 
 
 def climatology(requests: DataFrame, daily: DataFrame, boot: int = extremes.BOOT) -> DataFrame:
     """(latitude, longitude, hazard, …) statistics of each distinct place and hazard asked for; an invalid one has none."""
-    asked = requests.where(places.valid_coordinates(F.col("latitude"), F.col("longitude"))).select("latitude", "longitude", "hazard").distinct()
+    asked = requests.where(
+        places.valid_coordinates(F.col("latitude"), F.col("longitude"))
+    ).select("latitude", "longitude", "hazard").distinct()
     series = F.create_map(*(F.lit(x) for p in HAZARD_SERIES.items() for x in p))
-    keyed = asked.withColumns({"variable": series[F.col("hazard")], "location": F.concat_ws("|", "latitude", "longitude", "hazard")})
+    keyed = asked.withColumns(
+        {"variable": series[F.col("hazard")], "location": F.concat_ws("|", "latitude", "longitude", "hazard")}
+    )
     found = daily.join(retrieval.small(keyed), ["latitude", "longitude", "variable"])
     return keyed.join(extremes.hazard_statistics(extremes.block_maxima(found), boot=boot), "location").drop("location")

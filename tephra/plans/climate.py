@@ -20,7 +20,17 @@ def _monthly(spark, sf_dir):
 
 def block_maxima(spark, sf_dir):
     maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
-    return extremes.with_record_summary(maxima).select("location", "block", F.round("value", 6).alias("value"), "n_blocks", "first_block", "last_block", F.round("record_max", 6).alias("record_max"))
+    return extremes.with_record_summary(maxima).select(
+        "location", "block", F.round("value", 6).alias("value"), "n_blocks", "first_block", "last_block",
+        F.round("record_max", 6).alias("record_max")
+    )
+
+
+def block_maxima_with_gaps(spark, sf_dir):
+    """Maxima of a series with missing values: two days of three, and a whole year of every fifth location."""
+    gap = (F.dayofyear("day") % 3 > 0) | ((F.col("location") % 5 == 0) & (F.year("day") == 1995))
+    daily = _daily(spark, sf_dir, "temperature_2m_max").withColumn("value", F.when(~gap, F.col("value")))
+    return extremes.block_maxima(daily).select("location", "block", F.round("value", 6).alias("value"))
 
 
 def return_level_curve(spark, sf_dir):
@@ -31,13 +41,27 @@ def return_level_curve(spark, sf_dir):
 def return_period_of_peak(spark, sf_dir):
     maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
     both = extremes.gumbel_moments(maxima).join(extremes.record_summary(maxima), "location")
-    return both.select("location", F.round(gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("record_max")), 4).alias("return_period"))
+    return both.select(
+        "location",
+        F.round(
+            gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("record_max")), 4
+        ).alias("return_period")
+    )
 
 
 def bootstrap_band(spark, sf_dir):
     """The band step alone, over given draws: every month's maximum as a draw of the yearly level."""
-    draws = _monthly(spark, sf_dir).groupBy("location").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"), F.avg("value").alias("level"))
-    return draws.select("location", *(F.round(c, 6).alias(n) for n, c in (("ci_low", F.least("low", "level")), ("ci_high", F.greatest("high", "level")))))
+    draws = _monthly(spark, sf_dir).groupBy("location").agg(
+        F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"),
+        F.avg("value").alias("level")
+    )
+    return draws.select(
+        "location",
+        *(
+            F.round(c, 6).alias(n)
+            for n, c in (("ci_low", F.least("low", "level")), ("ci_high", F.greatest("high", "level")))
+        )
+    )
 
 
 def _peaks(spark, sf_dir):
@@ -54,27 +78,47 @@ def forecast_peak(spark, sf_dir):
 
 def risk_verdict(spark, sf_dir):
     maxima = extremes.block_maxima(_daily(spark, sf_dir, "temperature_2m_max"))
-    levels = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(F.map_from_entries(F.collect_list(F.struct("return_period", F.round("level", 6)))).alias("levels"))
-    peaks = _peaks(spark, sf_dir).where("variable = 'temperature_2m_max'").unionByName(extremes.record_summary(maxima).select("location", F.lit("record").alias("variable"), F.col("record_max").alias("peak")))
-    return peaks.join(levels, "location").select("location", "variable", verdict.level_by_return_period(F.col("peak"), F.col("levels")).alias("risk_level"))
+    levels = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(
+        F.map_from_entries(F.collect_list(F.struct("return_period", F.round("level", 6)))).alias("levels")
+    )
+    peaks = _peaks(spark, sf_dir).where("variable = 'temperature_2m_max'").unionByName(
+        extremes.record_summary(maxima).select(
+            "location", F.lit("record").alias("variable"), F.col("record_max").alias("peak")
+        )
+    )
+    return peaks.join(levels, "location").select(
+        "location", "variable", verdict.level_by_return_period(F.col("peak"), F.col("levels")).alias("risk_level")
+    )
 
 
 def absolute_level(spark, sf_dir):
     hazard = F.when(F.col("variable") == "precipitation_sum", "extreme_precip").otherwise("heatwave")
     metric = F.when(F.col("variable") == "precipitation_sum", F.col("value")).otherwise(F.round(F.col("value") / 2000, 3))
-    return tables.daily(spark, sf_dir).select(hazard.alias("hazard"), verdict.absolute_level(hazard, metric).alias("level")).groupBy("hazard", "level").agg(F.count("*").alias("n"))
+    return tables.daily(spark, sf_dir).select(
+        hazard.alias("hazard"), verdict.absolute_level(hazard, metric).alias("level")
+    ).groupBy("hazard", "level").agg(F.count("*").alias("n"))
 
 
 def confidence(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
-    names = F.array(*(F.lit(x) for x in ("station_calibrated", "point_interpolated_reanalysis", "regional_grid_signal", "not_representative")))
+    names = F.array(
+        *(
+            F.lit(x)
+            for x in (
+                "station_calibrated", "point_interpolated_reanalysis", "regional_grid_signal", "not_representative"
+            )
+        )
+    )
     grade = F.get(names, (F.col("event_id") % 5).cast("int"))
     return e.select("event_id", verdict.confidence(grade, F.col("event_id") % 2 == 0).alias("confidence"))
 
 
 def wind_speeds(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
-    return e.select("event_id", F.round(verdict.metres_per_second(F.col("value")), 6).alias("ms"), verdict.absolute_level(F.lit("wind"), F.col("value")).alias("level"))
+    return e.select(
+        "event_id", F.round(verdict.metres_per_second(F.col("value")), 6).alias("ms"),
+        verdict.absolute_level(F.lit("wind"), F.col("value")).alias("level")
+    )
 
 
 def _rounded(df, **digits):
@@ -94,10 +138,21 @@ def gev_trend_fit(spark, sf_dir):
 def hazard_levels(spark, sf_dir):
     """The hazard statistic without bands: summary, levels at the latest block, trend."""
     found = extremes.hazard_statistics(_monthly(spark, sf_dir), boot=0, boot_trend=0)
-    level = F.explode(F.transform("return_levels", lambda r: F.struct(r["return_period"].alias("return_period"), (F.round(r["level"], 1) + 0.0).alias("level")))).alias("r")
-    trend = (F.round(F.col("trend.slope_per_decade"), 2) + 0.0, F.round(F.col("trend.p_value"), 4) + 0.0, F.col("trend.significant"), F.col("trend.evaluated_at"))
+    level = F.explode(
+        F.transform(
+            "return_levels",
+            lambda r: F.struct(r["return_period"].alias("return_period"), (F.round(r["level"], 1) + 0.0).alias("level"))
+        )
+    ).alias("r")
+    trend = (
+        F.round(F.col("trend.slope_per_decade"), 2) + 0.0, F.round(F.col("trend.p_value"), 4) + 0.0,
+        F.col("trend.significant"), F.col("trend.evaluated_at")
+    )
     names = ("slope_per_decade", "p_value", "significant", "evaluated_at")
-    return found.select("location", "n_blocks", "first_block", "last_block", "record_max", *(c.alias(n) for n, c in zip(names, trend)), level).select("*", "r.*").drop("r")
+    return found.select(
+        "location", "n_blocks", "first_block", "last_block", "record_max", *(c.alias(n) for n, c in zip(names, trend)),
+        level
+    ).select("*", "r.*").drop("r")
 
 
 def return_levels_ci(spark, sf_dir):
@@ -113,7 +168,14 @@ def hazard_stat(spark, sf_dir):
     return extremes.hazard_statistics(_monthly(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (block_maxima, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak, risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, hazard_levels, return_levels_ci, trend_levels_ci, hazard_stat)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        block_maxima, block_maxima_with_gaps, return_level_curve, return_period_of_peak, bootstrap_band, forecast_peak,
+        risk_verdict, absolute_level, confidence, wind_speeds, gev_fit, gev_trend_fit, hazard_levels, return_levels_ci,
+        trend_levels_ci, hazard_stat
+    )
+}
 
 _DAILY = """
 daily as (select s_nationkey as location, l_shipdate::date as day, sum(l_quantity) as precip, max(l_extendedprice) as temp from lineitem join supplier on l_suppkey = s_suppkey group by all),
@@ -172,6 +234,7 @@ periods as (select unnest([{", ".join(map(str, RETURN_PERIODS))}])::int as t)
 select location, n_blocks, first_block, last_block, record_max, round(slope * 10, 2) + 0.0 as slope_per_decade, round(p_value, 4) as p_value, p_value < 0.05 as significant, case when p_value < 0.05 then last_block::double end as evaluated_at, t as return_period, round({_LEVEL}, 1) as level
 from used join st using (location) left join (select location, slope, p_value from long) using (location), periods""",
     "block_maxima": f"with {_DAILY} select location, block, round(value, 6) as value, n_blocks, first_block, last_block, round(record_max, 6) as record_max from maxima join summary using (location)",
+    "block_maxima_with_gaps": f"with {_DAILY} select location, year(day) as block, round(max(temp), 6) as value from daily where dayofyear(day) % 3 = 0 and not (location % 5 = 0 and year(day) = 1995) group by all",
     "return_level_curve": f"with {_DAILY} select location, return_period, round(level, 4) as level from levels",
     "return_period_of_peak": f"with {_DAILY} select location, round(1 / (1 - exp(-exp(-(record_max - loc) / scale))), 4) as return_period from gum join summary using (location)",
     "bootstrap_band": f"with {_DAILY}, m as (select location, year(day) * 12 + month(day) as block, max(precip) as value from daily group by all) select location, round(least(quantile_cont(value, 0.05), avg(value)), 6) as ci_low, round(greatest(quantile_cont(value, 0.95), avg(value)), 6) as ci_high from m group by location",

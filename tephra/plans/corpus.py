@@ -16,9 +16,22 @@ def clean_pages(spark, sf_dir):
     return pages.select("source", "page", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
+def unmappable_pages(spark, sf_dir):
+    """Cleaning of pages in which glyphs could not be mapped: every third page loses some vowels, the next one its e's."""
+    bad = t.UNMAPPABLE
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeiu", bad * 4)).when(
+        F.col("doc_id") % 3 == 1, F.replace("text", F.lit("e"), F.lit(bad))
+    ).otherwise(F.col("text"))
+    pages = tables.corpus_pages(spark, sf_dir).withColumn("text", text)
+    return chunking.pages_of(pages).select("source", "page", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
 def tokenize_docs(spark, sf_dir):
     words = t.tokens("text")
-    return tables.read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("digest"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select(
+        "doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"),
+        F.md5(F.array_join("w", " ")).alias("digest")
+    )
 
 
 def term_stats(spark, sf_dir):
@@ -50,7 +63,9 @@ def dense_topk(spark, sf_dir):
 
 
 def rrf_hybrid(spark, sf_dir):
-    return retrieval.fuse([_lexical(spark, sf_dir, 50), _semantic(spark, sf_dir, 50)], 10).select("qid", "ord", "rank", F.round("score", 6).alias("score"))
+    return retrieval.fuse(
+        [_lexical(spark, sf_dir, 50), _semantic(spark, sf_dir, 50)], 10
+    ).select("qid", "ord", "rank", F.round("score", 6).alias("score"))
 
 
 def retrieve_fallback(spark, sf_dir):
@@ -85,16 +100,23 @@ def recall_at_k(spark, sf_dir):
 
 
 def mrr_by_slice(spark, sf_dir):
-    return _gold_ranks(spark, sf_dir).groupBy("retriever", "slice").agg(F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr"))
+    return _gold_ranks(spark, sf_dir).groupBy("retriever", "slice").agg(
+        F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr")
+    )
 
 
 def table_rows(spark, sf_dir):
-    found = tables.table_pages(spark, sf_dir).select("source", "page", F.posexplode(chunking.segments(F.col("text"), chunking.region_pattern(NATION_NAMES))).alias("i", "s"))
+    found = tables.table_pages(spark, sf_dir).select(
+        "source", "page",
+        F.posexplode(chunking.segments(F.col("text"), chunking.region_pattern(NATION_NAMES))).alias("i", "s")
+    )
     return found.select("source", "page", "i", "s.label", F.md5("s.text").alias("digest"))
 
 
 def caption_carry(spark, sf_dir):
-    return chunking.with_captions(tables.table_pages(spark, sf_dir), chunking.region_pattern(NATION_NAMES)).select("source", "page", "caption")
+    return chunking.with_captions(
+        tables.table_pages(spark, sf_dir), chunking.region_pattern(NATION_NAMES)
+    ).select("source", "page", "caption")
 
 
 def chunk_windows(spark, sf_dir):
@@ -110,12 +132,20 @@ def chunk_tables(spark, sf_dir):
 def quote_check(spark, sf_dir):
     items = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), t.clean_text("text").alias("item"))
     gold = tables.benchmark_gold(spark, sf_dir).join(retrieval.small(items), "qid")
-    pages = tables.cleaned_pages(spark, sf_dir).select("source", "page", "text").join(retrieval.small(gold), ["source", "page"])
+    pages = tables.cleaned_pages(spark, sf_dir).select("source", "page", "text").join(
+        retrieval.small(gold), ["source", "page"]
+    )
     quote = t.quote_between("text", F.left("item", F.lit(20)), F.right("item", F.lit(15)), 600)
     return pages.select("qid", "source", "page", F.md5(quote).alias("quote"), F.contains("text", "item").alias("verbatim"))
 
 
-QUERIES = {f.__name__: f for f in (clean_pages, tokenize_docs, term_stats, bm25_topk, dense_topk, rrf_hybrid, retrieve_fallback, page_dedupe, recall_at_k, mrr_by_slice, table_rows, caption_carry, chunk_windows, chunk_tables, quote_check)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        clean_pages, unmappable_pages, tokenize_docs, term_stats, bm25_topk, dense_topk, rrf_hybrid, retrieve_fallback,
+        page_dedupe, recall_at_k, mrr_by_slice, table_rows, caption_carry, chunk_windows, chunk_tables, quote_check
+    )
+}
 
 _CLEAN = r"trim(regexp_replace(replace(regexp_replace(text, '(\w)-\s*\n\s*(\w)', '\1\2', 'g'), chr(65533), ' '), '\s+', ' ', 'g'))"
 _PAGES = f"pages as (select doc_id, source, page, {_CLEAN} as text from (select doc_id, source, row_number() over (partition by source order by doc_id)::int as page, text from documents) where {_CLEAN} <> '')"
@@ -183,6 +213,9 @@ pieces as (select k, case when whole then text else trim(substr(text, s + 1, e -
 
 ORACLES = {
     "clean_pages": f"with {_PAGES} select source, page, length(text) as n, md5(text) as digest from pages",
+    "unmappable_pages": f"""with raw as (select source, row_number() over (partition by source order by doc_id)::int as page, case doc_id % 3 when 0 then translate(text, 'aeiu', repeat(chr(65533), 4)) when 1 then replace(text, 'e', chr(65533)) else text end as text from documents),
+kept as (select * from raw where not coalesce(length(text) > 0 and length(text) - length(replace(text, chr(65533), '')) > 0.2 * length(text), false))
+select source, page, length(c) as n, md5(c) as digest from (select source, page, {_CLEAN} as c from kept) where c <> ''""",
     "tokenize_docs": f"select doc_id, len(w) as n_tokens, len(list_distinct(w)) as n_distinct, md5(array_to_string(w, ' ')) as digest from (select doc_id, {_TOKENS} as w from documents)",
     "term_stats": f"select term, count(*) as df, sum(tf)::bigint as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS}) as term from documents) group by all) group by term",
     "bm25_topk": f"with {_LEXICAL} select qid, ord, rank, round(score, 6) as score from lex where rank <= 10",
@@ -194,7 +227,10 @@ ORACLES = {
 f as (select * from first_rank union all select retriever, qid, 'HEADLINE', r from first_rank),
 c as (select retriever, slice, count(*)::double as n, count(*) filter (where r <= 3)::double as h3, count(*) filter (where r <= 5)::double as h5, count(*) filter (where r <= 10)::double as h10, avg(coalesce(1.0::double / r, 0)) as mrr from f group by all)
 select retriever, slice, n::bigint as n, """
-    + ", ".join(f"round(h{k} / n, 4) as recall_{k}, round((h{k} / n + 1.9208 / n) / (1 + 3.8416 / n) - 1.96 * sqrt(h{k} / n * (1 - h{k} / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 4) as low_{k}, round((h{k} / n + 1.9208 / n) / (1 + 3.8416 / n) + 1.96 * sqrt(h{k} / n * (1 - h{k} / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 4) as high_{k}" for k in (3, 5, 10))
+    + ", ".join(
+        f"round(h{k} / n, 4) as recall_{k}, round((h{k} / n + 1.9208 / n) / (1 + 3.8416 / n) - 1.96 * sqrt(h{k} / n * (1 - h{k} / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 4) as low_{k}, round((h{k} / n + 1.9208 / n) / (1 + 3.8416 / n) + 1.96 * sqrt(h{k} / n * (1 - h{k} / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 4) as high_{k}"
+        for k in (3, 5, 10)
+    )
     + ", round(mrr, 4) as mrr from c",
     "mrr_by_slice": f"with {_RANKED} select retriever, slice, round(avg(coalesce(1.0::double / r, 0)), 6) as mrr from first_rank group by all",
     "table_rows": f"with {_TABLES} select source, page, i, label, md5(text) as digest from seg",

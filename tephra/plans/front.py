@@ -10,9 +10,14 @@ from tephra.sources import tables
 
 # Sentences that exercise every rule; literals of our own.
 SENTENCES = (
-    "Will the heat wave in Osaka last?", "Marine heatwave near Perth next week", "How much rain falls over Mount Isa this week?", "Any drought or aridity in Lima?", "Hurricanes and winds around Havana in the next 3 days",
-    "sea level rise at Venice", "Hail, tornadoes!", "wildfire season for California over the next two weeks", "landslides and avalanches", "Hot spells in Rio Next Week", "What is the plan for tomorrow in Paris?",
-    "gusts at Cape Town for five days", "next twelve weeks in Oslo", "next 99 days near New York", "a fortnight of monsoons in Pune", "nothing here", "Temperature extremes in Kyoto", "next 0 days for Rome", "downpours around Lagos During The Night", "",
+    "Will the heat wave in Osaka last?", "Marine heatwave near Perth next week",
+    "How much rain falls over Mount Isa this week?", "Any drought or aridity in Lima?",
+    "Hurricanes and winds around Havana in the next 3 days",
+    "sea level rise at Venice", "Hail, tornadoes!", "wildfire season for California over the next two weeks",
+    "landslides and avalanches", "Hot spells in Rio Next Week", "What is the plan for tomorrow in Paris?",
+    "gusts at Cape Town for five days", "next twelve weeks in Oslo", "next 99 days near New York",
+    "a fortnight of monsoons in Pune", "nothing here", "Temperature extremes in Kyoto", "next 0 days for Rome",
+    "downpours around Lagos During The Night", "",
 )
 
 
@@ -26,7 +31,9 @@ def scope_guard(spark, sf_dir):
 
 
 def hazard_classify(spark, sf_dir):
-    return _sentences(spark, sf_dir).select("qid", t.hazard_of("text").alias("hazard"), t.parsed_out_of_scope("text").alias("out_of_scope"))
+    return _sentences(spark, sf_dir).select(
+        "qid", t.hazard_of("text").alias("hazard"), t.parsed_out_of_scope("text").alias("out_of_scope")
+    )
 
 
 def horizon_extract(spark, sf_dir):
@@ -38,22 +45,35 @@ def place_extract(spark, sf_dir):
 
 
 def geocode_first(spark, sf_dir):
-    return places.geocode(places.parse(_sentences(spark, sf_dir)).select("qid", "place"), tables.gazetteer(spark, sf_dir)).select("qid", "place", "name", "latitude", "longitude", "country")
+    return places.geocode(
+        places.parse(_sentences(spark, sf_dir)).select("qid", "place"), tables.gazetteer(spark, sf_dir)
+    ).select("qid", "place", "name", "latitude", "longitude", "country")
 
 
 def region_lookup(spark, sf_dir):
-    points = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 181 - 90).cast("double").alias("latitude"), (F.col("c_custkey") * 13 % 361 - 180).cast("double").alias("longitude"))
+    points = tables.read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 181 - 90).cast("double").alias("latitude"),
+        (F.col("c_custkey") * 13 % 361 - 180).cast("double").alias("longitude")
+    )
     return places.region_of(points, tables.regions(spark)).select("id", "acronym", "region")
 
 
 def input_validation(spark, sf_dir):
-    c = tables.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 50).alias("lat"), (F.col("c_acctbal") / 25).alias("lon"), (F.col("c_custkey") % 20).alias("days"))
-    return c.select("c_custkey", places.valid_coordinates(F.col("lat"), F.col("lon")).alias("coordinates_ok"), places.valid_horizon(F.col("days")).alias("horizon_ok"))
+    c = tables.read(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") / 50).alias("lat"), (F.col("c_acctbal") / 25).alias("lon"),
+        (F.col("c_custkey") % 20).alias("days")
+    )
+    return c.select(
+        "c_custkey", places.valid_coordinates(F.col("lat"), F.col("lon")).alias("coordinates_ok"),
+        places.valid_horizon(F.col("days")).alias("horizon_ok")
+    )
 
 
 def evidence_questions(spark, sf_dir):
     q = places.located(_sentences(spark, sf_dir), tables.gazetteer(spark, sf_dir), tables.regions(spark))
-    return q.where("refusal is null").select("qid", t.evidence_question(F.col("hazard"), F.col("location")).alias("question"))
+    return q.where("refusal is null").select(
+        "qid", t.evidence_question(F.col("hazard"), F.col("location")).alias("question")
+    )
 
 
 def _runs(spark, sf_dir):
@@ -62,25 +82,45 @@ def _runs(spark, sf_dir):
     series = tables.daily(spark, sf_dir)
     last = series.groupBy("location").agg(F.max("day").alias("last"))
     recent = series.join(last, "location").where("datediff(last, day) < 7")
-    peaks = verdict.forecast_peak(recent).groupBy("location").pivot("variable", ["precipitation_sum", "temperature_2m_max"]).agg(F.max("peak"))
+    peaks = verdict.forecast_peak(recent).groupBy("location").pivot(
+        "variable", ["precipitation_sum", "temperature_2m_max"]
+    ).agg(F.max("peak"))
     maxima = extremes.block_maxima(series.where("variable = 'temperature_2m_max'"))
-    stats = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(F.array_sort(F.collect_list(F.struct("return_period", F.round("level", 2).alias("level")))).alias("levels"))
+    stats = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(
+        F.array_sort(F.collect_list(F.struct("return_period", F.round("level", 2).alias("level")))).alias("levels")
+    )
     stats = stats.join(extremes.record_summary(maxima).select("location", "n_blocks"), "location")
     known = peaks.join(stats, "location", "left").withColumnRenamed("location", "nation")
     joined = q.withColumn("nation", F.regexp_extract("name", "([0-9]+)$", 1).try_cast("int")).join(known, "nation", "left")
     heat = F.col("hazard") == "heatwave"
-    peak = F.when(heat, F.col("temperature_2m_max")).when(F.col("hazard") == "extreme_precip", F.col("precipitation_sum")).otherwise(F.col("precipitation_sum") / 2)
+    peak = F.when(heat, F.col("temperature_2m_max")).when(
+        F.col("hazard") == "extreme_precip", F.col("precipitation_sum")
+    ).otherwise(F.col("precipitation_sum") / 2)
     return joined.select(
-        "qid", "location", "hazard", "horizon_days", "refusal", F.round(peak, 2).alias("peak"), F.when(heat, F.lit("temperature_2m_max")).otherwise(F.lit("wind_gusts_10m_max")).alias("variable"), F.lit("x").alias("unit"), F.col("n_blocks").alias("n_years"),
-        F.when(F.col("hazard").isin("heatwave", "wind"), F.col("levels")).alias("return_levels"), F.lit("point_interpolated_reanalysis").alias("representativeness"),
-        F.lit(None).cast("struct<significant: boolean, slope_per_decade: double, p_value: double, evaluated_at: double>").alias("trend"),
-        F.when(F.col("qid") % 20 == 0, F.lit("as assessed.")).alias("answer"), F.when(F.col("qid") % 20 == 0, F.array(*(F.struct(F.lit(s).alias("source"), F.lit(p).alias("page")) for s, p in (("A", 1), ("A", 1), ("B", 2))))).alias("citations"),
+        "qid", "location", "hazard", "horizon_days", "refusal", F.round(peak, 2).alias("peak"),
+        F.when(heat, F.lit("temperature_2m_max")).otherwise(F.lit("wind_gusts_10m_max")).alias("variable"),
+        F.lit("x").alias("unit"), F.col("n_blocks").alias("n_years"),
+        F.when(F.col("hazard").isin("heatwave", "wind"), F.col("levels")).alias("return_levels"),
+        F.lit("point_interpolated_reanalysis").alias("representativeness"),
+        F.lit(None).cast(
+            "struct<significant: boolean, slope_per_decade: double, p_value: double, evaluated_at: double>"
+        ).alias("trend"),
+        F.when(F.col("qid") % 20 == 0, F.lit("as assessed.")).alias("answer"),
+        F.when(
+            F.col("qid") % 20 == 0,
+            F.array(
+                *(F.struct(F.lit(s).alias("source"), F.lit(p).alias("page")) for s, p in (("A", 1), ("A", 1), ("B", 2)))
+            )
+        ).alias("citations"),
     )
 
 
 def assess_nl(spark, sf_dir):
     r = verdict.reports(_runs(spark, sf_dir))
-    return r.select("qid", "location", "hazard", "horizon_days", "risk_level", "confidence", "refusal", F.size("drivers").alias("n_drivers"), F.size("citations").alias("n_citations"), "grounding_status")
+    return r.select(
+        "qid", "location", "hazard", "horizon_days", "risk_level", "confidence", "refusal",
+        F.size("drivers").alias("n_drivers"), F.size("citations").alias("n_citations"), "grounding_status"
+    )
 
 
 def report_text(spark, sf_dir):
@@ -93,7 +133,12 @@ def report_text(spark, sf_dir):
 
 def report_invariants(spark, sf_dir):
     r = verdict.reports(_runs(spark, sf_dir))
-    broken = r.withColumns({"confidence": F.when(F.col("qid") % 3 == 0, F.lit(1.5)).otherwise(F.col("confidence")), "horizon_days": F.when(F.col("qid") % 4 == 0, F.lit(0)).otherwise(F.col("horizon_days"))})
+    broken = r.withColumns(
+        {
+            "confidence": F.when(F.col("qid") % 3 == 0, F.lit(1.5)).otherwise(F.col("confidence")),
+            "horizon_days": F.when(F.col("qid") % 4 == 0, F.lit(0)).otherwise(F.col("horizon_days"))
+        }
+    )
     return verdict.violations(broken).select("qid", F.array_join("violations", ",").alias("violations"))
 
 
@@ -103,8 +148,13 @@ def report_checks(spark, sf_dir):
     basis = F.get(F.filter("drivers", lambda d: d["factor"] == "severity_basis"), F.lit(0))["detail"]
     has_stat = F.size("drivers") == 3
     checks = {
-        "gev_basis_used": F.when(has_stat & (F.col("hazard") != "wind"), F.contains(basis, F.lit("GEV return levels"))), "wind_declares_absolute_basis": F.when(has_stat & (F.col("hazard") == "wind"), F.contains(basis, F.lit("absolute thresholds"))),
-        "confidence_in_composed_range": F.col("confidence").between(0.3, 0.75), "citations_deduped": F.size("citations") == F.size(F.array_distinct("citations")), "citations_page_level": F.forall("citations", lambda c: F.startswith(c["locator"], F.lit("p"))),
+        "gev_basis_used": F.when(has_stat & (F.col("hazard") != "wind"), F.contains(basis, F.lit("GEV return levels"))),
+        "wind_declares_absolute_basis": F.when(
+            has_stat & (F.col("hazard") == "wind"), F.contains(basis, F.lit("absolute thresholds"))
+        ),
+        "confidence_in_composed_range": F.col("confidence").between(0.3, 0.75),
+        "citations_deduped": F.size("citations") == F.size(F.array_distinct("citations")),
+        "citations_page_level": F.forall("citations", lambda c: F.startswith(c["locator"], F.lit("p"))),
     }
     return verdict.roll_up_checks(r, checks).select("qid", F.array_join("failed", ",").alias("failed"))
 
@@ -114,11 +164,21 @@ def request_status(spark, sf_dir):
 
     c = tables.read(spark, sf_dir, "customer")
     hazard = F.when(F.col("c_custkey") % 11 == 0, "hail").otherwise("wind")
-    r = c.select("c_custkey", (F.col("c_acctbal") / 50).alias("latitude"), (F.col("c_acctbal") / 25).alias("longitude"), (F.col("c_custkey") % 20).alias("horizon_days"), hazard.alias("hazard"), F.when(F.col("c_custkey") % 7 != 0, "key").alias("api_key"))
+    r = c.select(
+        "c_custkey", (F.col("c_acctbal") / 50).alias("latitude"), (F.col("c_acctbal") / 25).alias("longitude"),
+        (F.col("c_custkey") % 20).alias("horizon_days"), hazard.alias("hazard"),
+        F.when(F.col("c_custkey") % 7 != 0, "key").alias("api_key")
+    )
     return api.request_status(r, "key").groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation, evidence_questions, assess_nl, report_text, report_invariants, report_checks, request_status)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scope_guard, hazard_classify, horizon_extract, place_extract, geocode_first, region_lookup, input_validation,
+        evidence_questions, assess_nl, report_text, report_invariants, report_checks, request_status
+    )
+}
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _QUESTIONS = f"""
@@ -128,8 +188,12 @@ q as (select n_nationkey * 10 + case k when 'click' then 0 when 'view' then 1 wh
     case n_nationkey % 5 when 0 then 'over the next ' || (n_nationkey + 1) || ' days' when 1 then 'next two weeks' when 2 then 'tomorrow' when 3 then 'within three days' else 'soon' end || '?' as text
   from nation, (select distinct event_type as k from events)
   union all select * from (values {", ".join(f"({-1 - k}, {_quote(s)})" for k, s in enumerate(SENTENCES))}))"""
-_SCOPE = f"case when regexp_matches(text, '(?i){t.MARINE_PATTERN}') then 'marine heatwave' when regexp_matches(text, '(?i){t.SUPPORTED_PATTERN}') then null " + " ".join(f"when regexp_matches(text, '(?i){p}') then '{n}'" for p, n in t.UNSUPPORTED_PATTERNS.items()) + " end"
-_HAZARD = "case " + " ".join(f"when regexp_matches(text, '(?i){p}') then '{h}'" for h, p in t.HAZARD_PATTERNS.items()) + " end"
+_SCOPE = f"case when regexp_matches(text, '(?i){t.MARINE_PATTERN}') then 'marine heatwave' when regexp_matches(text, '(?i){t.SUPPORTED_PATTERN}') then null " + " ".join(
+    f"when regexp_matches(text, '(?i){p}') then '{n}'" for p, n in t.UNSUPPORTED_PATTERNS.items()
+) + " end"
+_HAZARD = "case " + " ".join(
+    f"when regexp_matches(text, '(?i){p}') then '{h}'" for h, p in t.HAZARD_PATTERNS.items()
+) + " end"
 _WORDS = "map {" + ", ".join(f"'{w}': {n}" for w, n in t.WORD_NUMBERS.items()) + "}"
 _HORIZON = rf"""coalesce(case when regexp_matches(lower(text), 'next\s+\d+\s+days?') then least(regexp_extract(lower(text), 'next\s+(\d+)\s+days?', 1)::bigint, 16) end,
   case when ({_WORDS})[regexp_extract(lower(text), 'next\s+(\w+)\s+weeks?', 1)] is not null then least(({_WORDS})[regexp_extract(lower(text), 'next\s+(\w+)\s+weeks?', 1)] * 7, 16) end,

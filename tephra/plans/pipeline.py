@@ -19,7 +19,8 @@ _TREND = "struct<significant: boolean, slope_per_decade: double, p_value: double
 
 
 def assess(
-    questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily: DataFrame, forecast: DataFrame, chunks: DataFrame | None = None,
+    questions: DataFrame, gazetteer: DataFrame, regions: DataFrame, daily: DataFrame, forecast: DataFrame,
+    chunks: DataFrame | None = None,
     model: Model | None = None, boot: int = extremes.BOOT, top_k: int = 8, **retrieval_by,
 ) -> DataFrame:
     """One report for each free-text question (qid, text): parse, locate, fit, compare, cite.
@@ -37,28 +38,54 @@ def assess(
     wanted = live.select("qid", "latitude", "longitude", "horizon_days", forecast_of[F.col("hazard")].alias("variable"))
     day = forecast.groupBy("latitude", "longitude").agg(F.min("day").alias("first"))
     dated = forecast.join(day, ["latitude", "longitude"]).withColumn("day_no", F.datediff("day", "first") + 1)
-    peaks = dated.join(wanted, ["latitude", "longitude", "variable"]).where("day_no <= horizon_days").groupBy("qid").agg(F.max("value").alias("peak"))
+    peaks = dated.join(
+        wanted, ["latitude", "longitude", "variable"]
+    ).where("day_no <= horizon_days").groupBy("qid").agg(F.max("value").alias("peak"))
 
     # Each place and series is fitted once, however many questions ask for it.
     place = F.concat_ws("|", "latitude", "longitude", "variable")
     needed = live.select("latitude", "longitude", archive_of[F.col("hazard")].alias("variable")).distinct()
-    series = daily.join(retrieval.small(needed), ["latitude", "longitude", "variable"], "left_semi").withColumn("location", place)
-    stats = extremes.hazard_statistics(extremes.block_maxima(series), boot=boot).select("location", F.col("n_blocks").alias("n_years"), "return_levels", "trend")
+    series = daily.join(
+        retrieval.small(needed), ["latitude", "longitude", "variable"], "left_semi"
+    ).withColumn("location", place)
+    stats = extremes.hazard_statistics(extremes.block_maxima(series), boot=boot).select(
+        "location", F.col("n_blocks").alias("n_years"), "return_levels", "trend"
+    )
     keyed = asked.withColumn("variable", archive_of[F.col("hazard")]).withColumn("place_key", place)
     run = keyed.join(peaks, "qid", "left").join(stats.withColumnRenamed("location", "place_key"), "place_key", "left")
     if chunks is not None and model is not None:
         evidence = live.select("qid", evidence_question(F.col("hazard"), F.col("location")).alias("text"))
         found = answered(evidence, chunks, model, top_k, **retrieval_by)
         cited = answers.cited_pages(found.where("status = 'ok' and not abstain"))
-        pages = cited.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "page"))), lambda c: F.struct(c["source"].alias("source"), c["page"].alias("page"))).alias("citations"))
+        pages = cited.groupBy("qid").agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("pos", "source", "page"))),
+                lambda c: F.struct(c["source"].alias("source"), c["page"].alias("page"))
+            ).alias("citations")
+        )
         grounded = found.where("status = 'ok' and not abstain").select("qid", "answer").join(pages, "qid")
         run = run.join(grounded, "qid", "left")
     else:
-        run = run.withColumns({"answer": F.lit(None).cast("string"), "citations": F.lit(None).cast("array<struct<source:string,page:int>>")})
+        run = run.withColumns(
+            {
+                "answer": F.lit(None).cast("string"),
+                "citations": F.lit(None).cast("array<struct<source:string,page:int>>")
+            }
+        )
     return verdict.reports(
         run.select(
-            "qid", "location", "hazard", "horizon_days", "refusal", "peak", "variable", unit_of[F.col("hazard")].alias("unit"), "n_years", F.transform("return_levels", lambda r: F.struct(r["return_period"].alias("return_period"), r["level"].alias("level"))).alias("return_levels"),
-            F.lit("point_interpolated_reanalysis").alias("representativeness"), F.when(F.col("trend").isNotNull(), F.struct("trend.significant", "trend.slope_per_decade", "trend.p_value", "trend.evaluated_at")).cast(_TREND).alias("trend"), "answer", "citations",
+            "qid", "location", "hazard", "horizon_days", "refusal", "peak", "variable",
+            unit_of[F.col("hazard")].alias("unit"), "n_years",
+            F.transform(
+                "return_levels",
+                lambda r: F.struct(r["return_period"].alias("return_period"), r["level"].alias("level"))
+            ).alias("return_levels"),
+            F.lit("point_interpolated_reanalysis").alias("representativeness"),
+            F.when(
+                F.col("trend").isNotNull(),
+                F.struct("trend.significant", "trend.slope_per_decade", "trend.p_value", "trend.evaluated_at")
+            ).cast(_TREND).alias("trend"),
+            "answer", "citations",
         )
     )
 
@@ -76,7 +103,9 @@ def retrieved(
     if question_vectors is None and vectors is not None:
         ok, detail = answers.embedding_available(embedder)
         if ok:
-            question_vectors, _ = answers.embedded(questions.select("qid", "text"), embedder, "RETRIEVAL_QUERY", vector_cache)
+            question_vectors, _ = answers.embedded(
+                questions.select("qid", "text"), embedder, "RETRIEVAL_QUERY", vector_cache
+            )
         else:
             _log.warning("%s: retrieval is lexical only", detail)
     if vectors is None or question_vectors is None:
@@ -86,7 +115,8 @@ def retrieved(
 
 
 def answered(
-    questions: DataFrame, chunks: DataFrame, model: Model, top_k: int = 8, cache: DataFrame | None = None, name: str = "offline", **retrieval_by
+    questions: DataFrame, chunks: DataFrame, model: Model, top_k: int = 8, cache: DataFrame | None = None,
+    name: str = "offline", **retrieval_by
 ) -> DataFrame:
     """(qid, status, answer, citations, abstain, abstain_reason, unknown): guard, retrieve, cache, model, check.
 
@@ -110,7 +140,11 @@ def answered(
         asked = prompts.join(misses.select("qid"), "qid", "left_semi")
         raw = hits.select("qid", "raw").unionByName(answers.call_model(asked, model, name=name).select("qid", "raw"))
     checked = answers.checked_answers(raw.join(keyed.select("qid", "allowed_ids"), "qid"))
-    refused = guarded.where("refused").select("qid", F.lit("ok").alias("status"), F.lit("").alias("answer"), F.array().cast("array<string>").alias("citations"), F.lit(True).alias("abstain"), "abstain_reason", F.array().cast("array<string>").alias("unknown"))
+    refused = guarded.where("refused").select(
+        "qid", F.lit("ok").alias("status"), F.lit("").alias("answer"),
+        F.array().cast("array<string>").alias("citations"), F.lit(True).alias("abstain"), "abstain_reason",
+        F.array().cast("array<string>").alias("unknown")
+    )
     return checked.unionByName(refused)
 
 
@@ -120,5 +154,10 @@ def evaluate(rankings: DataFrame, gold: DataFrame, questions: DataFrame) -> Data
     ``rankings`` has retriever, qid, source, page, rank; ``questions`` qid, slice, expected_behavior.
     """
     ranks = evaluation.first_gold_rank(rankings, gold, ["retriever", "qid"]).join(questions, "qid")
-    both = F.explode(F.array("slice", F.when(F.col("expected_behavior") == "answer", "HEADLINE (answer)").otherwise("diagnostic (refuse)")))
+    both = F.explode(
+        F.array(
+            "slice",
+            F.when(F.col("expected_behavior") == "answer", "HEADLINE (answer)").otherwise("diagnostic (refuse)")
+        )
+    )
     return evaluation.recall_report(ranks.withColumn("label", both), ["retriever", "label"])

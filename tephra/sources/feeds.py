@@ -26,7 +26,9 @@ class RequestError(Exception):
         self.status = status
 
 
-def fetched(requests: DataFrame, fetch: Callable[[dict], str], tries: int = TRIES, pause: Callable[[int], None] | None = None) -> DataFrame:
+def fetched(
+    requests: DataFrame, fetch: Callable[[dict], str], tries: int = TRIES, pause: Callable[[int], None] | None = None
+) -> DataFrame:
     """The requests with body, error and tries: one response each through a pluggable fetcher, in Arrow batches.
 
     ``fetch`` gets a request's columns and returns the body, or raises :class:`RequestError`. A failed transport, status 429
@@ -72,20 +74,31 @@ def forecast_long(responses: DataFrame) -> DataFrame:
     """(location, day, day_no, variable, value) of responses whose days and series are parallel arrays."""
     key = ["location"] if "location" in responses.columns else ["latitude", "longitude"]
     series = list(FORECAST_SERIES[h] for h in ("extreme_precip", "heatwave", "wind"))
-    rows = responses.select(*key, F.posexplode(F.arrays_zip(*(F.col(f"daily.{c}").alias(c) for c in ("time", *series)))).alias("i", "r"))
-    wide = rows.select(*key, F.col("r.time").alias("day"), (F.col("i") + 1).alias("day_no"), *(F.col(f"r.{v}").alias(v) for v in series))
+    rows = responses.select(
+        *key, F.posexplode(F.arrays_zip(*(F.col(f"daily.{c}").alias(c) for c in ("time", *series)))).alias("i", "r")
+    )
+    wide = rows.select(
+        *key, F.col("r.time").alias("day"), (F.col("i") + 1).alias("day_no"),
+        *(F.col(f"r.{v}").alias(v) for v in series)
+    )
     return wide.unpivot([*key, "day", "day_no"], series, "variable", "value")
 
 
 def archive_long(spark: SparkSession, path: str, variable: str) -> DataFrame:
     """(day, variable, value) of an archive response; days are local days and stay so, missing values stay null."""
-    response = spark.read.schema(f"timezone string, daily struct<time: array<string>, {variable}: array<double>>").option("multiLine", True).json(path)
-    return response.select(F.explode(F.arrays_zip(F.col("daily.time").alias("t"), F.col(f"daily.{variable}").alias("v"))).alias("r")).select(F.to_date("r.t").alias("day"), F.lit(variable).alias("variable"), F.col("r.v").alias("value"))
+    response = spark.read.schema(
+        f"timezone string, daily struct<time: array<string>, {variable}: array<double>>"
+    ).option("multiLine", True).json(path)
+    return response.select(
+        F.explode(F.arrays_zip(F.col("daily.time").alias("t"), F.col(f"daily.{variable}").alias("v"))).alias("r")
+    ).select(F.to_date("r.t").alias("day"), F.lit(variable).alias("variable"), F.col("r.v").alias("value"))
 
 
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a gold-set file: an object with ``questions`` or a bare list."""
-    raw = spark.read.schema(f"questions {GOLD_QUESTION.simpleString().join(['array<', '>'])}").option("multiLine", True).json(path)
+    raw = spark.read.schema(
+        f"questions {GOLD_QUESTION.simpleString().join(['array<', '>'])}"
+    ).option("multiLine", True).json(path)
     whole = raw.where("questions is not null").select(F.inline("questions"))
     bare = spark.read.schema(GOLD_QUESTION).option("multiLine", True).json(path).where("id is not null")
     return whole.unionByName(bare)
@@ -97,8 +110,14 @@ def append_telemetry(events: DataFrame, path: str) -> None:
 
 
 def telemetry_log(spark: SparkSession, path: str) -> DataFrame:
-    """All events of the log; lines torn by a crash are passed over."""
-    return spark.read.schema(TELEMETRY).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    """All events of the log and their ``day``; lines torn by a crash are passed over.
+
+    Days are told by the names of files or folders (``2024-01-02.jsonl``, ``day=2024-01-02``), as a log is cut by the clock of
+    the process that wrote it; a file without a day in its name has those of its events.
+    """
+    log = spark.read.schema(TELEMETRY).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    named = F.regexp_extract("_metadata.file_path", r"([0-9]{4}-[0-9]{2}-[0-9]{2})[^0-9]*[^/]*(?:/[^/]*)?$", 1)
+    return log.withColumn("day", F.coalesce(named.try_cast("date"), F.to_date("ts")))
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
@@ -124,8 +143,12 @@ def write_artifact(metrics: DataFrame, path: str, **about: str) -> None:
 def pages_from_html(spark: SparkSession, path: str) -> DataFrame:
     """(source, page, text): files of a folder as single pages, tags taken out."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
-    return pages_of(files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(1).alias("page"), text.alias("text")))
+    text = F.regexp_replace(
+        F.regexp_replace(F.decode("content", "UTF-8"), r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " "
+    )
+    return pages_of(
+        files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(1).alias("page"), text.alias("text"))
+    )
 
 
 def pages_from_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -136,15 +159,25 @@ def pages_from_pdf(spark: SparkSession, path: str) -> DataFrame:
         from io import BytesIO
 
         for pdf in batches:
-            rows = [(re.split(r"[/\\]", p)[-1], n, page.extract_text() or "") for p, content in zip(pdf["path"], pdf["content"]) for n, page in enumerate(PdfReader(BytesIO(content)).pages, 1)]
+            rows = [
+                (re.split(r"[/\\]", p)[-1], n, page.extract_text() or "")
+                for p, content in zip(pdf["path"], pdf["content"])
+                for n, page in enumerate(PdfReader(BytesIO(content)).pages, 1)
+            ]
             yield pd.DataFrame(rows, columns=["source", "page", "text"])
 
-    return pages_of(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "source string, page int, text string"))
+    return pages_of(
+        spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(
+            read, "source string, page int, text string"
+        )
+    )
 
 
 def fingerprint(pages: DataFrame, version: str) -> str:
     """Identity of a chunking result: a hash over the pages' hashes, which needs no order, and the chunker's version."""
-    row = pages.agg(F.count("*").alias("n"), F.sum(F.xxhash64("source", "page", "text").cast("decimal(38,0)")).alias("s")).select(F.substring(F.sha2(F.concat_ws("|", "n", "s", F.lit(version)), 256), 1, 16)).first()
+    row = pages.agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("source", "page", "text").cast("decimal(38,0)")).alias("s")
+    ).select(F.substring(F.sha2(F.concat_ws("|", "n", "s", F.lit(version)), 256), 1, 16)).first()
     return row[0]
 
 

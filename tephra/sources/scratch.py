@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,23 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside the block are deleted at its end, but for those behind frames that are given to ``keep``.
+
+    For steps that write several tables and return a plan over the last of them. After an error all stay, for the driver's end.
+    """
+    before, kept = set(_kept), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_tephra_path", None))
+        return df
+
+    yield keep
+    for path in [x for x in _kept if x not in before and x not in kept]:
+        _delete(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame of :func:`materialized`; nothing that reads it may run afterwards."""
     _delete(getattr(df, "_tephra_path", None))

@@ -9,10 +9,15 @@ from tephra.schemas import TELEMETRY
 
 
 def events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(TELEMETRY).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).json(path)
+    return spark.readStream.schema(TELEMETRY).option(
+        "maxFilesPerTrigger", files_per_trigger
+    ).option("recursiveFileLookup", True).json(path)
 
 
 def rollup(stream: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Calls, hits, failures and retries by operation and window; events later than ``late`` are dropped with their state."""
     live = stream.withWatermark("ts", late).groupBy(F.window("ts", window), "op")
-    return live.agg(F.count("*").alias("calls"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("ok")).alias("failures"), F.sum("retries").alias("retries"))
+    return live.agg(
+        F.count("*").alias("calls"), F.count_if("cached").alias("cache_hits"),
+        F.count_if(~F.col("ok")).alias("failures"), F.sum("retries").alias("retries")
+    )

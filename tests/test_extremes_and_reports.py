@@ -8,7 +8,10 @@ from tephra.functions import gev
 from tephra.operators import answers, extremes, places, telemetry, verdict
 from tephra.plans import api, pipeline
 
-MAXIMA = [42.0, 55.1, 61.3, 48.7, 70.2, 66.5, 52.9, 88.4, 47.3, 59.9, 63.1, 51.2, 75.8, 68.0, 45.6, 57.7, 80.3, 62.2, 49.5, 71.9, 54.4, 65.0, 58.8, 92.7, 46.1, 60.6, 53.3, 77.1, 69.4, 50.8]
+MAXIMA = [
+    42.0, 55.1, 61.3, 48.7, 70.2, 66.5, 52.9, 88.4, 47.3, 59.9, 63.1, 51.2, 75.8, 68.0, 45.6, 57.7, 80.3, 62.2, 49.5,
+    71.9, 54.4, 65.0, 58.8, 92.7, 46.1, 60.6, 53.3, 77.1, 69.4, 50.8
+]
 
 
 def test_fit_recovers_parameters():
@@ -38,12 +41,18 @@ def test_likelihood_by_its_density():
             total -= math.log(t ** (1 - (0 if abs(c) < 1e-8 else c)) * math.exp(-t) / scale)
         got = gev.negative_log_likelihood(y[None, :], np.array([c]), np.array([loc]), np.array([math.log(scale)]))[0]
         assert got == pytest.approx(total, abs=1e-9)
-    assert np.isinf(gev.negative_log_likelihood(np.array([[1.0, 99.0]]), np.array([0.5]), np.array([0.0]), np.array([0.0]))).all()
+    assert np.isinf(
+        gev.negative_log_likelihood(np.array([[1.0, 99.0]]), np.array([0.5]), np.array([0.0]), np.array([0.0]))
+    ).all()
 
 
 def test_fits_in_company_are_fits_alone():
     rng = np.random.default_rng(5)
-    samples = np.array([gev.draws(c, 10, 2, 40, (9, k)) for k, c in enumerate(rng.uniform(-0.3, 0.3, 25))] + [np.full(40, 7.0), np.r_[np.zeros(39), 1e6]])
+    samples = np.array(
+        [
+            gev.draws(c, 10, 2, 40, (9, k)) for k, c in enumerate(rng.uniform(-0.3, 0.3, 25))
+        ] + [np.full(40, 7.0), np.r_[np.zeros(39), 1e6]]
+    )
     together = np.array(gev.fits(samples))
     for k, y in enumerate(samples):
         assert np.array(gev.fit(y)) == pytest.approx(together[:, k], nan_ok=True, abs=1e-9)
@@ -65,12 +74,19 @@ def test_trend():
 
 
 def test_levels_and_periods_invert(spark):
-    df = spark.createDataFrame([(c, 40.0, 2.0, float(t)) for c in (-0.2, 0.0, 1e-10, 0.3) for t in (2, 10, 50, 100, 1000)], "c double, loc double, scale double, t double")
+    df = spark.createDataFrame(
+        [(c, 40.0, 2.0, float(t)) for c in (-0.2, 0.0, 1e-10, 0.3) for t in (2, 10, 50, 100, 1000)],
+        "c double, loc double, scale double, t double"
+    )
     level = gev.return_level(F.col("c"), F.col("loc"), F.col("scale"), F.col("t"))
-    rows = df.withColumn("level", level).withColumn("back", gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("level"))).collect()
+    rows = df.withColumn("level", level).withColumn(
+        "back", gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("level"))
+    ).collect()
     assert all(r.back == pytest.approx(r.t, rel=1e-6) for r in rows)
     assert all(a.level < b.level for a, b in zip(rows, rows[1:]) if a.c == b.c)
-    beyond = spark.createDataFrame([(0.5, 0.0, 1.0, 3.0), (-0.5, 0.0, 1.0, -3.0)], "c double, loc double, scale double, v double").select(gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("v"))).collect()
+    beyond = spark.createDataFrame(
+        [(0.5, 0.0, 1.0, 3.0), (-0.5, 0.0, 1.0, -3.0)], "c double, loc double, scale double, v double"
+    ).select(gev.return_period(F.col("c"), F.col("loc"), F.col("scale"), F.col("v"))).collect()
     assert [r[0] for r in beyond] == [math.inf, 1.0]
 
 
@@ -78,7 +94,10 @@ def test_bootstrap_band(spark):
     rows = [("a", 1960 + k, v) for k, v in enumerate(MAXIMA)] + [("b", 1960 + k, v) for k, v in enumerate(MAXIMA[:12])]
     maxima = spark.createDataFrame(rows, "location string, block int, value double")
     got = {(r.location, r.return_period): r for r in extremes.return_levels_with_band(maxima, boot=60).collect()}
-    again = {(r.location, r.return_period): r for r in extremes.return_levels_with_band(maxima.repartition(7), boot=60).collect()}
+    again = {
+        (r.location, r.return_period): r
+        for r in extremes.return_levels_with_band(maxima.repartition(7), boot=60).collect()
+    }
     assert got == again
     assert all(r.ci_low <= r.level <= r.ci_high for r in got.values())
     assert got["a", 100].ci_high - got["a", 100].ci_low > got["a", 10].ci_high - got["a", 10].ci_low
@@ -87,44 +106,84 @@ def test_bootstrap_band(spark):
 
 
 def test_block_maxima_skip_nulls(spark):
-    d = spark.sql("select 'x' location, to_date(day) day, value from values ('2001-01-01', 3.0), ('2001-05-01', null), ('2002-01-01', 5.0), ('2003-01-01', null) t(day, value)")
+    d = spark.sql(
+        "select 'x' location, to_date(day) day, value from values ('2001-01-01', 3.0), ('2001-05-01', null), ('2002-01-01', 5.0), ('2003-01-01', null) t(day, value)"
+    )
     assert sorted((r.block, r.value) for r in extremes.block_maxima(d).collect()) == [(2001, 3.0), (2002, 5.0)]
 
 
 @pytest.mark.parametrize("peak, want", [(99.9, "LOW"), (100.0, "MODERATE"), (140.0, "HIGH"), (160.0, "SEVERE")])
 def test_level_by_return_period(spark, peak, want):
     df = spark.sql(f"select {peak}D p, map(10, 100D, 50, 140D, 100, 160D) m, map(10, 1D) short")
-    assert tuple(df.select(verdict.level_by_return_period(F.col("p"), F.col("m")), verdict.level_by_return_period(F.col("p"), F.col("short"))).first()) == (want, None)
+    assert tuple(
+        df.select(
+            verdict.level_by_return_period(F.col("p"), F.col("m")),
+            verdict.level_by_return_period(F.col("p"), F.col("short"))
+        ).first()
+    ) == (want, None)
 
 
 def test_confidence(spark):
-    df = spark.createDataFrame([("station_calibrated", True), ("point_interpolated_reanalysis", False), (None, False), ("not_representative", True)], "r string, c boolean")
+    df = spark.createDataFrame(
+        [
+            ("station_calibrated", True), ("point_interpolated_reanalysis", False), (None, False),
+            ("not_representative", True)
+        ],
+        "r string, c boolean"
+    )
     assert [r[0] for r in df.select(verdict.confidence(F.col("r"), F.col("c"))).collect()] == [0.75, 0.55, 0.3, 0.4]
 
 
 def test_regions_and_boundaries(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
-    regions = spark.createDataFrame([(1, "B", "Bee", ring), (0, "A", "Ay", [(10.0, 10.0), (12.0, 10.0), (12.0, 12.0), (10.0, 12.0)])], "ord int, acronym string, name string, ring array<struct<lon: double, lat: double>>")
-    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 3.0, 2.0), (3, 0.0, 1.0), (4, 11.0, 11.0), (5, None, 1.0)], "id int, latitude double, longitude double")
-    assert {r.id: r.acronym for r in places.region_of(points, regions).collect()} == {1: "B", 2: None, 3: None, 4: "A", 5: None}
+    regions = spark.createDataFrame(
+        [(1, "B", "Bee", ring), (0, "A", "Ay", [(10.0, 10.0), (12.0, 10.0), (12.0, 12.0), (10.0, 12.0)])],
+        "ord int, acronym string, name string, ring array<struct<lon: double, lat: double>>"
+    )
+    points = spark.createDataFrame(
+        [(1, 0.5, 0.5), (2, 3.0, 2.0), (3, 0.0, 1.0), (4, 11.0, 11.0), (5, None, 1.0)],
+        "id int, latitude double, longitude double"
+    )
+    assert {
+        r.id: r.acronym for r in places.region_of(points, regions).collect()
+    } == {1: "B", 2: None, 3: None, 4: "A", 5: None}
 
 
 def test_telemetry(spark):
-    rows = [("gen", "m0", 10.0, 100, 10, 1, True, False), ("gen", "m0", 20.0, 0, 0, 0, False, False), ("gen", "mx", 30.0, 5, 5, 2, True, False), ("gen", "m0", 40.0, 9, 9, 0, True, False), ("gen", "m0", 0.0, 9, 9, 0, True, True), ("emb", "m0", 0.0, 9, 9, 0, True, True)]
-    e = spark.createDataFrame(rows, "op string, model string, latency_ms double, tokens_in long, tokens_out long, retries long, ok boolean, cached boolean")
+    rows = [
+        ("gen", "m0", 10.0, 100, 10, 1, True, False), ("gen", "m0", 20.0, 0, 0, 0, False, False),
+        ("gen", "mx", 30.0, 5, 5, 2, True, False), ("gen", "m0", 40.0, 9, 9, 0, True, False),
+        ("gen", "m0", 0.0, 9, 9, 0, True, True), ("emb", "m0", 0.0, 9, 9, 0, True, True)
+    ]
+    e = spark.createDataFrame(
+        rows,
+        "op string, model string, latency_ms double, tokens_in long, tokens_out long, retries long, ok boolean, cached boolean"
+    )
     prices = spark.createDataFrame([("m0", 1.0, 2.0)], "model string, price_in double, price_out double")
     got = {r.op: r for r in telemetry.summarize(e, prices, ["op"]).collect()}
     g = got["gen"]
-    assert (g.calls, g.cache_hits, g.failures, g.retries, g.p50_ms, g.p95_ms, g.unpriced_models) == (5, 1, 1, 3, 30.0, 40.0, "mx")
-    assert g.est_cost_usd == pytest.approx(109 / 1e6 + 38 / 1e6, abs=1e-6) and (got["emb"].p50_ms, got["emb"].est_cost_usd) == (0.0, 0.0)
+    assert (
+        g.calls, g.cache_hits, g.failures, g.retries, g.p50_ms, g.p95_ms, g.unpriced_models
+    ) == (5, 1, 1, 3, 30.0, 40.0, "mx")
+    assert g.est_cost_usd == pytest.approx(109 / 1e6 + 38 / 1e6, abs=1e-6) and (
+        got["emb"].p50_ms, got["emb"].est_cost_usd
+    ) == (0.0, 0.0)
     (s,) = telemetry.spans(e.withColumn("span", F.lit("x")), prices).collect()
     assert (s.calls, s.cache_hits, s.tokens_in, s.retries) == (4, 2, 114, 3)
 
 
 def test_answers(spark):
-    rows = [(1, '{"answer": "x", "citations": ["a"], "abstain": false}'), (2, '{"answer": "x", "citations": ["z"], "abstain": false}'), (3, '{"answer": "x", "citations": [], "abstain": false}'), (4, '{"answer": "", "citations": [], "abstain": true}'), (5, "nonsense"), (6, "[1]"), (7, '{"answer": "x"}'), (8, None)]
+    rows = [
+        (1, '{"answer": "x", "citations": ["a"], "abstain": false}'),
+        (2, '{"answer": "x", "citations": ["z"], "abstain": false}'),
+        (3, '{"answer": "x", "citations": [], "abstain": false}'),
+        (4, '{"answer": "", "citations": [], "abstain": true}'), (5, "nonsense"), (6, "[1]"), (7, '{"answer": "x"}'),
+        (8, None)
+    ]
     raw = spark.createDataFrame(rows, "qid int, raw string").withColumn("allowed_ids", F.array(F.lit("a")))
-    assert [r.status for r in answers.checked_answers(raw).orderBy("qid").collect()] == ["ok", "invalid_citation", "uncited", "ok", "malformed", "malformed", "malformed", "malformed"]
+    assert [r.status for r in answers.checked_answers(raw).orderBy("qid").collect()] == [
+        "ok", "invalid_citation", "uncited", "ok", "malformed", "malformed", "malformed", "malformed"
+    ]
 
 
 def test_model_seam_retries_rate_limits_only(spark):
@@ -142,8 +201,13 @@ def test_model_seam_retries_rate_limits_only(spark):
 
 
 def test_api(spark):
-    rows = [(1, 10.0, 20.0, 7, "wind", "k"), (2, 91.0, 20.0, 7, "wind", "k"), (3, 0.0, 181.0, 7, "wind", "k"), (4, 0.0, 0.0, 17, "wind", "k"), (5, 0.0, 0.0, 7, "hail", "k"), (6, 0.0, 0.0, 7, "wind", None)]
-    r = spark.createDataFrame(rows, "id int, latitude double, longitude double, horizon_days int, hazard string, api_key string")
+    rows = [
+        (1, 10.0, 20.0, 7, "wind", "k"), (2, 91.0, 20.0, 7, "wind", "k"), (3, 0.0, 181.0, 7, "wind", "k"),
+        (4, 0.0, 0.0, 17, "wind", "k"), (5, 0.0, 0.0, 7, "hail", "k"), (6, 0.0, 0.0, 7, "wind", None)
+    ]
+    r = spark.createDataFrame(
+        rows, "id int, latitude double, longitude double, horizon_days int, hazard string, api_key string"
+    )
     assert [x.status for x in api.request_status(r, "k").orderBy("id").collect()] == [200, 422, 422, 422, 422, 401]
     assert [x.status for x in api.request_status(r).orderBy("id").collect()] == [200, 422, 422, 422, 422, 200]
     chunks = spark.createDataFrame([(k, f"s#p{k}#0", "s", k, "heat wave") for k in range(1, 21)], "ord long, chunk_id string, source string, page int, text string")
@@ -174,13 +238,24 @@ def test_evidence_is_fused_where_there_are_vectors(spark):
     chunks = spark.createDataFrame([(1, "s#p1#0", "s", 1, "rain will rise"), (2, "s#p2#0", "s", 2, "more wet days"), (3, "s#p3#0", "s", 3, "question heat")], "ord long, chunk_id string, source string, page int, text string")
     vectors = spark.createDataFrame([(1, [0.9, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "ord long, embedding array<float>")
     q = spark.createDataFrame([("a", "rain rise"), ("b", "heat fails")], "qid string, text string")  # ids of any type
-    got = [(r.qid, r.chunk_id, r.retrieval_mode) for r in api.search_evidence(q, chunks, vectors=vectors, embedder=embedder).orderBy("qid", "rank").collect()]
+    got = [
+        (r.qid, r.chunk_id, r.retrieval_mode)
+        for r in api.search_evidence(q, chunks, vectors=vectors, embedder=embedder).orderBy("qid", "rank").collect()
+    ]
     assert [x for x in got if x[0] == "a"] == [("a", "s#p1#0", "hybrid"), ("a", "s#p2#0", "hybrid"), ("a", "s#p3#0", "hybrid")]
     assert [x for x in got if x[0] == "b"] == [("b", "s#p3#0", "bm25_only")]  # its vector failed, the others' didn't
-    broken = [(r.qid, r.retrieval_mode) for r in api.search_evidence(q, chunks, vectors=vectors, embedder=lambda xs: 1 / 0).collect()]
+    broken = [
+        (r.qid, r.retrieval_mode)
+        for r in api.search_evidence(q, chunks, vectors=vectors, embedder=lambda xs: 1 / 0).collect()
+    ]
     assert {m for _, m in broken} == {"bm25_only"} and answers.embedding_available(lambda xs: 1 / 0)[0] is False
-    assert answers.embedding_available(embedder) == (True, "dense retrieval available, 2 dimensions") and not answers.embedding_available(None)[0]
-    found = {r.qid: r for r in pipeline.answered(q, chunks, answers.extractive_model, 2, vectors=vectors, embedder=embedder).collect()}
+    assert answers.embedding_available(embedder) == (
+        True, "dense retrieval available, 2 dimensions"
+    ) and not answers.embedding_available(None)[0]
+    found = {
+        r.qid: r
+        for r in pipeline.answered(q, chunks, answers.extractive_model, 2, vectors=vectors, embedder=embedder).collect()
+    }
     assert found["a"].answer == "rain will rise" and found["b"].citations == ["s#p3#0"]
 
 
@@ -193,30 +268,66 @@ def test_a_question_without_evidence_is_answered_too(spark):
 
 def test_embeddings_go_through_the_cache(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
-    cache = spark.createDataFrame([("bb", [9.0])], "text string, embedding array<float>").select(answers.vector_key(F.col("text"), "T").alias("key"), "embedding")
+    cache = spark.createDataFrame([("bb", [9.0])], "text string, embedding array<float>").select(
+        answers.vector_key(F.col("text"), "T").alias("key"), "embedding"
+    )
     rows, new = answers.embedded(texts, lambda xs: [[float(len(x))] for x in xs], "T", cache)
     assert {(r.id, r.embedding[0]) for r in rows.collect()} == {(1, 1.0), (2, 9.0), (3, 1.0)} and new.count() == 1
 
 
 def test_judge(spark):
-    cited = spark.createDataFrame([(1, "ans", 1, "second"), (1, "ans", 0, "first")], "qid int, answer string, pos int, text string")
+    cited = spark.createDataFrame(
+        [(1, "ans", 1, "second"), (1, "ans", 0, "first")], "qid int, answer string, pos int, text string"
+    )
     prompt = answers.judge_prompts(cited).first().prompt
     assert prompt.endswith("EXCERPTS:\n<excerpt>\nfirst\n</excerpt>\n<excerpt>\nsecond\n</excerpt>\n\nANSWER:\nans")
-    raw = spark.createDataFrame([(1, '{"claims": [{"claim": "x", "supported": true}, {"claim": "y", "supported": false}]}'), (2, '{"claims": []}'), (3, "no")], "qid int, raw string")
+    raw = spark.createDataFrame(
+        [
+            (1, '{"claims": [{"claim": "x", "supported": true}, {"claim": "y", "supported": false}]}'),
+            (2, '{"claims": []}'), (3, "no")
+        ],
+        "qid int, raw string"
+    )
     from tephra.operators import evaluation
 
     got = {r.qid: r for r in evaluation.claim_support(answers.judged_claims(raw).where("claims is not null")).collect()}
-    assert (got[1].n_claims, got[1].n_supported, got[1].all_supported) == (2, 1, False) and got[2].all_supported and 3 not in got
+    assert (
+        got[1].n_claims, got[1].n_supported, got[1].all_supported
+    ) == (2, 1, False) and got[2].all_supported and 3 not in got
 
 
 def test_assess_end_to_end(spark):
-    q = spark.createDataFrame([(1, "Rain in Osaka next 3 days?"), (2, "Heat waves at Nowhere"), (3, "Droughts in Osaka"), (4, "winds in Osaka")], "qid long, text string")
-    gaz = spark.createDataFrame([("Osaka", 0, "Osaka", 34.0, 135.0, "Japan")], "place string, ord int, name string, latitude double, longitude double, country string")
-    regions = spark.createDataFrame([(0, "EAS", "East Asia", [(100.0, 20.0), (150.0, 20.0), (150.0, 50.0), (100.0, 50.0)])], "ord int, acronym string, name string, ring array<struct<lon: double, lat: double>>")
-    daily = spark.createDataFrame([(34.0, 135.0, f"{1960 + k}-07-01", "precipitation_sum", v) for k, v in enumerate(MAXIMA)], "latitude double, longitude double, day string, variable string, value double").withColumn("day", F.to_date("day"))
-    forecast = spark.createDataFrame([(34.0, 135.0, f"2024-01-0{k}", v, x) for k, x in ((1, 10.0), (2, 300.0), (5, 999.0)) for v in ("precipitation_sum", "wind_speed_10m_max")], "latitude double, longitude double, day string, variable string, value double").withColumn("day", F.to_date("day"))
+    q = spark.createDataFrame(
+        [
+            (1, "Rain in Osaka next 3 days?"), (2, "Heat waves at Nowhere"), (3, "Droughts in Osaka"),
+            (4, "winds in Osaka")
+        ],
+        "qid long, text string"
+    )
+    gaz = spark.createDataFrame(
+        [("Osaka", 0, "Osaka", 34.0, 135.0, "Japan")],
+        "place string, ord int, name string, latitude double, longitude double, country string"
+    )
+    regions = spark.createDataFrame(
+        [(0, "EAS", "East Asia", [(100.0, 20.0), (150.0, 20.0), (150.0, 50.0), (100.0, 50.0)])],
+        "ord int, acronym string, name string, ring array<struct<lon: double, lat: double>>"
+    )
+    daily = spark.createDataFrame(
+        [(34.0, 135.0, f"{1960 + k}-07-01", "precipitation_sum", v) for k, v in enumerate(MAXIMA)],
+        "latitude double, longitude double, day string, variable string, value double"
+    ).withColumn("day", F.to_date("day"))
+    forecast = spark.createDataFrame(
+        [
+            (34.0, 135.0, f"2024-01-0{k}", v, x) for k, x in ((1, 10.0), (2, 300.0), (5, 999.0))
+            for v in ("precipitation_sum", "wind_speed_10m_max")
+        ],
+        "latitude double, longitude double, day string, variable string, value double"
+    ).withColumn("day", F.to_date("day"))
     chunks = spark.createDataFrame([(0, "s#p1#0", "s", 1, "heavy precipitation over East Asia (EAS)"), (1, "s#p2#0", "s", 2, "other")], "ord long, chunk_id string, source string, page int, text string")
-    got = {r.qid: r for r in pipeline.assess(q, gaz, regions, daily, forecast, chunks, answers.extractive_model, boot=10).collect()}
+    got = {
+        r.qid: r
+        for r in pipeline.assess(q, gaz, regions, daily, forecast, chunks, answers.extractive_model, boot=10).collect()
+    }
     assert got[1].risk_level == "SEVERE" and got[1].location == "Osaka, East Asia (EAS)" and got[1].confidence == 0.65 and len(got[1].drivers) == 3
     assert [tuple(c) for c in got[1].citations] == [("s", "p1")] and "IPCC AR6" in got[1].summary
     assert got[2].refusal.startswith("could not resolve") and got[3].refusal.startswith("drought is not") and got[3].confidence == 0
@@ -243,4 +354,7 @@ def test_registered_bands_take_the_full_bootstrap(spark, monkeypatch):
         monkeypatch.setattr(extremes, name, noted)
     for query in (climate.return_levels_ci, climate.trend_levels_ci, climate.hazard_stat):
         query(None, "")
-    assert seen == {"return_levels_with_band": {"boot": 300}, "trend_return_levels": {"boot": 200}, "hazard_statistics": {"boot": 300, "boot_trend": 200}}
+    assert seen == {
+        "return_levels_with_band": {"boot": 300}, "trend_return_levels": {"boot": 200},
+        "hazard_statistics": {"boot": 300, "boot_trend": 200}
+    }

@@ -16,7 +16,9 @@ def ranked(df):
 
 def test_bm25(spark, monkeypatch):
     docs = spark.createDataFrame(DOCS, "ord long, text string")
-    queries = spark.createDataFrame([(1, "heat wave"), (2, "rain rain"), (3, "absent"), (4, "rain")], "qid long, text string")
+    queries = spark.createDataFrame(
+        [(1, "heat wave"), (2, "rain rain"), (3, "absent"), (4, "rain")], "qid long, text string"
+    )
     got = retrieval.bm25(docs, queries, 10)
     assert ranked(got) == [(1, 0), (1, 4), (1, 2), (2, 1), (2, 2), (4, 1), (4, 2)]
     score = {(r.qid, r.ord): r.score for r in got.collect()}
@@ -25,7 +27,9 @@ def test_bm25(spark, monkeypatch):
     assert score[2, 1] == pytest.approx(2 * score[4, 1], abs=1e-8)  # a repeated query term counts twice
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)  # a larger query set goes through joins
     joined = retrieval.bm25(docs, queries, 10)
-    assert ranked(joined) == ranked(got) and {(r.qid, r.ord): r.score for r in joined.collect()} == pytest.approx(score, abs=1e-8)
+    assert ranked(joined) == ranked(got) and {
+        (r.qid, r.ord): r.score for r in joined.collect()
+    } == pytest.approx(score, abs=1e-8)
     assert retrieval.bm25(docs, queries.limit(0), 10).count() == 0
 
 
@@ -33,7 +37,9 @@ def test_cosine(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(50, 8))
     v[7] = 0
-    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(99, None), (98, [1.0])], "ord long, embedding array<double>")
+    vectors = spark.createDataFrame(
+        [(k, x.tolist()) for k, x in enumerate(v)] + [(99, None), (98, [1.0])], "ord long, embedding array<double>"
+    )
     q = rng.normal(size=(5, 8))
     queries = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)], "qid long, embedding array<double>")
     want = []
@@ -52,7 +58,9 @@ def test_cosine(spark, monkeypatch):
 def test_cosine_keeps_ties_in_order(spark, monkeypatch):
     """Equal vectors in every batch: the lowest ords win, whatever was kept before."""
     monkeypatch.setattr(retrieval, "_TILE", (4, 2))
-    vectors = spark.createDataFrame([(k * 37 % 101, [1.0, float(k % 2)]) for k in range(101)], "ord long, embedding array<double>").repartition(3)
+    vectors = spark.createDataFrame(
+        [(k * 37 % 101, [1.0, float(k % 2)]) for k in range(101)], "ord long, embedding array<double>"
+    ).repartition(3)
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "qid long, embedding array<double>")
     even = sorted(k * 37 % 101 for k in range(101) if k % 2 == 0)
     odd = sorted(k * 37 % 101 for k in range(101) if k % 2)
@@ -71,28 +79,42 @@ def test_rankings_of_named_questions(spark, monkeypatch):
 def test_rankings_may_be_read_twice_without_being_written(spark, monkeypatch):
     """A plan in which a ranking stands by itself and in a fusion; the exchange below it is reused."""
     monkeypatch.setattr(retrieval, "materialized", lambda df, name: df)
-    docs = spark.createDataFrame([(k, " ".join(f"t{(k * j) % 7}" for j in range(1, 9))) for k in range(60)], "ord long, text string")
+    docs = spark.createDataFrame(
+        [(k, " ".join(f"t{(k * j) % 7}" for j in range(1, 9))) for k in range(60)], "ord long, text string"
+    )
     queries = spark.createDataFrame([(q, f"t{q % 7} t{q % 5}") for q in range(8)], "qid long, text string")
-    vectors = docs.select("ord", F.array((F.col("ord") % 7).cast("double"), (F.col("ord") % 3).cast("double"), F.lit(1.0)).alias("embedding"))
+    vectors = docs.select(
+        "ord",
+        F.array((F.col("ord") % 7).cast("double"), (F.col("ord") % 3).cast("double"), F.lit(1.0)).alias("embedding")
+    )
     asked = queries.select("qid", F.array((F.col("qid") % 7).cast("double"), F.lit(1.0), F.lit(0.5)).alias("embedding"))
     lexical, semantic = retrieval.bm25(docs, queries, 20), retrieval.cosine(vectors, asked, 20)
     fused = retrieval.fuse([lexical, semantic], 20)
     part = lambda df, name: df.select(F.lit(name).alias("of"), "qid", "ord", "rank")
-    together = part(lexical, "bm25").unionByName(part(semantic, "dense")).unionByName(part(fused, "hybrid")).join(queries.select("qid"), "qid", "left_semi").collect()
+    together = part(lexical, "bm25").unionByName(part(semantic, "dense")).unionByName(part(fused, "hybrid")).join(
+        queries.select("qid"), "qid", "left_semi"
+    ).collect()
     ranks = {}
     for r in together:
         if r.of != "hybrid":
             ranks.setdefault((r.qid, r.ord), {})[r.of] = r["rank"]
     want = []
     for q in range(8):
-        mine = [(-round(sum(1 / (60 + x) for x in places.values()), 9), places.get("bm25", 99), places.get("dense", 99), o) for (qid, o), places in ranks.items() if qid == q]
+        mine = [
+            (-round(sum(1 / (60 + x) for x in places.values()), 9), places.get("bm25", 99), places.get("dense", 99), o)
+            for (qid, o), places in ranks.items() if qid == q
+        ]
         want += [(q, o, place) for place, (*_, o) in enumerate(sorted(mine)[:20], 1)]
     assert sorted((r.qid, r.ord, r["rank"]) for r in together if r.of == "hybrid") == sorted(want)
 
 
 def test_row_numbers(spark):
-    rows = [(f"s{k % 3}" if k % 10 else None, k * 7919 % 1000) for k in range(1000)] + [("hot", k) for k in range(2000, 4000)]
-    got = row_numbers(spark.createDataFrame(rows, "source string, id long").repartition(6), ["source"], ["id"], "page").collect()
+    rows = [
+        (f"s{k % 3}" if k % 10 else None, k * 7919 % 1000) for k in range(1000)
+    ] + [("hot", k) for k in range(2000, 4000)]
+    got = row_numbers(
+        spark.createDataFrame(rows, "source string, id long").repartition(6), ["source"], ["id"], "page"
+    ).collect()
     want = {}
     for s in {r[0] for r in rows}:
         want |= {(s, i): n for n, i in enumerate(sorted(i for t, i in rows if t == s), 1)}
@@ -102,7 +124,9 @@ def test_row_numbers(spark):
 def test_small_sides_are_proven_by_bytes_too(spark):
     df = spark.createDataFrame([(1, "x" * 1000)] * 10, "k int, text string")
     hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
-    assert hinted(retrieval.small(df)) and not hinted(retrieval.small(df, most_bytes=5000)) and not hinted(retrieval.small(df, rows=9))
+    assert hinted(retrieval.small(df)) and not hinted(
+        retrieval.small(df, most_bytes=5000)
+    ) and not hinted(retrieval.small(df, rows=9))
 
 
 def test_percentiles_by_bins(spark):
@@ -122,11 +146,15 @@ def test_fusion_and_fallback(spark):
     b = spark.createDataFrame([(1, 12, 1), (1, 11, 2)], "qid long, ord long, rank int")
     assert ranked(retrieval.fuse([a, b], 5)) == [(1, 11), (1, 10), (1, 12), (2, 20)]
     got = retrieval.retrieve(a, b, 2)
-    assert {(r.qid, r.ord, r.retrieval_mode) for r in got.collect()} == {(1, 11, "hybrid"), (1, 10, "hybrid"), (2, 20, "bm25_only")}
+    assert {(r.qid, r.ord, r.retrieval_mode) for r in got.collect()} == {
+        (1, 11, "hybrid"), (1, 10, "hybrid"), (2, 20, "bm25_only")
+    }
 
 
 def test_page_ranking_and_recall(spark):
-    hits = spark.createDataFrame([(1, "a", 5, 1), (1, "a", 5, 2), (1, "b", 1, 3), (2, "c", 1, 1)], "qid long, source string, page int, rank int")
+    hits = spark.createDataFrame(
+        [(1, "a", 5, 1), (1, "a", 5, 2), (1, "b", 1, 3), (2, "c", 1, 1)], "qid long, source string, page int, rank int"
+    )
     pages = retrieval.page_ranking(hits)
     assert [(r.source, r["rank"]) for r in pages.where("qid = 1").orderBy("rank").collect()] == [("a", 1), ("b", 2)]
     gold = spark.createDataFrame([(1, "b", 1), (2, "x", 9)], "qid long, source string, page int")
@@ -137,29 +165,55 @@ def test_page_ranking_and_recall(spark):
 
 def test_wilson(spark):
     low, high = evaluation.wilson(F.col("s"), F.col("n"))
-    got = [tuple(r) for r in spark.createDataFrame([(28, 34), (0, 0), (0, 10), (10, 10)], "s long, n long").select(low, high).collect()]
+    got = [
+        tuple(r)
+        for r in spark.createDataFrame(
+            [(28, 34), (0, 0), (0, 10), (10, 10)], "s long, n long"
+        ).select(low, high).collect()
+    ]
     assert got[0] == (pytest.approx(0.6649, abs=1e-4), pytest.approx(0.9165, abs=1e-4)) and got[1] == (0.0, 1.0)
     assert all(-1e-12 <= a <= b <= 1 + 1e-12 for a, b in got)
 
 
 def test_refusals_and_gold(spark):
-    o = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False), (False, False)], "expected_refuse boolean, did_abstain boolean")
-    assert evaluation.refusal_matrix(o).first().asDict() == {"correct_answer": 2, "correct_refuse": 1, "false_refuse": 1, "false_answer": 1}
+    o = spark.createDataFrame(
+        [(True, True), (True, False), (False, True), (False, False), (False, False)],
+        "expected_refuse boolean, did_abstain boolean"
+    )
+    assert evaluation.refusal_matrix(o).first().asDict() == {
+        "correct_answer": 2, "correct_refuse": 1, "false_refuse": 1, "false_answer": 1
+    }
     page = "array<struct<source:string,page:int>>"
-    q = spark.createDataFrame([("a", True, "answer", [("s", 2), ("s", 1), ("s", 2)]), ("b", True, "answer", []), ("c", False, "refuse", [("s", 1)]), ("d", False, "answer", None)], f"id string, answerable boolean, expected_behavior string, gold_pages {page}")
+    q = spark.createDataFrame(
+        [
+            ("a", True, "answer", [("s", 2), ("s", 1), ("s", 2)]), ("b", True, "answer", []),
+            ("c", False, "refuse", [("s", 1)]), ("d", False, "answer", None)
+        ],
+        f"id string, answerable boolean, expected_behavior string, gold_pages {page}"
+    )
     got = {r.id: r for r in evaluation.gold_violations(q).collect()}
     assert [tuple(p) for p in got["a"].gold_pages] == [("s", 1), ("s", 2)] and got["a"].violations == []
-    assert got["b"].violations == ["answerable_without_gold"] and got["c"].violations == ["gold_without_answerable"] and got["d"].violations == ["answer_expected_of_unanswerable"]
+    assert got["b"].violations == [
+        "answerable_without_gold"
+    ] and got["c"].violations == ["gold_without_answerable"] and got["d"].violations == [
+        "answer_expected_of_unanswerable"
+    ]
 
 
 def test_content_hash_ignores_order(spark):
     kind = "id string, slice string, question string, answerable boolean, expected_behavior string, gold_pages array<struct<source:string,page:int>>, supporting_quote string, hazard string, notes string"
-    rows = [("b", "single_page", "é?", True, "answer", [("s", 2), ("s", 1)], "", None, ""), ("a", "single_page", "q", False, "refuse", [], "", "x", "")]
+    rows = [
+        ("b", "single_page", "é?", True, "answer", [("s", 2), ("s", 1)], "", None, ""),
+        ("a", "single_page", "q", False, "refuse", [], "", "x", "")
+    ]
     h = lambda r: evaluation.content_hash(spark.createDataFrame(r, kind)).first()[0]
     assert h(rows) == h(rows[::-1]) and h(rows) != h([rows[0], (*rows[1][:2], "other", *rows[1][3:])])
 
 
 def test_upsert_and_overlap(spark):
-    old, new = (spark.createDataFrame(x, "id string, question string") for x in ([("a", "A b"), ("b", "c")], [("b", "new"), ("c", "a  B")]))
+    old, new = (
+        spark.createDataFrame(x, "id string, question string")
+        for x in ([("a", "A b"), ("b", "c")], [("b", "new"), ("c", "a  B")])
+    )
     assert {tuple(r) for r in evaluation.upsert(old, new).collect()} == {("a", "A b"), ("b", "new"), ("c", "a  B")}
     assert {tuple(r) for r in evaluation.overlaps(old, new).collect()} == {("id", "b"), ("text", "a b")}

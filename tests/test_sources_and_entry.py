@@ -19,19 +19,37 @@ def test_telemetry_log_and_stream(spark, tmp_path):
     (day,) = [d for d in os.listdir(tmp_path / "log") if d.startswith("day=")]
     (tmp_path / "log" / day / "torn.json").write_text('{"ts": "2024-01-01T00:00:00Z", "op": "ge')
     log = feeds.telemetry_log(spark, str(tmp_path / "log"))
-    assert log.where("op is not null").count() == 4
-    query = stream.rollup(stream.events(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("rolled").outputMode("complete").start()
+    assert log.where("op is not null").count() == 4 and {str(r.day) for r in log.collect()} == {"2024-01-01"}
+    # A daily file of the other layout, its last event after midnight.
+    line = '{"ts": "2024-03-0%dT23:59:00Z", "op": "gen", "model": "m", "latency_ms": 1.0, "ok": true, "cached": false}\n'
+    os.makedirs(tmp_path / "files")
+    (tmp_path / "files" / "2024-03-01.jsonl").write_text(line % 1 + line % 2 + '{"torn')
+    (tmp_path / "files" / "other.jsonl").write_text(line % 5)
+    days = sorted(str(r.day) for r in feeds.telemetry_log(spark, str(tmp_path / "files")).where("op is not null").collect())
+    assert days == ["2024-03-01", "2024-03-01", "2024-03-05"]
+    query = stream.rollup(
+        stream.events(spark, str(tmp_path / "log"))
+    ).writeStream.format("memory").queryName("rolled").outputMode("complete").start()
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select sum(calls), sum(cache_hits), sum(retries) from rolled where op = 'gen'").first()[:] == (4, 1, 6)
 
 
 def test_forecast_and_archive(spark, tmp_path):
-    (tmp_path / "f.json").write_text('{"latitude": 1.5, "longitude": 2.5, "timezone": "UTC", "daily": {"time": ["2024-01-01", "2024-01-02"], "precipitation_sum": [1.0, 2.0], "temperature_2m_max": [30.0, 31.0], "wind_speed_10m_max": [5.0, null]}}')
+    (tmp_path / "f.json").write_text(
+        '{"latitude": 1.5, "longitude": 2.5, "timezone": "UTC", "daily": {"time": ["2024-01-01", "2024-01-02"], "precipitation_sum": [1.0, 2.0], "temperature_2m_max": [30.0, 31.0], "wind_speed_10m_max": [5.0, null]}}'
+    )
     rows = feeds.forecast_long(feeds.forecasts(spark, str(tmp_path / "f.json"))).collect()
-    assert len(rows) == 6 and {(r.day_no, r.value) for r in rows if r.variable == "wind_speed_10m_max"} == {(1, 5.0), (2, None)}
-    (tmp_path / "a.json").write_text('{"timezone": "x", "daily": {"time": ["1960-01-01", "1961-01-01"], "precipitation_sum": [3.0, null]}}')
-    assert [r.value for r in feeds.archive_long(spark, str(tmp_path / "a.json"), "precipitation_sum").orderBy("day").collect()] == [3.0, None]
+    assert len(rows) == 6 and {
+        (r.day_no, r.value) for r in rows if r.variable == "wind_speed_10m_max"
+    } == {(1, 5.0), (2, None)}
+    (tmp_path / "a.json").write_text(
+        '{"timezone": "x", "daily": {"time": ["1960-01-01", "1961-01-01"], "precipitation_sum": [3.0, null]}}'
+    )
+    assert [
+        r.value
+        for r in feeds.archive_long(spark, str(tmp_path / "a.json"), "precipitation_sum").orderBy("day").collect()
+    ] == [3.0, None]
 
 
 def test_fetch_tries_again_where_that_helps(spark):
@@ -42,7 +60,9 @@ def test_fetch_tries_again_where_that_helps(spark):
 
     asked = spark.createDataFrame([(1, 0.5), (2, 0.5), (404, 0.5), (429, 0.5), (503, None)], "id int, latitude double")
     got = {r.id: r for r in feeds.fetched(asked, fetch, pause=lambda n: None).collect()}
-    assert {k: (r.error, r.tries) for k, r in got.items()} == {1: (None, 1), 2: ("status 2", 3), 404: ("status 404", 1), 429: ("status 429", 3), 503: ("status 503", 3)}
+    assert {k: (r.error, r.tries) for k, r in got.items()} == {
+        1: (None, 1), 2: ("status 2", 3), 404: ("status 404", 1), 429: ("status 429", 3), 503: ("status 503", 3)
+    }
     rows = feeds.forecast_long(feeds.forecast_bodies(feeds.fetched(asked, fetch, pause=lambda n: None))).collect()
     assert sorted(r.value for r in rows) == [1.0, 5.0, 30.0]
 
@@ -56,6 +76,14 @@ def test_scratch_tables_need_a_shared_folder_and_are_deleted(spark, monkeypatch,
     scratch.discard(df)
     assert not os.path.exists(path)
 
+    with scratch.temporary() as keep:
+        gone, kept = scratch.materialized(spark.range(2), "gone"), keep(scratch.materialized(spark.range(5), "kept"))
+        assert gone.count() == 2
+        with scratch.temporary():
+            inner = scratch.materialized(spark.range(1), "inner")
+        assert not os.path.exists(inner._tephra_path.removeprefix("file://")) and gone.count() == 2
+    assert kept.count() == 5 and not os.path.exists(gone._tephra_path.removeprefix("file://"))
+
     class Conf(dict):
         set = dict.__setitem__
 
@@ -71,7 +99,9 @@ def test_scratch_tables_need_a_shared_folder_and_are_deleted(spark, monkeypatch,
 
 
 def test_artifact(spark, tmp_path):
-    feeds.write_artifact(spark.createDataFrame([("s", 0.5)], "slice string, mrr double"), str(tmp_path / "a"), set="dev", model="m")
+    feeds.write_artifact(
+        spark.createDataFrame([("s", 0.5)], "slice string, mrr double"), str(tmp_path / "a"), set="dev", model="m"
+    )
     (r,) = spark.read.json(str(tmp_path / "a")).collect()
     assert (r.slice, r.mrr, r["set"], r.model) == ("s", 0.5, "dev", "m")
 
@@ -106,6 +136,22 @@ def test_html_pages(spark, tmp_path):
     assert [r.text for r in feeds.pages_from_html(spark, str(tmp_path / "p.html")).collect()] == ["a b"]
 
 
+def test_pdf_pages(spark, tmp_path):
+    """The reader is optional and not installed here; a stand-in of its interface shows pages, numbers and sources."""
+    stub = tmp_path / "lib" / "pypdf.py"
+    os.makedirs(stub.parent)
+    stub.write_text(
+        "class Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t or None\n"
+        "class PdfReader:\n    def __init__(self, f): self.pages = [Page(t) for t in f.read().decode().split('\\f')]\n"
+    )
+    spark.sparkContext.addPyFile(str(stub))
+    os.makedirs(tmp_path / "pdf")
+    (tmp_path / "pdf" / "a.pdf").write_text("first  pa-\nge\f\fthird", encoding="utf-8")
+    (tmp_path / "pdf" / "b.pdf").write_text("\ufffd" * 9 + "x", encoding="utf-8")
+    got = [(r.source, r.page, r.text) for r in feeds.pages_from_pdf(spark, str(tmp_path / "pdf")).orderBy("page").collect()]
+    assert got == [("a.pdf", 1, "first page"), ("a.pdf", 3, "third")]
+
+
 def test_entry_without_the_llm_folder(tmp_path):
     """The rest imports and lists its queries where the llm folder and the pipeline are gone."""
     for name in ("__spark_entry__.py",):
@@ -115,7 +161,10 @@ def test_entry_without_the_llm_folder(tmp_path):
         if d not in ("llm", "__pycache__"):
             os.symlink(os.path.join(ROOT, "tephra", d), tmp_path / "tephra" / d)
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), sorted(set(e.oracle_sql()) - set(q)), any(n.startswith('op') and n[2].isdigit() for n in q))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    )
     assert out.returncode == 0, out.stderr
     n, rest = out.stdout.split(" ", 1)
     assert int(n) > 60 and rest.strip() == "[] False"
@@ -129,9 +178,15 @@ def test_sql_agrees_on_the_smallest_tables(spark):
     for f in os.listdir(SF):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{SF}/{f}')")
     plain = lambda x: round(float(x), 6) if isinstance(x, float) else str(x)
-    for name in ("clean_pages", "rrf_hybrid", "chunk_tables", "block_maxima", "region_lookup", "telemetry_rollup", "citation_integrity", "trust_rates", "assess_nl", "forecast_rows"):
+    for name in (
+        "clean_pages", "rrf_hybrid", "chunk_tables", "block_maxima", "region_lookup", "telemetry_rollup",
+        "citation_integrity", "trust_rates", "assess_nl", "forecast_rows"
+    ):
         want = con.sql(plans.ORACLES[name]).df()
         got = plans.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-        rows = lambda d: sorted(tuple(str(plain(None if x != x else x)) for x in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False))
+        rows = lambda d: sorted(
+            tuple(str(plain(None if x != x else x)) for x in r)
+            for r in d.astype(object).where(d.notna(), None).itertuples(index=False)
+        )
         norm = lambda rs: [tuple(x.removesuffix(".0") for x in r) for r in rs]
         assert norm(rows(got)) == norm(rows(want)), name

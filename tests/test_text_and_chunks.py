@@ -11,7 +11,13 @@ def one(spark, column, value):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x"))).first()[0]
 
 
-@pytest.mark.parametrize("raw, want", [("tempera-\nture", "temperature"), ("tempera -\n ture", "tempera - ture"), ("a�b", "a b"), ("  a \n\t b  ", "a b"), ("été-\nété", "étéété"), ("well-known", "well-known"), ("", "")])
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("tempera-\nture", "temperature"), ("tempera -\n ture", "tempera - ture"), ("a�b", "a b"),
+        ("  a \n\t b  ", "a b"), ("été-\nété", "étéété"), ("well-known", "well-known"), ("", "")
+    ]
+)
 def test_clean_text(spark, raw, want):
     assert one(spark, t.clean_text, raw) == want
 
@@ -21,15 +27,21 @@ def test_unmappable(spark, raw, want):
     assert one(spark, t.is_mostly_unmappable, raw) is want
 
 
-@pytest.mark.parametrize("raw, want", [("Ouréaux 1.5", ["our", "aux", "1", "5"]), ("ﬁre ＡＢ", ["fire", "ab"]), ("café", ["caf"]), ("", [])])
+@pytest.mark.parametrize(
+    "raw, want", [("Ouréaux 1.5", ["our", "aux", "1", "5"]), ("ﬁre ＡＢ", ["fire", "ab"]), ("café", ["caf"]), ("", [])]
+)
 def test_tokens(spark, raw, want):
     assert one(spark, t.tokens, raw) == want
 
 
 def test_numbers_and_provenance(spark):
     assert one(spark, t.numbers, "7, 7.0 and 7; 1901.") == ["7", "7.0", "1901"]
-    df = spark.createDataFrame([("rose 7%", ["7 percent"]), ("rose 12", ["7"]), ("none", []), ("7.0", ["7"])], "a string, c array<string>")
-    assert [r[0] for r in df.select(evaluation.provenance_ok(F.col("a"), F.col("c"))).collect()] == [True, False, True, False]
+    df = spark.createDataFrame(
+        [("rose 7%", ["7 percent"]), ("rose 12", ["7"]), ("none", []), ("7.0", ["7"])], "a string, c array<string>"
+    )
+    assert [
+        r[0] for r in df.select(evaluation.provenance_ok(F.col("a"), F.col("c"))).collect()
+    ] == [True, False, True, False]
 
 
 def test_page_of(spark):
@@ -38,12 +50,19 @@ def test_page_of(spark):
 
 
 @pytest.mark.parametrize("question, hazard, out, days, place", [
-    ("Will there be a marine heatwave?", "heatwave", None, 7, None), ("Droughts in Chad", None, "drought", 7, "Chad"), ("Rain and hurricanes near New York Next week", "extreme_precip", None, 7, "New York"),
-    ("gusts over the next 30 days at Cape Town", "wind", None, 16, "Cape Town"), ("Heat for the next two weeks in Oslo?", "heatwave", None, 14, "Oslo"), ("wind in three days", "wind", None, 3, None), ("rain tomorrow", "extreme_precip", None, 2, None),
-    ("next 0 days", None, None, 0, None), ("a fortnight of rain", "extreme_precip", None, 14, None), ("what?", None, None, 7, None), ("floods at Évora", None, None, 7, None), ("sea levels at Venice", None, "coastal flooding / sea level", 7, "Venice"),
+    ("Will there be a marine heatwave?", "heatwave", None, 7, None), ("Droughts in Chad", None, "drought", 7, "Chad"),
+    ("Rain and hurricanes near New York Next week", "extreme_precip", None, 7, "New York"),
+    ("gusts over the next 30 days at Cape Town", "wind", None, 16, "Cape Town"),
+    ("Heat for the next two weeks in Oslo?", "heatwave", None, 14, "Oslo"),
+    ("wind in three days", "wind", None, 3, None), ("rain tomorrow", "extreme_precip", None, 2, None),
+    ("next 0 days", None, None, 0, None), ("a fortnight of rain", "extreme_precip", None, 14, None),
+    ("what?", None, None, 7, None), ("floods at Évora", None, None, 7, None),
+    ("sea levels at Venice", None, "coastal flooding / sea level", 7, "Venice"),
 ])
 def test_parser(spark, question, hazard, out, days, place):
-    row = spark.createDataFrame([(question,)], "x string").select(t.hazard_of("x"), t.parsed_out_of_scope("x"), t.horizon_of("x"), t.place_of("x")).first()
+    row = spark.createDataFrame([(question,)], "x string").select(
+        t.hazard_of("x"), t.parsed_out_of_scope("x"), t.horizon_of("x"), t.place_of("x")
+    ).first()
     assert tuple(row)[:3] == (hazard, out, days)
     assert row[3] == place
 
@@ -54,7 +73,10 @@ def test_guard_takes_marine_first(spark):
 
 
 def test_quote(spark):
-    df = spark.createDataFrame([("xx start mid end and end", "start", "end"), ("no", "start", "end"), ("end start", "start", "end")], "x string, a string, b string")
+    df = spark.createDataFrame(
+        [("xx start mid end and end", "start", "end"), ("no", "start", "end"), ("end start", "start", "end")],
+        "x string, a string, b string"
+    )
     assert [r[0] for r in df.select(t.quote_between("x", "a", "b")).collect()] == ["start mid end", None, None]
 
 
@@ -69,7 +91,9 @@ def test_windows_properties():
             found = text.index(g)
             assert found <= at + 1 and found + len(g) >= at
             at = found + len(g)
-    assert chunking.windows("", 10, 2) == [] and chunking.windows(" a ", 10, 2) == [" a "] and len(chunking.windows("x" * 95, 10, 3)) >= 10
+    assert chunking.windows("", 10, 2) == [] and chunking.windows(" a ", 10, 2) == [" a "] and len(
+        chunking.windows("x" * 95, 10, 3)
+    ) >= 10
 
 
 LABELS = {"TIB": "Tibetan Plateau", "SAS": "South Asia"}
