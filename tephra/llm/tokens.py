@@ -13,6 +13,7 @@ each batch encodes only words that its worker hasn't met yet, with an end token
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -33,12 +34,14 @@ _GAMMA, _LEVELS = 2.0, 64
 #: Bytes of bits between two stored ranks.
 _RANK_BYTES = 32
 _JOINED = 2000
-_BLOCK = 8 << 20
+_BLOCK = 2 << 20
 _encoders: dict = {}
 
 
 def _encoder(path: str):
     if path not in _encoders:
+        # A task has one core; threads of the tokenizer's own would only take others' and an allocator's arena each.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         _encoders[path] = Tokenizer.from_file(path)
@@ -54,7 +57,10 @@ def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np
     plain = words.filter(pa.array(~odd)).to_pylist()
     ids, sizes = [], []
     for i in range(0, len(plain), 32 * _JOINED):
-        lines = [f" {mark} ".join(plain[k : k + _JOINED]) + f" {mark}" for k in range(i, min(len(plain), i + 32 * _JOINED), _JOINED)]
+        lines = [
+            f" {mark} ".join(plain[k : k + _JOINED]) + f" {mark}"
+            for k in range(i, min(len(plain), i + 32 * _JOINED), _JOINED)
+        ]
         for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
             found = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(found == special)
@@ -95,7 +101,9 @@ class Vocabulary:
         where = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         known = self.hashes[where] == h if len(self.hashes) else np.zeros(len(h), bool)
         held = np.flatnonzero(known)
-        same = pc.equal(self.words.take(pa.array(self.place[where[held]])), words.take(pa.array(held))) if len(held) else pa.array([], pa.bool_())
+        same = pc.equal(
+            self.words.take(pa.array(self.place[where[held]])), words.take(pa.array(held))
+        ) if len(held) else pa.array([], pa.bool_())
         known[held] = same.to_numpy(zero_copy_only=False)
         fresh = np.flatnonzero(~known)
         new = words.take(pa.array(fresh))
@@ -113,7 +121,9 @@ class Vocabulary:
             order, put = (x[~self._has(h[fresh][order])] for x in (order, put))
             values = (h[fresh], out_at[fresh], lengths, np.arange(len(self.words), len(self.words) + len(fresh)))
             olds = (self.hashes, self.at, self.lengths, self.place)
-            self.hashes, self.at, self.lengths, self.place = (np.insert(old, put, v[order].astype(old.dtype)) for old, v in zip(olds, values))
+            self.hashes, self.at, self.lengths, self.place = (
+                np.insert(old, put, v[order].astype(old.dtype)) for old, v in zip(olds, values)
+            )
             self.words = pa.concat_arrays([self.words, new])
             self.ids = every
         return every, out_at, out_n
@@ -166,7 +176,13 @@ def _shards(path: str, end_id: int, wide: bool, most: int):
         payload, entries, n, last, times = [], [], 0, (object(),), 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(payload)], pa.binary()), pa.array([entries], pa.list_(kind))], names=["shard", "n_ids", "payload", "entries"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard], pa.int64()), pa.array([n], pa.int64()),
+                    pa.array([b"".join(payload)], pa.binary()), pa.array([entries], pa.list_(kind))
+                ],
+                names=["shard", "n_ids", "payload", "entries"]
+            )
 
         for batch in batches:
             for lo, hi in blocks(utf8(batch.column(1))[1], _BLOCK):
@@ -181,7 +197,12 @@ def _shards(path: str, end_id: int, wide: bool, most: int):
                     times = times + 1 if (key,) == last else 0
                     last = (key,)
                     # Rows of null id are told from those of id 0 by negative occurrences.
-                    entries.append({"id": key, "occurrence": times if key is not None else -1 - times, "offset": n, "length": length})
+                    entries.append(
+                        {
+                            "id": key, "occurrence": times if key is not None else -1 - times, "offset": n,
+                            "length": length
+                        }
+                    )
                     payload.append(raw[offs[k] : offs[k + 1]].tobytes())
                     n += length
         if entries:
@@ -201,7 +222,9 @@ def build_hash(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         if len(levels) == _LEVELS:
             raise ValueError("keys of a minimal perfect hash must be distinct")
         size = max(8, int(_GAMMA * len(left)) | 7)
-        at = (mix(keys[left] + np.uint64(len(levels) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
+        at = (
+            mix(keys[left] + np.uint64(len(levels) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(size)
+        ).astype(np.int64)
         bits = np.bincount(at, minlength=size) == 1
         alone = bits[at]
         slot[left[alone]] = base + (np.cumsum(bits) - 1)[at[alone]]
@@ -253,8 +276,10 @@ def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     put = lambda values, kind: _placed(values, slot, kind)
     return pd.DataFrame(
         {
-            "bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes.astype("<i8").tobytes()], "bits": [bits.tobytes()], "ranks": [ranks.astype("<i8").tobytes()],
-            "fingerprints": [put(fingerprint_of(keys), "<u4")], "shards": [put(pdf["shard"], "<i8")], "offsets": [put(pdf["offset"], "<i8")], "lengths": [put(pdf["length"], "<i8")],
+            "bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes.astype("<i8").tobytes()], "bits": [bits.tobytes()],
+            "ranks": [ranks.astype("<i8").tobytes()],
+            "fingerprints": [put(fingerprint_of(keys), "<u4")], "shards": [put(pdf["shard"], "<i8")],
+            "offsets": [put(pdf["offset"], "<i8")], "lengths": [put(pdf["length"], "<i8")],
         }
     )
 
@@ -272,12 +297,20 @@ def _find_bucket(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     row = index.iloc[0]
     hashes = key_hashes(keys["id"].to_numpy(), keys["occurrence"].to_numpy())
     # The stored bytes are looked into as they are; nothing of the bucket is decoded.
-    slot = look_up(np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["ranks"], "<i8"), hashes)
+    slot = look_up(
+        np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["ranks"], "<i8"),
+        hashes
+    )
     known = slot >= 0
     known[known] = np.frombuffer(row["fingerprints"], "<u4")[slot[known]] == fingerprint_of(hashes[known])
     slot = slot[known]
     at = {c: np.frombuffer(row[c], "<i8")[slot] for c in ("shards", "offsets", "lengths")}
-    return pd.DataFrame({"id": keys["id"].to_numpy()[known], "occurrence": keys["occurrence"].to_numpy()[known], "shard": at["shards"], "offset": at["offsets"], "length": at["lengths"]})
+    return pd.DataFrame(
+        {
+            "id": keys["id"].to_numpy()[known], "occurrence": keys["occurrence"].to_numpy()[known],
+            "shard": at["shards"], "offset": at["offsets"], "length": at["lengths"]
+        }
+    )
 
 
 class TokenStore:
@@ -287,7 +320,10 @@ class TokenStore:
         self.payloads, self.index, self.buckets, self.wide = payloads, index, buckets, wide
 
     @staticmethod
-    def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS, part_bytes: int = 16 << 20) -> TokenStore:
+    def write(
+        docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+        shard_ids: int = SHARD_IDS, part_bytes: int = 16 << 20
+    ) -> TokenStore:
         """Tokenize and write every text in ascending order of ids; see the module. Null ids come first, then rows by id."""
         given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         size, = given.agg(F.sum(F.octet_length("text"))).first()
@@ -295,38 +331,63 @@ class TokenStore:
         wide = _encoder(path).get_vocab_size() > 1 << 16
         order = [F.asc_nulls_first("id"), F.asc_nulls_first("text")]
         ranged = given.repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
-        shards = ranged.mapInArrow(_shards(path, end_id, wide, shard_ids), "shard long, n_ids long, payload binary, entries array<struct<id: long, occurrence: long, offset: long, length: long>>")
+        shards = ranged.mapInArrow(
+            _shards(path, end_id, wide, shard_ids),
+            "shard long, n_ids long, payload binary, entries array<struct<id: long, occurrence: long, offset: long, length: long>>"
+        )
         payloads = written(shards, "token-shards")
         entries = payloads.select("shard", F.explode("entries").alias("e")).select("shard", "e.*")
         entries = entries.withColumn("id", F.coalesce("id", F.lit(0)))
         buckets = entries.count() // BUCKET_KEYS + 1
         entries = entries.withColumn("bucket", F.pmod(F.xxhash64("id", "occurrence"), F.lit(buckets)))
-        index = entries.groupBy("bucket").applyInPandas(_build_bucket, "bucket long, sizes binary, bits binary, ranks binary, fingerprints binary, shards binary, offsets binary, lengths binary")
+        index = entries.groupBy("bucket").applyInPandas(
+            _build_bucket,
+            "bucket long, sizes binary, bits binary, ranks binary, fingerprints binary, shards binary, offsets binary, lengths binary"
+        )
         return TokenStore(payloads, written(index, "token-index"), buckets, wide)
 
     def locate(self, keys: DataFrame) -> DataFrame:
         """(id, occurrence, shard, offset, length) of keys (id, occurrence) that are in the store."""
         keyed = keys.withColumn("bucket", F.pmod(F.xxhash64("id", "occurrence"), F.lit(self.buckets)))
-        return keyed.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(_find_bucket, "id long, occurrence long, shard long, offset long, length long")
+        return keyed.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(
+            _find_bucket, "id long, occurrence long, shard long, offset long, length long"
+        )
 
     def read(self, keys: DataFrame) -> DataFrame:
         """(id, occurrence, start, n_tokens, ids_crc32) for keys (id, occurrence), from payloads at the index's locations."""
-        found = self.locate(keys).groupBy("shard").agg(F.collect_list(F.struct("id", "occurrence", "offset", "length")).alias("wanted"))
+        found = self.locate(keys).groupBy("shard").agg(
+            F.collect_list(F.struct("id", "occurrence", "offset", "length")).alias("wanted")
+        )
         # Ids before a shard: those of the ranges before, one sum for each, and of the shards before in its own range.
         sizes = self.payloads.select("shard", "n_ids", F.shiftright("shard", 24).alias("range"))
         sums = sorted(sizes.groupBy("range").agg(F.sum("n_ids")).collect())
         ahead = np.cumsum([0, *(n for _, n in sums)]).tolist()
-        starts = self.payloads.sparkSession.createDataFrame([(r, a) for (r, _), a in zip(sums, ahead)] or [(-1, 0)], "range long, ahead long")
+        starts = self.payloads.sparkSession.createDataFrame(
+            [(r, a) for (r, _), a in zip(sums, ahead)] or [(-1, 0)], "range long, ahead long"
+        )
         inner = F.sum("n_ids").over(Window.partitionBy("range").orderBy("shard")) - F.col("n_ids")
-        base = sizes.withColumn("inner", inner).join(F.broadcast(starts), "range").select("shard", (F.col("ahead") + F.col("inner")).alias("base"))
+        base = sizes.withColumn("inner", inner).join(F.broadcast(starts), "range").select(
+            "shard", (F.col("ahead") + F.col("inner")).alias("base")
+        )
         wide = self.wide
 
         def run(batches):
             for batch in batches:
-                for payload, start, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("payload", "base", "wanted"))):
+                for payload, start, wanted in zip(
+                    *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("payload", "base", "wanted"))
+                ):
                     ids = np.frombuffer(payload, "<u4" if wide else "<u2").astype("<u4")
-                    at = [(w["id"], w["occurrence"], start + w["offset"], w["length"], zlib.crc32(ids[w["offset"] : w["offset"] + w["length"]])) for w in wanted]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*at)], names=["id", "occurrence", "start", "n_tokens", "ids_crc32"])
+                    at = [
+                        (
+                            w["id"], w["occurrence"], start + w["offset"], w["length"],
+                            zlib.crc32(ids[w["offset"] : w["offset"] + w["length"]])
+                        )
+                        for w in wanted
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in zip(*at)],
+                        names=["id", "occurrence", "start", "n_tokens", "ids_crc32"]
+                    )
 
         joined = self.payloads.select("shard", "payload").join(found.join(base, "shard").hint("shuffle_hash"), "shard")
         return joined.mapInArrow(run, "id long, occurrence long, start long, n_tokens long, ids_crc32 long")
@@ -336,4 +397,7 @@ def keys_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, occurrence) of every row, as :meth:`TokenStore.write` names them."""
     counted = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")
-    return counted.select("id", at).select(F.coalesce("id", F.lit(0)).alias("id"), F.when(F.col("id").isNull(), -1 - F.col("k")).otherwise(F.col("k")).alias("occurrence"))
+    return counted.select("id", at).select(
+        F.coalesce("id", F.lit(0)).alias("id"),
+        F.when(F.col("id").isNull(), -1 - F.col("k")).otherwise(F.col("k")).alias("occurrence")
+    )
