@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, mix, prefix_hash, ranges, span_hash, utf8, words, written
+from .common import blocks, byte_codes, mix, prefix_hash, ranges, span_hash, temporary, utf8, words, written
 
 MOST_CLASSES = 4096
 #: Runs that make a class hot, and ranges of hot classes that may be broadcast (32 bytes each).
@@ -303,7 +303,12 @@ def _scan_bucket(rules: tuple[Rule, ...], batch_suffixes: int):
             base = (np.cumsum(counts) - counts)[rows]
             take = pa.array(rows)
             columns = [mine.column("anchor").combine_chunks().take(take), mine.column("content").combine_chunks().take(take)]
-            out.append(pa.Table.from_arrays([*columns, pa.array(first - base), pa.array(last - base + 1)], names=["anchor", "content", "from", "to"]))
+            out.append(
+                pa.Table.from_arrays(
+                    [*columns, pa.array(first - base), pa.array(last - base + 1)],
+                    names=["anchor", "content", "from", "to"]
+                )
+            )
         if out:
             return pa.concat_tables(out)
         return pa.table({c: pa.array([], pa.int64()) for c in ("anchor", "content", "from", "to")})
@@ -348,7 +353,9 @@ def _fetch(rules: tuple[Rule, ...]):
                 ends = np.append(0, np.cumsum(size[a:b])).astype(np.int32)
                 bytes_ = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(raw[at])])
                 take = pa.array(mine[a:b])
-                yield pa.RecordBatch.from_arrays([*(flat.field(c).take(take) for c in names), bytes_], names=[*names, "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(flat.field(c).take(take) for c in names), bytes_], names=[*names, "bytes"]
+                )
 
     return run
 
@@ -375,7 +382,10 @@ def _strings(rules: tuple[Rule, ...]):
             else:
                 codes = byte_codes(raw)
             at = np.repeat(offs[:-1], count) + within
-            pair = (span_hash(prefix_hash(x), at, at + rule.length) for x in (codes, mix(codes ^ np.uint64(0xA0761D6478BD642F))))
+            pair = (
+                span_hash(prefix_hash(x), at, at + rule.length)
+                for x in (codes, mix(codes ^ np.uint64(0xA0761D6478BD642F)))
+            )
             owner = pa.array(np.repeat(np.arange(len(count)), count))
             kept = [part.column(part.schema.get_field_index(c)).take(owner) for c in ("anchor", "content", "n")]
             columns = [*kept, pa.array(within), *(pa.array(h.view(np.int64)) for h in pair)]
@@ -400,7 +410,9 @@ def _members(runs: DataFrame, found: DataFrame) -> DataFrame:
     hot = F.broadcast(hot.drop("n"))
     cold = runs.join(hot.select(*by).distinct(), by, "left_anti")
     joined = runs.join(hot, by).unionByName(cold.join(found.drop("n"), by))
-    return joined.select("id", "crc", "rule", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
+    return joined.select(
+        "id", "crc", "rule", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")
+    )
 
 
 def repeated_ranges(
@@ -408,7 +420,9 @@ def repeated_ranges(
     most_classes: int = MOST_CLASSES, batch_suffixes: int = BATCH_SUFFIXES, bucket_suffixes: int = BUCKET_SUFFIXES,
 ) -> DataFrame:
     """(id, crc, rule, from, to): ranges of starts whose string also starts elsewhere; see :func:`_keyed`."""
-    texts = _keyed(docs, id_col, text_col).select(F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text"))
+    texts = _keyed(docs, id_col, text_col).select(
+        F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text")
+    )
     least = min(r.length * (1 if r.unit == "bytes" else 2) - (r.unit == "words") for r in rules)
     schema = "id long, crc long, rule tinyint, start long, count int, anchor long, content long"
     # A passage of wide code points has three bytes a symbol; of other words a letter and a space.
@@ -416,31 +430,36 @@ def repeated_ranges(
     counted = long.select("text").mapInArrow(_anchors(rules), "anchor long, c long")
     shared = counted.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor")
     runs = long.mapInArrow(_runs(rules), schema)
-    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
-    shared = written(shared, "suffix-shared")
-    runs = written(runs.join(shared, "anchor", "left_semi"), "suffix-runs")
-
-    one = F.min(F.struct("id", "crc", "start", "rule", "count")).alias("one")
-    classes = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), one), "suffix-classes")
-    anchors = classes.groupBy("anchor").agg(F.count("*").alias("k"))
-    total = classes.agg(F.sum("one.count")).first()[0] or 0
-    hot = written(anchors.where(F.col("k") > most_classes).select("anchor"), "suffix-hot")
-    chosen = classes.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
-    chosen = chosen.select("one.*", "anchor", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "n")
-    run = F.struct("rule", "start", "count", "anchor", "content", "hot", "n")
-    chosen = chosen.groupBy("id", "crc").agg(F.collect_list(run).alias("runs"))
-    # Equal rows of one key hold the same symbols: one of them is enough here.
-    fetched = texts.join(chosen.hint("shuffle_hash"), ["id", "crc"]).mapInArrow(_fetch(rules), _FETCHED)
-    fetched = written(fetched, "suffix-fetched").dropDuplicates(["anchor", "content"])
-    buckets = total // bucket_suffixes + 1
-    by = F.pmod("anchor", F.lit(buckets)).alias("bucket")
-    scanned = fetched.where("not hot").groupBy(by).applyInArrow(_scan_bucket(rules, batch_suffixes), _FOUND)
-    strings = fetched.where("hot").mapInArrow(_strings(rules), "anchor long, content long, n long, `from` long, h1 long, h2 long")
-    # A string of a hot anchor repeats when it occurs twice; told by an aggregate that combines in the map stage.
-    twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").select("h1", "h2")
-    split = strings.join(twice, ["h1", "h2"], "left_semi").select("anchor", "content", "from", F.expr("`from` + 1").alias("to"))
-    found = written(scanned.unionByName(split), "suffix-found")
-    found = found.join(classes.select("anchor", "content", "n"), ["anchor", "content"])
+    with temporary() as keep:
+        # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
+        shared = written(shared, "suffix-shared")
+        runs = keep(written(runs.join(shared, "anchor", "left_semi"), "suffix-runs"))
+
+        one = F.min(F.struct("id", "crc", "start", "rule", "count")).alias("one")
+        classes = keep(written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), one), "suffix-classes"))
+        anchors = classes.groupBy("anchor").agg(F.count("*").alias("k"))
+        total = classes.agg(F.sum("one.count")).first()[0] or 0
+        hot = written(anchors.where(F.col("k") > most_classes).select("anchor"), "suffix-hot")
+        chosen = classes.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+        chosen = chosen.select("one.*", "anchor", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "n")
+        run = F.struct("rule", "start", "count", "anchor", "content", "hot", "n")
+        chosen = chosen.groupBy("id", "crc").agg(F.collect_list(run).alias("runs"))
+        # Equal rows of one key hold the same symbols: one of them is enough here.
+        fetched = texts.join(chosen.hint("shuffle_hash"), ["id", "crc"]).mapInArrow(_fetch(rules), _FETCHED)
+        fetched = written(fetched, "suffix-fetched").dropDuplicates(["anchor", "content"])
+        buckets = total // bucket_suffixes + 1
+        by = F.pmod("anchor", F.lit(buckets)).alias("bucket")
+        scanned = fetched.where("not hot").groupBy(by).applyInArrow(_scan_bucket(rules, batch_suffixes), _FOUND)
+        strings = fetched.where("hot").mapInArrow(
+            _strings(rules), "anchor long, content long, n long, `from` long, h1 long, h2 long"
+        )
+        # A string of a hot anchor repeats when it occurs twice; told by an aggregate that combines in the map stage.
+        twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").select("h1", "h2")
+        split = strings.join(twice, ["h1", "h2"], "left_semi").select(
+            "anchor", "content", "from", F.expr("`from` + 1").alias("to")
+        )
+        found = keep(written(scanned.unionByName(split), "suffix-found"))
+        found = found.join(classes.select("anchor", "content", "n"), ["anchor", "content"])
     return _members(runs, found)
 
 
@@ -515,7 +534,10 @@ def _cut(rules: tuple[Rule, ...], columns: list[str], as_text: bool):
                 clean.append(rest(begin, size, whole(begin, size, every)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         as_strings = lambda texts: pa.array([x.decode() for x in texts], pa.string())
-        values = [pa.array(sizes), pa.array(removed), pa.array(spans, kind), as_strings(kept) if as_text else pa.array(kept, pa.binary())]
+        values = [
+            pa.array(sizes), pa.array(removed), pa.array(spans, kind),
+            as_strings(kept) if as_text else pa.array(kept, pa.binary())
+        ]
         if len(rules) > 1:
             values.append(as_strings(clean))
         passed = [batch.column(batch.schema.get_field_index(c)) for c in columns]
@@ -544,7 +566,9 @@ def remove_repeats(
     ranges_ = found.groupBy("id", "crc").agg(one).withColumnsRenamed({"id": "__key", "crc": "__crc"})
     renamed = [f"__{i}" for i in range(len(keep))]
     text = F.col(text_col).cast("string").alias("__text")
-    keyed = _keyed(docs, id_col, text_col).select("__key", "__crc", text, *(F.col(c).alias(r) for c, r in zip(keep, renamed)))
+    keyed = _keyed(docs, id_col, text_col).select(
+        "__key", "__crc", text, *(F.col(c).alias(r) for c, r in zip(keep, renamed))
+    )
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = [*(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)), "n_bytes long", "n_removed long"]
     schema += ["spans array<struct<start: long, end: long>>", "kept " + ("string" if as_text else "binary")]
