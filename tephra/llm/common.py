@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from tephra.sources.scratch import discard as discard
 from tephra.sources.scratch import materialized
+from tephra.sources.scratch import temporary as temporary
 
 MASK64 = (1 << 64) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +51,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    offs = np.frombuffer(
+        column.buffers()[1], np.int64 if wide else np.int32
+    )[column.offset : column.offset + n + 1].astype(np.int64)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
     return raw, offs - offs[0]

@@ -43,4 +43,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
     hubs = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(hubs)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(hubs)
+    out._tephra_path = edges._tephra_path  # the table to keep or to discard
+    return out

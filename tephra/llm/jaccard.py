@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, list_array, mix, ranges, shingles, utf8, written
+from .common import blocks, list_array, mix, ranges, shingles, temporary, utf8, written
 from .components import components
 
 SHINGLE = 5
@@ -107,13 +107,23 @@ def _sets(size: int, t: Fraction, tokens, counts):
                 take = order[np.repeat(ends - n, p) + ranges(p)]
                 token = h[take]
                 cold = np.bincount(np.repeat(np.arange(rows), p), weights=freq[take] < HOT, minlength=rows).astype(np.int32)
-                sums = [np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64), np.zeros(len(token) + 1, np.uint64), np.zeros(len(token) + 1, np.uint64)]
-                for out, of, salt in zip(sums, (h, h, token, token), (0x9E6C63D0676A9A99, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+                sums = [
+                    np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64),
+                    np.zeros(len(token) + 1, np.uint64), np.zeros(len(token) + 1, np.uint64)
+                ]
+                for out, of, salt in zip(
+                    sums, (h, h, token, token),
+                    (0x9E6C63D0676A9A99, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+                ):
                     np.cumsum(mix(of ^ np.uint64(salt)), out=out[1:])
                 pend = np.cumsum(p)
                 spans = [s[e] - s[e - c] for s, e, c in zip(sums, (ends, ends, pend, pend), (n, n, p, p))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, rows), pa.array(n.astype(np.int64)), pa.array(needed(n, t)), *(pa.array(x.view(np.int64)) for x in spans), list_array(pa.array(token.view(np.int64)), p), pa.array(cold)],
+                    [
+                        batch.column(0).slice(i, rows), pa.array(n.astype(np.int64)), pa.array(needed(n, t)),
+                        *(pa.array(x.view(np.int64)) for x in spans), list_array(pa.array(token.view(np.int64)), p),
+                        pa.array(cold)
+                    ],
                     names=["id", "n", "needed", "sig1", "sig2", "p1", "p2", "prefix", "cold"],
                 )
 
@@ -142,7 +152,9 @@ def _candidate_links(posted: DataFrame, t: Fraction) -> DataFrame:
     fits = F.expr(f"before.n * {t.denominator}L >= n * {t.numerator}L")
     chain = posted.select("gid", "n", "token", "salt", F.lag(F.struct("gid", "n")).over(by).alias("before"))
     chain = chain.where("before is not null or salt > 0")
-    links = chain.where(F.col("before").isNotNull() & (fits | (F.col("salt") > 0))).select(F.col("before.gid").alias("a"), F.col("gid").alias("b"))
+    links = chain.where(
+        F.col("before").isNotNull() & (fits | (F.col("salt") > 0))
+    ).select(F.col("before.gid").alias("a"), F.col("gid").alias("b"))
     heads = chain.where("salt > 0 and before is null").select("token", "salt", "gid")
     ahead = F.lag("gid").over(Window.partitionBy("token").orderBy("salt"))
     return links.unionAll(heads.select(ahead.alias("a"), F.col("gid").alias("b")).where("a is not null")).distinct()
@@ -201,7 +213,9 @@ def linked_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fra
                 some, open_ = open_[:_SLICE], open_[_SLICE:]
                 tokens = np.concatenate([sets[y] for y in some.tolist()])
                 at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                both = np.bincount(np.repeat(np.arange(len(some)), sizes[some]), weights=own[at] == tokens, minlength=len(some)).astype(np.int64)
+                both = np.bincount(
+                    np.repeat(np.arange(len(some)), sizes[some]), weights=own[at] == tokens, minlength=len(some)
+                ).astype(np.int64)
                 for y in some[both * den >= num * (sizes[x] + sizes[some] - both)].tolist():
                     if label[x] != label[y]:
                         a, b = sorted((label[x], label[y]))
@@ -248,16 +262,28 @@ def _fetch(size: int, tokens, counts):
                 np.cumsum(mix(h ^ np.uint64(0x9E6C63D0676A9A99)), out=sums[1:])
                 sig = (sums[ends] - sums[ends - n]).view(np.int64)
                 same = np.flatnonzero(sig == batch.column(batch.schema.get_field_index("sig1")).slice(i, j - i).to_numpy())
-                data, reps = h[_in_order(h, row, known, seen)[0]].tobytes(), batch.column(batch.schema.get_field_index("rep")).slice(i, j - i).to_pylist()
-                out = [(reps[k], u["unit"], u["side"], data[8 * (ends[k] - n[k]) : 8 * ends[k]]) for k in same.tolist() for u in units[i + k].as_py()]
+                data, reps = h[_in_order(h, row, known, seen)[0]].tobytes(), batch.column(
+                    batch.schema.get_field_index("rep")
+                ).slice(i, j - i).to_pylist()
+                out = [
+                    (reps[k], u["unit"], u["side"], data[8 * (ends[k] - n[k]) : 8 * ends[k]]) for k in same.tolist()
+                    for u in units[i + k].as_py()
+                ]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["rep", "unit", "side", "tokens"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(c, kind)
+                            for c, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.binary()))
+                        ],
+                        names=["rep", "unit", "side", "tokens"]
+                    )
 
     return run
 
 
 def ngram_jaccard(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: Fraction = SIMILARITY, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+    similarity: Fraction = SIMILARITY, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """Shingle counts and connected components of documents whose shingle sets have a Jaccard index of ``similarity`` or more.
 
@@ -268,36 +294,59 @@ def ngram_jaccard(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tokens, counts = frequent_tokens(texts.select("text"), size)
-    shared = spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(counts)
-    sets = written(texts.mapInArrow(_sets(size, similarity, *shared), "id long, n long, needed long, sig1 long, sig2 long, p1 long, p2 long, prefix array<long>, cold int"), "jaccard-sets")
-    info = sets.select("id", "n", "sig1", "sig2", "p1", "p2")
-    full = info.where("n > 0 and id is not null")
-
-    # Groups of one prefix and size; classes of one set. Both are named by their smallest id.
-    group_of = full.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"))
-    one = sets.where("n > 0 and id is not null").groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"), F.max("needed").alias("needed"))
-    links = _candidate_links(_posted(one, similarity), similarity)
-    families = written(components(links, "jaccard-families"), "jaccard-family")
-    classes = full.groupBy("n", "p1", "p2", "sig1", "sig2").agg(F.min("id").alias("rep"))
-    classes = classes.join(group_of, ["n", "p1", "p2"]).join(families.select(F.col("node").alias("gid"), F.col("component").alias("family")), "gid", "left")
-    classes = written(classes.select("rep", "n", "sig1", "sig2", F.coalesce("family", "gid").alias("family")), "jaccard-classes")
-
-    # Units of work: a family whole, or pairs of its blocks.
-    sizes = classes.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
-    # Written, so that the join meets a plain exchange, which Spark can split where a family is hot.
-    sizes = written(sizes.select("family", "tokens"), "jaccard-sizes")
-    placed = classes.join(sizes, "family")
-    whole = placed.where(F.col("tokens") <= block_tokens).select("rep", "sig1", F.array(F.struct(F.col("family").cast("string").alias("unit"), F.lit(0).alias("side"))).alias("units"))
-    large = _block_units(placed.where(F.col("tokens") > block_tokens), similarity, block_tokens)
-    units = whole.unionAll(large)
-    fetched = units.join(texts.withColumnRenamed("id", "rep"), "rep").mapInArrow(_fetch(size, *shared), "rep long, unit string, side int, tokens binary")
-    found = fetched.groupBy("unit").applyInPandas(_verify(similarity), "a long, b long")
-    joined = components(found, "jaccard-links")
+    with temporary() as keep:
+        tokens, counts = frequent_tokens(texts.select("text"), size)
+        shared = spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(counts)
+        sets = written(
+            texts.mapInArrow(
+                _sets(size, similarity, *shared),
+                "id long, n long, needed long, sig1 long, sig2 long, p1 long, p2 long, prefix array<long>, cold int"
+            ),
+            "jaccard-sets"
+        )
+        keep(sets)
+        info = sets.select("id", "n", "sig1", "sig2", "p1", "p2")
+        full = info.where("n > 0 and id is not null")
+
+        # Groups of one prefix and size; classes of one set. Both are named by their smallest id.
+        group_of = full.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"))
+        one = sets.where("n > 0 and id is not null").groupBy("n", "p1", "p2").agg(
+            F.min("id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"),
+            F.max("needed").alias("needed")
+        )
+        links = _candidate_links(_posted(one, similarity), similarity)
+        families = written(components(links, "jaccard-families"), "jaccard-family")
+        classes = full.groupBy("n", "p1", "p2", "sig1", "sig2").agg(F.min("id").alias("rep"))
+        classes = classes.join(group_of, ["n", "p1", "p2"]).join(
+            families.select(F.col("node").alias("gid"), F.col("component").alias("family")), "gid", "left"
+        )
+        classes = written(
+            classes.select("rep", "n", "sig1", "sig2", F.coalesce("family", "gid").alias("family")), "jaccard-classes"
+        )
+
+        keep(classes)
+        # Units of work: a family whole, or pairs of its blocks.
+        sizes = classes.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
+        # Written, so that the join meets a plain exchange, which Spark can split where a family is hot.
+        sizes = written(sizes.select("family", "tokens"), "jaccard-sizes")
+        placed = classes.join(sizes, "family")
+        whole = placed.where(F.col("tokens") <= block_tokens).select(
+            "rep", "sig1",
+            F.array(F.struct(F.col("family").cast("string").alias("unit"), F.lit(0).alias("side"))).alias("units")
+        )
+        large = _block_units(placed.where(F.col("tokens") > block_tokens), similarity, block_tokens)
+        units = whole.unionAll(large)
+        fetched = units.join(texts.withColumnRenamed("id", "rep"), "rep").mapInArrow(
+            _fetch(size, *shared), "rep long, unit string, side int, tokens binary"
+        )
+        found = fetched.groupBy("unit").applyInPandas(_verify(similarity), "a long, b long")
+        joined = keep(components(found, "jaccard-links"))
 
     rep_of = classes.select("n", "sig1", "sig2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     rep_of = rep_of.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("id", "n", "sig1", "sig2").join(rep_of, ["n", "sig1", "sig2"]).select("id", F.col("n").alias("n_shingles"), "component_id")
+    out = full.select("id", "n", "sig1", "sig2").join(rep_of, ["n", "sig1", "sig2"]).select(
+        "id", F.col("n").alias("n_shingles"), "component_id"
+    )
     rest = info.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionAll(rest)
 
@@ -309,18 +358,35 @@ def _block_units(placed: DataFrame, t: Fraction, block_tokens: int) -> DataFrame
     classes of one size are dealt over several blocks by hash.
     """
     histogram = placed.groupBy("family", "n").agg(F.count("*").alias("c"))
-    before = F.sum(F.col("c") * F.col("n")).over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("c") * F.col("n")).over(
+        Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    )
     half = block_tokens // 2
     spread = histogram.select(
-        "family", "n", F.floor(F.coalesce(before, F.lit(0)) / half).alias("block"), F.ceil(F.col("c") * F.col("n") / half).cast("int").alias("parts")
+        "family", "n", F.floor(F.coalesce(before, F.lit(0)) / half).alias("block"),
+        F.ceil(F.col("c") * F.col("n") / half).cast("int").alias("parts")
+    )
+    at = placed.join(spread, ["family", "n"]).select(
+        "family", "rep", "n", "sig1",
+        F.concat_ws(
+            ".", "block",
+            F.when(F.col("parts") > 1, F.concat(F.lit("s"), "n", F.lit("-"), F.pmod(F.xxhash64("rep"), "parts")))
+        ).alias("block")
     )
-    at = placed.join(spread, ["family", "n"]).select("family", "rep", "n", "sig1", F.concat_ws(".", "block", F.when(F.col("parts") > 1, F.concat(F.lit("s"), "n", F.lit("-"), F.pmod(F.xxhash64("rep"), "parts")))).alias("block"))
     known = at.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = known.alias("a"), known.alias("b")
-    compatible = F.expr(f"a.family = b.family and a.block <= b.block and a.high * {t.denominator}L >= b.low * {t.numerator}L and b.high * {t.denominator}L >= a.low * {t.numerator}L")
-    pairs = a.join(b, compatible).select(F.col("a.family").alias("family"), F.col("a.block").alias("left"), F.col("b.block").alias("right"))
+    compatible = F.expr(
+        f"a.family = b.family and a.block <= b.block and a.high * {t.denominator}L >= b.low * {t.numerator}L and b.high * {t.denominator}L >= a.low * {t.numerator}L"
+    )
+    pairs = a.join(b, compatible).select(
+        F.col("a.family").alias("family"), F.col("a.block").alias("left"), F.col("b.block").alias("right")
+    )
     unit = F.concat_ws("|", "family", "left", "right")
-    mine = pairs.select("family", F.col("left").alias("block"), F.struct(unit.alias("unit"), F.lit(0).alias("side")).alias("u"))
-    other = pairs.where("left <> right").select("family", F.col("right").alias("block"), F.struct(unit.alias("unit"), F.lit(1).alias("side")).alias("u"))
+    mine = pairs.select(
+        "family", F.col("left").alias("block"), F.struct(unit.alias("unit"), F.lit(0).alias("side")).alias("u")
+    )
+    other = pairs.where("left <> right").select(
+        "family", F.col("right").alias("block"), F.struct(unit.alias("unit"), F.lit(1).alias("side")).alias("u")
+    )
     todo = mine.unionAll(other).groupBy("family", "block").agg(F.collect_list("u").alias("units"))
     return at.join(todo, ["family", "block"]).select("rep", "sig1", "units")
