@@ -106,25 +106,45 @@ def _format(part_bytes: int):
                 firsts, lasts = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
                 offs = np.append(at[firsts], at[lasts[-1]])
                 text = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offs.astype(np.int64).tobytes()), raw)
-                spans = [[{"start": int(points[begin[k]] - points[at[a]]), "end": int(points[end[k]] - points[at[a]])} for k in range(a, b) if loss[k]] for a, b in zip(firsts, lasts)]
+                spans = [
+                    [
+                        {"start": int(points[begin[k]] - points[at[a]]), "end": int(points[end[k]] - points[at[a]])}
+                        for k in range(a, b) if loss[k]
+                    ]
+                    for a, b in zip(firsts, lasts)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), text.cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(lasts - firsts)],
+                    [
+                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                        text.cast(pa.string()),
+                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array(lasts - firsts)
+                    ],
                     names=["conv_id", "part", "text", "loss", "n_turns"],
                 )
 
     return run
 
 
-def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def format_chats(
+    turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    part_bytes: int = PART_BYTES
+) -> DataFrame:
     """(conv_id long, part long, text string, loss array<struct<start, end>>, n_turns long): formatted conversations.
 
     The parts of a conversation, in order, are its formatted text; ``loss`` has the spans, in code points of the part, of the
     escaped assistant texts. Null roles and texts are empty; a null turn comes first and equal turns order by role and text;
     rows of null conv_id are one conversation; repeated rows stay. An empty table gives no rows.
     """
-    given = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    given = turns.select(
+        F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
+    )
     order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
-    return given.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_format(part_bytes), "conv_id long, part long, text string, loss array<struct<start: long, end: long>>, n_turns long")
+    return given.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(
+        _format(part_bytes),
+        "conv_id long, part long, text string, loss array<struct<start: long, end: long>>, n_turns long"
+    )
 
 
 def parsed(text: str) -> list[tuple[str, str]]:
@@ -145,7 +165,10 @@ def _digests(batches):
 
     def out(rows):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        )
 
     done: list = []
     for batch in batches:
@@ -175,4 +198,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from the parts of :func:`format_chats` alone."""
     order = [F.asc_nulls_first(c) for c in ("conv_id", "part")]
     ordered = formatted.select("conv_id", "part", "text", "loss").repartition("conv_id").sortWithinPartitions(*order)
-    return ordered.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(
+        _digests,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )

@@ -92,7 +92,9 @@ class Statistics:
         once[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
         met = h[order][once]
         terms, inverse = np.unique(np.concatenate([self.terms, met]), return_inverse=True)
-        self.df = np.bincount(inverse, weights=np.concatenate([self.df, np.ones(len(met))]), minlength=len(terms)).astype(np.int64)
+        self.df = np.bincount(
+            inverse, weights=np.concatenate([self.df, np.ones(len(met))]), minlength=len(terms)
+        ).astype(np.int64)
         self.terms = terms
         length = np.bincount(row, minlength=len(texts))
         self.items, self.words = self.items + len(texts), self.words + int(length.sum())
@@ -158,8 +160,10 @@ def build_index(ids: list[int], texts: list[str], known: Statistics | None = Non
     new[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
     owner, shingle = owner[new], shingle[new]
     return ItemIndex(
-        np.array(ids, np.int64), terms, np.searchsorted(term[ess], np.arange(len(terms) + 1)), item[ess].astype(np.int32), block_key, block_max,
-        threshold, padded.reshape(-1, BLOCK_ITEMS).min(axis=1), np.searchsorted(item, np.arange(n + 1)), term.astype(np.int32), impact.astype(np.float32),
+        np.array(ids, np.int64), terms, np.searchsorted(term[ess], np.arange(len(terms) + 1)),
+        item[ess].astype(np.int32), block_key, block_max,
+        threshold, padded.reshape(-1, BLOCK_ITEMS).min(axis=1), np.searchsorted(item, np.arange(n + 1)),
+        term.astype(np.int32), impact.astype(np.float32),
         np.searchsorted(owner, np.arange(n + 1)), shingle, length.astype(np.int32),
     )
 
@@ -188,7 +192,9 @@ def search(index: ItemIndex, passage: np.ndarray, term: np.ndarray, n: int) -> t
         wanted = term[pos] * wide + b[i : i + 4096][pair]
         found = np.minimum(np.searchsorted(index.block_key, wanted), len(index.block_key) - 1)
         weight = index.block_max[found] * (index.block_key[found] == wanted)
-        live[i : i + 4096] = np.bincount(pair, weights=weight, minlength=len(p[i : i + 4096])) >= index.block_least[b[i : i + 4096]] - 1e-6
+        live[i : i + 4096] = np.bincount(
+            pair, weights=weight, minlength=len(p[i : i + 4096])
+        ) >= index.block_least[b[i : i + 4096]] - 1e-6
     open_ = live[which]
     pair = np.unique(passage[who][open_] * len(index.items) + item[open_])
     p, item = pair // len(index.items), pair % len(index.items)
@@ -199,7 +205,9 @@ def search(index: ItemIndex, passage: np.ndarray, term: np.ndarray, n: int) -> t
         who, pos = _expand(index.item_at, item[i : i + 65536])
         wanted = p[i : i + 65536][who] * len(index.terms) + index.item_term[pos]
         found = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
-        score[i : i + 65536] = np.bincount(who, weights=index.item_impact[pos] * (key[found] == wanted), minlength=len(p[i : i + 65536]))
+        score[i : i + 65536] = np.bincount(
+            who, weights=index.item_impact[pos] * (key[found] == wanted), minlength=len(p[i : i + 65536])
+        )
     hit = score >= index.threshold[item] - 1e-6
     return p[hit], item[hit], score[hit]
 
@@ -226,11 +234,17 @@ def _find(shared: list, longest: int, overlap: float):
                         continue
                     cell_of, term = cell[known], at[known]
                     before = cell_of > base[row[known]]
-                    key = np.unique(np.concatenate([cell_of, cell_of[before] - 1]) * len(index.terms) + np.concatenate([term, term[before]]))
+                    key = np.unique(
+                        np.concatenate(
+                            [cell_of, cell_of[before] - 1]
+                        ) * len(index.terms) + np.concatenate([term, term[before]])
+                    )
                     passage, item, score = search(index, key // len(index.terms), key % len(index.terms), int(cells.sum()))
                     if len(passage):
                         owner = np.repeat(np.arange(j - i), cells)[passage]
-                        yield from _verified(index, ids, i, h, count, owner, passage, passage - base[owner], item, score, step, overlap)
+                        yield from _verified(
+                            index, ids, i, h, count, owner, passage, passage - base[owner], item, score, step, overlap
+                        )
 
     return run
 
@@ -266,12 +280,18 @@ def _verified(index, ids, i, h, count, owner, passage, place, item, score, step,
     if good:
         m = np.array(good)
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(owner[m] + i)), pa.array(index.items[item[m]]), pa.array(score[m]), pa.array(shares[m, 0]), pa.array(shares[m, 1])],
+            [
+                ids.take(pa.array(owner[m] + i)), pa.array(index.items[item[m]]), pa.array(score[m]),
+                pa.array(shares[m, 0]), pa.array(shares[m, 1])
+            ],
             names=["id", "item_id", "bm25", "question_overlap", "answer_overlap"],
         )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", overlap: float = OVERLAP) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", overlap: float = OVERLAP
+) -> DataFrame:
     """(id long, item_id long, bm25, question_overlap, answer_overlap double): test items found in texts, one row a pair.
 
     Null, empty and wordless texts and items give no rows, nor do items of null id; texts of null id keep it. An item shorter
@@ -281,7 +301,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    known = items.select(
+        F.col(item_col).cast("long").alias("item_id"),
+        F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")
+    )
     known = known.where("item_id is not null").distinct()
     parts = -(-max(known.count(), 1) // INDEX_ITEMS)
 

@@ -219,11 +219,19 @@ def _rows(pairs: list[tuple], rank: np.ndarray) -> list[tuple]:
     out = []
     for (doc_id, own, mine, _, other), data, found in zip(pairs, changed, features_of(changed, rank)):
         new = digest(found)
-        out.append((doc_id, len(own), hashlib.sha256(data).hexdigest(), encoded(mine), encoded(new), likeness(mine, new), likeness(mine, other)))
+        out.append(
+            (
+                doc_id, len(own), hashlib.sha256(data).hexdigest(), encoded(mine), encoded(new), likeness(mine, new),
+                likeness(mine, other)
+            )
+        )
     return out
 
 
-_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_FIELDS = [
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())
+]
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -235,16 +243,25 @@ def _chained(shared):
         last = None
 
         def out(rows, ends=()):
-            cols = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)] if rows else [pa.array([], kind) for _, kind in _FIELDS]
+            cols = [
+                pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)
+            ] if rows else [pa.array([], kind) for _, kind in _FIELDS]
             n, m = len(rows), len(ends)
             cols = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in cols]
             end_cols = list(zip(*ends)) if ends else [(), (), (), ()]
-            extra = [pa.concat_arrays([pa.nulls(n, kind), pa.array(c, kind)]) for c, kind in zip(end_cols, (pa.int64(), pa.string(), pa.int64(), pa.string()))]
-            return pa.RecordBatch.from_arrays(cols + extra, names=[f for f, _ in _FIELDS] + ["part", "end", "end_id", "end_text"])
+            extra = [
+                pa.concat_arrays([pa.nulls(n, kind), pa.array(c, kind)])
+                for c, kind in zip(end_cols, (pa.int64(), pa.string(), pa.int64(), pa.string()))
+            ]
+            return pa.RecordBatch.from_arrays(
+                cols + extra, names=[f for f, _ in _FIELDS] + ["part", "end", "end_id", "end_text"]
+            )
 
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
-                ids, texts = batch.column(0).slice(i, 128).to_pylist(), [x or "" for x in batch.column(1).slice(i, 128).to_pylist()]
+                ids, texts = batch.column(0).slice(i, 128).to_pylist(), [
+                    x or "" for x in batch.column(1).slice(i, 128).to_pylist()
+                ]
                 digests = [digest(f) for f in features_of([x.encode() for x in texts], rank)]
                 if last is None:
                     yield out([], [(part, "first", ids[0], texts[0])])
@@ -268,7 +285,9 @@ def _joined(shared):
                 a, b = (digest(f) for f in features_of([own.encode(), following.encode()], rank))
                 rows += _rows([(doc_id, own, a, following, b)], rank)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)], names=[f for f, _ in _FIELDS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _FIELDS)], names=[f for f, _ in _FIELDS]
+                )
 
     return run
 
@@ -288,7 +307,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Ranges are found from a sample that goes to the driver: of ids and hashes, not of texts.
     order = [F.desc_nulls_last("id"), F.asc("h")]
     ranged = given.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
-    done = written(ranged.mapInArrow(_chained(rank), _SCHEMA + ", part long, end string, end_id long, end_text string"), "fingerprints")
+    done = written(
+        ranged.mapInArrow(_chained(rank), _SCHEMA + ", part long, end string, end_id long, end_text string"),
+        "fingerprints"
+    )
     # Two short rows for each range at most; empty ranges have none. Only their numbers come here.
     firsts = sorted(r["part"] for r in done.where("end = 'first'").select("part").collect())
     following = dict(zip(firsts, [*firsts[1:], *firsts[:1]]))
@@ -297,5 +319,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = spark.createDataFrame(list(following.items()), "part long, next long")
     lasts = done.where("end = 'last'").select("part", "end_id", F.col("end_text").alias("own"))
     heads = done.where("end = 'first'").select(F.col("part").alias("next"), F.col("end_text").alias("following"))
-    ends = lasts.join(pairs, "part").join(heads, "next").select("end_id", "own", "following").mapInArrow(_joined(rank), _SCHEMA)
+    ends = lasts.join(pairs, "part").join(heads, "next").select(
+        "end_id", "own", "following"
+    ).mapInArrow(_joined(rank), _SCHEMA)
     return done.where("end is null").drop("part", "end", "end_id", "end_text").unionAll(ends)

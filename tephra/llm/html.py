@@ -35,11 +35,17 @@ _TAG_START = re.compile(r"</?[a-zA-Z]")
 MOST_BROKEN = 16
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source nobr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source nobr".split()
+)
 #: Elements whose start ends an open element of the named kinds.
 _ENDS = {
-    **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), ("p",)),
-    "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+    **dict.fromkeys(
+        "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(),
+        ("p",)
+    ),
+    "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"),
+    "th": ("td", "th"), "option": ("option",),
 }
 _PARAGRAPH_SCOPE = ("article", "section", "main", "body", "div", "table", "td", "li", "blockquote")
 _SCOPE = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}
@@ -50,7 +56,9 @@ _OUT_WORDS = frozenset(
 )
 #: A class list with one of these as a whole name is a frame around parts, whatever else it says.
 _FRAME_WORDS = frozenset("layout container wrapper page site grid row content main article post entry".split())
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+_OUT_ROLES = frozenset(
+    "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split()
+)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _WEIGHTS = np.array([1.0, 2.0, 3.0, 2.0, 1.0]) / 9
@@ -86,10 +94,17 @@ def _is_out(tag: str, attributes: str, parent: _Node) -> bool:
             names = [x for x in value.split() if not x.lower().startswith(("has-", "with-", "no-"))]
             if not _FRAME_WORDS.isdisjoint(x.lower() for x in names):
                 continue
-            found = {w for x in names for w in (*_SPLIT.split(x.lower()), *_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()))} & _OUT_WORDS
+            found = {
+                w for x in names
+                for w in (*_SPLIT.split(x.lower()), *_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()))
+            } & _OUT_WORDS
             if parent.article:
                 found -= {"header"}
-            if found and not (tag == "article" and not found & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}):
+            if found and not (
+                tag == "article" and not found & {
+                    "comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"
+                }
+            ):
                 return True
         elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -279,7 +294,11 @@ def _extract(columns: list[str]):
             for i in range(0, len(pages), 256):
                 text = [main_text(x) for x in pages.slice(i, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)).slice(i, len(text)) for c in columns), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*columns, "text", "n_chars"]
+                    [
+                        *(batch.column(batch.schema.get_field_index(c)).slice(i, len(text)) for c in columns),
+                        pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())
+                    ],
+                    names=[*columns, "text", "n_chars"]
                 )
 
     return run

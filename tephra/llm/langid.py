@@ -76,7 +76,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def features(raw: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
+def features(
+    raw: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, lengths: tuple[int, ...] = LENGTHS
+) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of every subword and every whole word, sorted by row."""
     start, end, owner = words(raw, offs)
     prefix = prefix_hash(byte_codes(raw, lower=True))
@@ -111,7 +113,10 @@ def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 17) -> LanguageModel:
+def train(
+    texts: list[str], langs: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS,
+    seed: int = 17
+) -> LanguageModel:
     """Fit on texts and their languages; every fifth row is kept for calibration. One language, or none, is allowed."""
     labels = sorted(set(langs))
     if not labels:
@@ -192,13 +197,24 @@ def calibrate(model: LanguageModel, logits: np.ndarray, familiarity: np.ndarray,
         odds = -np.log(np.maximum(np.exp(others).sum(axis=1), 1e-300))
         model.threshold = float(1 / (1 + np.exp(-tail(odds)))) - 1e-12
     if len(target) >= LEAST_ROWS:
-        model.least = min(float(np.quantile(familiarity, 1 - ACCEPT)), float(familiarity.mean() - DEVIATIONS * familiarity.std(ddof=1)))
+        model.least = min(
+            float(np.quantile(familiarity, 1 - ACCEPT)),
+            float(familiarity.mean() - DEVIATIONS * familiarity.std(ddof=1))
+        )
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+def fit(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", rows: int = SAMPLE_ROWS,
+    most_bytes: int = SAMPLE_BYTES
+) -> LanguageModel:
     """Train on at most ``rows`` labelled rows of at most ``most_bytes`` bytes, chosen by hash alike at every size."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= most_bytes))
-    sample = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
+    known = docs.where(
+        F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= most_bytes)
+    )
+    sample = known.select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+        F.xxhash64(F.col(order_col).cast("string")).alias("h")
+    )
     # The hash of the last row taken is found first, so that only texts of the sample reach the driver.
     last = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if last is None:
@@ -220,7 +236,13 @@ def _predict(shared, columns: list[str]):
                 lang[i:j], score[i:j] = labels[p.argmax(axis=1)], p.max(axis=1)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
             taken &= letters
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(taken)], names=[*columns, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()),
+                    pa.array(np.clip(score, 0, 1)), pa.array(taken)
+                ],
+                names=[*columns, "lang_pred", "score", "accepted"]
+            )
 
     return run
 
@@ -236,8 +258,13 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     renamed = [f"__{i}" for i in range(len(keep))]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*(F.col(c).alias(r) for c, r in zip(keep, renamed)), F.col(text_col).cast("string").alias("__text"), letters.alias("__letters"))
-    schema = ", ".join([*(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)), "lang_pred string", "score double", "accepted boolean"])
+    given = docs.select(
+        *(F.col(c).alias(r) for c, r in zip(keep, renamed)), F.col(text_col).cast("string").alias("__text"),
+        letters.alias("__letters")
+    )
+    schema = ", ".join(
+        [*(f"{r} {kinds[c]}" for c, r in zip(keep, renamed)), "lang_pred string", "score double", "accepted boolean"]
+    )
     out = given.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), renamed), schema)
     return out.withColumnsRenamed(dict(zip(renamed, keep)))
 

@@ -52,7 +52,11 @@ def _layer(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, mass: np.nda
         value[j], cut[j] = least, chosen
         left, right = low < j, j < high
         low, high, first, last = (
-            np.concatenate(x) for x in ((low[left], j[right] + 1), (j[left] - 1, high[right]), (first[left], chosen[right]), (chosen[left], last[right]))
+            np.concatenate(x)
+            for x in (
+                (low[left], j[right] + 1), (j[left] - 1, high[right]), (first[left], chosen[right]),
+                (chosen[left], last[right])
+            )
         )
     return value, cut
 
@@ -93,22 +97,31 @@ def _placed(rows: DataFrame, order: list[str], total: int, range_rows: int, copi
     """
     groups = rows.groupBy(*order).agg(F.count("*").alias("m"))
     # A group goes in parts of at most ``copies`` rows.
-    split = groups.select(*order, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / copies))).alias("c"))
+    split = groups.select(
+        *order, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / copies))).alias("c")
+    )
     split = split.select(*order, "c", F.least(F.lit(copies), F.col("m") - F.col("c") * copies).alias("m"))
     dealt = split.repartitionByRange(total // range_rows + 1, *order, "c").withColumn("part", F.spark_partition_id())
     dealt = written(dealt, "packing-rows")
     found = sorted(dealt.groupBy("part").agg(F.sum("m")).collect())  # one row for each range
     before = dict(zip([p for p, _ in found], np.cumsum([0, *(n for _, n in found)]).tolist()))
     starts = rows.sparkSession.createDataFrame([*before.items()] or [(0, 0)], "part int, before long")
-    running = F.sum("m").over(Window.partitionBy("part").orderBy(*order, "c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
-    numbered = dealt.withColumn("place", running).join(F.broadcast(starts), "part").withColumn("place", F.col("place") + F.col("before"))
+    running = F.sum("m").over(
+        Window.partitionBy("part").orderBy(*order, "c").rowsBetween(Window.unboundedPreceding, 0)
+    ) - F.col("m")
+    numbered = dealt.withColumn("place", running).join(F.broadcast(starts), "part").withColumn(
+        "place", F.col("place") + F.col("before")
+    )
     single = numbered.where("m = 1").select(*order, "place")
-    many = numbered.where("m > 1").repartition("place").select(*order, F.explode(F.sequence(F.col("place"), F.col("place") + F.col("m") - 1)).alias("place"))
+    many = numbered.where("m > 1").repartition("place").select(
+        *order, F.explode(F.sequence(F.col("place"), F.col("place") + F.col("m") - 1)).alias("place")
+    )
     return single.unionByName(many)
 
 
 def pack(
-    docs: DataFrame, length: Column, id_col: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, budget: int = BUDGET,
+    docs: DataFrame, length: Column, id_col: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS,
+    budget: int = BUDGET,
     range_rows: int = RANGE_ROWS, copies: int = COPIES,
 ) -> DataFrame:
     """The columns ``keep`` (the id by default) and n_tokens, bucket, bucket_len, batch_id, slot, padding (long).
@@ -120,8 +133,13 @@ def pack(
     """
     keep = [id_col] if keep is None else keep
     renamed = [f"__{i}" for i in range(len(keep))]
-    rows = docs.select(length.cast("long").alias("n_tokens"), F.col(id_col).alias("__id"), *(F.col(c).alias(r) for c, r in zip(keep, renamed)))
-    histogram = docs.select(length.cast("long").alias("n")).groupBy("n").agg(F.count("*").alias("c")).toPandas().sort_values("n")
+    rows = docs.select(
+        length.cast("long").alias("n_tokens"), F.col(id_col).alias("__id"),
+        *(F.col(c).alias(r) for c, r in zip(keep, renamed))
+    )
+    histogram = docs.select(
+        length.cast("long").alias("n")
+    ).groupBy("n").agg(F.count("*").alias("c")).toPandas().sort_values("n")
     lengths, counts = histogram["n"].to_numpy(np.int64), histogram["c"].to_numpy(np.int64)
     ends = boundaries(lengths, counts, buckets)
     inside = np.bincount(np.searchsorted(ends, lengths), weights=counts, minlength=len(ends)).astype(np.int64)
@@ -137,5 +155,6 @@ def pack(
     at = F.col("place") - before
     return placed.select(
         *(F.col(r).alias(c) for c, r in zip(keep, renamed)), "n_tokens", "bucket", end.alias("bucket_len"),
-        (batch + F.floor(at / slot)).cast("long").alias("batch_id"), F.pmod(at, slot).cast("long").alias("slot"), (end - F.col("n_tokens")).alias("padding"),
+        (batch + F.floor(at / slot)).cast("long").alias("batch_id"), F.pmod(at, slot).cast("long").alias("slot"),
+        (end - F.col("n_tokens")).alias("padding"),
     )

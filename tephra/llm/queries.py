@@ -45,7 +45,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The digest is that of strings of 400 bytes; ``text`` is what is left without passages of over 50 words as well.
     out = remove_repeats(_read(spark, sf_dir, "documents"), rules=(BYTES, PASSAGES))
     spans = F.size("spans").cast("long").alias("n_spans")
-    return out.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"), F.col("clean").alias("text"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"), F.col("clean").alias("text")
+    )
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
     return read_back(written(format_chats(given.unionByName(probe)), "chats"))
 
 
@@ -85,7 +89,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_length_buckets": op3_length_buckets, "op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate, "op5_histogram_sort": op5_histogram_sort, "op6_html_extraction": op6_html_extraction, "op7_suffix_dedup": op7_suffix_dedup, "op9_token_store": op9_token_store, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_length_buckets": op3_length_buckets,
+    "op4_language_id": op4_language_id, "op8_decontaminate": op8_decontaminate,
+    "op5_histogram_sort": op5_histogram_sort, "op6_html_extraction": op6_html_extraction,
+    "op7_suffix_dedup": op7_suffix_dedup, "op9_token_store": op9_token_store, "op10_ngram_jaccard": op10_ngram_jaccard
+}
 
 ORACLES: dict[str, str] = {
     "op3_length_buckets": r"""

@@ -36,7 +36,9 @@ def _before(h: int, i: int) -> tuple[int, int] | None:
     return (h - 1, _MOST) if h > _LEAST else None
 
 
-def _refined(keys: DataFrame, column: str, open_: list[dict], fair: float, tolerance: float, whole: float) -> tuple[dict, list[dict]]:
+def _refined(
+    keys: DataFrame, column: str, open_: list[dict], fair: float, tolerance: float, whole: float
+) -> tuple[dict, list[dict]]:
     """({target: last key of the shard before}, those whose value of ``column`` is single and too far from the target).
 
     Each open range has target, prefix and before, the bytes in front of it; on ids also the hash h.
@@ -90,7 +92,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, whole:
     if not total or shards < 2:
         return []
     targets = [-(-total * k // shards) for k in range(1, shards)]
-    found, stuck = _refined(keys, "h", [{"target": t, "prefix": 0, "before": 0} for t in targets], total / shards, tolerance, whole)
+    found, stuck = _refined(
+        keys, "h", [{"target": t, "prefix": 0, "before": 0} for t in targets], total / shards, tolerance, whole
+    )
     inner, _ = _refined(keys, "id", [{**x, "prefix": 0} for x in stuck], total / shards, tolerance, whole)
     return [{**found, **inner}[t] for t in targets]
 
@@ -119,23 +123,31 @@ def shard(
     renamed = [f"__{k}" for k in range(len(keep))]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(
-        F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"),
+        (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), *(F.col(c).alias(r) for c, r in zip(keep, renamed)),
     )
     given = written(given, "sharding-keys")
     ends = splitters(given, shards, tolerance, whole)
     pieces = given.count() // (piece_rows * shards) + 1
     # Copies of one row are counted, and numbered in parts that are spread like other rows.
-    groups = given.withColumn("shard", shard_of(F.col("h"), F.col("id"), ends)).groupBy(*given.columns, "shard").agg(F.count("*").alias("m"))
+    groups = given.withColumn(
+        "shard", shard_of(F.col("h"), F.col("id"), ends)
+    ).groupBy(*given.columns, "shard").agg(F.count("*").alias("m"))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / copies)))
     groups = groups.withColumn("c", part).withColumn("m", F.least(F.lit(copies), F.col("m") - F.col("c") * copies))
     groups = written(groups.withColumn("piece", F.pmod(F.xxhash64("h", "id", "c"), F.lit(pieces))), "sharding-rows")
     counts = groups.groupBy("shard", "piece").agg(F.sum("m").alias("n"))
-    before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
+    before = counts.select(
+        "shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before")
+    )
     if pieces * shards <= BROADCAST_PIECES:
         before = F.broadcast(before)
     order = Window.partitionBy("shard", "piece").orderBy("h", "id", *renamed, "c").rowsBetween(Window.unboundedPreceding, 0)
     placed = groups.withColumn("at", F.sum("m").over(order) - F.col("m")).join(before, ["shard", "piece"])
     slot = F.explode(F.sequence(F.col("before") + F.col("at"), F.col("before") + F.col("at") + F.col("m") - 1)).alias("slot")
-    out = placed.select(*renamed, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), slot, F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.select(
+        *renamed, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), slot,
+        F.lit(None).cast("int").alias("grown_shard")
+    )
     return out.withColumnsRenamed(dict(zip(renamed, keep)))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from tephra.llm import decontaminate, fingerprint, langid, packing, sharding, tokens
 
 SCHEMA = "doc_id long, text string, size long, h long, shard int, n_tokens long, score double"
-SYLLABLES = {"aa": "ka lo mi ra tu ben sol".split(), "bb": "scht ung der ich ein ver nd".split(), "cc": "ção que os não da ém".split()}
+SYLLABLES = {
+    "aa": "ka lo mi ra tu ben sol".split(), "bb": "scht ung der ich ein ver nd".split(),
+    "cc": "ção que os não da ém".split()
+}
 
 
 def prose(rng, lang, n):
@@ -24,7 +27,10 @@ def prose(rng, lang, n):
 def rows(seed=1, n=60):
     rng = random.Random(seed)
     out = [(i, prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 200))) for i in range(n)]
-    out += [(n, None), (n + 1, ""), (n + 2, " 12 34 "), (n + 3, out[3][1]), (n + 4, out[3][1]), (n + 5, prose(rng, "aa", 30_000)), (None, "null id"), (None, None), (5, out[5][1])]
+    out += [
+        (n, None), (n + 1, ""), (n + 2, " 12 34 "), (n + 3, out[3][1]), (n + 4, out[3][1]),
+        (n + 5, prose(rng, "aa", 30_000)), (None, "null id"), (None, None), (5, out[5][1])
+    ]
     return [(i, t, 1, 2, 3, 4, 0.5) for i, t in out]
 
 
@@ -71,7 +77,12 @@ def test_likeness_follows_shared_text():
     rng = random.Random(4)
     a, b = (prose(rng, "aa", 3000) for _ in range(2))
     rank = fingerprint.ranks(np.arange(fingerprint.LEVELS))
-    d = {k: fingerprint.digest(fingerprint.features(np.frombuffer(t.encode(), np.uint8), rank)) for k, t in {"a": a, "b": b, "half": a[: len(a) // 2] + b[: len(b) // 2], "edit": a.replace("ka", "kb", 5)}.items()}
+    d = {
+        k: fingerprint.digest(fingerprint.features(np.frombuffer(t.encode(), np.uint8), rank))
+        for k, t in {
+            "a": a, "b": b, "half": a[: len(a) // 2] + b[: len(b) // 2], "edit": a.replace("ka", "kb", 5)
+        }.items()
+    }
     assert fingerprint.likeness(d["a"], d["a"]) == 1
     assert fingerprint.likeness(d["a"], d["edit"]) > 0.8 > fingerprint.likeness(d["a"], d["half"]) > 0.3 > fingerprint.likeness(d["a"], d["b"])
     assert (fingerprint.decoded(fingerprint.encoded(d["a"])) == d["a"]).all()
@@ -87,7 +98,9 @@ def test_features_don_t_depend_on_pieces(monkeypatch):
 
 def test_texts_that_share_a_buffer(monkeypatch):
     rng = random.Random(6)
-    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 90)).encode()[: rng.randrange(400)] for _ in range(200)] + [b"", b"a" * 64, b"ab" * 63, b"abc" * 43, b"x" * 63]
+    texts = [
+        prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 90)).encode()[: rng.randrange(400)] for _ in range(200)
+    ] + [b"", b"a" * 64, b"ab" * 63, b"abc" * 43, b"x" * 63]
     rank = fingerprint.ranks(np.arange(fingerprint.LEVELS) % 13)
     want = [fingerprint.features(np.frombuffer(t, np.uint8), rank).tolist() for t in texts]
     for piece in (300, 5000, 1 << 18):
@@ -141,14 +154,22 @@ def brute_likeness(a, b):
     if not a or not b:
         return 0.0
     short, long = sorted((a, b), key=len)
-    best = [max((len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in long) for x in short]
+    best = [
+        max(
+            (len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9)
+            for y in long
+        )
+        for x in short
+    ]
     return min(1.0, sum(max(0.0, v) for v in best) / len(short))
 
 
 def test_fingerprints_by_brute_force(spark):
     """Histogram, windows, filter chains and likeness of the whole query, from their plain statements."""
     rng = random.Random(8)
-    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 60)) for _ in range(14)] + ["", "short", "a" * 300, prose(rng, "aa", 700)]
+    texts = [
+        prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 60)) for _ in range(14)
+    ] + ["", "short", "a" * 300, prose(rng, "aa", 700)]
     texts += [texts[3], None]
     rows_ = [(k * 3, t) for k, t in enumerate(texts)]
     order = sorted(((i, t or "") for i, t in rows_), reverse=True)
@@ -157,7 +178,12 @@ def test_fingerprints_by_brute_force(spark):
         for x in brute_levels(t.encode()):
             histogram[x] += 1
     rank = {x: n for n, x in enumerate(sorted(range(1024), key=lambda x: (histogram[x], x)))}
-    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows_, "doc_id long, text string"), part_bytes=4000).collect()}
+    got = {
+        r.doc_id: r
+        for r in fingerprint.fingerprints(
+            spark.createDataFrame(rows_, "doc_id long, text string"), part_bytes=4000
+        ).collect()
+    }
     bits = lambda text: [{int(x) for x in np.flatnonzero(np.unpackbits(f))} for f in fingerprint.decoded(text)]
     for (i, own), (_, following) in zip(order, order[1:] + order[:1]):
         half = len(own) // 2
@@ -177,7 +203,9 @@ def test_boundaries_are_optimal(seed):
     counts = [rng.randrange(1, 20) for _ in lengths]
     for k in (1, 2, 3, 4, 20):
         cost = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
-        best = min(cost((*inner, lengths[-1])) for m in range(min(k, len(lengths))) for inner in combinations(lengths[:-1], m))
+        best = min(
+            cost((*inner, lengths[-1])) for m in range(min(k, len(lengths))) for inner in combinations(lengths[:-1], m)
+        )
         got = packing.boundaries(np.array(lengths), np.array(counts), k)
         assert got == sorted(set(got)) and got[-1] == lengths[-1] and len(got) <= k and cost(got) == best
 
@@ -190,7 +218,15 @@ def test_boundaries_by_the_plain_programme(seed):
     rows, mass = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
     best = [0] + [10**18] * 300
     for k in range(1, 17):
-        best = [min([best[j], *(best[i] + int(lengths[j - 1] * (rows[j] - rows[i]) - (mass[j] - mass[i])) for i in range(j))]) for j in range(301)]
+        best = [
+            min(
+                [
+                    best[j],
+                    *(best[i] + int(lengths[j - 1] * (rows[j] - rows[i]) - (mass[j] - mass[i])) for i in range(j))
+                ]
+            )
+            for j in range(301)
+        ]
         if k in (1, 5, 16):
             ends = packing.boundaries(lengths, counts, k)
             assert sum(int(c) * (min(e for e in ends if e >= n) - int(n)) for n, c in zip(lengths, counts)) == best[-1]
@@ -218,7 +254,9 @@ def test_packing(spark, range_rows, copies):
     found = []
     for parts in (1, 5):
         frame = spark.createDataFrame(data, SCHEMA).repartition(parts)
-        got = packing.pack(frame, packing.words_and_end(), buckets=4, budget=500, range_rows=range_rows, copies=copies).collect()
+        got = packing.pack(
+            frame, packing.words_and_end(), buckets=4, budget=500, range_rows=range_rows, copies=copies
+        ).collect()
         assert sorted((r.n_tokens, r.bucket, r.bucket_len, r.batch_id, r.slot, r.padding) for r in got) == sorted(want)
         found.append(sorted(str(r) for r in got))
     assert found[0] == found[1]  # places don't depend on how the input was dealt
@@ -231,7 +269,9 @@ def test_packing(spark, range_rows, copies):
 
 
 def test_packing_keeps_columns_that_clash(spark):
-    got = packing.pack(spark.createDataFrame(rows()[:9], SCHEMA), F.length("text").cast("long") + 1, keep=["n_tokens", "shard"]).toDF("given", "shard", "n", "bucket", "len", "batch", "slot", "padding")
+    got = packing.pack(
+        spark.createDataFrame(rows()[:9], SCHEMA), F.length("text").cast("long") + 1, keep=["n_tokens", "shard"]
+    ).toDF("given", "shard", "n", "bucket", "len", "batch", "slot", "padding")
     assert sorted((r.given, r.shard, r.n) for r in got.collect()) == sorted((4, 3, len(t) + 1) for _, t, *_ in rows()[:9])
 
 
@@ -250,8 +290,12 @@ def test_language_id_on_held_out_rows(spark):
     data = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(random.Random(1).choices(list(SYLLABLES), k=400))]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     model = langid.fit(df.where(~langid.is_held_out()))
-    odd = spark.createDataFrame([(9000, None, "aa"), (9001, "12 !?", "aa"), (9002, "", None)], "doc_id long, text string, lang string")
-    got = langid.predict(df.unionByName(odd), model, keep=["doc_id", "lang"]).withColumn("held_out", langid.is_held_out()).collect()
+    odd = spark.createDataFrame(
+        [(9000, None, "aa"), (9001, "12 !?", "aa"), (9002, "", None)], "doc_id long, text string, lang string"
+    )
+    got = langid.predict(
+        df.unionByName(odd), model, keep=["doc_id", "lang"]
+    ).withColumn("held_out", langid.is_held_out()).collect()
     held = [r for r in got if r.held_out and r.doc_id < 9000]
     assert len(held) > 40 and np.mean([r.lang == r.lang_pred for r in held]) > 0.97
     assert all((r.lang_pred, r.score, r.accepted) == ("und", 0.0, False) for r in got if r.doc_id >= 9000)
@@ -261,7 +305,8 @@ def test_language_id_on_held_out_rows(spark):
 def test_language_id_rejects_what_it_has_not_learned(spark):
     """Letters alone don't pass: unlearned languages, gibberish and markup go, clean documents stay."""
     odd = [
-        "Это предложение написано на русском языке и не было выучено", "日本語の文章です。これは学習されていません。", "Αυτό είναι ένα ελληνικό κείμενο", "привет",
+        "Это предложение написано на русском языке и не было выучено", "日本語の文章です。これは学習されていません。",
+        "Αυτό είναι ένα ελληνικό κείμενο", "привет",
         "Ten tekst jest napisany po polsku i nie był używany w nauce modelu", "xkqj zzvq wpfk qqxz jjkw vbnm qwrtp zxcvb", "<div class='a'><span id=x></span></div> {color:#fff;}",
     ]
     for sf in ("sf0.001", "sf0.01"):
@@ -309,8 +354,13 @@ def test_language_id_of_odd_tables(spark):
     known = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(random.Random(1).choices(list(SYLLABLES), k=200))]
     model = langid.train([t for _, t, _ in known], [x for *_, x in known])
     long = prose(rng, "bb", 60_000)
-    data = [(1, long, 0.5, "x", True, "k"), (None, known[0][1], 0.5, "x", True, "k"), (None, None, None, None, None, None), (2, "", 0.5, "x", True, "k"), (3, known[0][1], 1.0, "y", False, "k"), (3, known[0][1], 1.0, "y", False, "k")]
-    df = spark.createDataFrame(data, "doc_id long, text string, score double, lang_pred string, accepted boolean, extra string")
+    data = [
+        (1, long, 0.5, "x", True, "k"), (None, known[0][1], 0.5, "x", True, "k"), (None, None, None, None, None, None),
+        (2, "", 0.5, "x", True, "k"), (3, known[0][1], 1.0, "y", False, "k"), (3, known[0][1], 1.0, "y", False, "k")
+    ]
+    df = spark.createDataFrame(
+        data, "doc_id long, text string, score double, lang_pred string, accepted boolean, extra string"
+    )
     out = langid.predict(df, model)
     assert out.columns == ["doc_id", "text", "extra", "lang_pred", "score", "accepted"]  # the operator's columns win
     got = out.collect()
@@ -361,16 +411,25 @@ def brute_shards(keys, shards, whole):
     return out
 
 
-@pytest.mark.parametrize("shards, piece_rows, whole", [(4, 1000, 0.05), (16, 2, 0.05), (16, 2, 0.0), (5, 3, 0.4), (1, 9, 0.05)])
+@pytest.mark.parametrize(
+    "shards, piece_rows, whole", [(4, 1000, 0.05), (16, 2, 0.05), (16, 2, 0.0), (5, 3, 0.4), (1, 9, 0.05)]
+)
 def test_sharding_by_brute_force(spark, shards, piece_rows, whole):
     data = rows() + [(1000 + k, "hot", 0, 0, 0, 0, 0.0) for k in range(900)] + [(7777, "one row", 0, 0, 0, 0, 0.0)] * 90
     df = spark.createDataFrame(data, SCHEMA)
-    hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
+    hashes = {
+        r.text: r.h
+        for r in df.select(
+            F.coalesce("text", F.lit("")).alias("text")
+        ).distinct().withColumn("h", F.xxhash64("text")).collect()
+    }
     keys = [(hashes[t or ""], -(1 << 63) if i is None else i, len((t or "").encode()) + 1) for i, t, *_ in data]
     want = brute_shards(keys, shards, whole)
     found = []
     for parts in (2, 5):
-        got = sharding.shard(df.repartition(parts), shards=shards, piece_rows=piece_rows, copies=7, tolerance=0.0, whole=whole).collect()
+        got = sharding.shard(
+            df.repartition(parts), shards=shards, piece_rows=piece_rows, copies=7, tolerance=0.0, whole=whole
+        ).collect()
         found.append(sorted(str(r) for r in got))
     assert found[0] == found[1]
     crc = {h: zlib.crc32((t or "").encode()) for t, h in ((t, hashes[t or ""]) for _, t, *_ in data)}
@@ -387,9 +446,17 @@ def test_sharding_by_brute_force(spark, shards, piece_rows, whole):
 def test_splitters_of_a_million_keys(spark):
     """Boundaries within the tolerance, and rows that reach the driver bounded by the probes at any size."""
     n, hot = 1_000_000, 300_000
-    keys = spark.range(n).select(F.when(F.col("id") < hot, F.lit(12345)).otherwise(F.xxhash64("id")).alias("h"), "id", (F.pmod(F.hash("id"), F.lit(50)) + 1).cast("long").alias("size")).cache()
+    keys = spark.range(n).select(
+        F.when(F.col("id") < hot, F.lit(12345)).otherwise(F.xxhash64("id")).alias("h"), "id",
+        (F.pmod(F.hash("id"), F.lit(50)) + 1).cast("long").alias("size")
+    ).cache()
     ends = sharding.splitters(keys, 16)
-    sizes = [r.s for r in keys.groupBy(sharding.shard_of(F.col("h"), F.col("id"), ends).alias("k")).agg(F.sum("size").alias("s")).orderBy("k").collect()]
+    sizes = [
+        r.s
+        for r in keys.groupBy(
+            sharding.shard_of(F.col("h"), F.col("id"), ends).alias("k")
+        ).agg(F.sum("size").alias("s")).orderBy("k").collect()
+    ]
     assert len(sizes) == 16 and max(sizes) / min(sizes) < 1 + 4 * sharding.TOLERANCE
     keys.unpersist()
 
@@ -399,7 +466,9 @@ def test_splitters_of_a_million_keys(spark):
 
 def test_decontamination(spark):
     rng = random.Random(11)
-    items = [(k, prose(rng, "aa", 25) + "\n" + prose(rng, "aa", 12)) for k in range(40)] + [(100, "one two three"), (101, ""), (102, None), (None, "x y z"), (7, prose(rng, "bb", 30))]
+    items = [(k, prose(rng, "aa", 25) + "\n" + prose(rng, "aa", 12)) for k in range(40)] + [
+        (100, "one two three"), (101, ""), (102, None), (None, "x y z"), (7, prose(rng, "bb", 30))
+    ]
     docs, want = [], set()
     for k in range(80):
         body = prose(rng, "aa", rng.randrange(5, 900)).split()
@@ -407,13 +476,23 @@ def test_decontamination(spark):
             body += (it[1].upper() if k % 2 else it[1]).split() + prose(rng, "aa", rng.randrange(400)).split()
             want.add((k, it[0]))
         docs.append((k, " ".join(body)))
-    docs += [(500, items[3][1]), (501, items[3][1][: len(items[3][1]) // 2]), (502, None), (503, ""), (504, "was one two three there"), (505, items[-1][1]), (None, items[4][1])]
+    docs += [
+        (500, items[3][1]), (501, items[3][1][: len(items[3][1]) // 2]), (502, None), (503, ""),
+        (504, "was one two three there"), (505, items[-1][1]), (None, items[4][1])
+    ]
     want |= {(500, 3), (504, 100), (505, 7), (None, 4)}
-    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
     got = {(r.id, r.item_id) for r in found}
     assert got == want and len(found) == len(got)
-    assert decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
-    assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontaminate.contaminated(
+        spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).count() == 0
+    assert decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    ).count() == 0
 
 
 @pytest.mark.parametrize("pass_bytes", [1, 1 << 40])
@@ -422,8 +501,12 @@ def test_several_indexes_find_the_same(spark, monkeypatch, pass_bytes):
     rng = random.Random(2)
     items = [(k, prose(rng, "cc", rng.randrange(8, 30))) for k in range(30)]
     docs = [(k, prose(rng, "cc", 50) + " " + items[k % 30][1]) for k in range(60)]
-    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    rounded = lambda: sorted((r.id, r.item_id, *(round(x, 5) for x in r[2:])) for r in decontaminate.contaminated(*given).collect())
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        items, "item_id long, text string"
+    )
+    rounded = lambda: sorted(
+        (r.id, r.item_id, *(round(x, 5) for x in r[2:])) for r in decontaminate.contaminated(*given).collect()
+    )
     one = rounded()
     assert {x[:2] for x in one} == {(k, k % 30) for k in range(60)}
     monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 7)
@@ -440,9 +523,19 @@ def test_one_changed_word_anywhere_is_found(spark):
         w = text.split()
         for place in (3, 14, 28, 29):
             for edit in (["changed"], [], [w[place], "added"]):
-                docs.append((len(docs), k, prose(rng, "aa", 80) + " " + " ".join(w[:place] + edit + w[place + 1 :]) + " " + prose(rng, "aa", 80)))
+                docs.append(
+                    (
+                        len(docs), k,
+                        prose(rng, "aa", 80) + " " + " ".join(
+                            w[:place] + edit + w[place + 1 :]
+                        ) + " " + prose(rng, "aa", 80)
+                    )
+                )
     frame = spark.createDataFrame(docs, "doc_id long, item_id long, text string")
-    found = {(r.id, r.item_id) for r in decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = {
+        (r.id, r.item_id)
+        for r in decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     assert found == {(i, k) for i, k, _ in docs}
 
 
@@ -450,8 +543,13 @@ def test_decontamination_of_a_very_long_text_with_clashing_columns(spark):
     rng = random.Random(7)
     item = prose(rng, "bb", 40)
     long = " ".join([prose(rng, "aa", 150_000), item, prose(rng, "aa", 150_000)])
-    docs = spark.createDataFrame([(1, long, 5, 0.5, "x"), (1, long, 5, 0.5, "x"), (2, "short", 5, 0.5, "x")], "doc_id long, text string, item_id long, bm25 double, id string")
-    items = spark.createDataFrame([(9, item, 1, "q"), (9, item, 2, "r"), (9, item, 1, "q")], "item_id long, text string, doc_id long, id string")
+    docs = spark.createDataFrame(
+        [(1, long, 5, 0.5, "x"), (1, long, 5, 0.5, "x"), (2, "short", 5, 0.5, "x")],
+        "doc_id long, text string, item_id long, bm25 double, id string"
+    )
+    items = spark.createDataFrame(
+        [(9, item, 1, "q"), (9, item, 2, "r"), (9, item, 1, "q")], "item_id long, text string, doc_id long, id string"
+    )
     (r,) = decontaminate.contaminated(docs, items).collect()
     assert (r.id, r.item_id, r.question_overlap, r.answer_overlap) == (1, 9, 1.0, 1.0)
 
@@ -500,7 +598,10 @@ def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    data = rows(n=40) + [(900, "a<|endoftext|>b, x.y it's don't?! é é <|EndOfText|> 1,000.5 \x1c x", 0, 0, 0, 0, 0.0), (-7, "negative", 0, 0, 0, 0, 0.0)]
+    data = rows(n=40) + [
+        (900, "a<|endoftext|>b, x.y it's don't?! é é <|EndOfText|> 1,000.5 \x1c x", 0, 0, 0, 0, 0.0),
+        (-7, "negative", 0, 0, 0, 0, 0.0)
+    ]
     df = spark.createDataFrame(data, SCHEMA)
     store = tokens.TokenStore.write(df, path, shard_ids=500, part_bytes=20_000)
     got = store.read(tokens.keys_of(df)).collect()
@@ -509,7 +610,9 @@ def test_token_store_round_trip(spark):
         ids = np.array([*reference.encode(t, add_special_tokens=False).ids, 2], "<u4")
         want.append((None if i is None else i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert sorted(((None if r.occurrence < 0 else r.id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+    assert sorted(
+        ((None if r.occurrence < 0 else r.id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]
+    ) == want
     absent = spark.createDataFrame([(123_456, 0), (0, 5)], "id long, occurrence long")
     assert store.locate(absent).count() == 0
     empty = tokens.TokenStore.write(spark.createDataFrame([], SCHEMA), path)
@@ -522,7 +625,9 @@ def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
 
     path = public.path("word_bpe_49k.json")
     reference = Tokenizer.from_file(path)
-    monkeypatch.setattr(tokens.Vocabulary, "hash", staticmethod(lambda words: np.array([len(w.as_py()) % 3 for w in words], np.uint64)))
+    monkeypatch.setattr(
+        tokens.Vocabulary, "hash", staticmethod(lambda words: np.array([len(w.as_py()) % 3 for w in words], np.uint64))
+    )
     vocabulary = tokens.Vocabulary(path)
     rng = random.Random(3)
     for _ in range(4):

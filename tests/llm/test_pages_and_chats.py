@@ -12,12 +12,23 @@ TURNS = "conv_id long, turn long, role string, text string, part long, loss stri
 
 def conversations():
     rng = random.Random(1)
-    pieces = ["<|im_end|>", "<|im_start|>", "assistant", "<", "<\\", "<\\|", "<\\\\", "|>", "\n", "é", "<|", "n", "<\\n", "words "]
+    pieces = [
+        "<|im_end|>", "<|im_start|>", "assistant", "<", "<\\", "<\\|", "<\\\\", "|>", "\n", "é", "<|", "n", "<\\n",
+        "words "
+    ]
     out = []
     for c in range(40):
         for k in range(rng.randrange(1, 6)):
-            out.append((c, k, rng.choice(["user", "assistant", "system", "odd\nrole<|"]), "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12)))))
-    out += [(50, 0, None, None), (50, None, "assistant", "first"), (51, 1, "user", "b"), (51, 1, "user", "a"), (51, 1, "user", "a"), (None, 0, "assistant", "x"), (None, 1, "user", "y")]
+            out.append(
+                (
+                    c, k, rng.choice(["user", "assistant", "system", "odd\nrole<|"]),
+                    "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12)))
+                )
+            )
+    out += [
+        (50, 0, None, None), (50, None, "assistant", "first"), (51, 1, "user", "b"), (51, 1, "user", "a"),
+        (51, 1, "user", "a"), (None, 0, "assistant", "x"), (None, 1, "user", "y")
+    ]
     out += [(60, k, "assistant", "long " * 50) for k in range(30)]
     rng.shuffle(out)
     return [(*r, 1, "clash") for r in out]
@@ -30,7 +41,9 @@ def test_chats_round_trip(spark, part_bytes):
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
     low = lambda x: (x is not None, x if x is not None else "")
     for conv in {r[0] for r in rows}:
-        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: ((r[1] is not None, r[1] or 0), low(r[2]), low(r[3])))
+        turns = sorted(
+            (r for r in rows if r[0] == conv), key=lambda r: ((r[1] is not None, r[1] or 0), low(r[2]), low(r[3]))
+        )
         said = [t[3] or "" for t in turns if t[2] == "assistant"]
         r = got[conv]
         assert r.n_turns == len(turns)
@@ -59,14 +72,20 @@ PAGES = {
     "<article><p>kept</p><script>var a = '</p><p>no';</script><style>p{}</style><!-- <p>no</p> --><p>also&amp;&#33;</p></article>": "kept\n\nalso&!",
     "<div id=cookie-banner>We use cookies, sorry.</div><main><p>Only this.</p></main><div class=sidebar>no</div>": "Only this.",
     "<div class='page'><div class='content'><h2>H</h2><p>Long para, with commas, and stops. And more, too.</p><p>s</p></div><div class='menu'>no</div></div>": "H\n\nLong para, with commas, and stops. And more, too.\n\ns",
-    "<nav>only a menu</nav><footer>and a footer</footer>": "", "<article><p>open <i>tag": "open tag", "<article><table><tr><td>a<td>b<tr><td>c</table></article>": "a\n\nb\n\nc",
-    "<article>a &lt;p&gt; b &nbsp; c</article>": "a <p> b c", "<article><p>x</article><script>never closed <p>no</p>": "x", "<article><p title='a > b'>q</p></article>": "q",
+    "<nav>only a menu</nav><footer>and a footer</footer>": "", "<article><p>open <i>tag": "open tag",
+    "<article><table><tr><td>a<td>b<tr><td>c</table></article>": "a\n\nb\n\nc",
+    "<article>a &lt;p&gt; b &nbsp; c</article>": "a <p> b c",
+    "<article><p>x</article><script>never closed <p>no</p>": "x", "<article><p title='a > b'>q</p></article>": "q",
 }
 
 
 def test_pages(spark):
-    rows = [(k, f"u{k}", p, "clash", 3) for k, p in enumerate(PAGES)] + [(0, "u0", "<p>again", "clash", 3), (None, None, "<p>null id</p>", None, None)]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
+    rows = [(k, f"u{k}", p, "clash", 3) for k, p in enumerate(PAGES)] + [
+        (0, "u0", "<p>again", "clash", 3), (None, None, "<p>null id</p>", None, None)
+    ]
+    got = html.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    ).collect()
     by_url = {r.url: r for r in got if r.url != "u0"}
     for k, (page, want) in enumerate(PAGES.items()):
         if k:
@@ -78,8 +97,12 @@ def test_pages(spark):
 
 def test_nothing_of_a_long_article_is_lost():
     rng = random.Random(3)
-    blocks = [" ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
-    page = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
+    blocks = [
+        " ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(1, 60))) for _ in range(3000)
+    ]
+    page = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(
+        f"<p>{b}</p>" for b in blocks
+    ) + "</article></body></html>"
     assert html.main_text(page) == "\n\n".join(blocks)
 
 
@@ -88,11 +111,19 @@ def test_nothing_of_a_long_article_is_lost():
 def test_the_selection_decides_beside_an_article(paragraphs, where):
     """A teaser in an article element does not stand for the page; the body in a plain element does."""
     rng = random.Random(paragraphs)
-    body = [" ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(40, 80))) for _ in range(paragraphs)]
+    body = [
+        " ".join(rng.choice(["word", "and", "so.", "then,"]) for _ in range(rng.randrange(40, 80)))
+        for _ in range(paragraphs)
+    ]
     text = "".join(f"<p>{b}</p>" for b in body)
     card = "<article><h3>Other story</h3><p>Read it</p></article>"
-    page = {"before": f"{card}<div>{text}</div>", "after": f"<div>{text}</div>{card}", "within": f"<div>{card}{text}</div>", "in main": f"<main><h1>Head</h1>{card}<div>{text}</div></main>"}[where]
-    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join([*(["Head"] if where == "in main" else []), *body])
+    page = {
+        "before": f"{card}<div>{text}</div>", "after": f"<div>{text}</div>{card}", "within": f"<div>{card}{text}</div>",
+        "in main": f"<main><h1>Head</h1>{card}<div>{text}</div></main>"
+    }[where]
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(
+        [*(["Head"] if where == "in main" else []), *body]
+    )
 
 
 def test_an_article_keeps_its_headings_and_short_parts():
@@ -115,7 +146,10 @@ def test_the_selection_by_brute_force():
         per_path = {}
         for _, path, text in blocks:
             per_path.setdefault(path, []).append(text)
-        ratio = {p: (sum(map(len, x)) / len(x), sum(c in ".,;:!?…、。，！？" for t in x for c in t) / len(x) + 0.1) for p, x in per_path.items()}
+        ratio = {
+            p: (sum(map(len, x)) / len(x), sum(c in ".,;:!?…、。，！？" for t in x for c in t) / len(x) + 0.1)
+            for p, x in per_path.items()
+        }
         groups, fused = [], []
         for b in blocks:
             if not groups or groups[-1][-1][0].piece is not b[0].piece:
@@ -137,7 +171,10 @@ def test_pages_without_names_go_by_their_ratios():
     rng = random.Random(8)
     right = wrong = lost = 0
     for _ in range(40):
-        body = [" ".join(rng.choice(["word", "and", "so.", "then,", "longer"]) for _ in range(rng.randrange(30, 90))) for _ in range(rng.randrange(3, 20))]
+        body = [
+            " ".join(rng.choice(["word", "and", "so.", "then,", "longer"]) for _ in range(rng.randrange(30, 90)))
+            for _ in range(rng.randrange(3, 20))
+        ]
         menu = "<div><ul>" + "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(6)) + "</ul></div>"
         page = f"<body>{menu}<div>Buy it now.</div><div>{''.join(f'<p>{b}</p>' for b in body)}</div><div>(c) someone</div></body>"
         got = html.main_text(page).split("\n\n")
@@ -147,7 +184,14 @@ def test_pages_without_names_go_by_their_ratios():
     assert right / (right + wrong) > 0.95 and right / (right + lost) > 0.95
 
 
-@pytest.mark.parametrize("piece, times", [('<p "x ', 170_000), ("<p '> ' x", 110_000), ("<div>a ", 140_000), ("<div></x>", 110_000), ("<b>x<p>", 140_000), ('<a b="x\' > ', 90_000), ("< ", 500_000), ("<li>a<div>", 100_000), ('<script "', 110_000), ("<article>a", 100_000)])
+@pytest.mark.parametrize(
+    "piece, times",
+    [
+        ('<p "x ', 170_000), ("<p '> ' x", 110_000), ("<div>a ", 140_000), ("<div></x>", 110_000), ("<b>x<p>", 140_000),
+        ('<a b="x\' > ', 90_000), ("< ", 500_000), ("<li>a<div>", 100_000), ('<script "', 110_000),
+        ("<article>a", 100_000)
+    ]
+)
 def test_long_broken_pages_take_linear_time(piece, times):
     import time
 

@@ -32,9 +32,14 @@ def corpus(seed=1):
                 v[rng.randrange(len(v))] = "edit%d" % rng.randrange(99)
             docs.append(" ".join(v))
     docs += [passage, "x " + passage, passage + " y", "été " + passage[50:], "aaaa" * 400, "aaaa" * 400 + "b", "é" * 600]
-    docs += [None, "", "  \n\t ", "one", "one", "ONE", "one two three four", "one two three four five", "One Two\tThree\nFour  Five"]
+    docs += [
+        None, "", "  \n\t ", "one", "one", "ONE", "one two three four", "one two three four five",
+        "One Two\tThree\nFour  Five"
+    ]
     docs += [" ".join(words(rng, 20_000, 10**6))]
-    return [(i, t, "clash", 7, 8, 9, "clash") for i, t in enumerate(docs)] + [(3, docs[3], "clash", 7, 8, 9, "clash"), (None, docs[5], "x", 1, 1, 1, ""), (None, None, "x", 1, 1, 1, "")]
+    return [(i, t, "clash", 7, 8, 9, "clash") for i, t in enumerate(docs)] + [
+        (3, docs[3], "clash", 7, 8, 9, "clash"), (None, docs[5], "x", 1, 1, 1, ""), (None, None, "x", 1, 1, 1, "")
+    ]
 
 
 def brute_jaccard(rows, size=5):
@@ -60,7 +65,10 @@ def brute_jaccard(rows, size=5):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[root(i)] = min(least.get(root(i), r[0]), r[0])
-    return sorted(((r[0] is None, r[0] or 0, len(sets[i]), None if r[0] is None else least[root(i)]) for i, r in enumerate(rows)), key=str)
+    return sorted(
+        ((r[0] is None, r[0] or 0, len(sets[i]), None if r[0] is None else least[root(i)]) for i, r in enumerate(rows)),
+        key=str
+    )
 
 
 @pytest.mark.parametrize("block_tokens, hot", [(1_500_000, 2000), (300, 2)])
@@ -120,7 +128,9 @@ def test_bounds_of_prefixes():
 
 def test_components(spark):
     rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, None), (7, 7)]
+    edges = [
+        (rng.randrange(300), rng.randrange(300)) for _ in range(220)
+    ] + [(k, k + 1) for k in range(1000, 1200)] + [(5, None), (7, 7)]
     label = {}
 
     def root(x):
@@ -147,7 +157,12 @@ def brute_repeats(rows, length):
             if counts[t[i : i + length]] > 1:
                 gone[i : i + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((str(r[0]), len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+        out.append(
+            (
+                str(r[0]), len(t), int(gone.sum()), spans,
+                hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
+            )
+        )
     return sorted(out)
 
 
@@ -168,8 +183,12 @@ def repeats_corpus():
 def test_repeats_are_exact(spark, monkeypatch, most_classes, batch, hot):
     monkeypatch.setattr(suffix, "HOT_RUNS", hot)
     rows = repeats_corpus()
-    got = suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), most_classes=most_classes, batch_suffixes=batch, bucket_suffixes=3000).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_repeats(rows, 400)
+    got = suffix.remove_repeats(
+        spark.createDataFrame(rows, SCHEMA), most_classes=most_classes, batch_suffixes=batch, bucket_suffixes=3000
+    ).collect()
+    assert sorted(
+        (str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got
+    ) == brute_repeats(rows, 400)
 
 
 WORD = re.compile(rb"(?:[\xe3-\xef]..|[\xf0-\xf4]...)|(?:(?![\xe3-\xf4])[^\x20\x09-\x0D])+", re.S)
@@ -204,15 +223,21 @@ def test_passages_are_exact_beside_strings_of_bytes(spark, most_classes):
     rows = passages_corpus()
     texts = [(r[1] or "").encode() for r in rows]
     frame = spark.createDataFrame(rows, SCHEMA)
-    alone = suffix.remove_repeats(frame, keep=["doc_id", "kept"], rules=(suffix.PASSAGES,), most_classes=most_classes) if most_classes > 1 else None
+    alone = suffix.remove_repeats(
+        frame, keep=["doc_id", "kept"], rules=(suffix.PASSAGES,), most_classes=most_classes
+    ) if most_classes > 1 else None
     gone = brute_passages(texts, 51)
     left = [bytes(np.frombuffer(t, np.uint8)[~g]).decode() for t, g in zip(texts, gone)]
     assert sum(g.any() for g in gone) > 20
     if alone is not None:
         assert alone.columns.count("kept") == 2  # a clash is the caller's to solve: both columns are there
         place = alone.columns.index("n_removed")
-        assert sorted((str(r[0]), r[place]) for r in alone.collect()) == sorted((str(r[0]), int(g.sum())) for r, g in zip(rows, gone))
-    got = suffix.remove_repeats(frame, rules=(suffix.PASSAGES, suffix.BYTES), as_text=True, most_classes=most_classes).collect()
+        assert sorted((str(r[0]), r[place]) for r in alone.collect()) == sorted(
+            (str(r[0]), int(g.sum())) for r, g in zip(rows, gone)
+        )
+    got = suffix.remove_repeats(
+        frame, rules=(suffix.PASSAGES, suffix.BYTES), as_text=True, most_classes=most_classes
+    ).collect()
     assert sorted((str(r.doc_id), r.kept) for r in got) == sorted((str(r[0]), x) for r, x in zip(rows, left))
     data = [(str(r[0]), len(t)) for r, t in zip(rows, texts)]
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted(data)
@@ -252,7 +277,10 @@ def test_repeats_of_long_texts_in_pieces(monkeypatch, rule):
     raw = np.frombuffer(text, np.uint8)
 
     def found():
-        runs = [(p, suffix.anchor_runs(codes, o, rule)) for _, p, codes, o in suffix._pieces(raw, np.array([0, len(raw)]), rule)]
+        runs = [
+            (p, suffix.anchor_runs(codes, o, rule))
+            for _, p, codes, o in suffix._pieces(raw, np.array([0, len(raw)]), rule)
+        ]
         return {int(s) + p + d: int(h) for p, (_, s, n, h, _) in runs for s, n, h in zip(s, n, h) for d in range(n)}
 
     whole = found()
@@ -282,7 +310,9 @@ def test_symbols_by_brute_force(monkeypatch):
 def test_repeats_of_an_empty_table_and_as_text(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "é" + "ab" * 300
-    got = suffix.remove_repeats(spark.createDataFrame([(1, text, "", 0, 0, 0, "k"), (2, "x" + text, "", 0, 0, 0, "k")], SCHEMA), as_text=True)
+    got = suffix.remove_repeats(
+        spark.createDataFrame([(1, text, "", 0, 0, 0, "k"), (2, "x" + text, "", 0, 0, 0, "k")], SCHEMA), as_text=True
+    )
     assert {(r.doc_id, r.n_removed, r.kept) for r in got.collect()} == {(1, 602, ""), (2, 602, "x")}
 
 

@@ -19,7 +19,9 @@ def test_sql_agrees(spark, name):  # op7 takes a few seconds in DuckDB
     want = con.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     by = list(want.columns[:1])
-    assert got.sort_values(by).reset_index(drop=True).astype(str).equals(want.sort_values(by).reset_index(drop=True).astype(str))
+    assert got.sort_values(by).reset_index(drop=True).astype(str).equals(
+        want.sort_values(by).reset_index(drop=True).astype(str)
+    )
 
 
 def test_every_operator_has_a_query():
@@ -84,19 +86,39 @@ def odd_folder(tmp_path_factory):
     twin, item = texts[3][1], prose("bb", 40)
     shared = prose("aa", 60)
     rows = texts + [
-        (100, None, "aa"), (101, "", "aa"), (102, " \n\t ", "aa"), (103, "12 34 !?", None), (104, "日本語の文章です。これは学習されていません", None),
-        (105, twin, "bb"), (3, twin, "bb"), (None, twin, "bb"), (None, prose("aa", 40), "aa"), (106, f"{prose('bb', 30)} {item} {prose('bb', 30)}", "bb"),
-        (None, f"{prose('bb', 30)} {item} {prose('bb', 30)}", "bb"), (107, prose("aa", 30_000), "aa"), (108, f"{prose('aa', 50)} {shared}", "aa"),
+        (100, None, "aa"), (101, "", "aa"), (102, " \n\t ", "aa"), (103, "12 34 !?", None),
+        (104, "日本語の文章です。これは学習されていません", None),
+        (105, twin, "bb"), (3, twin, "bb"), (None, twin, "bb"), (None, prose("aa", 40), "aa"),
+        (106, f"{prose('bb', 30)} {item} {prose('bb', 30)}", "bb"),
+        (None, f"{prose('bb', 30)} {item} {prose('bb', 30)}", "bb"), (107, prose("aa", 30_000), "aa"),
+        (108, f"{prose('aa', 50)} {shared}", "aa"),
         (109, f"{shared}  {prose('aa', 50)}", "aa"), (110, prose("aa", 40), None),
     ]
     alone = prose("bb", 45)
     rows += [(None, alone, "bb"), (None, alone, "bb")]
     folder = str(tmp_path_factory.mktemp("odd"))
     ids, text, lang = zip(*rows)
-    extra = {c: pa.array(["x"] * len(rows)) for c in ("score", "kept", "id", "h", "token", "bucket", "lang_pred", "__id", "n_tokens")}
-    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(text), "lang": pa.array(lang), "source": pa.array([None if k % 9 == 0 else "s" for k in range(len(rows))]), "n_chars": pa.array([len(t or "") for t in text], pa.int64()), **extra})
+    extra = {
+        c: pa.array(["x"] * len(rows))
+        for c in ("score", "kept", "id", "h", "token", "bucket", "lang_pred", "__id", "n_tokens")
+    }
+    table = pa.table(
+        {
+            "doc_id": pa.array(ids, pa.int64()), "text": pa.array(text), "lang": pa.array(lang),
+            "source": pa.array([None if k % 9 == 0 else "s" for k in range(len(rows))]),
+            "n_chars": pa.array([len(t or "") for t in text], pa.int64()), **extra
+        }
+    )
     pq.write_table(table, f"{folder}/documents.parquet")
-    pq.write_table(pa.table({"item_id": pa.array([1, 1, None, 2, 3], pa.int64()), "text": [item, item, "null id", None, ""], "text2": ["a"] * 5}), f"{folder}/benchmark.parquet")
+    pq.write_table(
+        pa.table(
+            {
+                "item_id": pa.array([1, 1, None, 2, 3], pa.int64()), "text": [item, item, "null id", None, ""],
+                "text2": ["a"] * 5
+            }
+        ),
+        f"{folder}/benchmark.parquet"
+    )
     return folder, rows, twin, item, shared, alone
 
 
@@ -138,10 +160,14 @@ def test_stages_on_odd_rows(spark, odd_folder):
 
     out = p.decontamination(spark, docs, folder)
     assert out.columns == p.COLUMNS
-    assert given - seen(out) == Counter({k: n for k, n in given.items() if item in (k[1] or "")}) and len(given - seen(out)) == 2
+    assert given - seen(out) == Counter(
+        {k: n for k, n in given.items() if item in (k[1] or "")}
+    ) and len(given - seen(out)) == 2
 
     got = p.packing(spark, docs, folder).collect()
-    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is not None, i or 0, len((t or "").split()) + 1) for i, t, _ in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got) == sorted(
+        (i is not None, i or 0, len((t or "").split()) + 1) for i, t, _ in rows
+    )
     assert len({(r.batch_id, r.slot) for r in got}) == len(rows)
 
 
@@ -183,13 +209,26 @@ def test_stages_remove_what_is_planted(spark, tmp_path):
         rows.append((1000 + k, " ".join(w)))
         kind[1000 + k] = "copy"
     ids, texts = zip(*rows)
-    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * len(rows), "source": ["s"] * len(rows), "n_chars": pa.array(map(len, texts), pa.int64())}), f"{tmp_path}/documents.parquet")
-    pq.write_table(pa.table({"item_id": pa.array(range(6), pa.int64()), "text": [" ".join(w) for w in items]}), f"{tmp_path}/benchmark.parquet")
+    pq.write_table(
+        pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * len(rows),
+                "source": ["s"] * len(rows), "n_chars": pa.array(map(len, texts), pa.int64())
+            }
+        ),
+        f"{tmp_path}/documents.parquet"
+    )
+    pq.write_table(
+        pa.table({"item_id": pa.array(range(6), pa.int64()), "text": [" ".join(w) for w in items]}),
+        f"{tmp_path}/benchmark.parquet"
+    )
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     text = dict(rows)
     left = {r.doc_id: r.text for r in p.near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert set(left) == {k for k in kind if kind[k] != "copy"}
-    once = spark.createDataFrame([(k, text[k], "en", "s", 1) for k in left], "doc_id long, text string, lang string, source string, n_chars long")
+    once = spark.createDataFrame(
+        [(k, text[k], "en", "s", 1) for k in left], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     got = {r.doc_id: r.text for r in p.repeated_passages(spark, once, str(tmp_path)).collect()}
     for k, t in got.items():
         joined = [" ".join(w) for w in passages if " ".join(w) in text[k]]
