@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tephra.llm.common import written
+from tephra.llm.common import discard, temporary, written
 from tephra.llm.decontaminate import contaminated
 from tephra.llm.jaccard import ngram_jaccard
 from tephra.llm.langid import fit, is_held_out, predict
@@ -37,7 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = F.coalesce("doc_id", F.shiftright(F.xxhash64("text"), 2).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
     given = docs.select(*COLUMNS, ids.alias("__id"))
     found = ngram_jaccard(given, id_col="__id")
-    stay = found.where("component_id = id or n_shingles = 0").select(F.col("id").alias("__id"), (F.col("n_shingles") > 0).alias("full")).distinct()
+    stay = found.where("component_id = id or n_shingles = 0").select(
+        F.col("id").alias("__id"), (F.col("n_shingles") > 0).alias("full")
+    ).distinct()
     kept = given.join(stay.hint("shuffle_hash"), "__id")
     place = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy("n_chars"))
     return kept.withColumn("place", place).where("place = 1 or not full").select(*COLUMNS)
@@ -52,7 +54,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     documents are left out.
     """
     out = remove_repeats(docs, keep=["doc_id", "lang", "source"], rules=(PASSAGES,), as_text=True)
-    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    return out.select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")
+    )
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,8 +94,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; what a stage leaves behind goes with the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary() as keep:
+            before, docs = docs, keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(before)
     return docs
