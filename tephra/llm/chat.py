@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 from .common import blocks, ranges, utf8
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -136,6 +138,7 @@ def format_chats(
     escaped assistant texts. Null roles and texts are empty; a null turn comes first and equal turns order by role and text;
     rows of null conv_id are one conversation; repeated rows stay. An empty table gives no rows.
     """
+    bounded_batches(turns.sparkSession)
     given = turns.select(
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")

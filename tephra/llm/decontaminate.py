@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 from .common import blocks, byte_codes, prefix_hash, ranges, span_hash, utf8, words
 
 K1, B = 1.2, 0.75
@@ -299,6 +301,7 @@ def contaminated(
     ``overlap`` of all their shingles, others of both parts. Repeated items of one id, and texts of one id, count once, with
     the best passage. Texts of any length are searched whole; no column of either table but id and text is looked at.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = items.select(

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 from .common import byte_codes, parts_for, prefix_hash, span_hash, utf8, written
 
 WINDOW = 64
@@ -299,6 +301,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     double), one row for every input row. Null texts count as empty; a null id comes last in the order; rows of equal ids
     order by a hash of the text. The only row of a table is its own next. Equal texts have equal digests. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, = given.agg(F.sum(F.octet_length("text"))).first()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 _RAW = "script style noscript template textarea iframe svg math object canvas audio video select title xmp".split()
 
 
@@ -310,6 +312,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     A null or empty page, and one without an article, gives an empty text and 0. Unclosed and misnested tags are taken as
     browsers take them, roughly; an unclosed script or comment reaches to the page's end. Nothing is capped.
     """
+    bounded_batches(pages.sparkSession)
     keep = ["page_id", "url"] if keep is None else keep
     renamed = [f"__{i}" for i in range(len(keep))]
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}

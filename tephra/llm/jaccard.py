@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tephra.session import bounded_batches
+
 from .common import blocks, list_array, mix, ranges, shingles, temporary, utf8, written
 from .components import components
 
@@ -292,6 +294,7 @@ def ngram_jaccard(
     id). A null id gives a row with a null component_id and links with nothing. Repeated rows and equal texts link with
     one another. An empty table gives an empty one. Shingles are compared by 52-bit hashes.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     with temporary() as keep:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 from .common import byte_codes, blocks, prefix_hash, span_hash, utf8, words
 
 #: Labelled rows used for training at most, and the size in bytes up to which a row is taken: the bound on the driver.
@@ -254,6 +256,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     familiarity is below the model's threshold, although these keep their likeliest language. A model without languages
     gives ``und``. One row for every input row, ties, null ids and repeated rows included; texts of any length are read whole.
     """
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")] if keep is None else keep
     renamed = [f"__{i}" for i in range(len(keep))]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import bounded_batches
+
 from .common import blocks, byte_codes, mix, prefix_hash, ranges, span_hash, temporary, utf8, words, written
 
 MOST_CLASSES = 4096
@@ -420,6 +422,7 @@ def repeated_ranges(
     most_classes: int = MOST_CLASSES, batch_suffixes: int = BATCH_SUFFIXES, bucket_suffixes: int = BUCKET_SUFFIXES,
 ) -> DataFrame:
     """(id, crc, rule, from, to): ranges of starts whose string also starts elsewhere; see :func:`_keyed`."""
+    bounded_batches(docs.sparkSession)
     texts = _keyed(docs, id_col, text_col).select(
         F.col("__key").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text")
     )
