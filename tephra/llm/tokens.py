@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tephra.session import bounded_batches
+
 from .common import blocks, byte_codes, mix, parts_for, prefix_hash, ranges, span_hash, utf8, written
 
 END_ID = 2
@@ -325,6 +327,7 @@ class TokenStore:
         shard_ids: int = SHARD_IDS, part_bytes: int = 16 << 20
     ) -> TokenStore:
         """Tokenize and write every text in ascending order of ids; see the module. Null ids come first, then rows by id."""
+        bounded_batches(docs.sparkSession)
         given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         size, = given.agg(F.sum(F.octet_length("text"))).first()
         parts = parts_for(size or 0, part_bytes)
@@ -389,7 +392,10 @@ class TokenStore:
                         names=["id", "occurrence", "start", "n_tokens", "ids_crc32"]
                     )
 
-        joined = self.payloads.select("shard", "payload").join(found.join(base, "shard").hint("shuffle_hash"), "shard")
+        # As many partitions as the payloads need, whatever the session's number is.
+        parts = parts_for(ahead[-1] * (4 if wide else 2))
+        wanted = found.join(base, "shard").repartition(parts, "shard").hint("shuffle_hash")
+        joined = self.payloads.select("shard", "payload").repartition(parts, "shard").join(wanted, "shard")
         return joined.mapInArrow(run, "id long, occurrence long, start long, n_tokens long, ids_crc32 long")
 
 
