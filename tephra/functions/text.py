@@ -77,6 +77,26 @@ def numbers(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_as_column(text), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
 
 
+def shortest(x: Column) -> Column:
+    """The shortest decimals of a double, ``12345678.5`` or ``7.0``: no exponent from 1e-4 to below 1e16, as in Python and SQL.
+
+    Spark's own cast writes an exponent from 1e7 on.
+    """
+    size = F.abs(x)
+    return F.when((size >= 1e16) | ((size > 0) & (size < 1e-4)), x.cast("string")).otherwise(
+        F.call_function("format_number", x, F.lit("0.0" + "#" * 19))
+    )
+
+
+def fixed(x: Column, digits: int, signed: bool = False) -> Column:
+    """A double with so many decimals, the nearest to its binary value, of two as near the even one: as in Python and SQL.
+
+    Java's ``%.1f`` rounds the shortest decimals instead, halves up: 56.25 to 56.3, 8.45 to 8.5.
+    """
+    pattern = "0." + "0" * digits
+    return F.call_function("format_number", x, F.lit(f"+{pattern};-{pattern}" if signed else pattern))
+
+
 def page_of(chunk_id: Column | str) -> Column:
     """struct<source, page> of ``source#pN#i``; null where the id hasn't exactly three parts."""
     parts = F.split(_as_column(chunk_id), "#")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tephra.functions.text import fixed, shortest
 from tephra.schemas import ABSOLUTE_BOUNDS, BASE_CONFIDENCE, BONUS, CITED_BONUS, CONFIDENCE_CEILING, FORECAST_SERIES, HAZARDS, KMH_PER_MS, LEVELS
 
 
@@ -61,7 +62,7 @@ def levels_text(levels: Column) -> Column:
     return F.array_join(
         F.transform(
             levels,
-            lambda r: F.concat(r["return_period"].cast("string"), F.lit("yr="), F.round(r["level"], 1).cast("string"))
+            lambda r: F.concat(r["return_period"].cast("string"), F.lit("yr="), shortest(F.round(r["level"], 1)))
         ),
         ", "
     )
@@ -70,6 +71,8 @@ def levels_text(levels: Column) -> Column:
 def reports(runs: DataFrame) -> DataFrame:
     """Report columns for each run; a run with a refusal keeps it and gets no risk level.
 
+    A run without a peak has no risk level either; its summary and the details that would name the peak are null.
+
     ``runs`` has location, hazard, horizon_days, refusal, peak, and, null where there is none, variable, unit, n_years,
     return_levels array<struct<return_period, level>>, representativeness, trend struct<significant, slope_per_decade,
     p_value, evaluated_at>, answer and citations array<struct<source, page>>.
@@ -80,12 +83,13 @@ def reports(runs: DataFrame) -> DataFrame:
     by_period = F.map_from_entries(F.col("return_levels"))
     grounded = F.when(matches, level_by_return_period(F.col("peak"), F.transform_values(by_period, lambda _, v: v)))
     level = F.coalesce(grounded, absolute_level(F.col("hazard"), F.col("peak")))
-    ms = F.format_string("%.1f", metres_per_second(F.col("peak")))
+    shown, ms = shortest(F.col("peak")), fixed(metres_per_second(F.col("peak")), 1)
+    told = lambda *said: F.when(F.col("peak").isNotNull(), F.format_string(*said))
     detail = F.when(
-        F.col("hazard") == "extreme_precip", F.format_string("max daily %s mm", "peak")
+        F.col("hazard") == "extreme_precip", told("max daily %s mm", shown)
     ).when(
-        F.col("hazard") == "heatwave", F.format_string("max daily %s °C", "peak")
-    ).otherwise(F.format_string("max daily %s km/h (%s m/s)", F.col("peak"), ms))
+        F.col("hazard") == "heatwave", told("max daily %s °C", shown)
+    ).otherwise(told("max daily %s km/h (%s m/s)", shown, ms))
     factor = F.element_at(
         _map({"extreme_precip": "precipitation", "heatwave": "temperature", "wind": "wind"}), F.col("hazard")
     )
@@ -95,11 +99,11 @@ def reports(runs: DataFrame) -> DataFrame:
         F.concat(
             F.format_string("%s-yr ERA5 GEV (%s)", "n_years", "variable"),
             F.when(
-                F.col("trend").isNotNull(), F.format_string(", no significant trend (p=%.2f)", F.col("trend.p_value"))
+                F.col("trend").isNotNull(), F.format_string(", no significant trend (p=%s)", fixed(F.col("trend.p_value"), 2))
             ).otherwise("")
         )
     )
-    basis = F.when(matches, F.format_string("forecast peak %s %s vs GEV return levels (%s) -> %s", F.col("peak"), F.col("unit"), text, level)).otherwise(
+    basis = F.when(matches, told("forecast peak %s %s vs GEV return levels (%s) -> %s", shown, F.col("unit"), text, level)).otherwise(
         F.format_string(
             "absolute thresholds (forecast/climatology variable mismatch: %s vs %s)",
             F.try_element_at(_map(FORECAST_SERIES), F.col("hazard")), F.col("variable")
@@ -110,15 +114,15 @@ def reports(runs: DataFrame) -> DataFrame:
         has_stat,
         F.array(driver(factor, detail), driver(F.lit("climatology"), climate), driver(F.lit("severity_basis"), basis))
     ).otherwise(F.array(driver(factor, detail)))
-    sentence = F.when(F.col("hazard") == "extreme_precip", F.format_string("Peak daily rainfall of %s mm over %s days.", "peak", "horizon_days")).when(F.col("hazard") == "heatwave", F.format_string("Peak daily max temperature of %s °C over %s days.", "peak", "horizon_days")).otherwise(
-        F.format_string("Peak daily wind of %s km/h (%s m/s) over %s days.", F.col("peak"), ms, F.col("horizon_days"))
+    sentence = F.when(F.col("hazard") == "extreme_precip", told("Peak daily rainfall of %s mm over %s days.", shown, F.col("horizon_days"))).when(F.col("hazard") == "heatwave", told("Peak daily max temperature of %s °C over %s days.", shown, F.col("horizon_days"))).otherwise(
+        told("Peak daily wind of %s km/h (%s m/s) over %s days.", shown, ms, F.col("horizon_days"))
     )
     climate_sentence = F.when(
         strong,
         F.format_string(
-            " ERA5 effective return levels at %s (%s; warming trend %+.1f %s/decade, p=%.3f).",
-            F.col("trend.evaluated_at").cast("long"), text, F.col("trend.slope_per_decade"), F.col("unit"),
-            F.col("trend.p_value")
+            " ERA5 effective return levels at %s (%s; warming trend %s %s/decade, p=%s).",
+            F.col("trend.evaluated_at").cast("long"), text, fixed(F.col("trend.slope_per_decade"), 1, signed=True),
+            F.col("unit"), fixed(F.col("trend.p_value"), 3)
         )
     ).otherwise(F.concat(F.lit(" ERA5 return levels ("), text, F.lit(").")))
     pages = F.when(

@@ -76,6 +76,11 @@ def evidence_questions(spark, sf_dir):
     )
 
 
+def _two_digits(x):
+    """Rounded as SQL does, by the nearest whole number of hundredths; Spark's round goes by the shortest decimals."""
+    return F.round(x * 100) / 100
+
+
 def _runs(spark, sf_dir):
     """Located questions with the peak of their nation's series and, for heat, its return levels."""
     q = places.located(_sentences(spark, sf_dir), tables.gazetteer(spark, sf_dir), tables.regions(spark))
@@ -87,7 +92,7 @@ def _runs(spark, sf_dir):
     ).agg(F.max("peak"))
     maxima = extremes.block_maxima(series.where("variable = 'temperature_2m_max'"))
     stats = extremes.return_levels(extremes.gumbel_moments(maxima)).groupBy("location").agg(
-        F.array_sort(F.collect_list(F.struct("return_period", F.round("level", 2).alias("level")))).alias("levels")
+        F.array_sort(F.collect_list(F.struct("return_period", _two_digits(F.col("level")).alias("level")))).alias("levels")
     )
     stats = stats.join(extremes.record_summary(maxima).select("location", "n_blocks"), "location")
     known = peaks.join(stats, "location", "left").withColumnRenamed("location", "nation")
@@ -97,7 +102,7 @@ def _runs(spark, sf_dir):
         F.col("hazard") == "extreme_precip", F.col("precipitation_sum")
     ).otherwise(F.col("precipitation_sum") / 2)
     return joined.select(
-        "qid", "location", "hazard", "horizon_days", "refusal", F.round(peak, 2).alias("peak"),
+        "qid", "location", "hazard", "horizon_days", "refusal", _two_digits(peak).alias("peak"),
         F.when(heat, F.lit("temperature_2m_max")).otherwise(F.lit("wind_gusts_10m_max")).alias("variable"),
         F.lit("x").alias("unit"), F.col("n_blocks").alias("n_years"),
         F.when(F.col("hazard").isin("heatwave", "wind"), F.col("levels")).alias("return_levels"),
@@ -124,9 +129,10 @@ def assess_nl(spark, sf_dir):
 
 
 def report_text(spark, sf_dir):
-    """What a reader sees: summary, drivers and cited pages of each report."""
+    """What a reader sees: summary, drivers and cited pages of each report; without a peak neither of the first two."""
     r = verdict.reports(_runs(spark, sf_dir)).where("refusal is null")
-    drivers = F.array_join(F.transform("drivers", lambda d: F.concat(d["factor"], F.lit("="), d["detail"])), "; ")
+    told = F.transform("drivers", lambda d: F.concat(d["factor"], F.lit("="), d["detail"]))
+    drivers = F.when(F.forall(told, lambda x: x.isNotNull()), F.array_join(told, "; "))
     pages = F.array_join(F.transform("citations", lambda c: F.concat(c["source"], F.lit(" "), c["locator"])), ", ")
     return r.select("qid", "summary", drivers.alias("drivers"), pages.alias("citations"))
 

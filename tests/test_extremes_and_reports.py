@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tephra.functions import gev
+from tephra.functions.text import fixed, shortest
 from tephra.operators import answers, extremes, places, telemetry, verdict
 from tephra.plans import api, pipeline
 
@@ -123,6 +124,32 @@ def test_level_by_return_period(spark, peak, want):
     ) == (want, None)
 
 
+def test_numbers_as_text(spark):
+    """As Python writes them."""
+    values = [0.0, 7.0, -2.25, 0.15, 0.35, 1.25, 3.75, 8.45, 56.25, 120.05, 0.00012, 9999999.5, 12345678.5, 2.5e15, 1 / 3, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", shortest(F.col("v")), fixed(F.col("v"), 1), fixed(F.col("v"), 2), fixed(F.col("v"), 1, signed=True)
+    ).collect()
+    for v, *got in rows:
+        assert got == ([None] * 4 if v is None else [repr(v), f"{v:.1f}", f"{v:.2f}", f"{v:+.1f}"]), v
+
+
+def test_report_without_a_peak_names_none(spark):
+    kinds = "location string, hazard string, horizon_days int, refusal string, peak double, variable string, unit string, n_years long, return_levels array<struct<return_period: int, level: double>>, representativeness string, trend struct<significant: boolean, slope_per_decade: double, p_value: double, evaluated_at: double>, answer string, citations array<struct<source: string, page: int>>"
+    levels, trend = [(10, 1.0), (50, 12345678.5), (100, 3e7)], (True, 0.25, 0.0125, 2022.0)
+    run = lambda hazard, peak: ("x", hazard, 3, None, peak, "temperature_2m_max", "°C", 9, levels, None, trend, None, None)
+    runs = spark.createDataFrame([run(h, p) for p in (None, 20000002.5) for h in ("heatwave", "extreme_precip", "wind")], kinds)
+    *unknown, heat, _, _ = verdict.reports(runs).collect()
+    for r in unknown:
+        assert r.risk_level is None and r.summary is None and r.drivers[0].detail is None and len(r.drivers) == 3
+    assert unknown[0].drivers[2].detail is None
+    assert heat.risk_level == "HIGH" and heat.summary == (
+        "Peak daily max temperature of 20000002.5 °C over 3 days. ERA5 effective return levels at 2022 (10yr=1.0, "
+        "50yr=12345678.5, 100yr=30000000.0; warming trend +0.2 °C/decade, p=0.013)."
+    ) and heat.drivers[0].detail == "max daily 20000002.5 °C"
+
+
+
 def test_confidence(spark):
     df = spark.createDataFrame(
         [

@@ -190,3 +190,25 @@ def test_sql_agrees_on_the_smallest_tables(spark):
         )
         norm = lambda rs: [tuple(x.removesuffix(".0") for x in r) for r in rs]
         assert norm(rows(got)) == norm(rows(want)), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_report_text_agrees_with_its_sql_on_ties_large_and_missing_peaks(spark, tmp_path):
+    """Peaks that are halves once told in m/s or rounded, of eight digits, and null."""
+    duckdb = pytest.importorskip("duckdb")
+    plans = importlib.import_module("tephra.plans")
+    con = duckdb.connect()
+    for name in ("nation", "region", "events"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    con.sql("select n as s_suppkey, n as s_nationkey from range(25) t(n)").write_parquet(str(tmp_path / "supplier.parquet"))
+    con.sql(
+        """select n as l_suppkey, timestamp '2000-05-01' as l_shipdate, 1.0::double as l_quantity, 50.0::double + n as l_extendedprice from range(25) t(n)
+        union all select n, timestamp '2001-05-01', [45, 1000000001, null, 0.17][n % 4 + 1]::double, [66280.885, 23456789.5, null, 100][n % 4 + 1]::double from range(25) t(n)"""
+    ).write_parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("nation", "region", "events", "supplier", "lineitem"):
+        con.sql(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet')")
+    want = {r[0]: r[1:] for r in con.sql(plans.ORACLES["report_text"]).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in plans.QUERIES["report_text"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 57
+    assert want[2][0].startswith("Peak daily wind of 22.5 km/h (6.2 m/s)") and want[20][:2] == (None, None)
+    assert want[10][0].startswith("Peak daily max temperature of 23456789.5 ") and " 66280.88 " in want[0][0]
